@@ -72,38 +72,34 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return picked.mapInArrow(run, "doc_id long, fp long")
 
 
-def _byte(i: int) -> F.Column:
-    return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
+def _mask(positions: tuple[int, ...], width: int = 8) -> int:
+    """Bits of some bytes (or half-bytes) of a fingerprint, as a signed long."""
+    bits = sum(((1 << width) - 1) << (width * i) for i in positions)
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _nibbles(rest: list[int]) -> list[F.Column]:
-    return [F.shiftrightunsigned("fp", 8 * i + 4 * h).bitwiseAND(F.lit(15)) for i in rest for h in (0, 1)]
+def refinements(level: int) -> list[tuple[int, int]]:
+    """(mask, finer mask) pairs: the groups of positions under which the entries of a long list are posted again.
 
-
-def _key_columns(level: int) -> tuple[list[tuple[int, ...]], int]:
-    """Positions (byte or half-byte numbers) of a level's posting groups and the bits of each."""
-    three = covering_triples()
-    return (three, 8) if level == 0 else ([t + (p,) for t in three for p in range(8) if p not in t], 8)
-
-
-def _postings(fps: DataFrame, level: int) -> DataFrame:
-    """(key, fp): one row for each fingerprint and group of positions; the key is a hash of group and values.
-
-    Two different groups with equal hashes only put unrelated fingerprints in one list; verification parts them.
+    Level 0 posts everything (mask 0) under three bytes, level 1 adds a fourth, level 2 adds a covering triple of the
+    eight other half-bytes (at most four of which differ), level 3 a fourth half-byte.
     """
-    if level < 2:
-        groups, _ = _key_columns(level)
-        keys = [F.xxhash64(F.lit(g), *[_byte(i) for i in t]) for g, t in enumerate(groups)]
-    else:
-        keys, g = [], 0
-        for t in _key_columns(1)[0]:
-            half = _nibbles([i for i in range(8) if i not in t])
-            for u in covering_triples():
-                more = [()] if level == 2 else [(p,) for p in range(8) if p not in u]
-                for m in more:
-                    keys.append(F.xxhash64(F.lit(g), *[_byte(i) for i in t], *[half[i] for i in u + m]))
-                    g += 1
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    out = set()
+    for t in covering_triples():
+        if level == 0:
+            out.add((0, _mask(t)))
+        for p in (p for p in range(8) if p not in t and level):
+            four = tuple(sorted(t + (p,)))
+            half = [2 * i + h for i in range(8) if i not in four for h in (0, 1)]
+            if level == 1:
+                out.add((_mask(t), _mask(four)))
+            for u in covering_triples() if level > 1 else []:
+                deep = _mask(four) | _mask(tuple(half[i] for i in u), 4)
+                if level == 2:
+                    out.add((_mask(four), deep))
+                else:
+                    out |= {(deep, deep | _mask((half[q],), 4)) for q in range(8) if q not in u}
+    return sorted(out)
 
 
 def _linked_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,20 +164,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(fps: DataFrame, limit: int = 4096) -> DataFrame:
     """(src, dst) of links that connect just what all links within four bits connect.  ``fps``: different, in column fp."""
-    n, out, todo = partitions(fps.sparkSession), None, fps.select("fp")
+    spark, out = fps.sparkSession, None
+    n, lists = partitions(spark), fps.select(F.lit(0).cast("long").alias("mask"), "fp")
     for level in range(4):
-        post = _postings(todo, level)
+        finer = spark.createDataFrame(refinements(level), "mask long, finer long")  # 20 to 7000 rows, of fixed number
+        post = lists.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), "fp")
+        post = post if level == 0 else materialise(post.distinct(), "postings")
+        post = post.withColumn("key", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
         hot = None
         if level < 3:
             hot = materialise(post.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-lists")
             hot = None if hot.isEmpty() else hot
         cold = post if hot is None else post.join(hot, "key", "left_anti")
-        found = cold.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "src long, dst long")
+        found = cold.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "src long, dst long")
         found = materialise(found, "pairs")
         out = found if out is None else out.unionByName(found)
         if hot is None:
             break
-        todo = post.join(hot, "key", "left_semi").select("fp").distinct()
+        lists = post.join(hot, "key", "left_semi").select("mask", "fp")
     return out
 
 
