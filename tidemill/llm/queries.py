@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import simhash
+from tidemill.llm import bpe, packing, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_linear_wordpiece_counts": token_counts.op3,
+    "op5_binary_packing": packing.op5,
+    "op6_forced_boundary_bpe": bpe.op6,
     "op7_simhash_byte_index": simhash.op7,
 }
 ORACLES: dict[str, str] = {}

@@ -165,11 +165,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_links(fps: DataFrame, limit: int = 4096) -> DataFrame:
     """(src, dst) of links that connect just what all links within four bits connect.  ``fps``: different, in column fp."""
     spark, out = fps.sparkSession, None
-    n, lists = partitions(spark), fps.select(F.lit(0).cast("long").alias("mask"), "fp")
+    n = partitions(spark)
+    post = fps.select(F.explode(F.array(*[F.lit(m) for _, m in refinements(0)])).alias("mask"), "fp")
     for level in range(4):
-        finer = spark.createDataFrame(refinements(level), "mask long, finer long")  # 20 to 7000 rows, of fixed number
-        post = lists.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), "fp")
-        post = post if level == 0 else materialise(post.distinct(), "postings")
         post = post.withColumn("key", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
         hot = None
         if level < 3:
@@ -181,7 +179,9 @@ def fingerprint_links(fps: DataFrame, limit: int = 4096) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         if hot is None:
             break
-        lists = post.join(hot, "key", "left_semi").select("mask", "fp")
+        finer = spark.createDataFrame(refinements(level + 1), "mask long, finer long")  # at most 7000 rows, a fixed number
+        again = post.join(hot, "key", "left_semi").join(F.broadcast(finer), "mask")
+        post = materialise(again.select(F.col("finer").alias("mask"), "fp").distinct(), "postings")
     return out
 
 
