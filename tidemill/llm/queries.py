@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, packing, simhash, token_counts
+from tidemill.llm import bpe, packing, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_interval_dedup": suffix_dedup.op2,
     "op3_linear_wordpiece_counts": token_counts.op3,
     "op5_binary_packing": packing.op5,
     "op6_forced_boundary_bpe": bpe.op6,
