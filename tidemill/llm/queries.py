@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, packing, simhash, suffix_dedup, token_counts
+from tidemill.llm import bpe, gam, packing, simhash, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_interval_dedup": suffix_dedup.op2,
@@ -14,5 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_binary_packing": packing.op5,
     "op6_forced_boundary_bpe": bpe.op6,
     "op7_simhash_byte_index": simhash.op7,
+    "op8_pairwise_gam_quality": gam.op8,
+    "op10_arc_to_warc": warc.op10,
 }
 ORACLES: dict[str, str] = {}
