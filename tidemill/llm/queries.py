@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, gam, packing, simhash, suffix_dedup, token_counts, warc
+from tidemill.llm import bpe, gam, packing, simhash, suffix_dedup, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_markov_url_ratio": url_filter.op1,
     "op2_suffix_interval_dedup": suffix_dedup.op2,
     "op3_linear_wordpiece_counts": token_counts.op3,
     "op5_binary_packing": packing.op5,
