@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, gam, packing, simhash, suffix_dedup, token_counts, url_filter, warc
+from tidemill.llm import bpe, gam, packing, simhash, suffix_dedup, token_counts, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_markov_url_ratio": url_filter.op1,
@@ -16,6 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_forced_boundary_bpe": bpe.op6,
     "op7_simhash_byte_index": simhash.op7,
     "op8_pairwise_gam_quality": gam.op8,
+    "op9_pivot_distance_topk": topk.op9,
     "op10_arc_to_warc": warc.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_pivot_distance_topk": topk.ORACLE,
+}
