@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, gam, packing, simhash, suffix_dedup, token_counts, topk, url_filter, warc
+from tidemill.llm import bpe, gam, improbable, packing, simhash, suffix_dedup, token_counts, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_markov_url_ratio": url_filter.op1,
     "op2_suffix_interval_dedup": suffix_dedup.op2,
     "op3_linear_wordpiece_counts": token_counts.op3,
+    "op4_improbable_feature_digest": improbable.op4,
     "op5_binary_packing": packing.op5,
     "op6_forced_boundary_bpe": bpe.op6,
     "op7_simhash_byte_index": simhash.op7,
