@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from tidemill.llm.components import connected_components
-from tidemill.llm.simhash import covering_triples, fingerprint_links, near_duplicates
+from tidemill.llm.simhash import covering_triples, fingerprint_links, near_duplicates, one_of_each
 
 
 def slow_fingerprint(text):
@@ -77,3 +77,12 @@ def test_empty_and_null(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a"), (4, "a"), (4, "a")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 4), (False, 4), (True, 4)]
+
+
+def test_one_of_each(spark):
+    schema = "text string, doc_id long, component_id int"
+    plain = spark.createDataFrame([("a b", 3, 1), ("A b", 2, 2), ("", 9, 3), (None, 8, 4), ("q", 1, 5)], schema)
+    assert sorted(r.doc_id for r in one_of_each(plain).collect()) == [1, 2, 8] and one_of_each(plain).columns == plain.columns
+    odd = spark.createDataFrame([("a b", 3, 1), ("a b", 3, 1), ("q", 3, 2), ("q", None, 3), ("z", None, 4)], schema)
+    assert sorted(str(tuple(r)) for r in one_of_each(odd).collect()) == sorted(map(str, [("a b", 3, 1), ("q", None, 3), ("z", None, 4)]))
+    assert one_of_each(plain.limit(0)).count() == 0

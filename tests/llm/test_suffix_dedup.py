@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import repeats
-from tidemill.llm.suffix_dedup import removed
+from tidemill.llm.suffix_dedup import removed, without_repeats
 
 
 def slow(rows, window):
@@ -86,7 +86,9 @@ def test_repeated_ids_and_empty(spark):
     assert removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_kept_text(spark):
+def test_texts_without_repeats(spark):
     t = "é" * 60 + "".join(random.Random(1).choices("abcdefgh", k=300))
-    got = removed(spark.createDataFrame([(0, t), (1, "x" + t[1:] + "y")], "doc_id long, text string"), keep_text=True).collect()
-    assert {r.doc_id: r.kept_text for r in got} == {0: "é" + t[60:], 1: "xy"}
+    frame = spark.createDataFrame([(7, 0, t, "a"), (8, 1, "x" + t[1:] + "y", "b"), (9, 2, None, "c")], "n_chars int, doc_id long, text string, doc string")
+    got = without_repeats(frame)
+    assert got.columns == frame.columns and got.dtypes == frame.dtypes
+    assert sorted(map(tuple, got.collect())) == [(0, 2, "", "c"), (2, 1, "xy", "b"), (301, 0, "é" + t[60:], "a")]

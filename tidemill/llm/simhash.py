@@ -201,6 +201,23 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, k: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that have the smallest doc_id of their class.
+
+    If a doc_id is null or repeated, rows are told apart by (doc_id, text), null first, and the first of a class stays.
+    """
+    unclear = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    mark = "_row" + "_" * max(map(len, docs.columns))  # clashes with no column
+    if unclear.isEmpty():
+        numbered = docs.withColumn(mark, F.col("doc_id").cast("long"))
+    else:
+        ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text")
+        numbered = materialise(ordered.withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(numbered, "text", mark, k, seed, limit)
+    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias(mark))
+    return numbered.join(stay, mark, "left_semi").drop(mark)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-equal ``documents``: links at four or fewer differing bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
