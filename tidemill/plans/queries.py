@@ -1,10 +1,6 @@
-"""Registry of the queries of the analytics engine and of their DuckDB counterparts."""
+"""All queries of the analytics engine."""
 
-from __future__ import annotations
+from tidemill.plans import audit, decide, forecast, prepare, sinks  # noqa: F401  they register themselves
+from tidemill.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
