@@ -141,23 +141,22 @@ def suffix_array(buffer: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.nda
     return order, np.concatenate(([0], np.minimum(np.minimum(shared, most), cap)))
 
 
-def maximal_repeats(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats of at least ``least`` bytes, with all their occurrences.
+def repeat_nodes(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array, and the maximal repeats of at least ``least`` bytes as (first, last, length) of its parts.
 
     The interval tree of common prefixes is read off the suffix array with a stack.  A node is a maximal repeat if its
-    occurrences have different bytes to their left; one that begins a text counts as different.  Returns (repeat,
-    length, position), a row for each occurrence.  Repeats of ``cap`` and more come as overlapping ones of ``cap``.
-    ``begins``, ``ends``: of the text of each position.
+    occurrences have different bytes to their left; one that begins a text counts as different.  Repeats of ``cap``
+    and more come as overlapping ones of ``cap``.  ``begins``, ``ends``: of the text of each position.
     """
-    none = (np.empty(0, np.int64),) * 3
+    none = np.empty((3, 0), np.int64)
     if len(buffer) < 2:
-        return none
+        return np.arange(len(buffer)), none
     order, shared = suffix_array(buffer, ends, cap)
     deep = shared >= least
     edge = np.diff(np.concatenate(([0], deep.view(np.int8), [0])))
     lo, hi = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1) - 1  # first and last suffix of each top node
     if not len(lo):
-        return none
+        return order, none
     before = np.where(order == begins[order], -1 - order, buffer[np.maximum(order - 1, 0)].astype(np.int64))
     mixed = np.concatenate(([0], (before[1:] != before[:-1]).cumsum()))
     full = np.concatenate(([0], (shared >= cap).cumsum()))
@@ -179,8 +178,33 @@ def maximal_repeats(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, le
                 stack.append((length, first))
     if found:
         nodes.append(np.array(found).T)
-    lo, hi, length = np.concatenate(nodes, axis=1)
+    return order, np.concatenate(nodes, axis=1)
+
+
+def maximal_repeats(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(repeat, length, position): all occurrences of the maximal repeats of ``repeat_nodes``."""
+    order, (lo, hi, length) = repeat_nodes(buffer, begins, ends, least, cap)
     size = hi - lo + 1
     which = np.repeat(np.arange(len(lo)), size)
     at = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size) + lo[which]
     return which, length[which], order[at]
+
+
+def later_repeats(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, length): for each position the longest maximal repeat that isn't the first of its occurrences there.
+
+    Nested repeats have the same occurrences many times over, so they aren't listed.
+    """
+    order, nodes = repeat_nodes(buffer, begins, ends, least, cap)
+    longest = np.zeros(len(order), np.int64)
+    pair = nodes[1] == nodes[0] + 1
+    lo, hi, length = nodes[:, pair]
+    np.maximum.at(longest, np.where(order[lo] > order[hi], lo, hi), length)
+    for i, j, n in nodes[:, ~pair].T.tolist():
+        part = longest[i : j + 1]
+        first = int(order[i : j + 1].argmin())
+        own = part[first]
+        np.maximum(part, n, out=part)
+        part[first] = own
+    at = np.flatnonzero(longest)
+    return order[at], longest[at]

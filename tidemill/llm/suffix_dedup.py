@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm import repeats
 from tidemill.llm.common import materialise, partitions, table
@@ -37,8 +38,10 @@ FOUND_SCHEMA = "doc long, start int, n int, key long, contested boolean"
 SPAN_SCHEMA = "doc long, start int, n int"
 #: Suffixes share lengths up to this many windows' worth of bytes; longer repeats are found in overlapping parts.
 CAP = 224
-#: Bytes of text laid end to end at once.
-LAID = 1 << 22
+#: Bytes of text laid end to end at once: of documents, and of contested blocks.
+LAID, CONTESTED = 1 << 22, 1 << 19
+#: Bytes of contested blocks of one name from which on its windows are compared one by one.
+LIMIT = 1 << 20
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -142,12 +145,15 @@ def _interval_trees(window: int):
         texts, doc, start = [p[3] for p in parts], np.array([p[1] for p in parts]), np.array([p[2] for p in parts])
         size = np.array([len(t) for t in texts])
         at = np.concatenate(([0], size.cumsum()))
-        group, length, place = repeats.maximal_repeats(np.frombuffer(b"".join(texts), np.uint8), np.repeat(at[:-1], size), np.repeat(at[1:], size), window, max(CAP, window))
         # blocks are laid in order of (doc, start) within a name, so the smallest place is the first occurrence
-        first = np.full(group.max() + 1 if len(group) else 0, len(at) and at[-1])
-        np.minimum.at(first, group, place)
-        again = place != first[group]
-        place, n = place[again], length[again] - window + 1
+        buffer, begins, ends = np.frombuffer(b"".join(texts), np.uint8), np.repeat(at[:-1], size), np.repeat(at[1:], size)
+        place, length = repeats.later_repeats(buffer, begins, ends, window, max(CAP, window))
+        marks = np.zeros(at[-1] + 1, np.int64)  # windows that repeat, as runs; none crosses a block
+        np.add.at(marks, place, 1)
+        np.add.at(marks, place + length - window + 1, -1)
+        edge = np.diff(np.concatenate(([0], (marks.cumsum() > 0).view(np.int8))))
+        place, n = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        n = n - place
         block = np.searchsorted(at, place, side="right") - 1
         cols = [pa.array(doc[block], pa.int64()), pa.array(start[block] + place - at[block], pa.int32()), pa.array(n, pa.int32())]
         return pa.RecordBatch.from_arrays(cols, ["doc", "start", "n"])
@@ -157,7 +163,7 @@ def _interval_trees(window: int):
         size = 0
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if size > LAID // 2 and row[0] != parts[-1][0]:
+                if size > CONTESTED and row[0] != parts[-1][0]:
                     yield solve(parts)
                     parts, size = [], 0
                 parts.append(row)
@@ -189,21 +195,21 @@ def _single_windows(window: int):
     return run
 
 
-def _numbered(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc, text as bytes, doc_id): ``doc`` orders the documents and is theirs alone.
+def _numbered(docs: DataFrame, text_col: str, id_col: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, text as bytes), the columns ``more`` and, if it differs from doc, doc_id: ``doc`` orders the documents.
 
     It is the doc_id itself, unless that is null or repeated somewhere; then rows are numbered by (doc_id, text), null
     ids first.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
     unclear = named.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if unclear.isEmpty():
-        return named.select(F.col("doc_id").alias("doc"), "text", "doc_id")
+        return named.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text", *more)
     ordered = named.orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(ordered.select(F.monotonically_increasing_id().alias("doc"), "text", "doc_id"), "numbered")
+    return materialise(ordered.select(F.monotonically_increasing_id().alias("doc"), "text", *more, "doc_id"), "numbered")
 
 
-def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = 1 << 23) -> DataFrame:
+def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = LIMIT) -> DataFrame:
     """(doc, start, n): windows of ``window`` bytes at start .. start + n - 1 also start earlier.  Rows may overlap.
 
     ``numbered``: (doc, text as bytes); "earlier": a smaller doc, or the same and a smaller start.
@@ -214,9 +220,9 @@ def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = 1 << 2
 
     def resolved(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "body", "doc", "start")
-        return materialise(dealt.mapInArrow(_resolve, FOUND_SCHEMA), "blocks")
+        return dealt.mapInArrow(_resolve, FOUND_SCHEMA)
 
-    found = resolved(numbered.select("doc", "text").mapInArrow(_scan(window), BLOCK_SCHEMA))
+    found = materialise(resolved(numbered.select("doc", "text").mapInArrow(_scan(window), BLOCK_SCHEMA)), "blocks")
     spans = found.where("not contested").select("doc", "start", "n")
     contested = found.where("contested")
     size = F.sum(F.col("n").cast("long") + window - 1)
@@ -228,8 +234,6 @@ def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = 1 << 2
         asked.join(numbered.select("doc", "text"), "doc").select("doc", "text", F.explode("asked").alias("a"))
         .select("a.key", "doc", "a.start", F.expr(f"substring(text, a.start + 1, a.n + {window - 1})").alias("text"), "a.hot")
     )
-    if some_hot:
-        cut = materialise(cut, "contested")
     cold = cut.where("hot is null").select("key", "doc", "start", "text").repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
     spans = spans.unionByName(cold.mapInArrow(_interval_trees(window), SPAN_SCHEMA))
     if some_hot:
@@ -248,35 +252,73 @@ def _kept(text: bytes, starts: np.ndarray, counts: np.ndarray, window: int) -> t
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), runs
 
 
-def removed(docs: DataFrame, window: int = 100, limit: int = 1 << 23, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
+def _each_kept(window: int):
+    """For a batch with texts and lists of spans in its columns 1 and 2: (text, what is left, removed runs) of each row."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
+        lists = b.column(2)
+        flat, ends = lists.values, lists.offsets.to_numpy()
+        starts, counts = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        for i, text in enumerate(b.column(1).to_pylist()):
+            text, s = text or b"", slice(ends[i], ends[i + 1])
+            kept, runs = _kept(text, starts[s], counts[s], window) if ends[i + 1] > ends[i] else (text, 0)
+            yield text, kept, runs
+
+    return rows
+
+
+def _with_spans(numbered: DataFrame, window: int, limit: int) -> DataFrame:
+    """``numbered`` with the list of each text's spans of repeated windows (null if there are none)."""
+    spans = repeated_windows(numbered, window, limit).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # the texts are shuffled by doc once, for this join and for the one that cuts out contested blocks, if no more columns go along
+    return numbered.join(spans, "doc", "left")
+
+
+def removed(docs: DataFrame, window: int = 100, limit: int = LIMIT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """What is left of each text without the bytes of windows that start earlier.
 
-    Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256) and with ``keep_text`` also kept_text, where characters
-    that lost some of their bytes are left out.  Null text counts as empty, and texts under ``window`` bytes lose
-    nothing.  Rows with repeated or null doc_ids are told apart and ordered by (doc_id, text), null first; of equal
-    rows all but one count as later.  Other columns are not read; an empty table gives no rows.
+    Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256).  Null text counts as empty, and texts under ``window``
+    bytes lose nothing.  Rows with repeated or null doc_ids are told apart and ordered by (doc_id, text), null first;
+    of equal rows all but one count as later.  Other columns are not read; an empty table gives no rows.
     """
     numbered = _numbered(docs, text_col, id_col)
-    spans = repeated_windows(numbered, window, limit).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
+    own_id = "doc_id" if "doc_id" in numbered.columns else "doc"
+    names, each = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], _each_kept(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(len(t), len(t) - len(k), n, hashlib.sha256(k).hexdigest()) for t, k, n in each(b)]
+            cols = [b.column(0), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate([*[pa.int64()] * 3, pa.string()]))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _with_spans(numbered, window, limit).select(own_id, "text", "spans").mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, window: int = 100, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with all its columns: text without repeated windows, n_chars (if it is there) counted anew.
+
+    Characters that lost some of their bytes go too.  All rows stay, even if nothing is left of their text; ``removed``
+    says how odd rows are treated.
+    """
+    more = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    hidden = {c: f"_{i}" for i, c in enumerate(more)}  # names that clash with nothing
+    numbered = _numbered(docs.select("doc_id", "text", *(F.col(c).alias(h) for c, h in hidden.items())), "text", "doc_id", tuple(hidden.values()))
+    own_id = "doc_id" if "doc_id" in numbered.columns else "doc"
+    each = _each_kept(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in names]
-            lists = b.column(2)
-            flat, ends = lists.values, lists.offsets.to_numpy()
-            starts, counts = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                text, s = text or b"", slice(ends[i], ends[i + 1])
-                kept, runs = _kept(text, starts[s], counts[s], window) if ends[i + 1] > ends[i] else (text, 0)
-                got = [doc, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")]
-                for col, v in zip(rows, got):
-                    col.append(v)
-            kinds = [*[pa.int64()] * 4, pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return numbered.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+            left = [k.decode("utf-8", "ignore") for _, k, _ in each(b)]
+            cols = [b.column(0), pa.array(left, pa.string()), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", *b.schema.names[3:]])
+
+    joined = _with_spans(numbered, window, limit).select(F.col(own_id).alias("doc_id"), "text", "spans", *hidden.values())
+    left = joined.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *joined.schema.fields[3:]]))
+    fresh = {c: F.col(h) for c, h in hidden.items()} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in fresh:
+        fresh["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(fresh[c].alias(c) for c in docs.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
