@@ -1 +1,430 @@
-"""Queries."""
+"""Queries: stable windows, policy accounting, sweeps, selection and search grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import scalar as S
+from tidemill.operators import metrics as M
+from tidemill.operators import policy as P
+from tidemill.operators import windows as W
+from tidemill.plans import base
+from tidemill.plans.base import sql
+from tidemill.plans.prepare import ASSUMED, WEIGHTED, weighted_kwh
+from tidemill.plans.registry import query
+
+HK = ["entity_id", "model", "anchor_pos"]
+SWEEP_DOUBLES = "threshold coverage conflict_rate empty_recall gross_kwh safe_kwh"
+
+
+def midnight(spark, d, splits=("val", "test"), models=(*base.MODELS, "blend")):
+    return base.long(base.wide(spark, d, midnight=True, splits=splits), models)
+
+
+def opened(spark, d, splits=("val", "test"), length=4):
+    return W.opening(midnight(spark, d, splits), HK, length)
+
+
+def swept(spark, d, splits=("val", "test")):
+    return P.sweep(opened(spark, d, splits), ["entity_id", "split", "model"], ["anchor_pos"])
+
+
+def chosen(spark, d, legacy=False):
+    return P.select_constrained(swept(spark, d, ("val",)), ["entity_id", "model"], legacy=legacy)
+
+
+def masked(spark, d):
+    """Test steps under each selected threshold."""
+    pick = chosen(spark, d).select("entity_id", "model", "delta", "met", "thr_idx", "threshold")
+    return opened(spark, d, ("test",)).join(pick, ["entity_id", "model"]).withColumn("rec", F.coalesce(F.col("opening") >= F.col("threshold") - 1e-10, F.lit(False)))
+
+
+@query("threshold_grid", sql("SELECT thr_idx, threshold FROM grid WHERE EXISTS (SELECT 1 FROM events)", "grid"), "threshold")
+def _(spark, d):
+    some = spark.read.parquet(f"{d}/events.parquet").select(F.lit(1).alias("one")).limit(1)
+    return P.threshold_grid(spark).join(F.broadcast(some)).drop("one")
+
+
+@query("stable_mask", sql("SELECT entity_id, model, anchor_pos, step::INTEGER AS step, p, coalesce(opening >= 0.8 - 1e-10, FALSE)::INTEGER AS rec FROM opened", "opened"), "p")
+def _(spark, d):
+    m = W.stable_mask(midnight(spark, d), HK, 0.8 - 1e-10)
+    return m.select(*HK, "step", "p", F.col("rec").cast("int").alias("rec"))
+
+
+@query("stable_mask_islands", sql("SELECT entity_id, model, anchor_pos, step::INTEGER AS step FROM opened WHERE opening >= 0.8 - 1e-10", "opened"))
+def _(spark, d):
+    flagged = midnight(spark, d).withColumn("high", F.col("p") >= 0.8 - 1e-10)
+    runs = W.extract_windows(flagged, HK, "high", 4)
+    return runs.select(*HK, F.explode(F.sequence("start_step", F.col("end_step_excl") - 1)).alias("step"))
+
+
+RUNS = "SELECT entity_id, model, delta, anchor_pos, row_number() OVER (PARTITION BY entity_id, model, delta, anchor_pos ORDER BY start_step)::INTEGER AS window_no, start_step::INTEGER AS start_step, end_step_excl::INTEGER AS end_step_excl, length FROM runs"
+
+
+@query("extract_windows", sql(RUNS, "runs"), "delta")
+def _(spark, d):
+    return W.extract_windows(masked(spark, d), ["entity_id", "model", "delta", "anchor_pos"])
+
+
+SUMMARY = """SELECT entity_id, model, delta, count(*) AS recommended_windows, count(*) FILTER (safe = 1) AS safe_windows, count(*) FILTER (safe = 0) AS conflict_windows,
+  count(*) FILTER (safe = 0) / count(*) AS window_conflict_rate, avg(length * 0.25) AS avg_window_hours, sum(length * 0.25)::DOUBLE AS total_window_hours, coalesce(avg(length * 0.25) FILTER (safe = 1), 0) AS avg_safe_window_hours FROM runs GROUP BY 1, 2, 3"""
+SUMMARY_DOUBLES = "delta window_conflict_rate avg_window_hours total_window_hours avg_safe_window_hours"
+
+
+@query("window_summary", sql(SUMMARY, "runs"), SUMMARY_DOUBLES)
+def _(spark, d):
+    return W.window_summary(masked(spark, d), ["entity_id", "model", "delta"], ["entity_id", "model", "delta", "anchor_pos"])
+
+
+def window_level(least):
+    truth = f"""(SELECT entity_id, model, anchor_pos, min(step) AS s, max(step) + 1 AS e FROM (SELECT *, step - row_number() OVER (PARTITION BY entity_id, model, anchor_pos ORDER BY step) AS i FROM opened WHERE empty = 1 AND split = 'test') GROUP BY entity_id, model, anchor_pos, i HAVING count(*) >= {least})"""
+    pred = f"""(SELECT entity_id, model, anchor_pos, min(step) AS s, max(step) + 1 AS e, min(empty) AS safe FROM (SELECT *, step - row_number() OVER (PARTITION BY entity_id, model, anchor_pos ORDER BY step) AS i FROM opened WHERE p >= 0.8 - 1e-10 AND split = 'test') GROUP BY entity_id, model, anchor_pos, i HAVING count(*) >= {least})"""
+    return f"""SELECT {least} AS min_steps, t.entity_id, t.model, true_windows, detected_windows, coalesce(predicted_windows, 0)::BIGINT AS predicted_windows, coalesce(safe_windows, 0)::BIGINT AS safe_windows, coalesce(hours, 0) AS mean_hours FROM
+      (SELECT entity_id, model, count(*) AS true_windows, count(*) FILTER (EXISTS (SELECT 1 FROM {pred} p WHERE p.entity_id = t.entity_id AND p.model = t.model AND p.anchor_pos = t.anchor_pos AND greatest(p.s, t.s) < least(p.e, t.e))) AS detected_windows FROM {truth} t GROUP BY 1, 2) t
+      LEFT JOIN (SELECT entity_id, model, count(*) AS predicted_windows, count(*) FILTER (safe = 1) AS safe_windows, avg((e - s) * 0.25) AS hours FROM {pred} GROUP BY 1, 2) p ON p.entity_id = t.entity_id AND p.model = t.model"""
+
+
+@query("window_level_metrics", sql(" UNION ALL ".join(window_level(k) for k in (4, 8, 16)), "opened"), "mean_hours")
+def _(spark, d):
+    out = None
+    flagged = midnight(spark, d, ("test",)).withColumn("rec", F.col("p") >= 0.8 - 1e-10)
+    for least in (4, 8, 16):
+        true = W.detected_windows(flagged, HK, least).groupBy("entity_id", "model").agg(F.count("*").alias("true_windows"), F.count_if(F.col("detected") == 1).alias("detected_windows"))
+        runs = W.extract_windows(flagged, HK, "rec", least, {"safe": F.min("empty").alias("safe")})
+        pred = runs.groupBy("entity_id", "model").agg(F.count("*").alias("predicted_windows"), F.count_if(F.col("safe") == 1).alias("safe_windows"), F.avg(F.col("length") * 0.25).alias("mean_hours"))
+        one = true.join(pred, ["entity_id", "model"], "left").fillna(0).withColumn("min_steps", F.lit(least))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SEVERITY = """SELECT entity_id, model, delta, anchor_pos, min(step - i)::INTEGER AS start_step, any_value(n)::BIGINT AS window_intervals, count(*)::BIGINT AS occupied_intervals, (15 * count(*))::BIGINT AS occupied_minutes, (15 * max(run))::BIGINT AS longest_minutes,
+  sum(kwh) AS conflict_kwh, 100 * count(*) / any_value(n) AS percent_occupied, string_agg(step::VARCHAR, '|' ORDER BY step) AS occupied_steps,
+  max((3 * (2 * i + 1) < 2 * n)::INTEGER) AS conflict_begin, max((3 * (2 * i + 1) >= 2 * n AND 3 * (2 * i + 1) < 4 * n)::INTEGER) AS conflict_middle, max((3 * (2 * i + 1) >= 4 * n)::INTEGER) AS conflict_end
+FROM (SELECT *, count(*) OVER (PARTITION BY entity_id, model, delta, anchor_pos, island, r) AS run FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY entity_id, model, delta, anchor_pos, island ORDER BY step) AS r FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, model, delta, anchor_pos, island ORDER BY step) - 1 AS i, count(*) OVER (PARTITION BY entity_id, model, delta, anchor_pos, island) AS n FROM islands) WHERE empty = 0))
+GROUP BY entity_id, model, delta, anchor_pos, island"""
+
+
+@query("conflict_severity", sql(SEVERITY, "islands"), "delta conflict_kwh percent_occupied")
+def _(spark, d):
+    return W.conflict_severity(masked(spark, d), ["entity_id", "model", "delta", "anchor_pos"])
+
+
+@query("conflict_thirds", sql(f"SELECT entity_id, model, delta, count(*) AS windows, sum(conflict_begin)::BIGINT AS begins, sum(conflict_middle)::BIGINT AS middles, sum(conflict_end)::BIGINT AS ends FROM ({SEVERITY}) GROUP BY 1, 2, 3", "islands"), "delta")
+def _(spark, d):
+    s = W.conflict_severity(masked(spark, d), ["entity_id", "model", "delta", "anchor_pos"])
+    return s.groupBy("entity_id", "model", "delta").agg(F.count("*").alias("windows"), *(F.sum(f"conflict_{a}").alias(b) for a, b in (("begin", "begins"), ("middle", "middles"), ("end", "ends"))))
+
+
+def sensitivity(length):
+    return f"""SELECT {length} AS min_steps, entity_id, model, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec AND empty = 1) AS safe_intervals, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh FROM (
+      SELECT *, count(*) FILTER (high) OVER (PARTITION BY entity_id, model, anchor_pos, i) >= {length} AND high AS rec FROM (SELECT o.*, p >= threshold - 1e-10 AS high, step - sum((p >= threshold - 1e-10)::INTEGER) OVER (PARTITION BY o.entity_id, o.model, o.anchor_pos ORDER BY step) AS i
+        FROM opened o JOIN chosen c USING (entity_id, model) WHERE o.split = 'test' AND delta = 0.1)) GROUP BY entity_id, model"""
+
+
+@query("stable_window_sensitivity", sql(" UNION ALL ".join(sensitivity(k) for k in (1, 2, 4, 8, 16)), "chosen"), "safe_kwh")
+def _(spark, d):
+    pick = chosen(spark, d).where("delta = 0.1").select("entity_id", "model", "threshold")
+    rows, out = midnight(spark, d, ("test",)).join(pick, ["entity_id", "model"]), None
+    for length in (1, 2, 4, 8, 16):
+        m = W.stable_mask(rows, HK, F.col("threshold") - 1e-10, length)
+        one = M.policy_rows(m, ["entity_id", "model"], ["anchor_pos"]).select(F.lit(length).alias("min_steps"), "entity_id", "model", "recommended_intervals", "safe_intervals", "safe_kwh")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+POLICY = """SELECT entity_id, model, delta, any_value(met) AS met, any_value(threshold) AS threshold, count(DISTINCT anchor_pos) AS daily_schedules, count(*) AS total_intervals, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec AND empty = 1) AS safe_intervals,
+  count(*) FILTER (rec AND empty = 0) AS conflict_intervals, count(*) FILTER (rec) / count(*) AS coverage, coalesce(count(*) FILTER (rec AND empty = 0) / nullif(count(*) FILTER (rec), 0), 0) AS conflict_rate,
+  coalesce(count(*) FILTER (rec AND empty = 1) / nullif(count(*) FILTER (empty = 1), 0), 0) AS empty_recall, coalesce(sum(kwh) FILTER (rec), 0) AS gross_kwh, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh,
+  coalesce(sum(kwh) FILTER (rec AND empty = 0), 0) AS conflict_kwh, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) / greatest(count(DISTINCT anchor_pos), 1) AS kwh_per_day FROM masked GROUP BY 1, 2, 3"""
+POLICY_DOUBLES = "delta threshold coverage conflict_rate empty_recall gross_kwh safe_kwh conflict_kwh kwh_per_day"
+
+
+def evaluated(spark, d):
+    """Selected thresholds on test horizons: policy rows with their window summary."""
+    m = masked(spark, d)
+    group = ["entity_id", "model", "delta", "met", "threshold"]
+    windows = W.window_summary(m, ["entity_id", "model", "delta"], ["entity_id", "model", "delta", "anchor_pos"])
+    rows = M.policy_rows(m, group, ["anchor_pos"])
+    return rows.join(windows, ["entity_id", "model", "delta"], "left").fillna(0)
+
+
+EVALUATED = f"SELECT p.*, " + ", ".join(f"coalesce({c}, 0)::{t} AS {c}" for c, t in (("recommended_windows", "BIGINT"), ("safe_windows", "BIGINT"), ("conflict_windows", "BIGINT"), ("window_conflict_rate", "DOUBLE"), ("avg_window_hours", "DOUBLE"), ("total_window_hours", "DOUBLE"), ("avg_safe_window_hours", "DOUBLE"))) + f" FROM ({POLICY}) p LEFT JOIN ({SUMMARY}) USING (entity_id, model, delta)"
+EVALUATED_DOUBLES = POLICY_DOUBLES + SUMMARY_DOUBLES.removeprefix("delta")
+
+query("flagship_policy", sql(EVALUATED, "runs", "masked"), EVALUATED_DOUBLES)(evaluated)
+query("evaluate_selected", sql(EVALUATED, "runs", "masked"), EVALUATED_DOUBLES)(evaluated)
+
+
+@query("policy_row", sql(POLICY, "masked"), POLICY_DOUBLES)
+def _(spark, d):
+    return M.policy_rows(masked(spark, d), ["entity_id", "model", "delta", "met", "threshold"], ["anchor_pos"])
+
+
+@query("confusion_policy", sql("SELECT entity_id, model, count(*) FILTER (rec AND empty = 1) AS tp, count(*) FILTER (rec AND empty = 0) AS fp, count(*) FILTER (NOT rec AND empty = 1) AS fn, count(*) FILTER (NOT rec AND empty = 0) AS tn FROM masked WHERE delta = 0.1 GROUP BY 1, 2", "masked"))
+def _(spark, d):
+    y, r = F.col("empty") == 1, F.col("rec")
+    return masked(spark, d).where("delta = 0.1").groupBy("entity_id", "model").agg(F.count_if(r & y).alias("tp"), F.count_if(r & ~y).alias("fp"), F.count_if(~r & y).alias("fn"), F.count_if(~r & ~y).alias("tn"))
+
+
+@query("recommendation_metrics", sql("SELECT entity_id, model, delta, count(*) FILTER (rec) / count(*) AS rate, coalesce(count(*) FILTER (rec AND empty = 0) / nullif(count(*) FILTER (empty = 0), 0), 0) AS fpr, coalesce(count(*) FILTER (NOT rec AND empty = 1) / nullif(count(*) FILTER (empty = 1), 0), 0) AS missed_rate, coalesce(count(*) FILTER (rec AND empty = 1) / nullif(count(*) FILTER (rec), 0), 0) AS precision FROM masked GROUP BY 1, 2, 3", "masked"), "delta rate fpr missed_rate precision")
+def _(spark, d):
+    y, r = F.col("empty") == 1, F.col("rec")
+    return masked(spark, d).groupBy("entity_id", "model", "delta").agg((F.count_if(r) / F.count("*")).alias("rate"), M.ratio(F.count_if(r & ~y), F.count_if(~y)).alias("fpr"), M.ratio(F.count_if(~r & y), F.count_if(y)).alias("missed_rate"), M.ratio(F.count_if(r & y), F.count_if(r)).alias("precision"))
+
+
+@query("energy_metrics", sql("SELECT entity_id, model, delta, coalesce(sum(kwh) FILTER (rec), 0) AS gross_kwh, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh, coalesce(sum(kwh) FILTER (empty = 1), 0) AS available_kwh, coalesce(coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) / nullif(sum(kwh) FILTER (empty = 1), 0), 0) AS capture_rate FROM masked GROUP BY 1, 2, 3", "masked"), "delta gross_kwh safe_kwh available_kwh capture_rate")
+def _(spark, d):
+    y, r = F.col("empty") == 1, F.col("rec")
+    kwh = lambda c: F.coalesce(F.sum(F.when(c, F.col("kwh"))), F.lit(0.0))
+    return masked(spark, d).groupBy("entity_id", "model", "delta").agg(kwh(r).alias("gross_kwh"), kwh(r & y).alias("safe_kwh"), kwh(y).alias("available_kwh"), M.ratio(kwh(r & y), kwh(y)).alias("capture_rate"))
+
+
+@query("zero_event_bound", sql("SELECT entity_id, model, delta, recommended_intervals, 1 - pow(0.05, 1 / recommended_intervals) AS bound FROM (SELECT entity_id, model, delta, count(*) FILTER (rec) AS recommended_intervals FROM masked GROUP BY 1, 2, 3) WHERE recommended_intervals > 0", "masked"), "delta bound")
+def _(spark, d):
+    n = masked(spark, d).groupBy("entity_id", "model", "delta").agg(F.count_if("rec").alias("recommended_intervals"))
+    return n.where("recommended_intervals > 0").withColumn("bound", M.zero_event_bound(F.col("recommended_intervals")))
+
+
+@query("control_scenarios", sql(f"SELECT entity_id, model, scenario, safe_kwh * share AS scenario_kwh, safe_kwh * share / daily_schedules AS kwh_per_day FROM ({POLICY}) JOIN (VALUES ('full', 1.0::DOUBLE), ('half', 0.5::DOUBLE), ('quarter', 0.25::DOUBLE)) s(scenario, share) ON TRUE WHERE delta = 0.1", "masked"), "scenario_kwh kwh_per_day")
+def _(spark, d):
+    rows = M.policy_rows(masked(spark, d).where("delta = 0.1"), ["entity_id", "model"], ["anchor_pos"])
+    both = rows.join(F.broadcast(spark.createDataFrame(S.CONTROL_SCENARIOS, "scenario string, share double")))
+    return both.select("entity_id", "model", "scenario", (F.col("safe_kwh") * F.col("share")).alias("scenario_kwh"), (F.col("safe_kwh") * F.col("share") / F.col("daily_schedules")).alias("kwh_per_day"))
+
+
+@query("threshold_sweep", sql("SELECT * FROM swept", "swept"), SWEEP_DOUBLES)
+def _(spark, d):
+    return swept(spark, d)
+
+
+SELECTED = "SELECT entity_id, model, delta, met, thr_idx, threshold, conflict_rate, safe_kwh FROM chosen"
+
+
+@query("select_constrained", sql(SELECTED, "chosen"), "delta threshold conflict_rate safe_kwh")
+def _(spark, d):
+    return chosen(spark, d).select("entity_id", "model", "delta", "met", "thr_idx", "threshold", "conflict_rate", "safe_kwh")
+
+
+PARETO = """SELECT entity_id, split, model, thr_idx, (best = 1 AND coalesce(g > max(g) OVER (PARTITION BY entity_id, split, model ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-9 PRECEDING), TRUE))::INTEGER AS efficient
+FROM (SELECT *, round(conflict_rate, 9) AS c, round(safe_kwh, 6) AS g, row_number() OVER (PARTITION BY entity_id, split, model, round(conflict_rate, 9) ORDER BY round(safe_kwh, 6) DESC, thr_idx) AS best FROM swept)"""
+
+
+@query("pareto_front", sql(PARETO, "swept"))
+def _(spark, d):
+    return P.pareto_front(swept(spark, d), ["entity_id", "split", "model"]).select("entity_id", "split", "model", "thr_idx", "efficient")
+
+
+TUPLES = "SELECT entity_id, slot, persist, recent, sum(empty) AS tp, count(*) AS n FROM wide_all WHERE split = 'val' GROUP BY ALL"
+GRID_AP = """SELECT entity_id, grid_order, coalesce(sum(tp * ct / (ct + cf)) / nullif(sum(tp), 0), 0) AS average_precision FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM (
+  SELECT entity_id, grid_order, round(w1 * slot + w2 * persist + w3 * recent, 9) AS s, sum(tp)::DOUBLE AS tp, sum(n - tp)::DOUBLE AS fp FROM tuples JOIN blends ON TRUE GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY entity_id, grid_order ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2"""
+SIMPLEX = "SELECT (row_number() OVER (ORDER BY i, j) - 1)::INTEGER AS grid_order, i / {n} AS w1, j / {n} AS w2, ({n} - i - j) / {n} AS w3, ((i > 0)::INTEGER + (j > 0)::INTEGER + ({n} - i - j > 0)::INTEGER) AS nonzero FROM range({m}) a(i) JOIN range({m}) b(j) ON i + j <= {n}"
+
+
+@query("simplex_grid", f"SELECT * FROM ({SIMPLEX.format(n=20, m=21)}) WHERE EXISTS (SELECT 1 FROM events)", "w1 w2 w3")
+def _(spark, d):
+    some = spark.read.parquet(f"{d}/events.parquet").select(F.lit(1).alias("one")).limit(1)
+    return P.simplex_grid(spark, P.step_parts(0.05)).join(F.broadcast(some)).drop("one")
+
+
+def with_grid(n):
+    return sql("", "wide_all") + f", tuples AS MATERIALIZED ({TUPLES}), blends AS MATERIALIZED ({SIMPLEX.format(n=n, m=n + 1)})\n"
+
+
+COLS = ["slot", "persist", "recent"]
+
+
+def validation(spark, d):
+    return base.wide(spark, d, splits=("val",))
+
+
+@query("blend_grid_3d", with_grid(20) + f"SELECT entity_id, grid_order, average_precision, row_number() OVER (PARTITION BY entity_id ORDER BY round(average_precision, 9) DESC, grid_order)::INTEGER AS place FROM ({GRID_AP})", "average_precision")
+def _(spark, d):
+    ap = P.blend_grid(validation(spark, d), P.simplex_grid(spark, 20), COLS, ["entity_id"])
+    return ap.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc(F.round("average_precision", 9)), "grid_order")))
+
+
+LINE = "SELECT k::INTEGER AS grid_order, k / 100 AS w1, (100 - k) / 100 AS w2, 0 AS w3 FROM range(101) r(k)"
+
+
+@query("blend_grid_1d", sql("", "wide_all") + f", tuples AS MATERIALIZED ({TUPLES}), blends AS MATERIALIZED ({LINE})\nSELECT * FROM ({GRID_AP}) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY round(average_precision, 9) DESC, grid_order) = 1", "average_precision")
+def _(spark, d):
+    line = spark.range(101).select(F.col("id").cast("int").alias("grid_order"), (F.col("id") / 100).alias("w1"), ((100 - F.col("id")) / 100).alias("w2"))
+    ap = P.blend_grid(validation(spark, d), line, COLS[:2], ["entity_id"])
+    return P.top_one(ap, ["entity_id"], [F.desc(F.round("average_precision", 9)), F.asc("grid_order")])
+
+
+PARTS = 5  # parts of the joint grid of the registered query; the operators take any number
+
+
+def joint(spark, d):
+    """Blend and threshold grid on validation: average precision over all rows, policy and windows over midnight rows."""
+    grid = F.broadcast(P.simplex_grid(spark, PARTS))
+    ap = P.blend_grid(validation(spark, d), grid, COLS, ["entity_id"])
+    rows = base.wide(spark, d, midnight=True, splits=("val",)).join(grid)
+    rows = rows.withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(COLS)), 9)).select("entity_id", "grid_order", "anchor_pos", "step", "empty", "kwh", "p")
+    keys = ["entity_id", "grid_order", "anchor_pos"]
+    at = W.opening(rows, keys)
+    policy = P.sweep(at, ["entity_id", "grid_order"], ["anchor_pos"])
+    cut = F.broadcast(P.threshold_grid(spark))
+    rec = at.join(cut).where(F.col("opening") >= F.col("threshold") - 1e-10).withColumn("rec", F.lit(True))
+    windows = W.window_summary(rec, ["entity_id", "grid_order", "thr_idx"], [*keys, "thr_idx"]).select("entity_id", "grid_order", "thr_idx", "recommended_windows", "safe_windows")
+    full = policy.join(windows, ["entity_id", "grid_order", "thr_idx"], "left").fillna(0, ["recommended_windows", "safe_windows"])
+    full = full.join(ap, ["entity_id", "grid_order"]).join(P.simplex_grid(spark, PARTS).select("grid_order", "w1", "w2", "w3", "nonzero"), "grid_order")
+    return full.withColumn("blend_order", F.col("grid_order")).withColumn("grid_order", F.col("blend_order") * P.THRESHOLDS + F.col("thr_idx"))
+
+
+JOINT = sql("", "wide_mid", "grid") + f""", tuples AS MATERIALIZED ({TUPLES}), blends AS MATERIALIZED ({SIMPLEX.format(n=PARTS, m=PARTS + 1)}), aps AS MATERIALIZED ({GRID_AP}),
+blended AS MATERIALIZED (SELECT entity_id, grid_order AS g, anchor_pos, step, empty, kwh, round(w1 * slot + w2 * persist + w3 * recent, 9) AS p FROM wide_mid JOIN blends ON TRUE WHERE split = 'val'),
+lows AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER w = 4 THEN min(p) OVER w END AS low FROM blended WINDOW w AS (PARTITION BY entity_id, g, anchor_pos ORDER BY step ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+at AS MATERIALIZED (SELECT *, max(low) OVER (PARTITION BY entity_id, g, anchor_pos ORDER BY step ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS opening FROM lows),
+tried AS MATERIALIZED (SELECT a.*, thr_idx, threshold, coalesce(opening >= threshold - 1e-10, FALSE) AS rec FROM at a JOIN grid ON TRUE),
+pol AS MATERIALIZED (SELECT entity_id, g, thr_idx, any_value(threshold) AS threshold, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec) / count(*) AS coverage, coalesce(count(*) FILTER (rec AND empty = 0) / nullif(count(*) FILTER (rec), 0), 0) AS conflict_rate, coalesce(count(*) FILTER (rec AND empty = 1) / nullif(count(*) FILTER (empty = 1), 0), 0) AS empty_recall, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh FROM tried GROUP BY 1, 2, 3),
+isl AS MATERIALIZED (SELECT *, step - row_number() OVER (PARTITION BY entity_id, g, thr_idx, anchor_pos ORDER BY step) AS i FROM tried WHERE rec),
+win AS MATERIALIZED (SELECT entity_id, g, thr_idx, count(*) AS rw, count(*) FILTER (safe = 1) AS sw FROM (SELECT entity_id, g, thr_idx, anchor_pos, i, min(empty) AS safe FROM isl GROUP BY ALL) GROUP BY 1, 2, 3),
+joint AS MATERIALIZED (SELECT entity_id, g AS blend_order, thr_idx, (g * 37 + thr_idx)::INTEGER AS grid_order, threshold, recommended_intervals, coverage, conflict_rate, empty_recall, safe_kwh, coalesce(rw, 0)::BIGINT AS recommended_windows, coalesce(sw, 0)::BIGINT AS safe_windows, average_precision, w1, w2, w3, nonzero
+  FROM pol LEFT JOIN win USING (entity_id, g, thr_idx) JOIN aps a USING (entity_id) JOIN blends b ON b.grid_order = g WHERE a.grid_order = g)
+"""
+JOINT_COLS = ["entity_id", "grid_order", "threshold", "recommended_intervals", "coverage", "conflict_rate", "empty_recall", "safe_kwh", "recommended_windows", "safe_windows", "average_precision", "w1", "w2", "w3", "nonzero"]
+JOINT_DOUBLES = "threshold coverage conflict_rate empty_recall safe_kwh average_precision w1 w2 w3"
+
+
+@query("joint_grid", JOINT + f"SELECT {', '.join(JOINT_COLS)} FROM joint", JOINT_DOUBLES)
+def _(spark, d):
+    return joint(spark, d).select(*JOINT_COLS)
+
+
+def joint_pick(floor):
+    more = "" if floor is None else f"AND round(average_precision, 9) >= round(best_ap * {floor}, 9)"
+    return f"""SELECT entity_id, grid_order FROM (SELECT *, max(average_precision) OVER (PARTITION BY entity_id) AS best_ap FROM joint) WHERE round(conflict_rate, 9) <= 0.1 AND recommended_windows >= 1 AND coverage > 0 {more}
+      QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY round(safe_kwh, 6) DESC, round(conflict_rate, 9), round(average_precision, 9) DESC, safe_windows DESC, nonzero, grid_order) = 1"""
+
+
+@query("select_joint", JOINT + joint_pick(0.99))
+def _(spark, d):
+    return P.select_joint(joint(spark, d), ["entity_id"], 0.99).select("entity_id", "grid_order")
+
+
+FLOORS = (None, 0.95, 0.98, 0.99)
+CANDIDATES = " UNION ALL ".join(f"SELECT '{'none' if f is None else f'{f:.2f}'}' AS floor, * FROM ({joint_pick(f)})" for f in FLOORS)
+
+
+@query("candidate_set", JOINT + CANDIDATES)
+def _(spark, d):
+    j, out = joint(spark, d), None
+    for f in FLOORS:
+        one = P.select_joint(j, ["entity_id"], f).select(F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "entity_id", "grid_order")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+WINDOW_FLOORS = (0.0, 0.70, 0.80, 0.85, 0.90)
+PAIRS = ", ".join(f"({i * 4 + j}, {w}::DOUBLE, {'NULL' if a is None else a}::DOUBLE)" for i, w in enumerate(WINDOW_FLOORS) for j, a in enumerate(FLOORS))
+CONSTRAINED = f"""SELECT *, least(meets_conflict, meets_windows, meets_ap, has_window, has_coverage) AS feasible FROM (
+  SELECT j.*, constraint_order, window_floor, ap_floor, (round(conflict_rate, 9) <= 0.1)::INTEGER AS meets_conflict, (round(safe_window_rate, 9) >= window_floor)::INTEGER AS meets_windows,
+    (ap_floor IS NULL OR round(average_precision, 9) >= round(best_ap * ap_floor, 9))::INTEGER AS meets_ap, (recommended_windows >= 1)::INTEGER AS has_window, (coverage > 0)::INTEGER AS has_coverage
+  FROM (SELECT *, max(average_precision) OVER () AS best_ap, coalesce(safe_windows / nullif(recommended_windows, 0), 0) AS safe_window_rate FROM joint WHERE entity_id = 0) j JOIN (VALUES {PAIRS}) c(constraint_order, window_floor, ap_floor) ON TRUE)"""
+FLAGS = ["meets_conflict", "meets_windows", "meets_ap", "has_window", "has_coverage", "feasible"]
+
+
+def constrained(spark, d):
+    return P.constraint_grid(joint(spark, d).where("entity_id = 0"), WINDOW_FLOORS, FLOORS)
+
+
+@query("constraint_grid", JOINT + f"SELECT constraint_order, grid_order, {', '.join(FLAGS)} FROM ({CONSTRAINED})")
+def _(spark, d):
+    return constrained(spark, d).select("constraint_order", "grid_order", *FLAGS)
+
+
+WINDOW_AWARE = f"SELECT constraint_order, grid_order, blend_order, thr_idx FROM ({CONSTRAINED}) WHERE feasible = 1 QUALIFY row_number() OVER (PARTITION BY constraint_order ORDER BY round(safe_kwh, 6) DESC, round(safe_window_rate, 9) DESC, round(conflict_rate, 9), round(average_precision, 9) DESC, safe_windows DESC, nonzero, grid_order) = 1"
+
+
+@query("select_window_aware", JOINT + f"SELECT constraint_order, grid_order FROM ({WINDOW_AWARE})")
+def _(spark, d):
+    return P.select_window_aware(constrained(spark, d)).select("constraint_order", "grid_order")
+
+
+@query("dedupe_strategies", JOINT + f"SELECT grid_order, coalesce(max(constraint_order) FILTER (constraint_order = 15), min(constraint_order)) AS representative, string_agg(constraint_order::VARCHAR, '|' ORDER BY constraint_order) AS rules FROM ({WINDOW_AWARE}) GROUP BY 1")
+def _(spark, d):
+    s = P.select_window_aware(constrained(spark, d))
+    primary = F.max(F.when(F.col("constraint_order") == 15, F.col("constraint_order")))
+    return s.groupBy("grid_order").agg(F.coalesce(primary, F.min("constraint_order")).alias("representative"), F.array_join(F.transform(F.array_sort(F.collect_list("constraint_order")), lambda x: x.cast("string")), "|").alias("rules"))
+
+
+@query("reference_union", JOINT + f"SELECT 'window_aware' AS role, constraint_order, NULL::VARCHAR AS floor, grid_order FROM ({WINDOW_AWARE}) UNION ALL SELECT 'reference', NULL, floor, grid_order FROM ({CANDIDATES}) WHERE entity_id = 0")
+def _(spark, d):
+    new = P.select_window_aware(constrained(spark, d)).select(F.lit("window_aware").alias("role"), "constraint_order", "grid_order")
+    j, old = joint(spark, d).where("entity_id = 0"), None
+    for f in FLOORS:
+        one = P.select_joint(j, ["entity_id"], f).select(F.lit("reference").alias("role"), F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "grid_order")
+        old = one if old is None else old.unionByName(one)
+    return new.unionByName(old, allowMissingColumns=True)
+
+
+@query("canonical_policy", sql(f"SELECT entity_id, model, recommended_intervals, safe_intervals, safe_kwh, CASE model WHEN 'slot' THEN 1 WHEN 'persist' THEN 2 WHEN 'recent' THEN 3 ELSE 4 END AS model_order FROM ({POLICY}) WHERE delta = 0.1", "masked"), "safe_kwh")
+def _(spark, d):
+    order = spark.createDataFrame([("slot", 1), ("persist", 2), ("recent", 3), ("blend", 4)], "model string, model_order int")
+    rows = M.policy_rows(masked(spark, d).where("delta = 0.1"), ["entity_id", "model"], ["anchor_pos"])
+    return rows.join(F.broadcast(order), "model").select("entity_id", "model", "recommended_intervals", "safe_intervals", "safe_kwh", "model_order")
+
+
+@query("policy_outcome", sql(f"SELECT entity_id, model, delta, CASE WHEN met = 0 THEN 'not_met' WHEN round(conflict_rate, 9) <= delta THEN 'pass' ELSE 'violation' END AS outcome FROM ({POLICY})", "masked"), "delta")
+def _(spark, d):
+    rows = M.policy_rows(masked(spark, d), ["entity_id", "model", "delta", "met"], ["anchor_pos"])
+    return rows.select("entity_id", "model", "delta", F.when(F.col("met") == 0, "not_met").when(F.round("conflict_rate", 9) <= F.col("delta"), "pass").otherwise("violation").alias("outcome"))
+
+
+@query("load_sensitivity", sql(f"SELECT m.entity_id, model, assumption, coalesce(sum({WEIGHTED}) FILTER (rec AND m.empty = 1), 0) AS safe_kwh FROM masked m JOIN bins b ON b.entity_id = m.entity_id AND b.pos = m.target_pos JOIN {ASSUMED} ON TRUE WHERE delta = 0.1 GROUP BY 1, 2, 3", "masked"), "safe_kwh")
+def _(spark, d):
+    loads = weighted_kwh(base.bins(spark, d), spark).select("entity_id", F.col("pos").alias("target_pos"), "assumption", F.col("kwh").alias("load"))
+    rows = masked(spark, d).where("delta = 0.1").join(loads, ["entity_id", "target_pos"])
+    return rows.groupBy("entity_id", "model", "assumption").agg(F.coalesce(F.sum(F.when(F.col("rec") & (F.col("empty") == 1), F.col("load"))), F.lit(0.0)).alias("safe_kwh"))
+
+
+DAYS = "SELECT entity_id, anchor_pos, count(*) FILTER (rec AND empty = 1) AS safe, count(*) FILTER (rec AND empty = 0) AS conflict, count(*) FILTER (NOT rec AND empty = 1) AS missed FROM masked WHERE delta = 0.1 AND model = 'blend' GROUP BY 1, 2"
+CASES = {"success": "(safe > 0 AND conflict = 0)::INTEGER DESC, safe DESC", "conflict": "conflict DESC", "missed": "missed DESC", "safest": "safe DESC"}
+
+
+@query("case_days", sql(" UNION ALL ".join(f"SELECT '{n}' AS kind, * FROM (SELECT * FROM ({DAYS}) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {o}, anchor_pos) = 1)" for n, o in CASES.items()), "masked"))
+def _(spark, d):
+    y, r, out = F.col("empty") == 1, F.col("rec"), None
+    days = masked(spark, d).where("delta = 0.1 and model = 'blend'").groupBy("entity_id", "anchor_pos").agg(F.count_if(r & y).alias("safe"), F.count_if(r & ~y).alias("conflict"), F.count_if(~r & y).alias("missed"))
+    good = ((F.col("safe") > 0) & (F.col("conflict") == 0)).cast("int")
+    orders = {"success": [good.desc(), F.desc("safe")], "conflict": [F.desc("conflict")], "missed": [F.desc("missed")], "safest": [F.desc("safe")]}
+    for n, o in orders.items():
+        one = P.top_one(days, ["entity_id"], [*o, F.asc("anchor_pos")]).select(F.lit(n).alias("kind"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("same_day_compare", sql("SELECT entity_id, anchor_pos, active_models, union_kwh FROM (SELECT entity_id, anchor_pos, any_value(a) AS active_models, sum(kwh) FILTER (u AND empty = 1) AS union_kwh FROM (SELECT entity_id, anchor_pos, step, any_value(kwh) AS kwh, any_value(empty) AS empty, bool_or(rec) AS u FROM masked WHERE delta = 0.2 GROUP BY 1, 2, 3) JOIN (SELECT entity_id, anchor_pos, count(DISTINCT model) FILTER (rec) AS a FROM masked WHERE delta = 0.2 GROUP BY 1, 2) USING (entity_id, anchor_pos) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY active_models DESC, round(coalesce(union_kwh, 0), 6) DESC, anchor_pos) = 1", "masked"), "union_kwh")
+def _(spark, d):
+    m = masked(spark, d).where("delta = 0.2")
+    active = m.groupBy("entity_id", "anchor_pos").agg(F.count_distinct(F.when(F.col("rec"), F.col("model"))).alias("active_models"))
+    union = m.groupBy("entity_id", "anchor_pos", "step").agg(F.any_value("kwh").alias("kwh"), F.any_value("empty").alias("empty"), F.bool_or("rec").alias("u"))
+    days = union.groupBy("entity_id", "anchor_pos").agg(F.sum(F.when(F.col("u") & (F.col("empty") == 1), F.col("kwh"))).alias("union_kwh")).join(active, ["entity_id", "anchor_pos"])
+    return P.top_one(days, ["entity_id"], [F.desc("active_models"), F.desc(F.round(F.coalesce("union_kwh", F.lit(0.0)), 6)), F.asc("anchor_pos")])
+
+
+@query("first_qualifying_day", sql("SELECT entity_id, model, min(anchor_pos) AS anchor_pos FROM (SELECT entity_id, model, anchor_pos, sum(kwh) FILTER (rec AND empty = 1) AS k FROM masked WHERE delta = 0.2 GROUP BY 1, 2, 3) WHERE k > 0 GROUP BY 1, 2", "masked"))
+def _(spark, d):
+    days = masked(spark, d).where("delta = 0.2").groupBy("entity_id", "model", "anchor_pos").agg(F.sum(F.when(F.col("rec") & (F.col("empty") == 1), F.col("kwh"))).alias("k"))
+    return days.where("k > 0").groupBy("entity_id", "model").agg(F.min("anchor_pos").alias("anchor_pos"))
+
+
+def replay(length):
+    return f"""SELECT {length} AS min_steps, entity_id, model, thr_idx, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec AND empty = 1) AS safe_intervals FROM (
+      SELECT *, coalesce(o >= threshold - 1e-10, FALSE) AS rec FROM (SELECT *, max(low) OVER (PARTITION BY entity_id, model, anchor_pos ORDER BY step ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS o FROM (
+        SELECT *, CASE WHEN count(*) OVER w = {length} THEN min(p) OVER w END AS low FROM long_mid WHERE split = 'test' WINDOW w AS (PARTITION BY entity_id, model, anchor_pos ORDER BY step ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING))) JOIN grid ON TRUE) GROUP BY ALL"""
+
+
+@query("grid_reference_replay", sql(" UNION ALL ".join(replay(k) for k in (4, 8, 16)), "long_mid", "grid"))
+def _(spark, d):
+    out = None
+    for length in (4, 8, 16):
+        rows = P.sweep(opened(spark, d, ("test",), length), ["entity_id", "model"], ["anchor_pos"])
+        one = rows.select(F.lit(length).alias("min_steps"), "entity_id", "model", "thr_idx", "recommended_intervals", "safe_intervals")
+        out = one if out is None else out.unionByName(one)
+    return out

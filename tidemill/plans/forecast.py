@@ -1 +1,182 @@
-"""Queries."""
+"""Queries: scores, blends, forecast metrics and calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import scalar as S
+from tidemill.operators import metrics as M
+from tidemill.operators import policy as P
+from tidemill.operators import windows as W
+from tidemill.plans import base
+from tidemill.plans.base import BLEND, KEY, sql
+from tidemill.plans.registry import query
+
+GROUP = ["entity_id", "split", "model"]
+
+
+@query("slot_average", sql("SELECT entity_id, target_pos, slot AS p FROM target", "target"), "p")
+def _(spark, d):
+    b, a = base.bins(spark, d), base.anchors(spark, d)
+    return base.components(b, a)[0].select(*KEY, "target_pos", F.col("slot").alias("p"))
+
+
+@query("convex_blend", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, greatest(1e-6, least(1 - 1e-6, 0.25 * slot + 0.6 * persist + 0.15 * recent)) AS p FROM wide_mid", "wide_mid"), "p")
+def _(spark, d):
+    return base.wide(spark, d, midnight=True).select(*KEY, "anchor_pos", "step", S.convex_blend({"slot": 0.25, "persist": 0.6, "recent": 0.15}).alias("p"))
+
+
+@query("weights_long", "SELECT * FROM (VALUES ('slot', 0.5::DOUBLE, 'blend'), ('persist', 0.3::DOUBLE, 'blend'), ('recent', 0.2::DOUBLE, 'blend')) t(component, weight, score) WHERE EXISTS (SELECT 1 FROM events)")
+def _(spark, d):
+    some = spark.read.parquet(f"{d}/events.parquet").limit(1).select(*(F.lit(w).alias(c) for c, w in BLEND.items()))
+    return some.unpivot([], list(BLEND), "component", "weight").withColumn("score", F.lit("blend"))
+
+
+PROFILE = "SELECT entity_id, dow, " + ", ".join(f"avg(occupied) FILTER (h = {h}) AS h{h}" for h in range(24)) + " FROM (SELECT entity_id, (isodow(bin_start) - 1)::INTEGER AS dow, hour(bin_start) AS h, occupied FROM bins) GROUP BY 1, 2"
+
+
+@query("dow_hour_profile", sql(PROFILE, "bins"), " ".join(f"h{h}" for h in range(24)))
+def _(spark, d):
+    b = base.bins(spark, d).select(*KEY, F.weekday("bin_start").alias("dow"), F.concat(F.lit("h"), F.hour("bin_start")).alias("h"), "occupied")
+    return b.groupBy(*KEY, "dow").pivot("h", [f"h{h}" for h in range(24)]).agg(F.avg("occupied"))
+
+
+@query("tz_peak_audit", sql("SELECT clock, hour, mean FROM (SELECT 'raw' AS clock, hour(bin_start)::INTEGER AS hour, avg(kwh) AS mean FROM bins GROUP BY 2 UNION ALL SELECT 'local', hour(bin_start - INTERVAL '8 hours')::INTEGER, avg(kwh) FROM bins GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY clock ORDER BY round(mean, 9) DESC, hour) = 1", "bins"), "mean")
+def _(spark, d):
+    b = base.bins(spark, d)
+    local = F.from_utc_timestamp(F.col("bin_start").cast("timestamp"), "America/Los_Angeles")
+    both = b.select(F.explode(F.array(F.struct(F.lit("raw").alias("clock"), F.hour("bin_start").alias("hour")), F.struct(F.lit("local").alias("clock"), F.hour(local).alias("hour")))).alias("x"), "kwh")
+    means = both.groupBy("x.clock", "x.hour").agg(F.avg("kwh").alias("mean"))
+    return P.top_one(means, ["clock"], [F.desc(F.round("mean", 9)), F.asc("hour")])
+
+
+@query("data_summary", sql("SELECT entity_id, count(*) AS rows, min(bin_start) AS first_bin, max(bin_start) AS last_bin, avg(occupied) AS occupied_rate, avg(c1) AS mean_count, max(c1) AS max_count FROM bins GROUP BY 1", "bins"), "occupied_rate mean_count")
+def _(spark, d):
+    return base.bins(spark, d).groupBy(*KEY).agg(F.count("*").alias("rows"), F.min("bin_start").alias("first_bin"), F.max("bin_start").alias("last_bin"), F.avg("occupied").alias("occupied_rate"), F.avg("c1").alias("mean_count"), F.max("c1").alias("max_count"))
+
+
+AP = """SELECT {g}, coalesce(sum(tp * ct / (ct + cf)) / nullif(sum(tp), 0), 0) AS average_precision, CASE WHEN sum(tp) > 0 AND sum(fp) > 0 THEN sum(fp * (ct - tp / 2)) / (sum(tp) * sum(fp)) END AS auroc
+FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM (SELECT {g}, {p} AS s, sum(empty)::DOUBLE AS tp, sum(1 - empty)::DOUBLE AS fp FROM {t} GROUP BY {g}, s) WINDOW w AS (PARTITION BY {g} ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) GROUP BY {g}"""
+CLIP = "greatest(1e-6, least(1 - 1e-6, p))"
+POINT = f"""SELECT {{g}}, count(*) AS n, coalesce(count(*) FILTER (p >= 0.5 AND empty = 1) / nullif(count(*) FILTER (p >= 0.5), 0), 0) AS precision,
+  coalesce(count(*) FILTER (p >= 0.5 AND empty = 1) / nullif(sum(empty), 0), 0) AS recall, coalesce(2 * count(*) FILTER (p >= 0.5 AND empty = 1) / nullif(count(*) FILTER (p >= 0.5) + sum(empty), 0), 0) AS f1,
+  avg(({CLIP} - empty) ** 2) AS brier, CASE WHEN sum(empty) BETWEEN 1 AND count(*) - 1 THEN avg(-(empty * ln({CLIP}) + (1 - empty) * ln(1 - {CLIP}))) END AS log_loss FROM {{t}} GROUP BY {{g}}"""
+G = "entity_id, split, model"
+
+
+@query("average_precision", sql(f"SELECT * EXCLUDE (auroc) FROM ({AP.format(g=G, p='p', t='long_all')})", "long_all"), "average_precision")
+def _(spark, d):
+    return M.average_precision(base.long(base.wide(spark, d)), GROUP)
+
+
+@query("auroc", sql(f"SELECT * EXCLUDE (average_precision) FROM ({AP.format(g=G, p='p', t='long_all')})", "long_all"), "auroc")
+def _(spark, d):
+    return M.auroc(base.long(base.wide(spark, d)), GROUP)
+
+
+METRICS = "precision recall f1 brier log_loss"
+
+
+@query("metrics_by_split", sql(f"SELECT * FROM ({POINT.format(g=G, t='long_all')}) JOIN ({AP.format(g=G, p=CLIP, t='long_all')}) USING ({G})", "long_all"), METRICS + " average_precision auroc")
+def _(spark, d):
+    return M.model_metrics(base.long(base.wide(spark, d)), GROUP)
+
+
+@query("threshold_metrics", sql(POINT.format(g="entity_id, model", t="long_mid"), "long_mid"), METRICS)
+def _(spark, d):
+    return M.threshold_metrics(base.long(base.wide(spark, d, midnight=True)), [*KEY, "model"])
+
+
+@query("horizon_buckets", sql(POINT.format(g="entity_id, split, model, bucket", t="(SELECT *, ((step - 1) // 24)::INTEGER AS bucket FROM long_mid)"), "long_mid"), METRICS)
+def _(spark, d):
+    rows = base.long(base.wide(spark, d, midnight=True)).withColumn("bucket", F.floor((F.col("step") - 1) / 24).cast("int"))
+    return M.threshold_metrics(rows, [*GROUP, "bucket"])
+
+
+CURVE = """SELECT {g}, score, ct / (ct + cf) AS precision, coalesce(ct / nullif(sum(tp) OVER (PARTITION BY {g}), 0), 0) AS recall, coalesce(cf / nullif(sum(fp) OVER (PARTITION BY {g}), 0), 0) AS fpr
+FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM (SELECT {g}, p AS score, sum(empty)::DOUBLE AS tp, sum(1 - empty)::DOUBLE AS fp FROM long_all GROUP BY {g}, p) WINDOW w AS (PARTITION BY {g} ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def curve(spark, d):
+    c = M.score_curve(base.long(base.wide(spark, d)), GROUP)
+    w = Window.partitionBy(*GROUP)
+    return c.select(*GROUP, "score", (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"), M.ratio(F.col("cum_tp"), F.sum("tp").over(w)).alias("recall"), M.ratio(F.col("cum_fp"), F.sum("fp").over(w)).alias("fpr"))
+
+
+@query("pr_curve", sql(f"SELECT {G}, score, precision, recall FROM ({CURVE.format(g=G)})", "long_all"), "score precision recall")
+def _(spark, d):
+    return curve(spark, d).drop("fpr")
+
+
+@query("roc_curve", sql(f"SELECT {G}, score, fpr, recall AS tpr FROM ({CURVE.format(g=G)})", "long_all"), "score fpr tpr")
+def _(spark, d):
+    return curve(spark, d).select(*GROUP, "score", "fpr", F.col("recall").alias("tpr"))
+
+
+RANKED = f"SELECT {G}, bin, avg(p) AS mean_p, avg(empty) AS observed, count(*) AS n, abs(avg(p) - avg(empty)) AS gap FROM (SELECT *, greatest(ceil((row_number() OVER (PARTITION BY {G} ORDER BY p, anchor_pos, step) - 1) * 10 / greatest(count(*) OVER (PARTITION BY {G}) - 1, 1)) - 1, 0)::INTEGER AS bin FROM long_all) GROUP BY {G}, bin"
+
+
+@query("calibration_rank10", sql(RANKED, "long_all"), "mean_p observed gap")
+def _(spark, d):
+    return M.rank_bins(base.long(base.wide(spark, d)), GROUP, ["anchor_pos", "step"])
+
+
+@query("calibration_ece", sql(f"SELECT {G}, sum(gap * n) / sum(n) AS ece FROM ({RANKED}) GROUP BY {G}", "long_all"), "ece")
+def _(spark, d):
+    return M.expected_calibration_error(M.rank_bins(base.long(base.wide(spark, d)), GROUP, ["anchor_pos", "step"]), GROUP)
+
+
+QUANTILES = "[" + ", ".join(str(k / 10) for k in range(1, 10)) + "]"
+
+
+@query("calibration_quantile10", sql(f"SELECT {G}, bin, avg(p) AS mean_p, avg(empty) AS observed, count(*) AS n FROM (SELECT l.*, len(list_filter(q, lambda x: x < p))::INTEGER AS bin FROM long_mid l JOIN (SELECT {G}, quantile_cont(p, {QUANTILES}) AS q FROM long_mid GROUP BY {G}) USING ({G})) GROUP BY {G}, bin", "long_mid"), "mean_p observed")
+def _(spark, d):
+    return M.quantile_bins(base.long(base.wide(spark, d, midnight=True)), GROUP)
+
+
+@query("seed_ensemble", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, (slot + persist + recent) / 3 AS p FROM wide_mid", "wide_mid"), "p")
+def _(spark, d):
+    rows = base.long(base.wide(spark, d, midnight=True), base.MODELS)
+    return rows.groupBy(*KEY, "anchor_pos", "step").agg(F.avg("p").alias("p"))
+
+
+@query("metrics_by_seed", sql(f"SELECT entity_id, split, avg(brier) AS mean_brier, stddev_samp(brier) AS std_brier, avg(f1) AS mean_f1, stddev_samp(f1) AS std_f1 FROM ({POINT.format(g=G, t='long_mid')}) WHERE model <> 'blend' GROUP BY 1, 2", "long_mid"), "mean_brier std_brier mean_f1 std_f1")
+def _(spark, d):
+    m = M.threshold_metrics(base.long(base.wide(spark, d, midnight=True), base.MODELS), GROUP)
+    return m.groupBy(*KEY, "split").agg(*(f(c).alias(f"{n}_{c}") for c in ("brier", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
+@query("zone_labels", sql("SELECT entity_id, pos, zone, (c > cut)::INTEGER AS occupied FROM (SELECT entity_id, pos, 'zone1' AS zone, c1 AS c FROM bins UNION ALL SELECT entity_id, pos, 'zone2', c2 FROM bins) JOIN (SELECT entity_id, 'zone1' AS zone, floor(avg(c1) + stddev_samp(c1)) AS cut FROM bins GROUP BY 1 UNION ALL SELECT entity_id, 'zone2', floor(avg(c2) + stddev_samp(c2)) FROM bins GROUP BY 1) USING (entity_id, zone)", "bins"))
+def _(spark, d):
+    return zones(spark, d).select(*KEY, "pos", "zone", "occupied")
+
+
+def zones(spark, d):
+    b = base.bins(spark, d).select(*KEY, "pos", "bin_start", "slot", F.col("c1").alias("zone1"), F.col("c2").alias("zone2"))
+    long = b.unpivot([*KEY, "pos", "bin_start", "slot"], ["zone1", "zone2"], "zone", "c")
+    cut = long.groupBy(*KEY, "zone").agg(F.floor(F.avg("c") + F.stddev_samp("c")).alias("cut"))
+    return long.join(cut, [*KEY, "zone"]).withColumn("occupied", (F.col("c") > F.col("cut")).cast("int"))
+
+
+ZONE_SQL = """, zoned AS MATERIALIZED (SELECT z.*, (c > cut)::INTEGER AS occupied FROM (SELECT entity_id, pos, bin_start, slot, 'zone1' AS zone, c1 AS c FROM bins UNION ALL SELECT entity_id, pos, bin_start, slot, 'zone2', c2 FROM bins) z
+  JOIN (SELECT entity_id, 'zone1' AS zone, floor(avg(c1) + stddev_samp(c1)) AS cut FROM bins GROUP BY 1 UNION ALL SELECT entity_id, 'zone2', floor(avg(c2) + stddev_samp(c2)) FROM bins GROUP BY 1) USING (entity_id, zone))
+SELECT t.entity_id, t.zone AS held_out, count(*) AS n, avg((t.occupied - s.p) ** 2) AS brier FROM zoned t JOIN bounds USING (entity_id)
+JOIN (SELECT entity_id, zone, slot, avg(z.occupied) AS p FROM zoned z JOIN bounds USING (entity_id) WHERE bin_start < b1 GROUP BY 1, 2, 3) s ON s.entity_id = t.entity_id AND s.zone <> t.zone AND s.slot = t.slot WHERE t.bin_start >= b2 GROUP BY 1, 2"""
+
+
+@query("leave_one_zone_out", sql("", "bounds") + ZONE_SQL, "brier")
+def _(spark, d):
+    z = zones(spark, d)
+    bounds = base.anchors(spark, d).select(*KEY, "b1", "b2").distinct()
+    z = z.join(bounds, KEY)
+    source = z.where("bin_start < b1").groupBy(*KEY, F.col("zone").alias("source"), "slot").agg(F.avg("occupied").alias("p"))
+    test = z.where("bin_start >= b2").join(source, [*KEY, "slot"]).where("source <> zone")
+    return test.groupBy(*KEY, F.col("zone").alias("held_out")).agg(F.count("*").alias("n"), F.avg((F.col("occupied") - F.col("p")) * (F.col("occupied") - F.col("p"))).alias("brier"))
+
+
+@query("label_transitions", sql("SELECT entity_id, day, sum(abs(occupied - prev))::BIGINT AS transitions FROM (SELECT entity_id, bin_start::DATE AS day, occupied, coalesce(lag(occupied) OVER (PARTITION BY entity_id, bin_start::DATE ORDER BY pos), occupied) AS prev FROM bins) GROUP BY 1, 2", "bins"))
+def _(spark, d):
+    b = base.bins(spark, d).withColumn("day", F.to_date("bin_start"))
+    w = Window.partitionBy(*KEY, "day").orderBy("pos")
+    return b.withColumn("t", F.abs(F.col("occupied") - F.coalesce(F.lag("occupied").over(w), "occupied"))).groupBy(*KEY, "day").agg(F.sum("t").alias("transitions"))

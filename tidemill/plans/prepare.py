@@ -53,7 +53,7 @@ def _(spark, d):
     return base.bins(spark, d).select(*KEY, "pos", S.row_sum_min1("hvac", "light").alias("total"))
 
 
-@query("row_mean_skipna", sql("SELECT entity_id, pos, list_avg(list_filter([hvac, light, sensor], x -> x IS NOT NULL)) AS mean FROM bins", "bins"), "mean")
+@query("row_mean_skipna", sql("SELECT entity_id, pos, list_avg(list_filter([hvac, light, sensor], lambda x: x IS NOT NULL)) AS mean FROM bins", "bins"), "mean")
 def _(spark, d):
     return base.bins(spark, d).select(*KEY, "pos", S.row_mean_skipna(*SENSORS).alias("mean"))
 
@@ -116,12 +116,12 @@ def weighted_kwh(bins, spark):
     return bins.join(grid).withColumn("kwh", S.interval_kwh(load)).drop("wh", "wl", "wm", "wt")
 
 
-@query("weighted_load", sql(f"SELECT entity_id, assumption, sum({WEIGHTED}) AS kwh FROM bins JOIN {ASSUMED} ON TRUE GROUP BY 1, 2", "bins"), "kwh")
+@query("weighted_load", sql(f"SELECT entity_id, assumption, round(sum({WEIGHTED}), 2) AS kwh FROM bins JOIN {ASSUMED} ON TRUE GROUP BY 1, 2", "bins"), "kwh")
 def _(spark, d):
-    return weighted_kwh(base.bins(spark, d), spark).groupBy(*KEY, "assumption").agg(F.sum("kwh").alias("kwh"))
+    return weighted_kwh(base.bins(spark, d), spark).groupBy(*KEY, "assumption").agg(F.round(F.sum("kwh"), 2).alias("kwh"))
 
 
-@query("bin_bounds", sql("SELECT entity_id, anchor_pos, step, anchor_time + INTERVAL '15 minutes' AS issue_time, anchor_time + step * INTERVAL '15 minutes' AS target_start, anchor_time + (step + 1) * INTERVAL '15 minutes' AS target_end FROM wide_mid", "wide_mid"))
+@query("bin_bounds", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, anchor_time + INTERVAL '15 minutes' AS issue_time, anchor_time + step * INTERVAL '15 minutes' AS target_start, anchor_time + (step + 1) * INTERVAL '15 minutes' AS target_end FROM wide_mid", "wide_mid"))
 def _(spark, d):
     w = base.wide(spark, d, midnight=True)
     bounds = S.bin_bounds("anchor_time", "step")
@@ -263,16 +263,17 @@ def tabular(spark, d, midnight=True, splits=("train", "val", "test")):
     return out, [*lag_cols, *roll_cols, *SENSORS, "step_share", "yesterday", *calendar]
 
 
-TABULAR = f"""SELECT r.entity_id, r.split, r.pos AS anchor_pos, s.step::INTEGER AS step, t.empty, r.empty_lag_672, r.c1_mean_24, f.hvac AS hvac, s.step / 96 AS step_share, y.occupied AS yesterday,
+TABULAR = """SELECT r.entity_id, r.split, r.pos AS anchor_pos, r.step::INTEGER AS step, t.empty, r.empty_lag_672, f.hvac, r.step / 96 AS step_share, y.occupied AS yesterday,
   sin(2 * pi() * (hour(t.bin_start) + minute(t.bin_start) / 60) / 24) AS hour_sin
-FROM (SELECT l.*, m.c1_mean_24 FROM ({LAG_SQL}) l JOIN ({ROLL_SQL}) m USING (entity_id, split, pos)) r JOIN bins x USING (entity_id, pos)
-JOIN (SELECT entity_id, pos, coalesce(last_value(hvac IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS hvac FROM bins) f USING (entity_id, pos)
-JOIN range(1, 97) s(step) ON TRUE JOIN bins t ON t.entity_id = r.entity_id AND t.pos = r.pos + step JOIN bins y ON y.entity_id = r.entity_id AND y.pos = r.pos + step - 96"""
+FROM stepped r JOIN filled f USING (entity_id, pos)
+JOIN bins t ON t.entity_id = r.entity_id AND t.pos = r.target_pos JOIN bins y ON y.entity_id = r.entity_id AND y.pos = r.yesterday_pos"""
+MIDNIGHT_LAGS = LAG_SQL.replace("FROM anchors a", "FROM (SELECT * FROM anchors WHERE hour(bin_start) = 0 AND minute(bin_start) = 0) a")
+FILLED = "SELECT entity_id, pos, coalesce(last_value(hvac IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS hvac FROM bins"
 
 
-@query("tabular_features", sql(TABULAR, "anchors"), "empty_lag_672 c1_mean_24 hvac step_share hour_sin")
+@query("tabular_features", sql("", "anchors") + f", lagged AS MATERIALIZED ({MIDNIGHT_LAGS}), filled AS MATERIALIZED ({FILLED}), stepped AS MATERIALIZED (SELECT l.*, step, pos + step AS target_pos, pos + step - 96 AS yesterday_pos FROM lagged l JOIN range(1, 97) s(step) ON TRUE)\n{TABULAR}", "empty_lag_672 hvac step_share hour_sin")
 def _(spark, d):
-    return tabular(spark, d, midnight=False)[0].select(*KEY, "split", "anchor_pos", "step", "empty", "empty_lag_672", "c1_mean_24", "hvac", "step_share", "yesterday", "hour_sin")
+    return tabular(spark, d)[0].select(*KEY, "split", "anchor_pos", "step", "empty", "empty_lag_672", "hvac", "step_share", "yesterday", "hour_sin")
 
 
 @query("chrono_split", sql("SELECT entity_id, pos, split FROM anchors", "anchors"))

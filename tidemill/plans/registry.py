@@ -15,6 +15,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+
 def query(name: str, sql: str | None = None, doubles: str = ""):
     """Register a function of (spark, sf_dir).  ``doubles``: columns that the SQL is to round."""
 
