@@ -233,7 +233,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOTS,
     n = partitions(spark)
     queries = materialise(chunks.mapInArrow(seed, "query_id long, q array<double>, least double"), "queries")
     packs = queries.mapInArrow(visit, "chunk long, ids binary, qs binary, least binary")
-    met = packs.repartition(n, "chunk").join(chunks, "chunk").select("ids", "qs", "least", "rows", "chunk")
+    met = packs.repartition(n, "chunk").join(chunks.hint("merge"), "chunk").select("ids", "qs", "least", "rows", "chunk")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -247,8 +247,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
