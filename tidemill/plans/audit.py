@@ -1 +1,216 @@
-"""Queries."""
+"""Queries: resampling, selection stability, checks, fitted models."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemill.operators import checks as C
+from tidemill.operators import metrics as M
+from tidemill.operators import models as ML
+from tidemill.operators import policy as P
+from tidemill.operators import uncertainty as U
+from tidemill.plans import base
+from tidemill.plans.base import KEY, sql
+from tidemill.plans.decide import chosen, masked, midnight, opened  # noqa: F401
+from tidemill.plans.forecast import AP, G, GROUP
+from tidemill.plans.prepare import tabular
+from tidemill.plans.registry import query
+
+REPS = 200
+
+BLOCKS = """SELECT entity_id, anchor_pos, model, count(*) FILTER (rec) AS rec, count(*) FILTER (rec AND empty = 0) AS bad, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh FROM masked WHERE delta = 0.1 GROUP BY 1, 2, 3"""
+NUMBERED = "SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY anchor_pos) - 1 AS block_no, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, anchor_pos FROM masked)"
+X = "((rep + 1) * 48271 + (draw + 1) * 69621 + 42 * 16807) % 2147483647"
+DRAWN = f"SELECT entity_id, rep, ((({X}) * 48271 + 11) % 2147483647) % n AS block_no, count(*) AS mult FROM (SELECT entity_id, any_value(n) AS n FROM numbered GROUP BY 1) JOIN range({REPS}) r(rep) ON TRUE JOIN range(1000) q(draw) ON draw < n GROUP BY 1, 2, 3"
+BOOT = sql("", "masked") + f""", numbered AS MATERIALIZED ({NUMBERED}), blocks AS MATERIALIZED ({BLOCKS}), drawn AS MATERIALIZED ({DRAWN}),
+reps AS MATERIALIZED (SELECT entity_id, model, rep, coalesce(sum(mult * bad) / nullif(sum(mult * rec), 0), 0)::DOUBLE AS conflict_rate, sum(mult * safe_kwh)::DOUBLE AS safe_kwh FROM drawn JOIN numbered USING (entity_id, block_no) JOIN blocks USING (entity_id, anchor_pos) GROUP BY 1, 2, 3)
+"""
+
+
+def block_stats(spark, d):
+    m = masked(spark, d).where("delta = 0.1")
+    y, r = F.col("empty") == 1, F.col("rec")
+    return m.groupBy(*KEY, "anchor_pos", "model").agg(F.count_if(r).alias("rec"), F.count_if(r & ~y).alias("bad"), F.coalesce(F.sum(F.when(r & y, F.col("kwh"))), F.lit(0.0)).alias("safe_kwh"))
+
+
+def replicates(spark, d):
+    stats = block_stats(spark, d)
+    numbered = stats.select(*KEY, "anchor_pos").distinct().withColumn("block_no", (F.row_number().over(Window.partitionBy(*KEY).orderBy("anchor_pos")) - 1).cast("long"))
+    drawn = U.draws(numbered, REPS, keys=KEY).join(numbered, [*KEY, "block_no"]).join(stats, [*KEY, "anchor_pos"])
+    w = lambda c: F.sum(F.col("mult") * F.col(c))
+    return drawn.groupBy(*KEY, "model", "rep").agg(M.ratio(w("bad"), w("rec")).alias("conflict_rate"), w("safe_kwh").alias("safe_kwh"))
+
+
+def ci(c):
+    return f"SELECT entity_id, model, '{c}' AS metric, avg({c}) AS mean, quantile_cont({c}, 0.025) AS low, quantile_cont({c}, 0.975) AS high, count(*) AS reps FROM reps GROUP BY 1, 2"
+
+
+@query("block_bootstrap", BOOT + ci("conflict_rate") + " UNION ALL " + ci("safe_kwh"), "mean low high")
+def _(spark, d):
+    r = replicates(spark, d).unpivot([*KEY, "model", "rep"], ["conflict_rate", "safe_kwh"], "metric", "value")
+    return U.interval(r, [*KEY, "model", "metric"], "value")
+
+
+@query("paired_contrast", BOOT + "SELECT a.entity_id, b.model AS comparator, avg(a.safe_kwh - b.safe_kwh) AS mean, quantile_cont(a.safe_kwh - b.safe_kwh, 0.025) AS low, quantile_cont(a.safe_kwh - b.safe_kwh, 0.975) AS high, count(*) AS reps FROM reps a JOIN reps b ON a.entity_id = b.entity_id AND a.rep = b.rep WHERE a.model = 'blend' AND b.model <> 'blend' GROUP BY 1, 2", "mean low high")
+def _(spark, d):
+    r = replicates(spark, d)
+    a = r.where("model = 'blend'").select(*KEY, "rep", F.col("safe_kwh").alias("a"))
+    both = r.where("model <> 'blend'").join(a, [*KEY, "rep"]).withColumn("value", F.col("a") - F.col("safe_kwh"))
+    return U.interval(both.withColumnRenamed("model", "comparator"), [*KEY, "comparator"], "value")
+
+
+@query("uncertainty_compact", BOOT + f"SELECT entity_id, model, CASE model WHEN 'blend' THEN 1 ELSE 2 END AS place, low, high FROM ({ci('safe_kwh')}) WHERE model IN ('blend', 'slot')", "low high")
+def _(spark, d):
+    order = spark.createDataFrame([("blend", 1), ("slot", 2)], "model string, place int")
+    return U.interval(replicates(spark, d), [*KEY, "model"], "safe_kwh").join(F.broadcast(order), "model").select(*KEY, "model", "place", "low", "high")
+
+
+LOO = sql("", "opened", "grid") + """, per AS MATERIALIZED (SELECT entity_id, model, anchor_pos, thr_idx, count(*) FILTER (rec) AS rec, count(*) FILTER (rec AND empty = 0) AS bad, count(*) FILTER (empty = 1) AS em, count(*) FILTER (rec AND empty = 1) AS good, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS kwh
+  FROM (SELECT *, coalesce(opening >= threshold - 1e-10, FALSE) AS rec FROM opened JOIN grid ON TRUE WHERE split = 'val') GROUP BY 1, 2, 3, 4),
+loo AS MATERIALIZED (SELECT entity_id, model, thr_idx, anchor_pos AS omitted, sum(rec) OVER w - rec AS rec, sum(bad) OVER w - bad AS bad, sum(good) OVER w - good AS good, sum(em) OVER w - em AS em, sum(kwh) OVER w - kwh AS kwh FROM per WINDOW w AS (PARTITION BY entity_id, model, thr_idx)),
+rated AS MATERIALIZED (SELECT *, round(coalesce(bad / nullif(rec, 0), 0), 9) AS c, round(coalesce(good / nullif(em, 0), 0), 9) AS r FROM loo)
+SELECT entity_id, model, thr_idx, count(*) AS times FROM (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY entity_id, model, omitted ORDER BY (c <= 0.1)::INTEGER DESC, CASE WHEN c <= 0.1 THEN -round(kwh, 6) ELSE c END, CASE WHEN c <= 0.1 THEN -r ELSE -round(kwh, 6) END, thr_idx) = 1) GROUP BY 1, 2, 3"""
+
+
+@query("threshold_stability", LOO)
+def _(spark, d):
+    rows = opened(spark, d, ("val",)).join(F.broadcast(P.threshold_grid(spark))).withColumn("rec", F.coalesce(F.col("opening") >= F.col("threshold") - 1e-10, F.lit(False)))
+    y, r = F.col("empty") == 1, F.col("rec")
+    per = rows.groupBy(*KEY, "model", "anchor_pos", "thr_idx").agg(F.count_if(r).alias("n"), F.count_if(r & ~y).alias("bad"), F.count_if(r & y).alias("good"), F.count_if(y).alias("em"), F.coalesce(F.sum(F.when(r & y, F.col("kwh"))), F.lit(0.0)).alias("safe_kwh"))
+    loo = U.leave_one_out(per, [*KEY, "model", "thr_idx"], "anchor_pos", ["n", "bad", "good", "em", "safe_kwh"])
+    rated = loo.withColumns({"conflict_rate": M.ratio(F.col("bad"), F.col("n")), "empty_recall": M.ratio(F.col("good"), F.col("em"))})
+    return P.select_constrained(rated, [*KEY, "model", "omitted"], (0.10,)).groupBy(*KEY, "model", "thr_idx").agg(F.count("*").alias("times"))
+
+
+BAP = f"""SELECT entity_id, rep, model, coalesce(sum(tp * ct / (ct + cf)) / nullif(sum(tp), 0), 0) AS ap FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM (SELECT entity_id, rep, model, p, sum(mult * empty)::DOUBLE AS tp, sum(mult * (1 - empty))::DOUBLE AS fp FROM weighted GROUP BY 1, 2, 3, 4)
+  WINDOW w AS (PARTITION BY entity_id, rep, model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2, 3"""
+STABLE = sql("", "long_mid") + """, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY anchor_pos) - 1 AS block_no, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, anchor_pos FROM long_mid WHERE split = 'val'))"""
+PICK = "SELECT entity_id, model, count(*) AS times FROM (SELECT * FROM aps QUALIFY row_number() OVER (PARTITION BY entity_id, rep ORDER BY round(ap, 9) DESC, model) = 1) GROUP BY 1, 2"
+
+
+def val_blocks(spark, d):
+    rows = midnight(spark, d, ("val",))
+    blocks = rows.select(*KEY, "anchor_pos").distinct().withColumn("block_no", (F.row_number().over(Window.partitionBy(*KEY).orderBy("anchor_pos")) - 1).cast("long"))
+    return rows, blocks
+
+
+def picked(rows):
+    ap = M.average_precision(rows, [*KEY, "rep", "model"], weight="mult")
+    best = P.top_one(ap, [*KEY, "rep"], [F.desc(F.round("average_precision", 9)), F.asc("model")])
+    return best.groupBy(*KEY, "model").agg(F.count("*").alias("times"))
+
+
+@query("bootstrap_blend_stability", STABLE + f", drawn AS MATERIALIZED ({DRAWN.replace(f'range({REPS})', 'range(50)')}), weighted AS MATERIALIZED (SELECT l.*, rep, mult FROM long_mid l JOIN numbered USING (entity_id, anchor_pos) JOIN drawn USING (entity_id, block_no)), aps AS MATERIALIZED ({BAP})\n{PICK}")
+def _(spark, d):
+    rows, blocks = val_blocks(spark, d)
+    return picked(rows.join(blocks, [*KEY, "anchor_pos"]).join(U.draws(blocks, 50, keys=KEY), [*KEY, "block_no"]))
+
+
+@query("loo_blend_stability", STABLE + f", weighted AS MATERIALIZED (SELECT l.*, o.block_no AS rep, 1 AS mult FROM long_mid l JOIN numbered b USING (entity_id, anchor_pos) JOIN numbered o ON o.entity_id = l.entity_id AND o.block_no <> b.block_no), aps AS MATERIALIZED ({BAP})\n{PICK}")
+def _(spark, d):
+    rows, blocks = val_blocks(spark, d)
+    omitted = blocks.select(*KEY, F.col("block_no").alias("rep"), F.col("anchor_pos").alias("omitted"))
+    return picked(rows.join(omitted, KEY).where("anchor_pos <> omitted").withColumn("mult", F.lit(1)))
+
+
+@query("blend_gap", sql(f"SELECT entity_id, split, model, max(average_precision) OVER w - average_precision AS gap, row_number() OVER (PARTITION BY entity_id, split ORDER BY round(average_precision, 9) DESC, model)::INTEGER AS place FROM ({AP.format(g=G, p='p', t='long_all')}) WINDOW w AS (PARTITION BY entity_id, split)", "long_all"), "gap")
+def _(spark, d):
+    ap = M.average_precision(base.long(base.wide(spark, d)), GROUP)
+    w = Window.partitionBy(*KEY, "split")
+    return ap.select(*GROUP, (F.max("average_precision").over(w) - F.col("average_precision")).alias("gap"), F.row_number().over(w.orderBy(F.desc(F.round("average_precision", 9)), "model")).alias("place"))
+
+
+CHECKS = ("score_in_unit_interval", "label_is_binary", "target_follows_anchor", "step_in_horizon", "complete_horizon", "unique_steps")
+
+
+@query("validate_forecast", sql(" UNION ALL ".join(f"SELECT '{c}' AS \"check\", count(*) FILTER (p < 0 OR p > 1) AS violations FROM long_mid" for c in CHECKS), "long_mid"))
+def _(spark, d):
+    return C.validate_forecast(midnight(spark, d))
+
+
+@query("validate_disjoint", sql("SELECT *, (last_first < first_second)::INTEGER AS ok FROM (SELECT entity_id, max(pos + 96) FILTER (split = 'val') AS last_first, min(pos + 1) FILTER (split = 'test') AS first_second FROM anchors GROUP BY 1)", "anchors"))
+def _(spark, d):
+    return C.disjoint_splits(base.anchors(spark, d))
+
+
+@query("alignment_audit", sql("SELECT count(*) AS matched, 0::BIGINT AS only_left, 0::BIGINT AS only_right, max(abs(blend - (slot * 0.5 + persist * 0.3 + recent * 0.2))) AS max_delta, 1 AS ok FROM wide_mid", "wide_mid"), "max_delta")
+def _(spark, d):
+    w = base.wide(spark, d, midnight=True)
+    other = w.withColumn("blend", sum(F.col(c) * x for c, x in base.BLEND.items()))
+    return C.alignment(w, other, [*KEY, "anchor_pos", "step"], "blend")
+
+
+@query("leakage_audit", sql("SELECT entity_id, (max(bin_start + INTERVAL '1 day') FILTER (split = 'train') < min(bin_start - INTERVAL '1425 minutes') FILTER (split = 'val'))::INTEGER AS train_before_val, (max(bin_start + INTERVAL '1 day') FILTER (split = 'val') < min(bin_start - INTERVAL '1425 minutes') FILTER (split = 'test'))::INTEGER AS val_before_test FROM anchors GROUP BY 1", "anchors"))
+def _(spark, d):
+    end, begin = F.col("bin_start") + F.expr("interval 1 day"), F.col("bin_start") - F.expr("interval 1425 minutes")
+    at = lambda f, s, c: f(F.when(F.col("split") == s, c))
+    a = base.anchors(spark, d).groupBy(*KEY)
+    return a.agg((at(F.max, "train", end) < at(F.min, "val", begin)).cast("int").alias("train_before_val"), (at(F.max, "val", end) < at(F.min, "test", begin)).cast("int").alias("val_before_test"))
+
+
+@query("overlap_check", sql("SELECT 'unique_entity_id_target_pos' AS \"check\", count(*) FILTER (n > 1) AS violations FROM (SELECT count(*) AS n FROM wide_mid GROUP BY entity_id, target_pos)", "wide_mid"))
+def _(spark, d):
+    return C.unique_keys(base.wide(spark, d, midnight=True), [*KEY, "target_pos"])
+
+
+@query("join_coverage", sql("SELECT count(*) AS targets, avg((hvac IS NULL AND light IS NULL)::INTEGER) AS unmatched FROM wide_mid w JOIN bins b ON b.entity_id = w.entity_id AND b.pos = w.target_pos", "wide_mid"), "unmatched")
+def _(spark, d):
+    b = base.bins(spark, d).where("hvac is not null or light is not null").select(*KEY, F.col("pos").alias("target_pos"), F.lit(1).alias("hit"))
+    w = base.wide(spark, d, midnight=True).join(b, [*KEY, "target_pos"], "left")
+    return w.agg(F.count("*").alias("targets"), F.avg(F.col("hit").isNull().cast("double")).alias("unmatched"))
+
+
+@query("selection_guard", sql("SELECT count(*) AS rows, count(*) FILTER (split <> 'val') AS other_rows FROM (SELECT 'val' AS split FROM chosen)", "chosen"))
+def _(spark, d):
+    c = chosen(spark, d)
+    return c.agg(F.count("*").alias("rows"), F.count_if(F.col("split") != "val").alias("other_rows"))
+
+
+@query("golden_reconcile", sql("SELECT entity_id, model, delta, (recommended_intervals = safe_intervals + conflict_intervals)::INTEGER AS reconciles FROM (SELECT entity_id, model, delta, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec AND empty = 1) AS safe_intervals, count(*) FILTER (rec AND empty = 0) AS conflict_intervals FROM masked GROUP BY 1, 2, 3)", "masked"), "delta")
+def _(spark, d):
+    rows = M.policy_rows(masked(spark, d), [*KEY, "model", "delta"], ["anchor_pos"])
+    return rows.select(*KEY, "model", "delta", (F.col("recommended_intervals") == F.col("safe_intervals") + F.col("conflict_intervals")).cast("int").alias("reconciles"))
+
+
+def model_scores(spark, d, fit):
+    """Held-out metrics of a fitted model over the midnight feature rows; fitted on the training split only."""
+    rows, cols = tabular(spark, d)
+    scored = ML.fit_and_score(rows, cols, fit)
+    return M.model_metrics(scored, [*KEY, "split"])
+
+
+for _name, _fit in (("gbt_forecast", ML.gbt), ("rf_forecast", ML.forest), ("direct_linear_forecast", ML.linear)):
+    query(_name)(lambda spark, d, f=_fit: model_scores(spark, d, f))
+
+
+@query("rolling_origin_cv")
+def _(spark, d):
+    return ML.rolling_origin(base.bins(spark, d), KEY)
+
+
+@query("seed_spread")
+def _(spark, d):
+    rows, cols = tabular(spark, d)
+    out = None
+    for seed in (1, 2, 3):
+        m = M.model_metrics(ML.fit_and_score(rows, cols, lambda s=seed: ML.forest(s, 10)), ["split"]).withColumn("seed", F.lit(seed))
+        out = m if out is None else out.unionByName(m)
+    return out.groupBy("split").agg(F.avg("average_precision").alias("mean_ap"), F.stddev_samp("average_precision").alias("std_ap"))
+
+
+@query("permutation_importance")
+def _(spark, d):
+    rows, cols = tabular(spark, d)
+    return ML.permutation_importance(rows, cols, ML.linear, cols[:3])
+
+
+@query("feature_ablation")
+def _(spark, d):
+    rows, cols = tabular(spark, d)
+    groups = {"time": [c for c in cols if c.startswith(("hour", "dow", "month", "is_"))], "all": cols}
+    out = None
+    for name, use in groups.items():
+        m = M.average_precision(ML.fit_and_score(rows, use, ML.linear).where("split = 'test'"), ["split"]).withColumn("features", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -1 +1,97 @@
-"""Queries."""
+"""Queries: exports and what is read back from them, and bins from a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemill.plans import base
+from tidemill.plans.base import KEY, sql
+from tidemill.plans.decide import midnight
+from tidemill.plans.registry import query
+from tidemill.sources import sensors
+from tidemill.streaming.bins import closed_bins
+
+
+def folder(spark, label):
+    """A fresh place in the shared folder of the session, or under /tmp where it has none (tests on one machine)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-tidemill"
+    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query("read_sensor_csv", "SELECT event_id, ts AS date, value FROM events WHERE event_id % 7 <> 0", "value")
+def _(spark, d):
+    path = folder(spark, "csv")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    bad = F.col("event_id") % 7 == 0  # rows with a time that can't be read must go
+    e.select(F.when(bad, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("stamp"), "event_id", "value").write.option("header", True).csv(path)
+    return sensors.read_sensor_csv(spark, path, ["event_id", "value"]).withColumn("event_id", F.col("event_id").cast("long"))
+
+
+EXPORT = "SELECT entity_id, split, anchor_pos, step::INTEGER AS step, empty, slot AS slot_empty, persist AS persist_empty, recent AS recent_empty, 1 - slot AS slot_occupied FROM wide_mid"
+
+
+@query("write_forecast_export", sql(EXPORT, "wide_mid"), "slot_empty persist_empty recent_empty slot_occupied")
+def _(spark, d):
+    path = folder(spark, "export")
+    w = base.wide(spark, d, midnight=True)
+    out = w.select(*KEY, "split", "anchor_pos", "step", "empty", *(F.col(m).alias(f"{m}_empty") for m in base.MODELS), (1 - F.col("slot")).alias("slot_occupied"))
+    out.write.partitionBy("split").parquet(path)
+    return sensors.read_scores(spark, path, out.schema)
+
+
+@query("write_per_model_export", sql("SELECT entity_id, split, anchor_pos, model, (15 * step)::INTEGER AS horizon_minutes, p AS p_empty, 1 - p AS p_occupied FROM long_mid", "long_mid"), "p_empty p_occupied")
+def _(spark, d):
+    path = folder(spark, "models")
+    out = midnight(spark, d).select(*KEY, "split", "anchor_pos", "model", (15 * F.col("step")).alias("horizon_minutes"), F.col("p").alias("p_empty"), (1 - F.col("p")).alias("p_occupied"))
+    out.write.partitionBy("model", "split").parquet(path)
+    return sensors.read_scores(spark, path, out.schema)
+
+
+@query("read_saved_scores", sql("SELECT entity_id, model, count(*) AS rows, avg(p) AS mean_p FROM long_mid GROUP BY 1, 2", "long_mid"), "mean_p")
+def _(spark, d):
+    path = folder(spark, "saved") + ".csv"
+    out = midnight(spark, d).select(*KEY, "model", "p")
+    out.write.option("header", True).csv(path)
+    return sensors.read_scores(spark, path, out.schema).groupBy(*KEY, "model").agg(F.count("*").alias("rows"), F.avg("p").alias("mean_p"))
+
+
+@query("write_blend_export", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, blend, 0.5::DOUBLE AS w_slot, 0.3::DOUBLE AS w_persist, 0.2::DOUBLE AS w_recent FROM wide_mid", "wide_mid"), "blend")
+def _(spark, d):
+    path = folder(spark, "blend")
+    out = base.wide(spark, d, midnight=True).select(*KEY, "anchor_pos", "step", "blend", *(F.lit(w).alias(f"w_{m}") for m, w in base.BLEND.items()))
+    out.write.parquet(path)
+    return sensors.read_scores(spark, path, out.schema)
+
+
+@query("horizon_payload", sql("SELECT entity_id, anchor_pos, string_agg(empty::VARCHAR, ',' ORDER BY step) AS empties, count(*) AS steps, sum(kwh) AS kwh FROM wide_mid GROUP BY 1, 2", "wide_mid"), "kwh")
+def _(spark, d):
+    payload = base.wide(spark, d, midnight=True).groupBy(*KEY, "anchor_pos").agg(F.array_sort(F.collect_list(F.struct("step", "empty", "kwh"))).alias("steps"))  # 96 in each
+    empties = F.array_join(F.transform("steps", lambda s: s["empty"].cast("string")), ",")
+    return payload.select(*KEY, "anchor_pos", empties.alias("empties"), F.size("steps").cast("long").alias("steps"), F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["kwh"]).alias("kwh"))
+
+
+@query("sample_output_csv", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, p, CASE WHEN opening >= 0.8 - 1e-10 THEN CASE empty WHEN 1 THEN 'safe' ELSE 'conflict' END ELSE 'none' END AS state FROM opened WHERE model = 'blend'", "opened"), "p")
+def _(spark, d):
+    from tidemill.operators.windows import stable_mask
+
+    path = folder(spark, "sample")
+    m = stable_mask(midnight(spark, d, models=("blend",)), ["entity_id", "model", "anchor_pos"], 0.8 - 1e-10)
+    out = m.select(*KEY, "anchor_pos", "step", "p", F.when(~F.col("rec"), "none").when(F.col("empty") == 1, "safe").otherwise("conflict").alias("state"))
+    out.write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema(out.schema).csv(path)
+
+
+
+
+@query("stream_closed_bins")
+def _(spark, d):
+    """Bins of ``events`` as a stream emits them once the watermark has passed their end."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    rows = stream.select((F.col("user_id") % base.ENTITIES).alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    path = folder(spark, "stream")
+    q = closed_bins(rows, KEY).writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "progress")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(path)
