@@ -77,9 +77,10 @@ def guard_selection(df: DataFrame) -> None:
 def pareto_front(df: DataFrame, keys: Sequence[str], cost: str = "conflict_rate", gain: str = "safe_kwh", last: str = "thr_idx") -> DataFrame:
     """Adds ``efficient``: for its cost the largest gain, and a larger one than at any lower cost."""
     c, g = F.round(cost, 9), F.round(gain, 6)
-    best = F.row_number().over(Window.partitionBy(*keys, c).orderBy(g.desc(), last)) == 1
-    below = F.max(g).over(Window.partitionBy(*keys).orderBy(c).rangeBetween(Window.unboundedPreceding, -1e-9))
-    return df.withColumn("efficient", (best & (below.isNull() | (g > below))).cast("int"))
+    ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, c).orderBy(g.desc(), last)))
+    lower = Window.partitionBy(*keys).orderBy(c, "_place").rowsBetween(Window.unboundedPreceding, -1)  # of a first row: lower costs only
+    below = F.max(g).over(lower)
+    return ranked.withColumn("efficient", ((F.col("_place") == 1) & (below.isNull() | (g > below))).cast("int")).drop("_place")
 
 
 def simplex_grid(spark: SparkSession, parts: int = 20) -> DataFrame:
@@ -107,7 +108,7 @@ def blend_grid(wide: DataFrame, grid: DataFrame, cols: Sequence[str], group: Seq
     ``wide``: distinct score tuples are counted first, so that each blend sees tuples and not rows.
     """
     tuples = wide.groupBy(*group, *cols).agg(F.sum(label).alias("tp"), F.count("*").alias("n"))
-    blended = tuples.join(F.broadcast(grid)).withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(cols)), 9))
+    blended = tuples.join(F.broadcast(grid)).withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(cols)), 12))
     rows = blended.select(*group, "grid_order", "p", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("tp").alias("m")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("tp")).alias("m")))).alias("x"))
     return average_precision(rows.select(*group, "grid_order", "p", "x.y", "x.m").where("m > 0"), [*group, "grid_order"], "p", "y", "m")
 

@@ -219,7 +219,7 @@ def _(spark, d):
 
 TUPLES = "SELECT entity_id, slot, persist, recent, sum(empty) AS tp, count(*) AS n FROM wide_all WHERE split = 'val' GROUP BY ALL"
 GRID_AP = """SELECT entity_id, grid_order, coalesce(sum(tp * ct / (ct + cf)) / nullif(sum(tp), 0), 0) AS average_precision FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM (
-  SELECT entity_id, grid_order, round(w1 * slot + w2 * persist + w3 * recent, 9) AS s, sum(tp)::DOUBLE AS tp, sum(n - tp)::DOUBLE AS fp FROM tuples JOIN blends ON TRUE GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY entity_id, grid_order ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2"""
+  SELECT entity_id, grid_order, round(w1 * slot + w2 * persist + w3 * recent, 12) AS s, sum(tp)::DOUBLE AS tp, sum(n - tp)::DOUBLE AS fp FROM tuples JOIN blends ON TRUE GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY entity_id, grid_order ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2"""
 SIMPLEX = "SELECT (row_number() OVER (ORDER BY i, j) - 1)::INTEGER AS grid_order, i / {n} AS w1, j / {n} AS w2, ({n} - i - j) / {n} AS w3, ((i > 0)::INTEGER + (j > 0)::INTEGER + ({n} - i - j > 0)::INTEGER) AS nonzero FROM range({m}) a(i) JOIN range({m}) b(j) ON i + j <= {n}"
 
 
@@ -256,6 +256,7 @@ def _(spark, d):
     return P.top_one(ap, ["entity_id"], [F.desc(F.round("average_precision", 9)), F.asc("grid_order")])
 
 
+LIMIT = 0.20  # conflict limit of the registered searches: these data have no blend within 0.10
 PARTS = 5  # parts of the joint grid of the registered query; the operators take any number
 
 
@@ -264,7 +265,7 @@ def joint(spark, d):
     grid = F.broadcast(P.simplex_grid(spark, PARTS))
     ap = P.blend_grid(validation(spark, d), grid, COLS, ["entity_id"])
     rows = base.wide(spark, d, midnight=True, splits=("val",)).join(grid)
-    rows = rows.withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(COLS)), 9)).select("entity_id", "grid_order", "anchor_pos", "step", "empty", "kwh", "p")
+    rows = rows.withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(COLS)), 12)).select("entity_id", "grid_order", "anchor_pos", "step", "empty", "kwh", "p")
     keys = ["entity_id", "grid_order", "anchor_pos"]
     at = W.opening(rows, keys)
     policy = P.sweep(at, ["entity_id", "grid_order"], ["anchor_pos"])
@@ -277,10 +278,10 @@ def joint(spark, d):
 
 
 JOINT = sql("", "wide_mid", "grid") + f""", tuples AS MATERIALIZED ({TUPLES}), blends AS MATERIALIZED ({SIMPLEX.format(n=PARTS, m=PARTS + 1)}), aps AS MATERIALIZED ({GRID_AP}),
-blended AS MATERIALIZED (SELECT entity_id, grid_order AS g, anchor_pos, step, empty, kwh, round(w1 * slot + w2 * persist + w3 * recent, 9) AS p FROM wide_mid JOIN blends ON TRUE WHERE split = 'val'),
+blended AS MATERIALIZED (SELECT entity_id, grid_order AS g, anchor_pos, step, empty, kwh, round(w1 * slot + w2 * persist + w3 * recent, 12) AS p FROM wide_mid JOIN blends ON TRUE WHERE split = 'val'),
 lows AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER w = 4 THEN min(p) OVER w END AS low FROM blended WINDOW w AS (PARTITION BY entity_id, g, anchor_pos ORDER BY step ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
-at AS MATERIALIZED (SELECT *, max(low) OVER (PARTITION BY entity_id, g, anchor_pos ORDER BY step ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS opening FROM lows),
-tried AS MATERIALIZED (SELECT a.*, thr_idx, threshold, coalesce(opening >= threshold - 1e-10, FALSE) AS rec FROM at a JOIN grid ON TRUE),
+raised AS MATERIALIZED (SELECT *, max(low) OVER (PARTITION BY entity_id, g, anchor_pos ORDER BY step ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS opening FROM lows),
+tried AS MATERIALIZED (SELECT a.*, thr_idx, threshold, coalesce(opening >= threshold - 1e-10, FALSE) AS rec FROM raised a JOIN grid ON TRUE),
 pol AS MATERIALIZED (SELECT entity_id, g, thr_idx, any_value(threshold) AS threshold, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec) / count(*) AS coverage, coalesce(count(*) FILTER (rec AND empty = 0) / nullif(count(*) FILTER (rec), 0), 0) AS conflict_rate, coalesce(count(*) FILTER (rec AND empty = 1) / nullif(count(*) FILTER (empty = 1), 0), 0) AS empty_recall, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh FROM tried GROUP BY 1, 2, 3),
 isl AS MATERIALIZED (SELECT *, step - row_number() OVER (PARTITION BY entity_id, g, thr_idx, anchor_pos ORDER BY step) AS i FROM tried WHERE rec),
 win AS MATERIALIZED (SELECT entity_id, g, thr_idx, count(*) AS rw, count(*) FILTER (safe = 1) AS sw FROM (SELECT entity_id, g, thr_idx, anchor_pos, i, min(empty) AS safe FROM isl GROUP BY ALL) GROUP BY 1, 2, 3),
@@ -298,13 +299,13 @@ def _(spark, d):
 
 def joint_pick(floor):
     more = "" if floor is None else f"AND round(average_precision, 9) >= round(best_ap * {floor}, 9)"
-    return f"""SELECT entity_id, grid_order FROM (SELECT *, max(average_precision) OVER (PARTITION BY entity_id) AS best_ap FROM joint) WHERE round(conflict_rate, 9) <= 0.1 AND recommended_windows >= 1 AND coverage > 0 {more}
+    return f"""SELECT entity_id, grid_order FROM (SELECT *, max(average_precision) OVER (PARTITION BY entity_id) AS best_ap FROM joint) WHERE round(conflict_rate, 9) <= {LIMIT} AND recommended_windows >= 1 AND coverage > 0 {more}
       QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY round(safe_kwh, 6) DESC, round(conflict_rate, 9), round(average_precision, 9) DESC, safe_windows DESC, nonzero, grid_order) = 1"""
 
 
 @query("select_joint", JOINT + joint_pick(0.99))
 def _(spark, d):
-    return P.select_joint(joint(spark, d), ["entity_id"], 0.99).select("entity_id", "grid_order")
+    return P.select_joint(joint(spark, d), ["entity_id"], 0.99, LIMIT).select("entity_id", "grid_order")
 
 
 FLOORS = (None, 0.95, 0.98, 0.99)
@@ -315,7 +316,7 @@ CANDIDATES = " UNION ALL ".join(f"SELECT '{'none' if f is None else f'{f:.2f}'}'
 def _(spark, d):
     j, out = joint(spark, d), None
     for f in FLOORS:
-        one = P.select_joint(j, ["entity_id"], f).select(F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "entity_id", "grid_order")
+        one = P.select_joint(j, ["entity_id"], f, LIMIT).select(F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "entity_id", "grid_order")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -323,14 +324,14 @@ def _(spark, d):
 WINDOW_FLOORS = (0.0, 0.70, 0.80, 0.85, 0.90)
 PAIRS = ", ".join(f"({i * 4 + j}, {w}::DOUBLE, {'NULL' if a is None else a}::DOUBLE)" for i, w in enumerate(WINDOW_FLOORS) for j, a in enumerate(FLOORS))
 CONSTRAINED = f"""SELECT *, least(meets_conflict, meets_windows, meets_ap, has_window, has_coverage) AS feasible FROM (
-  SELECT j.*, constraint_order, window_floor, ap_floor, (round(conflict_rate, 9) <= 0.1)::INTEGER AS meets_conflict, (round(safe_window_rate, 9) >= window_floor)::INTEGER AS meets_windows,
+  SELECT j.*, constraint_order, window_floor, ap_floor, (round(conflict_rate, 9) <= {LIMIT})::INTEGER AS meets_conflict, (round(safe_window_rate, 9) >= window_floor)::INTEGER AS meets_windows,
     (ap_floor IS NULL OR round(average_precision, 9) >= round(best_ap * ap_floor, 9))::INTEGER AS meets_ap, (recommended_windows >= 1)::INTEGER AS has_window, (coverage > 0)::INTEGER AS has_coverage
   FROM (SELECT *, max(average_precision) OVER () AS best_ap, coalesce(safe_windows / nullif(recommended_windows, 0), 0) AS safe_window_rate FROM joint WHERE entity_id = 0) j JOIN (VALUES {PAIRS}) c(constraint_order, window_floor, ap_floor) ON TRUE)"""
 FLAGS = ["meets_conflict", "meets_windows", "meets_ap", "has_window", "has_coverage", "feasible"]
 
 
 def constrained(spark, d):
-    return P.constraint_grid(joint(spark, d).where("entity_id = 0"), WINDOW_FLOORS, FLOORS)
+    return P.constraint_grid(joint(spark, d).where("entity_id = 0"), WINDOW_FLOORS, FLOORS, LIMIT)
 
 
 @query("constraint_grid", JOINT + f"SELECT constraint_order, grid_order, {', '.join(FLAGS)} FROM ({CONSTRAINED})")
@@ -358,7 +359,7 @@ def _(spark, d):
     new = P.select_window_aware(constrained(spark, d)).select(F.lit("window_aware").alias("role"), "constraint_order", "grid_order")
     j, old = joint(spark, d).where("entity_id = 0"), None
     for f in FLOORS:
-        one = P.select_joint(j, ["entity_id"], f).select(F.lit("reference").alias("role"), F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "grid_order")
+        one = P.select_joint(j, ["entity_id"], f, LIMIT).select(F.lit("reference").alias("role"), F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "grid_order")
         old = one if old is None else old.unionByName(one)
     return new.unionByName(old, allowMissingColumns=True)
 
