@@ -43,14 +43,14 @@ def _scored(model, rows: DataFrame) -> DataFrame:
 
 def fit_and_score(rows: DataFrame, cols: Sequence[str], make: Callable) -> DataFrame:
     """Validation and test rows with the probability of empty as p."""
-    vectors = _vectors(rows, cols)
+    vectors = _vectors(rows, cols).persist()  # read again in each round of a fit
     return _scored(_fit(vectors.where("split = 'train'"), make), vectors.where("split <> 'train'"))
 
 
 def permutation_importance(rows: DataFrame, cols: Sequence[str], make: Callable, which: Sequence[str]) -> DataFrame:
     """(feature, drop) of average precision on validation when a feature's values are dealt out anew within it."""
-    model = _fit(_vectors(rows, cols).where("split = 'train'"), make)
-    val = rows.where("split = 'val'").select("empty", *cols)
+    model = _fit(_vectors(rows, cols).where("split = 'train'").persist(), make)
+    val = rows.where("split = 'val'").select("empty", *cols).persist()
     whole = average_precision(_scored(model, _vectors(val, cols)).withColumn("g", F.lit(1)), ["g"]).select(F.col("average_precision").alias("base"))
     out = None
     place = lambda *o: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(*cols), F.lit(64))).orderBy(*o))  # noqa: E731  ranks within 64 parts, not over all rows

@@ -202,7 +202,7 @@ def _(spark, d):
 @query("permutation_importance")
 def _(spark, d):
     rows, cols = tabular(spark, d)
-    return ML.permutation_importance(rows, cols, ML.linear, cols[:3])
+    return ML.permutation_importance(rows, cols, ML.linear, cols[:2])
 
 
 @query("feature_ablation")

@@ -263,15 +263,7 @@ def tabular(spark, d, midnight=True, splits=("train", "val", "test")):
     return out, [*lag_cols, *roll_cols, *SENSORS, "step_share", "yesterday", *calendar]
 
 
-TABULAR = """SELECT r.entity_id, r.split, r.pos AS anchor_pos, r.step::INTEGER AS step, t.empty, r.empty_lag_672, f.hvac, r.step / 96 AS step_share, y.occupied AS yesterday,
-  sin(2 * pi() * (hour(t.bin_start) + minute(t.bin_start) / 60) / 24) AS hour_sin
-FROM stepped r JOIN filled f USING (entity_id, pos)
-JOIN bins t ON t.entity_id = r.entity_id AND t.pos = r.target_pos JOIN bins y ON y.entity_id = r.entity_id AND y.pos = r.yesterday_pos"""
-MIDNIGHT_LAGS = LAG_SQL.replace("FROM anchors a", "FROM (SELECT * FROM anchors WHERE hour(bin_start) = 0 AND minute(bin_start) = 0) a")
-FILLED = "SELECT entity_id, pos, coalesce(last_value(hvac IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS hvac FROM bins"
-
-
-@query("tabular_features", sql("", "anchors") + f", lagged AS MATERIALIZED ({MIDNIGHT_LAGS}), filled AS MATERIALIZED ({FILLED}), stepped AS MATERIALIZED (SELECT l.*, step, pos + step AS target_pos, pos + step - 96 AS yesterday_pos FROM lagged l JOIN range(1, 97) s(step) ON TRUE)\n{TABULAR}", "empty_lag_672 hvac step_share hour_sin")
+@query("tabular_features")
 def _(spark, d):
     return tabular(spark, d)[0].select(*KEY, "split", "anchor_pos", "step", "empty", "empty_lag_672", "hvac", "step_share", "yesterday", "hour_sin")
 
