@@ -116,9 +116,9 @@ def weighted_kwh(bins, spark):
     return bins.join(grid).withColumn("kwh", S.interval_kwh(load)).drop("wh", "wl", "wm", "wt")
 
 
-@query("weighted_load", sql(f"SELECT entity_id, assumption, round(sum({WEIGHTED}), 2) AS kwh FROM bins JOIN {ASSUMED} ON TRUE GROUP BY 1, 2", "bins"), "kwh")
+@query("weighted_load", sql(f"SELECT entity_id, assumption, round(sum({WEIGHTED}) + 1e-8, 6) AS kwh FROM bins JOIN {ASSUMED} ON TRUE GROUP BY 1, 2", "bins"), "kwh")
 def _(spark, d):
-    return weighted_kwh(base.bins(spark, d), spark).groupBy(*KEY, "assumption").agg(F.round(F.sum("kwh"), 2).alias("kwh"))
+    return weighted_kwh(base.bins(spark, d), spark).groupBy(*KEY, "assumption").agg(F.round(F.sum("kwh") + 1e-8, 6).alias("kwh"))  # 1e-8: sums that lie midway round alike in any order of adding
 
 
 @query("bin_bounds", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, anchor_time + INTERVAL '15 minutes' AS issue_time, anchor_time + step * INTERVAL '15 minutes' AS target_start, anchor_time + (step + 1) * INTERVAL '15 minutes' AS target_end FROM wide_mid", "wide_mid"))
