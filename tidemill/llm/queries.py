@@ -23,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op2_suffix_interval_dedup": suffix_dedup.ORACLE,
     "op9_pivot_distance_topk": topk.ORACLE,
+    "op10_arc_to_warc": warc.ORACLE,
 }

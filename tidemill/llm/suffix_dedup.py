@@ -324,3 +324,30 @@ def without_repeats(docs: DataFrame, window: int = 100, limit: int = LIMIT) -> D
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 100-byte strings that start earlier in the corpus."""
     return removed(table(spark, sf_dir, "documents"))
+
+
+#: Windows as byte strings, numbered within equal ones; repeats that touch or overlap make one removed run.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, array_slice(b, s + 1, s + 100) AS piece FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)
+), r AS (
+  SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY piece ORDER BY doc_id, s) > 1
+), e AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS begins FROM r
+), g AS (
+  SELECT doc_id, s, sum(begins) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM e
+), runs AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM g GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS done FROM runs
+), k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS tail,
+    string_agg(hex(array_slice(b, done + 1, lo)), '' ORDER BY lo) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(array_slice(b, coalesce(tail, 0) + 1, n)))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

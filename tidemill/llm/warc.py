@@ -251,3 +251,19 @@ def page_rows(records: DataFrame) -> DataFrame:
 
     picked = records.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return picked.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+#: Base32 by the digest's 160 bits, five at a time.
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), b AS (
+  SELECT *, (unhex(sha1(payload))::BIT)::VARCHAR AS bits, max(page_id) OVER (PARTITION BY payload) AS largest FROM p
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(0, 5), lambda j: (16 >> j) * substr(bits, 5 * i + j + 1, 1)::INTEGER))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM b
+"""
