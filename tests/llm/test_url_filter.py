@@ -81,3 +81,32 @@ def test_pages(spark, sf):
     for r in got:
         host, path, rule, verdict = slow_rule(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+def test_rare_strings_count(spark):
+    # over 20,000 counted bytes of each kind, most strings of five bytes seen once
+    word = lambda i, k: "".join(chr(97 + i * k % 7919 * 31 // 26**j % 26) for j in range(4))
+    good = [f"https://www.example.net/en/{word(i, 17)}/{word(i, 523)}{i}" for i in range(1500)]
+    bad = [f"http://{word(i, 29)}.net/{word(i, 811)}-{i * 7}" for i in range(1500)]
+    other = [f"https://{word(i, 37)}.com/en/{word(i, 91)}" for i in range(100)] + [None, "", "https://www.example.com/é"]
+    urls = list(enumerate(good + bad + other))
+    frame = spark.createDataFrame(urls, "page_id long, url string").repartition(4)
+    part = {r.url: r.p for r in frame.selectExpr("url", "pmod(xxhash64(url), 5L) p").collect()}
+    counted = [[u for u in kind if part[u]] for kind in (good, bad)]
+    assert all(sum(len(u) + 1 for u in kind) > 20_000 for kind in counted)
+    want = Ratio(*(slow_model(kind, 4, 10**12) for kind in counted))
+    got = {r.page_id: r for r in judge_urls(frame, chunk=50).collect()}
+    assert len(got) == len(urls)
+    for i, u in urls:
+        assert math.isclose(got[i].score, want.score(u), abs_tol=1e-9), u
+    cut = Ratio(*(slow_model(kind, 4, 20_000) for kind in counted))
+    assert any(abs(cut.score(u) - want.score(u)) > 0.01 for u in other)
+    # verdicts follow the threshold with the largest mean share of right verdicts
+    held = [[want.score(u) for u in kind if not part[u]] for kind in (good, bad)]
+    mean = lambda t: sum(s >= t for s in held[0]) / len(held[0]) + sum(s < t for s in held[1]) / len(held[1])
+    steps = [k * 16 / 4096 - 8 for k in range(4097)]
+    means = [mean(t) for t in steps]
+    top = max(means)
+    best = [t for t, m in zip(steps, means) if m > top - 1e-9]
+    for i, u in urls[3000:]:
+        assert got[i].verdict == ("allow" if want.score(u) >= best[len(best) // 2] else "block"), u

@@ -1,10 +1,13 @@
 """URL filters: rules first, then a character language-model ratio.
 
-Two variable-order Markov models are counted, one over accepted URLs and one over rejected ones.  A model keeps those
-strings of up to ``order + 1`` bytes that make up at least 1 in ``SHARE`` of all of its length seen in training, so at
-most ``SHARE`` strings of each length however large the corpus is; a context that wasn't kept falls back to a shorter
-one (Witten-Bell smoothing).  A URL's score is the difference of its log-likelihoods divided by its bytes; the
-threshold is calibrated on decided URLs that weren't counted.
+Two variable-order Markov models are counted, one over accepted URLs and one over rejected ones, from all strings of up
+to ``order + 1`` bytes; a context that wasn't seen falls back to a shorter one (Witten-Bell smoothing).  A URL's score
+is the difference of its log-likelihoods divided by its bytes; the threshold is calibrated on decided URLs that weren't
+counted.
+
+Counts stay in tables, so a model grows with its examples and no process holds it.  Each different string of a URL is
+joined to its counts and to its contexts' totals once, from the shortest strings up.  URLs are dealt to chunks by hash;
+the terms of a chunk's strings are joined to it, and a task that scores URLs holds the terms of one chunk at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialise, table
+from tidemill.llm.common import materialise, partitions, table
 
-#: A string is kept if it is at least 1 in so many of its length: the bound of a model's size.
+#: For ``fit_urls`` alone, the model on the driver: a string is kept if it is at least 1 in so many of its length.
 SHARE = 20_000
+#: URLs of a chunk on average; a task holds the terms of one chunk's strings.
+CHUNK = 2_000
 ORDER = 4
 #: Decided URLs of which one in so many (by hash) calibrates instead of being counted.
 CALIBRATE = 5
@@ -163,30 +168,23 @@ def _scored(decided: DataFrame, ratio: Ratio) -> DataFrame:
     return decided.select("accepted", "url").mapInArrow(run, "accepted boolean, step int")
 
 
-def fit_urls(decided: DataFrame, order: int = ORDER, share: int = SHARE) -> UrlModel:
-    """Count both models over ``decided`` (accepted boolean, url) and calibrate the threshold.
+def _calibration() -> Column:
+    """Zero for the decided URLs that calibrate."""
+    return F.pmod(F.xxhash64("url"), F.lit(CALIBRATE))
 
-    All decided URLs are counted but one in CALIBRATE, which are scored; the threshold has the largest mean of the
-    two kinds' shares of right verdicts (the middle of the best ones).  If only one kind was counted, its verdict is
-    given to all; if none, all are allowed.
-    """
-    part = F.pmod(F.xxhash64("url"), F.lit(CALIBRATE))
-    counted = decided.where(part != 0).select("accepted", "url").mapInArrow(_grams(order), "accepted boolean, gram binary, n long")
-    grams = materialise(counted.groupBy("accepted", "gram").agg(F.sum("n").alias("n")), "grams")
-    size = grams.groupBy("accepted", F.octet_length("gram").alias("length")).agg(F.sum("n").alias("all"))  # at most 2 * (order + 1) rows
-    kept = grams.withColumn("length", F.octet_length("gram")).join(F.broadcast(size), ["accepted", "length"]).where(F.col("n") * share >= F.col("all"))
-    models: dict[bool, dict[bytes, int]] = {True: {}, False: {}}
-    for r in kept.select("accepted", "gram", "n").collect():  # at most 2 * (order + 1) * share rows
-        models[r.accepted][bytes(r.gram)] = r.n
-    if not models[True] or not models[False]:
-        return UrlModel(None, default="block" if models[False] else "allow")
-    ratio = Ratio(Markov.of(models[True], order), Markov.of(models[False], order))
-    steps = {k: [0] * STEPS for k in (True, False)}
-    for r in _scored(decided.where(part == 0), ratio).groupBy("accepted", "step").count().collect():  # at most 2 * STEPS rows
-        steps[r.accepted][r.step] = r["count"]
+
+def count_grams(decided: DataFrame, order: int = ORDER) -> DataFrame:
+    """(accepted, gram, n): all strings of 1 to ``order + 1`` bytes of the decided URLs that don't calibrate."""
+    counted = decided.where(_calibration() != 0).select("accepted", "url").mapInArrow(_grams(order), "accepted boolean, gram binary, n long")
+    return materialise(counted.groupBy("accepted", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def best_threshold(steps: dict[bool, list[int]]) -> float:
+    """The score from which on to accept, given both kinds' histograms: the middle of those with the largest mean of
+    the two kinds' shares of right verdicts; zero if a kind is missing."""
     good, bad = (sum(steps[k]) for k in (True, False))
     if not good or not bad:
-        return UrlModel(ratio)
+        return 0.0
     best, at, right = -1.0, [0], [good / good, 0.0]
     for k in range(STEPS + 1):  # accept from step k on
         mean = (right[0] + right[1]) / 2
@@ -196,29 +194,149 @@ def fit_urls(decided: DataFrame, order: int = ORDER, share: int = SHARE) -> UrlM
             at.append(k)
         if k < STEPS:
             right = [right[0] - steps[True][k] / good, right[1] + steps[False][k] / bad]
-    return UrlModel(ratio, at[len(at) // 2] * 16 / STEPS - 8)
+    return at[len(at) // 2] * 16 / STEPS - 8
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER, share: int = SHARE) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) of each row.
+def _histogram(scored: DataFrame) -> dict[bool, list[int]]:
+    steps = {k: [0] * STEPS for k in (True, False)}
+    for r in scored.groupBy("accepted", "step").count().collect():  # at most 2 * STEPS rows
+        steps[r.accepted][r.step] = r["count"]
+    return steps
 
-    URLs that a rule decides are the examples: allowed ones accepted, blocked ones rejected; the method decides the
-    others by their score (null where no model could be counted).  Null URLs have empty host and path and are scored
-    as empty text.  Repeated rows stay repeated; other columns are not read; an empty table gives no rows.
+
+def fit_urls(decided: DataFrame, order: int = ORDER, share: int = SHARE) -> UrlModel:
+    """A model that fits one process, over ``decided`` (accepted boolean, url); ``judge_urls`` doesn't use it.
+
+    Strings under 1 in ``share`` of their length are dropped.  All decided URLs are counted but one in CALIBRATE,
+    which are scored for the threshold.  If only one kind was counted, its verdict is given to all; if none, all are
+    allowed.
+    """
+    grams = count_grams(decided, order)
+    size = grams.groupBy("accepted", F.octet_length("gram").alias("length")).agg(F.sum("n").alias("all"))  # at most 2 * (order + 1) rows
+    kept = grams.withColumn("length", F.octet_length("gram")).join(F.broadcast(size), ["accepted", "length"]).where(F.col("n") * share >= F.col("all"))
+    models: dict[bool, dict[bytes, int]] = {True: {}, False: {}}
+    for r in kept.select("accepted", "gram", "n").collect():  # at most 2 * (order + 1) * share rows
+        models[r.accepted][bytes(r.gram)] = r.n
+    if not models[True] or not models[False]:
+        return UrlModel(None, default="block" if models[False] else "allow")
+    ratio = Ratio(Markov.of(models[True], order), Markov.of(models[False], order))
+    return UrlModel(ratio, best_threshold(_histogram(_scored(decided.where(_calibration() == 0), ratio))))
+
+
+def log_ratios(needed: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, term) of the different strings ``needed`` (gram, of ``order + 1`` bytes): the log of the ratio of both
+    models' probabilities of the last byte.  ``grams``: see ``count_grams``.
+
+    A probability of length k + 1 mixes the counts of its string with the probability of the string without its first
+    byte, so each length is joined to the one before.  A string has at most 256 others with its context or its end, so
+    no key of a join is hot.
     """
-    ruled = with_rule(pages, rules)
-    model = fit_urls(ruled.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), "url"), order, share)
+    kinds = (("accepted", F.col("accepted")), ("rejected", ~F.col("accepted")))
+    counts = materialise(grams.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k, c in kinds]), "counts")
+    sums = [F.sum(f"n_{k}").alias(f"all_{k}") for k, _ in kinds] + [F.count_if(F.col(f"n_{k}") > 0).alias(f"kinds_{k}") for k, _ in kinds]
+    contexts = materialise(counts.groupBy(F.expr("substring(gram, 1, octet_length(gram) - 1)").alias("context")).agg(*sums), "contexts")
+    wanted = [needed]
+    for k in range(order, 0, -1):
+        wanted.insert(0, wanted[0].select(F.expr(f"substring(gram, 2, {k})").alias("gram")).distinct())
+    shorter = None
+    for k, rows in enumerate(wanted):
+        rows = rows.withColumn("context", F.expr(f"substring(gram, 1, {k})"))
+        if shorter is None:
+            rows = rows.withColumns({f"p_{kind}": F.lit(1 / 256) for kind, _ in kinds})
+        else:
+            rows = rows.withColumn("end", F.expr(f"substring(gram, 2, {k})")).join(shorter.withColumnRenamed("gram", "end"), "end").drop("end")
+        rows = rows.join(counts.where(F.octet_length("gram") == k + 1), "gram", "left").join(contexts.where(F.octet_length("context") == k), "context", "left")
+        mixed = {}
+        for kind, _ in kinds:
+            n, whole, t, p = F.coalesce(f"n_{kind}", F.lit(0)), F.col(f"all_{kind}"), F.col(f"kinds_{kind}"), F.col(f"p_{kind}")
+            mixed[f"p_{kind}"] = F.when(whole > 0, (n + t * p) / (whole + t)).otherwise(p)
+        shorter = rows.withColumns(mixed).select("gram", *mixed)
+    return shorter.select("gram", F.log(F.col("p_accepted") / F.col("p_rejected")).alias("term"))
+
+
+def _windows(url: str | None, order: int) -> list[bytes]:
+    """The string of ``order + 1`` bytes at each byte of a URL and at its end.  Null counts as empty."""
+    text = BEGIN * order + (url or "").encode() + END
+    return [text[i - order : i + 1] for i in range(order, len(text))]
+
+
+def _chunk_grams(order: int):
+    """(chunk, gram), each once, of rows (chunk, url) that come by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, set()
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), pa.array(list(found), pa.binary())], ["chunk", "gram"])
+
         for b in batches:
-            urls, given = b.column(1).to_pylist(), b.column(5).to_pylist()
-            scores = [model.ratio.score(u) if model.ratio else None for u in urls]
-            own = [model.default if s is None else "allow" if s >= model.threshold else "block" for s in scores]
-            verdict = [g or v for g, v in zip(given, own)]
-            cols = [b.column(0), b.column(2), b.column(3), b.column(4), pa.array(verdict, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return ruled.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
+            for chunk, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if chunk != now:
+                    if found:
+                        yield full()
+                    now, found = chunk, set()
+                found.update(_windows(url, order))
+        if found:
+            yield full()
+
+    return run
+
+
+def _chunk_scores(order: int):
+    """(row, score) of rows (chunk, is_url, gram, term, row, url) that come by chunk, the terms of a chunk before its URLs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, terms = None, {}
+        for b in batches:
+            rows, scores = [], []
+            for chunk, is_url, gram, term, row, url in zip(*(c.to_pylist() for c in b.columns)):
+                if chunk != now:
+                    now, terms = chunk, {}
+                if is_url:
+                    of = _windows(url, order)
+                    rows.append(row)
+                    scores.append(sum(terms[g] for g in of) / len(of))
+                else:
+                    terms[gram] = term
+            yield pa.RecordBatch.from_arrays([pa.array(rows, ROW), pa.array(scores, pa.float64())], ["row", "score"])
+
+    return run
+
+
+#: What goes through the scoring task with each URL.
+ROW = pa.struct([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("calibrates", pa.bool_())])
+ROW_SCHEMA = "struct<page_id: bigint, host: string, path: string, rule: string, ruled: string, calibrates: boolean>"
+
+
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) of each row.
+
+    URLs that a rule decides are the examples: allowed ones accepted, blocked ones rejected; the method decides the
+    others by their score (null where no model could be counted: if only one kind was counted, its verdict is given to
+    all; if none, all are allowed).  Null URLs have empty host and path and are scored as empty text.  Repeated rows
+    stay repeated; other columns are not read; an empty table gives no rows.
+    """
+    ruled = with_rule(pages, rules).withColumn("page_id", F.col("page_id").cast("long"))
+    ruled = materialise(ruled.withColumn("calibrates", F.col("ruled").isNotNull() & (_calibration() == 0)), "urls")
+    grams = count_grams(ruled.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), "url"), order)
+    counted = {r.accepted for r in grams.select("accepted").distinct().collect()}  # at most two rows
+    if len(counted) < 2:
+        default = "block" if counted == {False} else "allow"
+        return ruled.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    spark = pages.sparkSession
+    n, chunks = partitions(spark), max(1, ruled.count() // chunk)
+    urls = ruled.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.lit(chunks)))
+    needed = urls.select("chunk", "url").repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_grams(order), "chunk long, gram binary")
+    needed = materialise(needed, "chunk-grams")
+    terms = log_ratios(materialise(needed.select("gram").distinct(), "url-grams"), grams, order)
+    given = needed.join(terms, "gram").select("chunk", F.lit(False).alias("is_url"), "gram", "term", F.lit(None).cast(ROW_SCHEMA).alias("row"), F.lit(None).cast("string").alias("url"))
+    asked = urls.select("chunk", F.lit(True).alias("is_url"), F.lit(None).cast("binary").alias("gram"), F.lit(None).cast("double").alias("term"), F.struct(*[f.name for f in ROW]).alias("row"), "url")
+    both = given.unionByName(asked).repartition(n, "chunk").sortWithinPartitions("chunk", "is_url")
+    scored = materialise(both.mapInArrow(_chunk_scores(order), f"row {ROW_SCHEMA}, score double").select("row.*", "score"), "scores")
+    step = F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + 8) * STEPS / 16))).cast("int").alias("step")
+    threshold = best_threshold(_histogram(scored.where("calibrates").select((F.col("ruled") == "allow").alias("accepted"), step)))
+    own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
