@@ -260,9 +260,9 @@ LIMIT = 0.20  # conflict limit of the registered searches: these data have no bl
 PARTS = 5  # parts of the joint grid of the registered query; the operators take any number
 
 
-def joint(spark, d):
+def joint(spark, d, parts=PARTS):
     """Blend and threshold grid on validation: average precision over all rows, policy and windows over midnight rows."""
-    grid = F.broadcast(P.simplex_grid(spark, PARTS))
+    grid = F.broadcast(P.simplex_grid(spark, parts))
     ap = P.blend_grid(validation(spark, d), grid, COLS, ["entity_id"])
     rows = base.wide(spark, d, midnight=True, splits=("val",)).join(grid)
     rows = rows.withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(COLS)), 12)).select("entity_id", "grid_order", "anchor_pos", "step", "empty", "kwh", "p")
@@ -273,7 +273,7 @@ def joint(spark, d):
     rec = at.join(cut).where(F.col("opening") >= F.col("threshold") - 1e-10).withColumn("rec", F.lit(True))
     windows = W.window_summary(rec, ["entity_id", "grid_order", "thr_idx"], [*keys, "thr_idx"]).select("entity_id", "grid_order", "thr_idx", "recommended_windows", "safe_windows")
     full = policy.join(windows, ["entity_id", "grid_order", "thr_idx"], "left").fillna(0, ["recommended_windows", "safe_windows"])
-    full = full.join(ap, ["entity_id", "grid_order"]).join(P.simplex_grid(spark, PARTS).select("grid_order", "w1", "w2", "w3", "nonzero"), "grid_order")
+    full = full.join(ap, ["entity_id", "grid_order"]).join(P.simplex_grid(spark, parts).select("grid_order", "w1", "w2", "w3", "nonzero"), "grid_order")
     return full.withColumn("blend_order", F.col("grid_order")).withColumn("grid_order", F.col("blend_order") * P.THRESHOLDS + F.col("thr_idx"))
 
 
@@ -321,6 +321,36 @@ def _(spark, d):
     return out
 
 
+# The whole search: steps of .05 and the reference's conflict limit.  No SQL (the grid is eleven times as large), so
+# tests/test_joint.py compares with brute force.  A limit that no blend keeps gives no pick.
+FINE_PARTS = P.step_parts(0.05)
+FINE_LIMIT = 0.10
+
+
+@query("joint_grid_fine")
+def _(spark, d):
+    return joint(spark, d, FINE_PARTS).select(*JOINT_COLS)
+
+
+@query("select_joint_fine")
+def _(spark, d):
+    return P.select_joint(joint(spark, d, FINE_PARTS), ["entity_id"], 0.99, FINE_LIMIT).select("entity_id", "grid_order")
+
+
+def candidates(grid, limit):
+    """The pick of each floor and entity."""
+    out = None
+    for f in FLOORS:
+        one = P.select_joint(grid, ["entity_id"], f, limit).select(F.lit("none" if f is None else f"{f:.2f}").alias("floor"), "entity_id", "grid_order")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("candidate_set_fine")
+def _(spark, d):
+    return candidates(joint(spark, d, FINE_PARTS), FINE_LIMIT)
+
+
 WINDOW_FLOORS = (0.0, 0.70, 0.80, 0.85, 0.90)
 PAIRS = ", ".join(f"({i * 4 + j}, {w}::DOUBLE, {'NULL' if a is None else a}::DOUBLE)" for i, w in enumerate(WINDOW_FLOORS) for j, a in enumerate(FLOORS))
 CONSTRAINED = f"""SELECT *, least(meets_conflict, meets_windows, meets_ap, has_window, has_coverage) AS feasible FROM (
