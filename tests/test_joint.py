@@ -2,8 +2,9 @@
 
 import pytest
 
+from tidemill.operators import policy as P
 from tidemill.plans import base
-from tidemill.plans.decide import COLS, FINE_PARTS, JOINT_COLS, joint
+from tidemill.plans.decide import COLS, ENTITY, FINE_PARTS, FLOORS, JOINT_COLS, WINDOW_FLOORS, constrained_fine, joint, references
 from tidemill.plans.queries import QUERIES
 
 
@@ -83,3 +84,37 @@ def test_fine_picks_keep_the_reference_limit(spark, sf):
     assert {tuple(r) for r in QUERIES["select_joint_fine"](spark, sf).collect()} == slow_picks(fine, 0.99)
     want = {("none" if f is None else f"{f:.2f}", *p) for f in (None, 0.95, 0.98, 0.99) for p in slow_picks(fine, f)}
     assert {tuple(r) for r in QUERIES["candidate_set_fine"](spark, sf).collect()} == want
+
+
+def test_each_entity_has_its_own_search(spark):
+    # entity 7's precisions are far under entity 3's: a best one over both would leave it nothing under any floor
+    rows = [
+        (e, i, 0.05 + i % 4 * 0.02, float(i * 37 % 11), 5, (i * 3 + e) % 6, 0.5, top - i * 0.004, 1 + i % 3)
+        for e, top in ((3, 0.9), (7, 0.4)) for i in range(30)
+    ]
+    names = ["entity_id", "grid_order", "conflict_rate", "safe_kwh", "recommended_windows", "safe_windows", "coverage", "average_precision", "nonzero"]
+    grid = spark.createDataFrame(rows, ", ".join(f"{n} {'double' if isinstance(v, float) else 'int'}" for n, v in zip(names, rows[0])))
+    flags, want, refs = set(), set(), set()
+    for e in (3, 7):
+        mine = [dict(zip(names, r)) for r in rows if r[0] == e]
+        best = max(r["average_precision"] for r in mine)
+        for k, (window, floor) in enumerate((w, f) for w in WINDOW_FLOORS for f in FLOORS):
+            ok = [r for r in mine if r["conflict_rate"] <= 0.1 and r["safe_windows"] / 5 >= window and (floor is None or round(r["average_precision"], 9) >= round(best * floor, 9))]
+            flags |= {(e, k, r["grid_order"], int(r in ok)) for r in mine}
+            if ok:
+                first = min(ok, key=lambda r: (-r["safe_kwh"], -r["safe_windows"] / 5, r["conflict_rate"], -r["average_precision"], -r["safe_windows"], r["nonzero"], r["grid_order"]))
+                want.add((e, k, first["grid_order"]))
+                if window == 0:
+                    first = min(ok, key=lambda r: (-r["safe_kwh"], r["conflict_rate"], -r["average_precision"], -r["safe_windows"], r["nonzero"], r["grid_order"]))
+                    refs.add((e, "none" if floor is None else f"{floor:.2f}", first["grid_order"]))
+    tried = constrained_fine(grid)
+    assert {tuple(r) for r in tried.select("entity_id", "constraint_order", "grid_order", "feasible").collect()} == flags
+    picked = P.select_window_aware(tried, ENTITY)
+    assert {tuple(r) for r in picked.select("entity_id", "constraint_order", "grid_order").collect()} == want and {e for e, _, _ in want} == {3, 7}
+    groups = {}
+    for e, k, g in sorted(want):
+        groups.setdefault((e, g), []).append(k)
+    assert {tuple(r) for r in P.dedupe_strategies(picked, ENTITY).collect()} == {(*at, 15 if 15 in ks else ks[0], "|".join(map(str, ks))) for at, ks in groups.items()}
+    got = references(grid).collect()
+    assert {(r.entity_id, r.constraint_order, r.grid_order) for r in got if r.role == "window_aware"} == want
+    assert {(r.entity_id, r.floor, r.grid_order) for r in got if r.role == "reference"} == refs and len(got) == len(want) + len(refs)

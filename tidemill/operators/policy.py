@@ -138,12 +138,12 @@ def select_joint(grid: DataFrame, keys: Sequence[str] = (), floor: float | None
     return top_one(ok, keys, joint_order())
 
 
-def constraint_grid(grid: DataFrame, window_floors: Sequence[float], ap_floors: Sequence[float | None], limit: float = 0.10) -> DataFrame:
-    """Each row under all pairs of floors, with five flags and their conjunction."""
+def constraint_grid(grid: DataFrame, window_floors: Sequence[float], ap_floors: Sequence[float | None], limit: float = 0.10, keys: Sequence[str] = ()) -> DataFrame:
+    """Each row under all pairs of floors, with five flags and their conjunction.  The best precision is that of its ``keys``."""
     guard_selection(grid)
     spark = grid.sparkSession
     pairs = [(i * len(ap_floors) + j, w, a) for i, w in enumerate(window_floors) for j, a in enumerate(ap_floors)]
-    base = grid.withColumn("best_ap", F.max("average_precision").over(Window.partitionBy()))
+    base = grid.withColumn("best_ap", F.max("average_precision").over(Window.partitionBy(*keys)))
     base = base.withColumn("safe_window_rate", ratio(F.col("safe_windows"), F.col("recommended_windows")))
     rows = base.join(F.broadcast(spark.createDataFrame(pairs, "constraint_order int, window_floor double, ap_floor double")))
     flags = {
@@ -157,8 +157,15 @@ def constraint_grid(grid: DataFrame, window_floors: Sequence[float], ap_floors:
     return rows.withColumn("feasible", F.least(*flags))
 
 
-def select_window_aware(constrained: DataFrame) -> DataFrame:
-    """For each pair of floors the feasible row with the most safe load; pairs without one have no row."""
+def select_window_aware(constrained: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """For each of ``keys`` and pair of floors the feasible row with the most safe load; pairs without one have no row."""
     guard_selection(constrained)
     order = joint_order(("safe_kwh desc", "safe_window_rate desc", "conflict_rate", "average_precision desc", "safe_windows desc", "nonzero", "grid_order"))
-    return top_one(constrained.where("feasible = 1"), ["constraint_order"], order)
+    return top_one(constrained.where("feasible = 1"), [*keys, "constraint_order"], order)
+
+
+def dedupe_strategies(selected: DataFrame, keys: Sequence[str] = (), primary: int = 15) -> DataFrame:
+    """(keys, grid_order, representative, rules): pairs of floors with the same pick as one, named by ``primary`` if it is among them."""
+    order = F.col("constraint_order")
+    rules = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.cast("string")), "|")
+    return selected.groupBy(*keys, "grid_order").agg(F.coalesce(F.max(F.when(order == primary, order)), F.min(order)).alias("representative"), rules.alias("rules"))

@@ -394,6 +394,41 @@ def _(spark, d):
     return new.unionByName(old, allowMissingColumns=True)
 
 
+ENTITY = ["entity_id"]
+
+
+def constrained_fine(grid):
+    """All pairs of floors for each entity of a joint grid."""
+    return P.constraint_grid(grid, WINDOW_FLOORS, FLOORS, FINE_LIMIT, ENTITY)
+
+
+@query("constraint_grid_fine")
+def _(spark, d):
+    return constrained_fine(joint(spark, d, FINE_PARTS)).select(*ENTITY, "constraint_order", "grid_order", *FLAGS)
+
+
+@query("select_window_aware_fine")
+def _(spark, d):
+    return P.select_window_aware(constrained_fine(joint(spark, d, FINE_PARTS)), ENTITY).select(*ENTITY, "constraint_order", "grid_order")
+
+
+@query("dedupe_strategies_fine")
+def _(spark, d):
+    return P.dedupe_strategies(P.select_window_aware(constrained_fine(joint(spark, d, FINE_PARTS)), ENTITY), ENTITY)
+
+
+def references(grid):
+    """Window-aware picks and reference picks of each entity of a joint grid."""
+    new = P.select_window_aware(constrained_fine(grid), ENTITY).select(F.lit("window_aware").alias("role"), *ENTITY, "constraint_order", "grid_order")
+    old = candidates(grid, FINE_LIMIT).select(F.lit("reference").alias("role"), "floor", *ENTITY, "grid_order")
+    return new.unionByName(old, allowMissingColumns=True)
+
+
+@query("reference_union_fine")
+def _(spark, d):
+    return references(joint(spark, d, FINE_PARTS))
+
+
 @query("canonical_policy", sql(f"SELECT entity_id, model, recommended_intervals, safe_intervals, safe_kwh, CASE model WHEN 'slot' THEN 1 WHEN 'persist' THEN 2 WHEN 'recent' THEN 3 ELSE 4 END AS model_order FROM ({POLICY}) WHERE delta = 0.1", "masked"), "safe_kwh")
 def _(spark, d):
     order = spark.createDataFrame([("slot", 1), ("persist", 2), ("recent", 3), ("blend", 4)], "model string, model_order int")
