@@ -1,10 +1,11 @@
 """The whole joint search against brute force."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import policy as P
 from tidemill.plans import base
-from tidemill.plans.decide import COLS, ENTITY, FINE_PARTS, FLOORS, JOINT_COLS, WINDOW_FLOORS, constrained_fine, joint, references
+from tidemill.plans.decide import COLS, ENTITY, FLOORS, JOINT_COLS, LIMIT, PARTS, WINDOW_FLOORS, constrained, joint, references
 from tidemill.plans.queries import QUERIES
 
 
@@ -32,7 +33,7 @@ def slow_policy(days, weights, cut):
     """(recommended, conflicts, safe load, windows, safe windows) of runs of four steps or more."""
     n = bad = kwh = windows = safe = 0
     for day in days:
-        on = [round(sum(w * r[c] for w, c in zip(weights, COLS)), 12) >= cut - 1e-10 for r in day]
+        on = [round(sum(w * r[c] for w, c in zip(weights, COLS)), 12) >= cut - 1e-11 for r in day]
         at = 0
         while at < len(day):
             end = at
@@ -80,10 +81,21 @@ def slow_picks(rows, floor, limit=0.10):
 
 
 def test_fine_picks_keep_the_reference_limit(spark, sf):
-    fine = joint(spark, sf, FINE_PARTS).select(*JOINT_COLS).collect()
+    fine = joint(spark, sf, PARTS).select(*JOINT_COLS).collect()
     assert {tuple(r) for r in QUERIES["select_joint_fine"](spark, sf).collect()} == slow_picks(fine, 0.99)
-    want = {("none" if f is None else f"{f:.2f}", *p) for f in (None, 0.95, 0.98, 0.99) for p in slow_picks(fine, f)}
-    assert {tuple(r) for r in QUERIES["candidate_set_fine"](spark, sf).collect()} == want
+    floors = {"none": None, "0.95": 0.95, "0.98": 0.98, "0.99": 0.99}
+    want = {(f"floor_{n}", *p) for n, f in floors.items() for p in slow_picks(fine, f)}
+    got = {tuple(r) for r in QUERIES["candidate_set_fine"](spark, sf).collect()}
+    assert {r for r in got if r[0].startswith("floor")} == want
+    assert {r[1:] for r in got if r[0] == "decision_optimal"} == slow_picks(fine, None) and {r[1:] for r in got if r[0] == "decision_optimal_0.99"} == slow_picks(fine, 0.99)
+    full = joint(spark, sf, PARTS).collect()
+    for e in (0, 1):  # roles with a given blend always have a pick
+        mine = [r for r in full if r.entity_id == e]
+        top = min(mine, key=lambda r: (-round(r.average_precision, 9), r.blend_order)).blend_order
+        for role, of in (("forecast_optimal", [r for r in mine if r.blend_order == top]), ("first_alone", [r for r in mine if r.w1 == 1]), ("second_alone", [r for r in mine if r.w2 == 1])):
+            met = [r for r in of if round(r.conflict_rate, 9) <= 0.10]
+            first = min(met, key=lambda r: (-round(r.safe_kwh, 6), -round(r.empty_recall, 9), r.grid_order)) if met else min(of, key=lambda r: (round(r.conflict_rate, 9), -round(r.safe_kwh, 6), r.grid_order))
+            assert (role, e, first.grid_order) in got
 
 
 def test_each_entity_has_its_own_search(spark):
@@ -93,7 +105,8 @@ def test_each_entity_has_its_own_search(spark):
         for e, top in ((3, 0.9), (7, 0.4)) for i in range(30)
     ]
     names = ["entity_id", "grid_order", "conflict_rate", "safe_kwh", "recommended_windows", "safe_windows", "coverage", "average_precision", "nonzero"]
-    grid = spark.createDataFrame(rows, ", ".join(f"{n} {'double' if isinstance(v, float) else 'int'}" for n, v in zip(names, rows[0])))
+    more = {"blend_order": F.col("grid_order"), "w1": F.lit(0.0), "w2": F.lit(0.0), "empty_recall": F.lit(0.5)}
+    grid = spark.createDataFrame(rows, ", ".join(f"{n} {'double' if isinstance(v, float) else 'int'}" for n, v in zip(names, rows[0]))).withColumns(more)
     flags, want, refs = set(), set(), set()
     for e in (3, 7):
         mine = [dict(zip(names, r)) for r in rows if r[0] == e]
@@ -106,8 +119,8 @@ def test_each_entity_has_its_own_search(spark):
                 want.add((e, k, first["grid_order"]))
                 if window == 0:
                     first = min(ok, key=lambda r: (-r["safe_kwh"], r["conflict_rate"], -r["average_precision"], -r["safe_windows"], r["nonzero"], r["grid_order"]))
-                    refs.add((e, "none" if floor is None else f"{floor:.2f}", first["grid_order"]))
-    tried = constrained_fine(grid)
+                    refs.add((e, "floor_none" if floor is None else f"floor_{floor:.2f}", first["grid_order"]))
+    tried = constrained(grid, LIMIT)
     assert {tuple(r) for r in tried.select("entity_id", "constraint_order", "grid_order", "feasible").collect()} == flags
     picked = P.select_window_aware(tried, ENTITY)
     assert {tuple(r) for r in picked.select("entity_id", "constraint_order", "grid_order").collect()} == want and {e for e, _, _ in want} == {3, 7}
@@ -115,6 +128,7 @@ def test_each_entity_has_its_own_search(spark):
     for e, k, g in sorted(want):
         groups.setdefault((e, g), []).append(k)
     assert {tuple(r) for r in P.dedupe_strategies(picked, ENTITY).collect()} == {(*at, 15 if 15 in ks else ks[0], "|".join(map(str, ks))) for at, ks in groups.items()}
-    got = references(grid).collect()
-    assert {(r.entity_id, r.constraint_order, r.grid_order) for r in got if r.role == "window_aware"} == want
-    assert {(r.entity_id, r.floor, r.grid_order) for r in got if r.role == "reference"} == refs and len(got) == len(want) + len(refs)
+    got = references(grid, LIMIT).collect()
+    assert {(r.entity_id, r.constraint_order, r.grid_order) for r in got if r.kind == "window_aware"} == want
+    assert {(r.entity_id, r.role, r.grid_order) for r in got if r.kind == "reference" and r.role.startswith("floor")} == refs
+    assert sum(r.kind == "window_aware" for r in got) == len(want) and {r.role for r in got if r.kind == "reference"} >= {"forecast_optimal", "decision_optimal"}

@@ -19,6 +19,8 @@ LOAD_ASSUMPTIONS = (
     ("hvac_lighting_plug_conservative", 0.3, 0.8, 0.1, 0.0),
     ("total_south_30pct", 0.0, 0.0, 0.0, 0.3),
 )
+#: Names that ``time_features`` gives.
+TIME_FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos", "is_weekend", "is_business_hour")
 CONTROL_SCENARIOS = (("full", 1.0), ("half", 0.5), ("quarter", 0.25))
 
 
@@ -119,6 +121,11 @@ def percent_label(share: str | Column) -> Column:
     return F.concat(F.round(100 * col(share)).cast("int").cast("string"), F.lit("%"))
 
 
+def near_equal(a: str | Column, b: str | Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether a lies within ``absolute`` plus ``relative`` of b's size of b; null if either is null."""
+    return F.abs(col(a) - col(b)) <= absolute + relative * F.abs(col(b))
+
+
 def convex_blend(parts: dict[str, float], clip: bool = True) -> Column:
     """Weighted sum of score columns.  ValueError: a negative weight, or weights that don't sum to one."""
     if any(w < 0 for w in parts.values()) or abs(sum(parts.values()) - 1) > 1e-12:

@@ -76,6 +76,12 @@ def coverage_gate(df: DataFrame, cols: Sequence[str], least: float = 0.25) -> Da
     return df.agg(share.alias("coverage")).withColumn("included", (F.col("coverage") >= least).cast("int"))
 
 
+def gated(df: DataFrame, cols: Sequence[str], least: float = 0.25) -> DataFrame:
+    """``df`` with the columns null, and ``included`` 0, unless enough bins have any of them."""
+    gate = F.broadcast(coverage_gate(df, cols, least).select("included"))  # one row
+    return df.join(gate).withColumns({c: F.when(F.col("included") == 1, F.col(c)) for c in cols})
+
+
 def future_explode(anchors: DataFrame, horizon: int = 96) -> DataFrame:
     """A row for each anchor and step; no shuffle."""
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon)))

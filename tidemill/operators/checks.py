@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,39 @@ def alignment(one: DataFrame, other: DataFrame, keys: Sequence[str], value: str,
     both = a.join(b, list(keys), "full")
     out = both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("matched"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"), F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0.0)).alias("max_delta"))
     return out.withColumn("ok", ((F.col("only_left") == 0) & (F.col("only_right") == 0) & (F.col("max_delta") <= tolerance)).cast("int"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join that stops the query if a key is there twice on either side."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    stop = F.raise_error(F.concat(F.lit("repeated key "), F.to_json(F.struct(*keys))))
+    single = lambda df: df.withColumn("_n", n).withColumn("_n", F.when(F.col("_n") > 1, stop).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
+    return single(left).join(single(right), list(keys))
+
+
+def join_coverage(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], limit: float = 0.01) -> DataFrame:
+    """(targets, unmatched, duplicate_keys, ok): share of rows without a match, and keys that ``lookup`` has more than once.
+
+    ``ok`` is 0 if more than ``limit`` of the rows lack a match or any key is repeated.
+    """
+    by = lookup.groupBy(*keys).count()
+    there = rows.select(*keys).join(by.select(*keys, F.lit(1).alias("_hit")), list(keys), "left")
+    share = there.agg(F.count("*").alias("targets"), F.coalesce(F.avg(F.col("_hit").isNull().cast("double")), F.lit(0.0)).alias("unmatched"))
+    twice = by.agg(F.count_if(F.col("count") > 1).alias("duplicate_keys"))
+    return share.join(F.broadcast(twice)).withColumn("ok", ((F.col("unmatched") <= limit) & (F.col("duplicate_keys") == 0)).cast("int"))
+
+
+def selection_rows(df: DataFrame, keys: Sequence[str], allowed: str = "val") -> DataFrame:
+    """(keys, rows, other_rows, test_columns): what a selection would see that it mustn't."""
+    named = sum("test" in c.lower() for c in df.columns)
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.col("split") != allowed).alias("other_rows"), F.lit(named).alias("test_columns"))
+
+
+def reconcile(observed: DataFrame, expected: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """(keys, counts, status): observed counts, and whether they are the expected ones; a key on one side only fails."""
+    a = observed.select(*keys, *counts)
+    b = expected.select(*keys, *(F.col(c).alias(f"_{c}") for c in counts))
+    same = F.lit(True)
+    for c in counts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(b, list(keys), "full").select(*keys, *counts, F.when(same, "pass").otherwise("fail").alias("status"))

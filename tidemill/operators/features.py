@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.scalar import week_floor
+from tidemill.functions.scalar import is_midnight, week_floor
 
 
 def split_bounds(bins: DataFrame, keys: Sequence[str], train: float = 0.5, val: float = 0.25) -> DataFrame:
@@ -31,6 +31,13 @@ def chrono_split(bins: DataFrame, keys: Sequence[str], history: int = 96, horizo
     return anchors.withColumn("split", split).where("split is not null").drop("n")
 
 
+def daily_anchors(anchors: DataFrame, keys: Sequence[str], time: str = "bin_start", horizon: int = 96) -> DataFrame:
+    """One anchor a day: those at midnight, or every ``horizon``-th from the first where a key has none at midnight."""
+    ends = anchors.groupBy(*keys).agg(F.bool_or(is_midnight(time)).alias("_any"), F.min("pos").alias("_first"))
+    chosen = F.when(F.col("_any"), is_midnight(time)).otherwise((F.col("pos") - F.col("_first")) % horizon == 0)
+    return anchors.join(ends, list(keys)).where(chosen).drop("_any", "_first")
+
+
 def rolling_origin_folds(bins: DataFrame, keys: Sequence[str], cuts: Sequence[float] = (0.5, 0.6, 0.7), days: int = 21, least: int = 100, history: int = 96, horizon: int = 96) -> DataFrame:
     """Anchors with fold and role (train or val); folds with under ``least`` anchors of either role are left out."""
     spark = bins.sparkSession

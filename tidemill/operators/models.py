@@ -1,4 +1,4 @@
-"""Spark ML forecasts: fitted on the training split, scored on the others."""
+"""Spark ML forecasts: fitted on the training split, scored on the others.  Fits start jobs at once, as Spark ML does."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.bins import future_explode
 from tidemill.operators.features import rolling_origin_folds
 from tidemill.operators.metrics import average_precision
+from tidemill.sources.scratch import materialise
 
+#: Boosting rounds of the registered fits; the published model has 320.  A parameter of ``gbt``.
+ROUNDS = 20
 
-def gbt(seed: int = 42, rounds: int = 20):
-    return GBTClassifier(featuresCol="x", labelCol="empty", weightCol="w", maxDepth=5, maxIter=rounds, seed=seed)
+
+def gbt(seed: int = 42, rounds: int = ROUNDS):
+    """Boosted trees that see 85 % of the features at each node, so that seeds differ."""
+    return GBTClassifier(featuresCol="x", labelCol="empty", weightCol="w", maxDepth=5, maxIter=rounds, stepSize=0.1, featureSubsetStrategy="0.85", seed=seed)
 
 
 def forest(seed: int = 42, trees: int = 70):
@@ -42,31 +48,68 @@ def _scored(model, rows: DataFrame) -> DataFrame:
 
 
 def fit_and_score(rows: DataFrame, cols: Sequence[str], make: Callable) -> DataFrame:
-    """Validation and test rows with the probability of empty as p."""
-    vectors = _vectors(rows, cols).persist()  # read again in each round of a fit
+    """Validation and test rows with the probability of empty as p.  ``rows``: better a written table; a fit reads it in each round."""
+    vectors = _vectors(rows, cols)
     return _scored(_fit(vectors.where("split = 'train'"), make), vectors.where("split <> 'train'"))
 
 
-def permutation_importance(rows: DataFrame, cols: Sequence[str], make: Callable, which: Sequence[str]) -> DataFrame:
-    """(feature, drop) of average precision on validation when a feature's values are dealt out anew within it."""
-    model = _fit(_vectors(rows, cols).where("split = 'train'").persist(), make)
-    val = rows.where("split = 'val'").select("empty", *cols).persist()
-    whole = average_precision(_scored(model, _vectors(val, cols)).withColumn("g", F.lit(1)), ["g"]).select(F.col("average_precision").alias("base"))
+def fit_and_score_seeds(rows: DataFrame, cols: Sequence[str], make: Callable, seeds: Sequence[int]) -> DataFrame:
+    """The same for each seed, with a column ``seed``; ``make(seed)``."""
+    out = None
+    for seed in seeds:  # one fit each
+        one = fit_and_score(rows, cols, lambda s=seed: make(s)).withColumn("seed", F.lit(seed))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def direct_linear(bins: DataFrame, anchors: DataFrame, keys: Sequence[str], horizon: int = 96, buckets: int = 4) -> DataFrame:
+    """Scores from the last ``horizon`` labels alone: one logistic map for each bucket of steps, with the step as a feature.
+
+    ``anchors``: (keys, pos, split) with the column ``history``.  Returns validation and test rows (keys, split,
+    anchor_pos, step, empty, p).
+    """
+    target = bins.select(*keys, F.col("pos").alias("target_pos"), "empty")
+    rows = future_explode(anchors.select(*keys, "split", "pos", "history"), horizon).join(target, [*keys, "target_pos"])
+    x = array_to_vector(F.concat(F.transform("history", lambda v: v.cast("double")), F.array(F.col("step") / horizon)))
+    bucket = F.floor((F.col("step") - 1) * buckets / horizon).cast("int")
+    table = materialise(rows.select(*keys, "split", F.col("pos").alias("anchor_pos"), "step", "empty", bucket.alias("bucket"), x.alias("x")), "histories")
     out = None
-    place = lambda *o: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(*cols), F.lit(64))).orderBy(*o))  # noqa: E731  ranks within 64 parts, not over all rows
-    part = F.pmod(F.xxhash64(*cols), F.lit(64))
-    for c in which:
-        a = val.withColumns({"_part": part, "_i": place(F.xxhash64(*cols))})
-        b = a.select("_part", F.col(c).alias("_c"), F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.col("_i"), F.lit(7)))).alias("_i"))
-        moved = a.drop(c).join(b, ["_part", "_i"]).withColumnRenamed("_c", c).drop("_part", "_i")
-        ap = average_precision(_scored(model, _vectors(moved, cols)).withColumn("feature", F.lit(c)), ["feature"])
-        out = ap if out is None else out.unionByName(ap)
-    return out.join(F.broadcast(whole)).select("feature", (F.col("base") - F.col("average_precision")).alias("drop"))
-
-
-def rolling_origin(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Average precision of the slot average in each fold's validation anchors, one step ahead."""
+    for b in range(buckets):
+        part = table.where(F.col("bucket") == b)
+        one = _scored(_fit(part.where("split = 'train'"), linear), part.where("split <> 'train'"))
+        out = one if out is None else out.unionByName(one)
+    return out.drop("bucket")
+
+
+def permutation_importance(rows: DataFrame, cols: Sequence[str], make: Callable, which: Sequence[str], parts: int = 64) -> DataFrame:
+    """(feature, drop) of average precision on validation when a feature's values are dealt out anew.
+
+    Rows are dealt within ``parts`` parts by hash, so none is sorted as a whole.  One join pairs each row with another;
+    each feature then is one copy of the row with that feature taken from its partner.
+    """
+    model = _fit(_vectors(rows, cols).where("split = 'train'"), make)
+    part = F.pmod(F.xxhash64(*cols), F.lit(parts))
+    val = rows.where("split = 'val'").select("empty", F.array(*(F.col(c).cast("double") for c in cols)).alias("v"), part.alias("_part"))
+    in_part = lambda *o: F.row_number().over(Window.partitionBy("_part").orderBy(*o))
+    a = val.withColumn("_i", in_part(F.xxhash64("v"), "v"))
+    b = a.select("_part", F.col("v").alias("u"), in_part(F.xxhash64(F.col("_i"), F.lit(7))).alias("_i"))
+    which_at = F.array(F.lit(-1), *(F.lit(list(cols).index(c)) for c in which))  # -1: as it is
+    paired = a.join(b, ["_part", "_i"]).withColumn("k", F.explode(which_at))
+    moved = paired.select("k", "empty", array_to_vector(F.transform("v", lambda x, j: F.when(j == F.col("k"), F.element_at("u", j + 1)).otherwise(x))).alias("x"))
+    ap = average_precision(_scored(model, moved), ["k"])
+    whole = ap.where("k = -1").select(F.col("average_precision").alias("base"))
+    named = F.element_at(F.array(*(F.lit(c) for c in cols)), F.col("k") + 1)
+    return ap.where("k >= 0").join(F.broadcast(whole)).select(named.alias("feature"), (F.col("base") - F.col("average_precision")).alias("drop"))
+
+
+def slot_average_of_folds(bins: DataFrame, keys: Sequence[str], horizon: int = 96) -> DataFrame:
+    """(keys, fold, anchor_pos, step, empty, p) of each fold's validation anchors: the mean of the slot before the fold's
+    boundary, or of all bins before it where the slot has none."""
     folds = rolling_origin_folds(bins, keys)
-    train = folds.where("role = 'train'").groupBy(*keys, "fold", "slot").agg(F.avg("empty").alias("p"))
-    val = folds.where("role = 'val'").join(train, [*keys, "fold", "slot"])
-    return average_precision(val, [*keys, "fold"])
+    before = bins.select(*keys, "bin_start", "slot", "empty").join(folds.select(*keys, "fold", "b").distinct(), list(keys)).where("bin_start < b")
+    slots = before.groupBy(*keys, "fold", "slot").agg(F.avg("empty").alias("slot_mean"))
+    mean = before.groupBy(*keys, "fold").agg(F.avg("empty").alias("mean"))
+    steps = future_explode(folds.where("role = 'val'").select(*keys, "fold", "pos"), horizon).withColumnRenamed("pos", "anchor_pos")
+    target = bins.select(*keys, F.col("pos").alias("target_pos"), "slot", "empty")
+    rows = steps.join(target, [*keys, "target_pos"]).join(slots, [*keys, "fold", "slot"], "left").join(mean, [*keys, "fold"])
+    return rows.select(*keys, "fold", "anchor_pos", "step", "empty", F.coalesce("slot_mean", "mean").alias("p"))

@@ -1,4 +1,4 @@
-"""Resampling of whole daily horizons by multiplicity: no row is repeated for a replicate."""
+"""Resampling of whole daily horizons by multiplicity: what is summed for a block is summed once, before the draws."""
 
 from __future__ import annotations
 
@@ -7,27 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the arithmetic draws: a multiplicative hash of (replicate, draw, seed) that any engine can compute.
-DRAW = (48271, 69621, 16807, 2147483647)
+from tidemill.operators.metrics import curve_precision, running_sums
 
 
 def draws(blocks: DataFrame, reps: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, rep, block_no, mult): how often each block (numbered from 0 by ``block_no``) is drawn in each replicate.
 
-    As many draws as blocks.  Integer arithmetic only, so the same draws come out everywhere.
+    As many draws as blocks, with replacement.  A draw is 52 bits of the MD5 sum of seed, keys, replicate and draw,
+    modulo the number of blocks: any engine gives the same draws, and they pass for independent ones.
     """
     spark = blocks.sparkSession
     n = blocks.groupBy(*keys).agg(F.count("*").alias("n"))
     rep = spark.range(reps).select(F.col("id").alias("rep"))
     each = n.join(F.broadcast(rep)).select(*keys, "rep", "n", F.explode(F.expr("sequence(0L, n - 1)")).alias("draw"))
-    a, b, c, m = DRAW
-    x = F.expr(f"((rep + 1) * {a}L + (draw + 1) * {b}L + {seed}L * {c}L) % {m}L")
-    return each.withColumn("block_no", ((x * a + 11) % m) % F.col("n")).groupBy(*keys, "rep", "block_no").agg(F.count("*").alias("mult"))
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.col("draw").cast("string")).cast("binary"))
+    x = F.conv(F.substring(mixed, 1, 13), 16, 10).cast("long")
+    return each.withColumn("block_no", x % F.col("n")).groupBy(*keys, "rep", "block_no").agg(F.count("*").alias("mult"))
+
+
+def number_blocks(rows: DataFrame, keys: Sequence[str], block: str = "anchor_pos") -> DataFrame:
+    """(keys, block, block_no): the blocks of each key, numbered from 0 in order.  One row a day, so a window over them is small."""
+    order = Window.partitionBy(*keys).orderBy(block)
+    return rows.select(*keys, block).distinct().withColumn("block_no", (F.row_number().over(order) - 1).cast("long"))
+
+
+def resampled(sums: DataFrame, blocks: DataFrame, reps: int, keys: Sequence[str], group: Sequence[str], cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """(group, rep, cols): for each replicate the sums over drawn blocks.
+
+    ``sums``: rows (group, anchor_pos, cols), summed for each block; ``group`` holds ``keys``.
+    """
+    drawn = blocks.join(draws(blocks, reps, seed, keys), [*keys, "block_no"]).select(*keys, "anchor_pos", "rep", "mult")
+    rows = sums.join(drawn, [*keys, "anchor_pos"])
+    return rows.groupBy(*group, "rep").agg(*(F.sum(F.col("mult") * F.col(c)).alias(c) for c in cols))
+
+
+def score_sums(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, score, tp, fp) of rows with p and empty: one row for each distinct score."""
+    return rows.groupBy(*group, F.col("p").alias("score")).agg(F.sum("empty").alias("tp"), F.sum(1 - F.col("empty")).alias("fp"))
+
+
+def precision_by_replicate(replicates: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Average precision of each group from rows (group, score, tp, fp)."""
+    by = replicates.withColumns({c: F.col(c).cast("double") for c in ("tp", "fp")})
+    return curve_precision(running_sums(by, group, "score", {"cum_tp": "tp", "cum_fp": "fp"}), group)
+
+
+def without_each_block(by_block: DataFrame, blocks: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """(group, omitted, score, tp, fp): score sums of all blocks but one, as the total less the block's own.
+
+    Its size is distinct scores times blocks, not rows times blocks.
+    """
+    total = by_block.groupBy(*group, "score").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"))
+    each = total.join(blocks.select(*keys, F.col("anchor_pos").alias("omitted")), list(keys))
+    own = by_block.withColumnRenamed("anchor_pos", "omitted").select(*group, "omitted", "score", "tp", "fp")
+    left = each.join(own, [*group, "omitted", "score"], "left").fillna(0, ["tp", "fp"])
+    return left.select(*group, "omitted", "score", (F.col("_tp") - F.col("tp")).alias("tp"), (F.col("_fp") - F.col("fp")).alias("fp")).where("tp + fp > 0")
 
 
 def interval(values: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Mean and central 95 % interval over replicates."""
-    q = lambda p: F.percentile(value, p)
+    q = lambda p: F.percentile(value, p)  # noqa: E731  of as many values as there are replicates
     return values.groupBy(*group).agg(F.avg(value).alias("mean"), q(0.025).alias("low"), q(0.975).alias("high"), F.count("*").alias("reps"))
 
 

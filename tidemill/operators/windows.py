@@ -20,6 +20,14 @@ def opening(df: DataFrame, keys: Sequence[str], length: int = 4, score: str = "p
     return df.withColumn("_low", low).withColumn(out, F.max("_low").over(back)).drop("_low")
 
 
+def openings(df: DataFrame, keys: Sequence[str], lengths: Sequence[int], score: str = "p") -> DataFrame:
+    """A row for each step and least length (min_steps) with its opening; all lengths in one sort of the horizons."""
+    for k in lengths:
+        df = opening(df, keys, k, score, f"_o{k}")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("min_steps"), F.col(f"_o{k}").alias("opening")) for k in lengths)))
+    return df.withColumn("_x", each).select(*(c for c in df.columns if not c.startswith("_o")), "_x.min_steps", "_x.opening")
+
+
 def stable_mask(df: DataFrame, keys: Sequence[str], threshold, length: int = 4, score: str = "p") -> DataFrame:
     """Adds ``rec``: whether the step is recommended at the threshold (a column or a number)."""
     cut = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
@@ -46,15 +54,42 @@ def window_summary(df: DataFrame, group: Sequence[str], keys: Sequence[str], fla
     )
 
 
-def detected_windows(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """Runs of truly empty steps with whether any recommended run of the same horizon overlaps them.
+def window_changes(df: DataFrame, keys: Sequence[str], level: str) -> DataFrame:
+    """(keys, i, windows, conflicts): what to add at level ``i`` so that sums from the top count windows at each level.
 
-    Within a horizon runs are few, so the equi-join on the horizon with a range condition stays small.
+    ``level``: column with the highest level at which the step is recommended, -1 if at none.  At a level a window
+    begins where a step reaches it and the step before doesn't, so windows are steps less neighbouring pairs.  A
+    window with occupied steps is counted at the first of these: an occupied step counts, less that reached together
+    with the occupied step before and all steps between.  One pass serves all levels.
+    """
+    w = Window.partitionBy(*keys).orderBy("step")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    busy = F.when(F.col("empty") == 0, 1).otherwise(0)
+    rows = df.select(*keys, "step", F.col(level).alias("_i"), busy.alias("_busy"))
+    rows = rows.withColumns({"_both": F.least("_i", F.coalesce(F.lag("_i").over(w), F.lit(-1))), "_part": F.sum("_busy").over(upto)})
+    rows = rows.withColumn("_low", F.min("_i").over(Window.partitionBy(*keys, "_part")))  # from an occupied step up to the next
+    held = F.least("_i", F.when(F.col("_part") > 1, F.lag("_low").over(w)).otherwise(-1))
+    change = lambda i, n, c: F.struct(i.alias("i"), n.alias("windows"), c.alias("conflicts"))
+    each = F.array(change(F.col("_i"), F.lit(1), F.col("_busy")), change(F.col("_both"), F.lit(-1), F.lit(0)), change(F.col("_held"), F.lit(0), -F.col("_busy")))
+    return rows.withColumn("_held", held).select(*keys, F.explode(each).alias("x")).select(*keys, "x.*").where("i >= 0")
+
+
+def detected_windows(df: DataFrame, keys: Sequence[str], lengths: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(true windows, recommended windows) under each least length (min_steps).
+
+    True windows are runs of empty steps, with ``detected``: whether a recommended run of that length overlaps them in
+    the same horizon.  Runs are cut once for all lengths.  Within a horizon runs are few, so the equi-join on the
+    horizon with a range condition stays small.
     """
-    true = extract_windows(df.withColumn("_e", F.col("empty") == 1), keys, "_e", least).select(*keys, "start_step", "end_step_excl")
-    pred = extract_windows(df, keys, "rec", least).select(*keys, F.col("start_step").alias("_s"), F.col("end_step_excl").alias("_e"))
-    hit = true.join(pred, list(keys)).where(F.greatest("start_step", "_s") < F.least("end_step_excl", "_e")).select(*keys, "start_step").distinct().withColumn("detected", F.lit(1))
-    return true.join(hit, [*keys, "start_step"], "left").withColumn("detected", F.coalesce("detected", F.lit(0)))
+    grid = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in lengths], "min_steps int"))
+    long_enough = lambda runs: runs.drop("window_no").join(grid, F.col("length") >= F.col("min_steps"))
+    least = min(lengths)
+    true = long_enough(extract_windows(df.withColumn("_e", F.col("empty") == 1), keys, "_e", least))
+    pred = long_enough(extract_windows(df, keys, "rec", least, {"safe": F.min("empty").alias("safe")}))
+    other = pred.select(*keys, "min_steps", F.col("start_step").alias("_s"), F.col("end_step_excl").alias("_e"))
+    place = [*keys, "min_steps", "start_step"]
+    hit = true.join(other, [*keys, "min_steps"]).where(F.greatest("start_step", "_s") < F.least("end_step_excl", "_e")).select(*place).distinct().withColumn("detected", F.lit(1))
+    return true.join(hit, place, "left").withColumn("detected", F.coalesce("detected", F.lit(0))), pred
 
 
 def conflict_severity(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,59 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import scalar as S
+from tidemill.operators import bins as B
 from tidemill.operators import checks as C
+from tidemill.operators import features as L
 from tidemill.operators import metrics as M
 from tidemill.operators import models as ML
 from tidemill.operators import policy as P
 from tidemill.operators import uncertainty as U
+from tidemill.operators import windows as W
 from tidemill.plans import base
 from tidemill.plans.base import KEY, sql
-from tidemill.plans.decide import chosen, masked, midnight, opened  # noqa: F401
-from tidemill.plans.forecast import AP, G, GROUP
-from tidemill.plans.prepare import tabular
+from tidemill.plans.decide import COLS, GRID_AP, chosen, masked, midnight, opened, swept, validation, with_grid
+from tidemill.plans.forecast import AP, CLIP, G, GROUP, POINT
+from tidemill.plans.prepare import CALENDAR, TABULAR, feature_rows, tabular
 from tidemill.plans.registry import query
+from tidemill.sources.scratch import materialise
 
-REPS = 200
+#: Replicates of the metrics and of the stability of choices, and blends that compete in the latter.
+REPS, CHOICE_REPS, TOP_BLENDS = 2000, 1000, 12
 
 BLOCKS = """SELECT entity_id, anchor_pos, model, count(*) FILTER (rec) AS rec, count(*) FILTER (rec AND empty = 0) AS bad, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh FROM masked WHERE delta = 0.1 GROUP BY 1, 2, 3"""
-NUMBERED = "SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY anchor_pos) - 1 AS block_no, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, anchor_pos FROM masked)"
-X = "((rep + 1) * 48271 + (draw + 1) * 69621 + 42 * 16807) % 2147483647"
-DRAWN = f"SELECT entity_id, rep, ((({X}) * 48271 + 11) % 2147483647) % n AS block_no, count(*) AS mult FROM (SELECT entity_id, any_value(n) AS n FROM numbered GROUP BY 1) JOIN range({REPS}) r(rep) ON TRUE JOIN range(1000) q(draw) ON draw < n GROUP BY 1, 2, 3"
-BOOT = sql("", "masked") + f""", numbered AS MATERIALIZED ({NUMBERED}), blocks AS MATERIALIZED ({BLOCKS}), drawn AS MATERIALIZED ({DRAWN}),
-reps AS MATERIALIZED (SELECT entity_id, model, rep, coalesce(sum(mult * bad) / nullif(sum(mult * rec), 0), 0)::DOUBLE AS conflict_rate, sum(mult * safe_kwh)::DOUBLE AS safe_kwh FROM drawn JOIN numbered USING (entity_id, block_no) JOIN blocks USING (entity_id, anchor_pos) GROUP BY 1, 2, 3)
-"""
 
 
-def block_stats(spark, d):
-    m = masked(spark, d).where("delta = 0.1")
-    y, r = F.col("empty") == 1, F.col("rec")
-    return m.groupBy(*KEY, "anchor_pos", "model").agg(F.count_if(r).alias("rec"), F.count_if(r & ~y).alias("bad"), F.coalesce(F.sum(F.when(r & y, F.col("kwh"))), F.lit(0.0)).alias("safe_kwh"))
+def numbered(source):
+    return f"SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY anchor_pos) - 1 AS block_no, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, anchor_pos FROM {source})"
+
+
+def drawn(reps):
+    return f"SELECT entity_id, rep, ('0x' || substr(md5(concat_ws('|', 42, entity_id, rep, draw)), 1, 13))::BIGINT % n AS block_no, count(*) AS mult FROM (SELECT entity_id, rep, n, unnest(range(n)) AS draw FROM (SELECT entity_id, any_value(n) AS n FROM numbered GROUP BY 1) JOIN range({reps}) r(rep) ON TRUE) GROUP BY 1, 2, 3"
+
+
+def ap_sql(source, group):
+    """Average precision of each group from rows (group, score, tp, fp)."""
+    return f"SELECT {group}, coalesce(sum(tp * ct / (ct + cf)) / nullif(sum(tp), 0), 0) AS ap FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM {source} WINDOW w AS (PARTITION BY {group} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY {group}"
+
+
+BOOT = sql("", "masked") + f""", numbered AS MATERIALIZED ({numbered('masked')}), blocks AS MATERIALIZED ({BLOCKS}), drawn AS MATERIALIZED ({drawn(REPS)}),
+drawn_days AS MATERIALIZED (SELECT entity_id, rep, anchor_pos, mult FROM drawn JOIN numbered USING (entity_id, block_no)),
+scored AS MATERIALIZED (SELECT entity_id, model, rep, p AS score, sum(mult * tp)::DOUBLE AS tp, sum(mult * fp)::DOUBLE AS fp FROM (SELECT entity_id, model, anchor_pos, p, sum(empty) AS tp, sum(1 - empty) AS fp FROM masked WHERE delta = 0.1 GROUP BY 1, 2, 3, 4) JOIN drawn_days USING (entity_id, anchor_pos) GROUP BY 1, 2, 3, 4),
+reps AS MATERIALIZED (SELECT * FROM (SELECT entity_id, model, rep, coalesce(sum(mult * bad) / nullif(sum(mult * rec), 0), 0)::DOUBLE AS conflict_rate, sum(mult * safe_kwh)::DOUBLE AS safe_kwh FROM drawn_days JOIN blocks USING (entity_id, anchor_pos) GROUP BY 1, 2, 3)
+  JOIN (SELECT * RENAME (ap AS average_precision) FROM ({ap_sql('scored', 'entity_id, model, rep')})) USING (entity_id, model, rep))
+"""
+METRICS = ["average_precision", "conflict_rate", "safe_kwh"]
 
 
 def replicates(spark, d):
-    stats = block_stats(spark, d)
-    numbered = stats.select(*KEY, "anchor_pos").distinct().withColumn("block_no", (F.row_number().over(Window.partitionBy(*KEY).orderBy("anchor_pos")) - 1).cast("long"))
-    drawn = U.draws(numbered, REPS, keys=KEY).join(numbered, [*KEY, "block_no"]).join(stats, [*KEY, "anchor_pos"])
-    w = lambda c: F.sum(F.col("mult") * F.col(c))
-    return drawn.groupBy(*KEY, "model", "rep").agg(M.ratio(w("bad"), w("rec")).alias("conflict_rate"), w("safe_kwh").alias("safe_kwh"))
+    """(entity_id, model, rep, average_precision, conflict_rate, safe_kwh) on test horizons under the thresholds selected at 10 %."""
+    m = masked(spark, d).where("delta = 0.1")
+    blocks = U.number_blocks(m, KEY)
+    y, r, group = F.col("empty") == 1, F.col("rec"), [*KEY, "model"]
+    stats = m.groupBy(*group, "anchor_pos").agg(F.count_if(r).alias("rec"), F.count_if(r & ~y).alias("bad"), F.coalesce(F.sum(F.when(r & y, F.col("kwh"))), F.lit(0.0)).alias("safe_kwh"))
+    policy = U.resampled(stats, blocks, REPS, KEY, group, ["rec", "bad", "safe_kwh"])
+    policy = policy.select(*group, "rep", M.ratio(F.col("bad"), F.col("rec")).alias("conflict_rate"), "safe_kwh")
+    scores = U.resampled(U.score_sums(m, [*group, "anchor_pos"]), blocks, REPS, KEY, [*group, "score"], ["tp", "fp"])
+    return policy.join(U.precision_by_replicate(scores, [*group, "rep"]), [*group, "rep"])
 
 
 def ci(c):
     return f"SELECT entity_id, model, '{c}' AS metric, avg({c}) AS mean, quantile_cont({c}, 0.025) AS low, quantile_cont({c}, 0.975) AS high, count(*) AS reps FROM reps GROUP BY 1, 2"
 
 
-@query("block_bootstrap", BOOT + ci("conflict_rate") + " UNION ALL " + ci("safe_kwh"), "mean low high")
+@query("block_bootstrap", BOOT + " UNION ALL ".join(map(ci, METRICS)), "mean low high")
 def _(spark, d):
-    r = replicates(spark, d).unpivot([*KEY, "model", "rep"], ["conflict_rate", "safe_kwh"], "metric", "value")
+    r = replicates(spark, d).unpivot([*KEY, "model", "rep"], METRICS, "metric", "value")
     return U.interval(r, [*KEY, "model", "metric"], "value")
 
 
-@query("paired_contrast", BOOT + "SELECT a.entity_id, b.model AS comparator, avg(a.safe_kwh - b.safe_kwh) AS mean, quantile_cont(a.safe_kwh - b.safe_kwh, 0.025) AS low, quantile_cont(a.safe_kwh - b.safe_kwh, 0.975) AS high, count(*) AS reps FROM reps a JOIN reps b ON a.entity_id = b.entity_id AND a.rep = b.rep WHERE a.model = 'blend' AND b.model <> 'blend' GROUP BY 1, 2", "mean low high")
+def contrast(c):
+    return f"SELECT a.entity_id, b.model AS comparator, '{c}' AS metric, avg(a.{c} - b.{c}) AS mean, quantile_cont(a.{c} - b.{c}, 0.025) AS low, quantile_cont(a.{c} - b.{c}, 0.975) AS high, count(*) AS reps FROM reps a JOIN reps b ON a.entity_id = b.entity_id AND a.rep = b.rep WHERE a.model = 'blend' AND b.model <> 'blend' GROUP BY 1, 2"
+
+
+@query("paired_contrast", BOOT + " UNION ALL ".join(map(contrast, METRICS)), "mean low high")
 def _(spark, d):
-    r = replicates(spark, d)
-    a = r.where("model = 'blend'").select(*KEY, "rep", F.col("safe_kwh").alias("a"))
-    both = r.where("model <> 'blend'").join(a, [*KEY, "rep"]).withColumn("value", F.col("a") - F.col("safe_kwh"))
-    return U.interval(both.withColumnRenamed("model", "comparator"), [*KEY, "comparator"], "value")
+    r = replicates(spark, d).unpivot([*KEY, "model", "rep"], METRICS, "metric", "value")
+    a = r.where("model = 'blend'").select(*KEY, "rep", "metric", F.col("value").alias("a"))
+    both = r.where("model <> 'blend'").join(a, [*KEY, "rep", "metric"]).withColumn("value", F.col("a") - F.col("value"))
+    return U.interval(both.withColumnRenamed("model", "comparator"), [*KEY, "comparator", "metric"], "value")
 
 
 @query("uncertainty_compact", BOOT + f"SELECT entity_id, model, CASE model WHEN 'blend' THEN 1 ELSE 2 END AS place, low, high FROM ({ci('safe_kwh')}) WHERE model IN ('blend', 'slot')", "low high")
@@ -66,52 +90,66 @@ def _(spark, d):
     return U.interval(replicates(spark, d), [*KEY, "model"], "safe_kwh").join(F.broadcast(order), "model").select(*KEY, "model", "place", "low", "high")
 
 
-LOO = sql("", "opened", "grid") + """, per AS MATERIALIZED (SELECT entity_id, model, anchor_pos, thr_idx, count(*) FILTER (rec) AS rec, count(*) FILTER (rec AND empty = 0) AS bad, count(*) FILTER (empty = 1) AS em, count(*) FILTER (rec AND empty = 1) AS good, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS kwh
-  FROM (SELECT *, coalesce(opening >= threshold - 1e-10, FALSE) AS rec FROM opened JOIN grid ON TRUE WHERE split = 'val') GROUP BY 1, 2, 3, 4),
-loo AS MATERIALIZED (SELECT entity_id, model, thr_idx, anchor_pos AS omitted, sum(rec) OVER w - rec AS rec, sum(bad) OVER w - bad AS bad, sum(good) OVER w - good AS good, sum(em) OVER w - em AS em, sum(kwh) OVER w - kwh AS kwh FROM per WINDOW w AS (PARTITION BY entity_id, model, thr_idx)),
-rated AS MATERIALIZED (SELECT *, round(coalesce(bad / nullif(rec, 0), 0), 9) AS c, round(coalesce(good / nullif(em, 0), 0), 9) AS r FROM loo)
-SELECT entity_id, model, thr_idx, count(*) AS times FROM (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY entity_id, model, omitted ORDER BY (c <= 0.1)::INTEGER DESC, CASE WHEN c <= 0.1 THEN -round(kwh, 6) ELSE c END, CASE WHEN c <= 0.1 THEN -r ELSE -round(kwh, 6) END, thr_idx) = 1) GROUP BY 1, 2, 3"""
+PER = sql("", "opened", "grid") + f""", per AS MATERIALIZED (SELECT entity_id, model, anchor_pos, thr_idx, count(*) FILTER (rec) AS rec, count(*) FILTER (rec AND empty = 0) AS bad, count(*) FILTER (empty = 1) AS em, count(*) FILTER (rec AND empty = 1) AS good, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS kwh
+  FROM (SELECT *, coalesce(opening >= threshold - 1e-11, FALSE) AS rec FROM opened JOIN grid ON TRUE WHERE split = 'val') GROUP BY 1, 2, 3, 4),
+numbered AS MATERIALIZED ({numbered('per')}), drawn AS MATERIALIZED ({drawn(CHOICE_REPS)}),
+sums AS MATERIALIZED (SELECT 'leave_one_out' AS method, entity_id, model, thr_idx, anchor_pos AS rep, sum(rec) OVER w - rec AS rec, sum(bad) OVER w - bad AS bad, sum(good) OVER w - good AS good, sum(em) OVER w - em AS em, sum(kwh) OVER w - kwh AS kwh FROM per WINDOW w AS (PARTITION BY entity_id, model, thr_idx)
+  UNION ALL SELECT 'bootstrap', entity_id, model, thr_idx, rep, sum(mult * rec), sum(mult * bad), sum(mult * good), sum(mult * em), sum(mult * kwh) FROM drawn JOIN numbered USING (entity_id, block_no) JOIN per USING (entity_id, anchor_pos) GROUP BY 2, 3, 4, 5),
+rated AS MATERIALIZED (SELECT *, round(coalesce(bad / nullif(rec, 0), 0), 9) AS c, round(coalesce(good / nullif(em, 0), 0), 9) AS r FROM sums)
+SELECT method, entity_id, model, thr_idx, count(*) AS times FROM (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY method, entity_id, model, rep ORDER BY (c <= 0.1)::INTEGER DESC, CASE WHEN c <= 0.1 THEN -round(kwh, 6) ELSE c END, CASE WHEN c <= 0.1 THEN -r ELSE -round(kwh, 6) END, thr_idx) = 1) GROUP BY 1, 2, 3, 4"""
 
 
-@query("threshold_stability", LOO)
+@query("threshold_stability", PER)
 def _(spark, d):
-    rows = opened(spark, d, ("val",)).join(F.broadcast(P.threshold_grid(spark))).withColumn("rec", F.coalesce(F.col("opening") >= F.col("threshold") - 1e-10, F.lit(False)))
-    y, r = F.col("empty") == 1, F.col("rec")
-    per = rows.groupBy(*KEY, "model", "anchor_pos", "thr_idx").agg(F.count_if(r).alias("n"), F.count_if(r & ~y).alias("bad"), F.count_if(r & y).alias("good"), F.count_if(y).alias("em"), F.coalesce(F.sum(F.when(r & y, F.col("kwh"))), F.lit(0.0)).alias("safe_kwh"))
-    loo = U.leave_one_out(per, [*KEY, "model", "thr_idx"], "anchor_pos", ["n", "bad", "good", "em", "safe_kwh"])
-    rated = loo.withColumns({"conflict_rate": M.ratio(F.col("bad"), F.col("n")), "empty_recall": M.ratio(F.col("good"), F.col("em"))})
-    return P.select_constrained(rated, [*KEY, "model", "omitted"], (0.10,)).groupBy(*KEY, "model", "thr_idx").agg(F.count("*").alias("times"))
+    """How often each threshold is selected at 10 % when days are left out one by one, and when they are drawn anew."""
+    at, group = opened(spark, d, ("val",)), [*KEY, "model", "thr_idx"]
+    sums = ["n", "bad", "good", "em", "safe_kwh"]
+    per = P.sweep_sums(at, [*KEY, "model", "anchor_pos"]).select(*group, "anchor_pos", *sums)
+    loo = U.leave_one_out(per, group, "anchor_pos", sums).withColumnRenamed("omitted", "rep").withColumn("method", F.lit("leave_one_out"))
+    boot = U.resampled(per, U.number_blocks(at, KEY), CHOICE_REPS, KEY, group, sums).withColumn("method", F.lit("bootstrap"))
+    both = loo.select("method", *group, "rep", *sums).unionByName(boot.select("method", *group, "rep", *sums))
+    rated = both.withColumns({"conflict_rate": M.ratio(F.col("bad"), F.col("n")), "empty_recall": M.ratio(F.col("good"), F.col("em"))})
+    return P.select_constrained(rated, ["method", *KEY, "model", "rep"], (0.10,)).groupBy("method", *group).agg(F.count("*").alias("times"))
+
 
+STABLE = with_grid(20).rstrip() + f""", aps AS MATERIALIZED ({GRID_AP}), best AS MATERIALIZED (SELECT entity_id, grid_order, row_number() OVER (PARTITION BY entity_id ORDER BY round(average_precision, 9) DESC, grid_order) AS place FROM aps QUALIFY place <= {TOP_BLENDS}),
+blended AS MATERIALIZED (SELECT m.entity_id, place, anchor_pos, round(w1 * slot + w2 * persist + w3 * recent, 12) AS score, sum(empty) AS tp, sum(1 - empty) AS fp FROM wide_all m JOIN best t ON t.entity_id = m.entity_id JOIN blends b ON b.grid_order = t.grid_order WHERE split = 'val' AND hour(anchor_time) = 0 AND minute(anchor_time) = 0 GROUP BY 1, 2, 3, 4),
+numbered AS MATERIALIZED ({numbered('blended')})"""
+PICK = "SELECT entity_id, grid_order, count(*) AS times FROM (SELECT * FROM ({ap}) QUALIFY row_number() OVER (PARTITION BY entity_id, rep ORDER BY round(ap, 9) DESC, place) = 1) JOIN best USING (entity_id, place) GROUP BY 1, 2"
 
-BAP = f"""SELECT entity_id, rep, model, coalesce(sum(tp * ct / (ct + cf)) / nullif(sum(tp), 0), 0) AS ap FROM (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM (SELECT entity_id, rep, model, p, sum(mult * empty)::DOUBLE AS tp, sum(mult * (1 - empty))::DOUBLE AS fp FROM weighted GROUP BY 1, 2, 3, 4)
-  WINDOW w AS (PARTITION BY entity_id, rep, model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2, 3"""
-STABLE = sql("", "long_mid") + """, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY anchor_pos) - 1 AS block_no, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, anchor_pos FROM long_mid WHERE split = 'val'))"""
-PICK = "SELECT entity_id, model, count(*) AS times FROM (SELECT * FROM aps QUALIFY row_number() OVER (PARTITION BY entity_id, rep ORDER BY round(ap, 9) DESC, model) = 1) GROUP BY 1, 2"
 
+@base.once
+def contenders(spark, d):
+    """Score sums of the best blends on each validation day: (entity_id, grid_order, place, anchor_pos, score, tp, fp)."""
+    grid = P.simplex_grid(spark, 20)
+    ap = P.blend_grid(validation(spark, d), grid, COLS, KEY)
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(F.round("average_precision", 9)), "grid_order"))
+    best = ap.withColumn("place", place).where(F.col("place") <= TOP_BLENDS).join(F.broadcast(grid), "grid_order").select(*KEY, "grid_order", "place", "w1", "w2", "w3")
+    rows = base.wide(spark, d, midnight=True, splits=("val",)).join(best, KEY)
+    rows = rows.withColumn("p", F.round(sum(F.col(f"w{i + 1}") * F.col(c) for i, c in enumerate(COLS)), 12))
+    return U.score_sums(rows, [*KEY, "grid_order", "place", "anchor_pos"])
 
-def val_blocks(spark, d):
-    rows = midnight(spark, d, ("val",))
-    blocks = rows.select(*KEY, "anchor_pos").distinct().withColumn("block_no", (F.row_number().over(Window.partitionBy(*KEY).orderBy("anchor_pos")) - 1).cast("long"))
-    return rows, blocks
 
+BLEND_KEY = [*KEY, "grid_order", "place"]
 
-def picked(rows):
-    ap = M.average_precision(rows, [*KEY, "rep", "model"], weight="mult")
-    best = P.top_one(ap, [*KEY, "rep"], [F.desc(F.round("average_precision", 9)), F.asc("model")])
-    return best.groupBy(*KEY, "model").agg(F.count("*").alias("times"))
 
+def winners(ap, rep):
+    best = P.top_one(ap, [*KEY, rep], [F.desc(F.round("average_precision", 9)), F.asc("place")])
+    return best.groupBy(*KEY, "grid_order").agg(F.count("*").alias("times"))
 
-@query("bootstrap_blend_stability", STABLE + f", drawn AS MATERIALIZED ({DRAWN.replace(f'range({REPS})', 'range(50)')}), weighted AS MATERIALIZED (SELECT l.*, rep, mult FROM long_mid l JOIN numbered USING (entity_id, anchor_pos) JOIN drawn USING (entity_id, block_no)), aps AS MATERIALIZED ({BAP})\n{PICK}")
+
+@query("bootstrap_blend_stability", STABLE + f", drawn AS MATERIALIZED ({drawn(CHOICE_REPS)}), scored AS MATERIALIZED (SELECT entity_id, place, rep, score, sum(mult * tp)::DOUBLE AS tp, sum(mult * fp)::DOUBLE AS fp FROM blended JOIN numbered USING (entity_id, anchor_pos) JOIN drawn USING (entity_id, block_no) GROUP BY 1, 2, 3, 4)\n" + PICK.format(ap=ap_sql("scored", "entity_id, place, rep")))
 def _(spark, d):
-    rows, blocks = val_blocks(spark, d)
-    return picked(rows.join(blocks, [*KEY, "anchor_pos"]).join(U.draws(blocks, 50, keys=KEY), [*KEY, "block_no"]))
+    sums = contenders(spark, d)
+    drawn_sums = U.resampled(sums, U.number_blocks(sums, KEY), CHOICE_REPS, KEY, [*BLEND_KEY, "score"], ["tp", "fp"])
+    return winners(U.precision_by_replicate(drawn_sums, [*BLEND_KEY, "rep"]), "rep")
 
 
-@query("loo_blend_stability", STABLE + f", weighted AS MATERIALIZED (SELECT l.*, o.block_no AS rep, 1 AS mult FROM long_mid l JOIN numbered b USING (entity_id, anchor_pos) JOIN numbered o ON o.entity_id = l.entity_id AND o.block_no <> b.block_no), aps AS MATERIALIZED ({BAP})\n{PICK}")
+@query("loo_blend_stability", STABLE + ", scored AS MATERIALIZED (SELECT l.entity_id, place, o.block_no AS rep, score, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp FROM blended l JOIN numbered o ON o.entity_id = l.entity_id AND o.anchor_pos <> l.anchor_pos GROUP BY 1, 2, 3, 4)\n" + PICK.format(ap=ap_sql("scored", "entity_id, place, rep")))
 def _(spark, d):
-    rows, blocks = val_blocks(spark, d)
-    omitted = blocks.select(*KEY, F.col("block_no").alias("rep"), F.col("anchor_pos").alias("omitted"))
-    return picked(rows.join(omitted, KEY).where("anchor_pos <> omitted").withColumn("mult", F.lit(1)))
+    sums = contenders(spark, d)
+    left = U.without_each_block(sums, U.number_blocks(sums, KEY), KEY, BLEND_KEY)
+    return winners(U.precision_by_replicate(left, [*BLEND_KEY, "omitted"]), "omitted")
 
 
 @query("blend_gap", sql(f"SELECT entity_id, split, model, max(average_precision) OVER w - average_precision AS gap, row_number() OVER (PARTITION BY entity_id, split ORDER BY round(average_precision, 9) DESC, model)::INTEGER AS place FROM ({AP.format(g=G, p='p', t='long_all')}) WINDOW w AS (PARTITION BY entity_id, split)", "long_all"), "gap")
@@ -121,12 +159,35 @@ def _(spark, d):
     return ap.select(*GROUP, (F.max("average_precision").over(w) - F.col("average_precision")).alias("gap"), F.row_number().over(w.orderBy(F.desc(F.round("average_precision", 9)), "model")).alias("place"))
 
 
-CHECKS = ("score_in_unit_interval", "label_is_binary", "target_follows_anchor", "step_in_horizon", "complete_horizon", "unique_steps")
+RULES = {
+    "score_in_unit_interval": "count(*) FILTER (NOT coalesce(p BETWEEN 0 AND 1, FALSE)) AS violations FROM {t}",
+    "label_is_binary": "count(*) FILTER (NOT coalesce(empty IN (0, 1), FALSE)) FROM {t}",
+    "target_follows_anchor": "count(*) FILTER (target_pos IS DISTINCT FROM anchor_pos + step) FROM {t}",
+    "step_in_horizon": "count(*) FILTER (NOT coalesce(step BETWEEN 1 AND 96, FALSE)) FROM {t}",
+    "complete_horizon": "count(*) FILTER (n <> 96) FROM (SELECT count(*) AS n FROM {t} GROUP BY entity_id, model, anchor_pos)",
+    "unique_steps": "count(*) FILTER (n <> k) FROM (SELECT count(*) AS n, count(DISTINCT step) AS k FROM {t} GROUP BY entity_id, model, anchor_pos)",
+}
+#: One kind of damage for each sixth horizon, so that every rule has rows that break it.
+DAMAGED = """SELECT entity_id, model, anchor_pos, CASE WHEN kind = 0 AND step = 1 THEN p + 1 ELSE p END AS p, CASE WHEN kind = 1 AND step = 2 THEN 2 ELSE empty END AS empty,
+  CASE WHEN kind = 2 AND step = 3 THEN target_pos + 1 ELSE target_pos END AS target_pos, CASE WHEN kind = 3 AND step = 96 THEN 97 WHEN kind = 5 AND step = 10 THEN 11 ELSE step END AS step
+  FROM (SELECT *, (anchor_pos // 96) % 6 AS kind FROM long_mid) WHERE NOT (kind = 4 AND step = 50)"""
+VALIDATED = sql("", "long_mid") + f", damaged AS MATERIALIZED ({DAMAGED})\n" + " UNION ALL ".join(f"SELECT '{name}' AS rows, '{c}' AS \"check\", {rule.format(t=t)}" for name, t in (("given", "long_mid"), ("damaged", "damaged")) for c, rule in RULES.items())
+
 
+def damaged(rows):
+    """The rows with one kind of damage in each sixth horizon."""
+    kind, step = F.floor(F.col("anchor_pos") / 96) % 6, F.col("step")
+    hurt = lambda k, s, new, c: F.when((kind == k) & (step == s), new).otherwise(F.col(c))
+    out = rows.where(~((kind == 4) & (step == 50)))
+    fresh = {"p": hurt(0, 1, F.col("p") + 1, "p"), "empty": hurt(1, 2, F.lit(2), "empty"), "target_pos": hurt(2, 3, F.col("target_pos") + 1, "target_pos")}
+    return out.withColumns(fresh | {"step": F.when((kind == 3) & (step == 96), 97).when((kind == 5) & (step == 10), 11).otherwise(step)})
 
-@query("validate_forecast", sql(" UNION ALL ".join(f"SELECT '{c}' AS \"check\", count(*) FILTER (p < 0 OR p > 1) AS violations FROM long_mid" for c in CHECKS), "long_mid"))
+
+@query("validate_forecast", VALIDATED)
 def _(spark, d):
-    return C.validate_forecast(midnight(spark, d))
+    rows = midnight(spark, d)
+    both = [C.validate_forecast(x).withColumn("rows", F.lit(n)) for n, x in (("given", rows), ("damaged", damaged(rows)))]
+    return both[0].unionByName(both[1])
 
 
 @query("validate_disjoint", sql("SELECT *, (last_first < first_second)::INTEGER AS ok FROM (SELECT entity_id, max(pos + 96) FILTER (split = 'val') AS last_first, min(pos + 1) FILTER (split = 'test') AS first_second FROM anchors GROUP BY 1)", "anchors"))
@@ -134,11 +195,13 @@ def _(spark, d):
     return C.disjoint_splits(base.anchors(spark, d))
 
 
-@query("alignment_audit", sql("SELECT count(*) AS matched, 0::BIGINT AS only_left, 0::BIGINT AS only_right, max(abs(blend - (slot * 0.5 + persist * 0.3 + recent * 0.2))) AS max_delta, 1 AS ok FROM wide_mid", "wide_mid"), "max_delta")
+@query("alignment_audit", sql("SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right, coalesce(max(abs(a - b)), 0) AS max_delta, (count(*) FILTER (a IS NULL OR b IS NULL) = 0 AND coalesce(max(abs(a - b)), 0) <= 1e-7)::INTEGER AS ok FROM (SELECT entity_id, anchor_pos, step, p AS a FROM long_mid WHERE model = 'blend' AND step % 32 <> 0) FULL JOIN (SELECT entity_id, anchor_pos, step, floor((slot * 0.5 + persist * 0.3 + recent * 0.2) * 1000 + 1e-6) / 1000 AS b FROM wide_mid WHERE step % 24 <> 0) USING (entity_id, anchor_pos, step)", "wide_mid", "long_mid"), "max_delta")
 def _(spark, d):
+    """A per-model export without some steps against blends cut to three places without other steps: all kinds of difference occur."""
     w = base.wide(spark, d, midnight=True)
-    other = w.withColumn("blend", sum(F.col(c) * x for c, x in base.BLEND.items()))
-    return C.alignment(w, other, [*KEY, "anchor_pos", "step"], "blend")
+    export = base.long(w, ("blend",)).where("step % 32 <> 0").select(*KEY, "anchor_pos", "step", F.col("p").alias("blend"))
+    blend = F.floor(sum(F.col(c) * x for c, x in base.BLEND.items()) * 1000 + 1e-6) / 1000
+    return C.alignment(export, w.where("step % 24 <> 0").withColumn("blend", blend), [*KEY, "anchor_pos", "step"], "blend")
 
 
 @query("leakage_audit", sql("SELECT entity_id, (max(bin_start + INTERVAL '1 day') FILTER (split = 'train') < min(bin_start - INTERVAL '1425 minutes') FILTER (split = 'val'))::INTEGER AS train_before_val, (max(bin_start + INTERVAL '1 day') FILTER (split = 'val') < min(bin_start - INTERVAL '1425 minutes') FILTER (split = 'test'))::INTEGER AS val_before_test FROM anchors GROUP BY 1", "anchors"))
@@ -154,63 +217,125 @@ def _(spark, d):
     return C.unique_keys(base.wide(spark, d, midnight=True), [*KEY, "target_pos"])
 
 
-@query("join_coverage", sql("SELECT count(*) AS targets, avg((hvac IS NULL AND light IS NULL)::INTEGER) AS unmatched FROM wide_mid w JOIN bins b ON b.entity_id = w.entity_id AND b.pos = w.target_pos", "wide_mid"), "unmatched")
+@query("join_coverage", sql("SELECT count(*) AS targets, avg((l.pos IS NULL)::INTEGER) AS unmatched, (SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY entity_id, bin_start HAVING count(*) > 1)) AS duplicate_keys, (avg((l.pos IS NULL)::INTEGER) <= 0.01)::INTEGER AS ok FROM wide_mid w LEFT JOIN (SELECT entity_id, pos FROM bins WHERE hvac IS NOT NULL OR light IS NOT NULL) l ON l.entity_id = w.entity_id AND l.pos = w.target_pos", "wide_mid"), "unmatched")
 def _(spark, d):
-    b = base.bins(spark, d).where("hvac is not null or light is not null").select(*KEY, F.col("pos").alias("target_pos"), F.lit(1).alias("hit"))
-    w = base.wide(spark, d, midnight=True).join(b, [*KEY, "target_pos"], "left")
-    return w.agg(F.count("*").alias("targets"), F.avg(F.col("hit").isNull().cast("double")).alias("unmatched"))
+    """Targets without a load reading; more than one in a hundred, or a repeated bin, fails."""
+    loads = base.bins(spark, d).where("hvac is not null or light is not null").select(*KEY, F.col("pos").alias("target_pos"))
+    return C.join_coverage(base.wide(spark, d, midnight=True), loads, [*KEY, "target_pos"])
 
 
-@query("selection_guard", sql("SELECT count(*) AS rows, count(*) FILTER (split <> 'val') AS other_rows FROM (SELECT 'val' AS split FROM chosen)", "chosen"))
+@query("selection_guard", sql("SELECT entity_id, model, count(*) AS rows, count(*) FILTER (split <> 'val') AS other_rows, 0 AS test_columns FROM swept GROUP BY 1, 2", "swept"))
 def _(spark, d):
-    c = chosen(spark, d)
-    return c.agg(F.count("*").alias("rows"), F.count_if(F.col("split") != "val").alias("other_rows"))
+    """Rows of the sweep over both splits: those that a selection must not see are counted."""
+    return C.selection_rows(swept(spark, d), [*KEY, "model"])
+
 
+RECOUNTED = """SELECT entity_id, model, delta, recommended_windows, safe_windows, conflict_windows, CASE WHEN recommended_windows = starts AND safe_windows = starts - bad THEN 'pass' ELSE 'fail' END AS status FROM (
+  SELECT entity_id, model, delta, count(*) AS recommended_windows, count(*) FILTER (safe = 1) AS safe_windows, count(*) FILTER (safe = 0) AS conflict_windows FROM runs GROUP BY 1, 2, 3)
+JOIN (SELECT entity_id, model, delta, count(*) FILTER (rec AND NOT before) AS starts, count(DISTINCT CASE WHEN rec AND empty = 0 THEN anchor_pos * 1000 + start END) AS bad FROM (
+  SELECT *, max(CASE WHEN rec AND NOT before THEN step END) OVER (PARTITION BY entity_id, model, delta, anchor_pos ORDER BY step) AS start FROM (
+    SELECT *, coalesce(lag(rec) OVER (PARTITION BY entity_id, model, delta, anchor_pos ORDER BY step), FALSE) AS before FROM masked)) GROUP BY 1, 2, 3) USING (entity_id, model, delta)"""
 
-@query("golden_reconcile", sql("SELECT entity_id, model, delta, (recommended_intervals = safe_intervals + conflict_intervals)::INTEGER AS reconciles FROM (SELECT entity_id, model, delta, count(*) FILTER (rec) AS recommended_intervals, count(*) FILTER (rec AND empty = 1) AS safe_intervals, count(*) FILTER (rec AND empty = 0) AS conflict_intervals FROM masked GROUP BY 1, 2, 3)", "masked"), "delta")
+
+@query("golden_reconcile", sql(RECOUNTED, "runs"), "delta")
 def _(spark, d):
-    rows = M.policy_rows(masked(spark, d), [*KEY, "model", "delta"], ["anchor_pos"])
-    return rows.select(*KEY, "model", "delta", (F.col("recommended_intervals") == F.col("safe_intervals") + F.col("conflict_intervals")).cast("int").alias("reconciles"))
+    """Windows of the selected policies, cut out one by one, against the counts that histograms of openings give."""
+    m, by = masked(spark, d), [*KEY, "model", "delta"]
+    counts = ["recommended_windows", "safe_windows", "conflict_windows"]
+    observed = W.window_summary(m, by, [*by, "anchor_pos"])
+    keys = [*KEY, "model"]
+    pinned = P.window_sweep(opened(spark, d, ("test",)), keys, [*keys, "anchor_pos"]).join(m.select(*by, "thr_idx").distinct(), [*keys, "thr_idx"])
+    pinned = pinned.where("recommended_windows > 0").withColumn("conflict_windows", F.col("recommended_windows") - F.col("safe_windows"))
+    return C.reconcile(observed, pinned, by, counts)
 
 
-def model_scores(spark, d, fit):
+def fitted(spark, d, fit):
     """Held-out metrics of a fitted model over the midnight feature rows; fitted on the training split only."""
-    rows, cols = tabular(spark, d)
-    scored = ML.fit_and_score(rows, cols, fit)
-    return M.model_metrics(scored, [*KEY, "split"])
+    return M.model_metrics(ML.fit_and_score(tabular(spark, d), TABULAR, fit), [*KEY, "split"])
+
 
+for _name, _fit in (("gbt_forecast", ML.gbt), ("rf_forecast", ML.forest)):
+    query(_name)(lambda spark, d, f=_fit: fitted(spark, d, f))
 
-for _name, _fit in (("gbt_forecast", ML.gbt), ("rf_forecast", ML.forest), ("direct_linear_forecast", ML.linear)):
-    query(_name)(lambda spark, d, f=_fit: model_scores(spark, d, f))
+
+@query("direct_linear_forecast")
+def _(spark, d):
+    """From the last 96 labels; trained and scored on anchors at full hours."""
+    b = base.bins(spark, d)
+    past = B.history_window(b, "empty", KEY).select(*KEY, "pos", "history")
+    hourly = base.anchors(spark, d).where(F.col("pos") % 4 == 0).select(*KEY, "pos", "split").join(past, [*KEY, "pos"])
+    return M.model_metrics(ML.direct_linear(b, hourly, KEY), [*KEY, "split"])
+
+
+FOLD_ROWS = f"""SELECT v.entity_id, v.fold, t.empty, coalesce(s.p, m.p) AS p FROM (
+  SELECT b.entity_id, fold, pos, e FROM bins b JOIN sizes USING (entity_id) JOIN edges USING (entity_id) WHERE pos >= 95 AND pos < n - 96 AND bin_start - INTERVAL '1425 minutes' >= e + INTERVAL '1 day' AND bin_start + INTERVAL '1 day' < e + INTERVAL '21 days') v
+JOIN range(1, 97) r(step) ON TRUE JOIN bins t ON t.entity_id = v.entity_id AND t.pos = v.pos + step
+LEFT JOIN (SELECT entity_id, fold, slot, avg(empty) AS p FROM bins JOIN edges USING (entity_id) WHERE bin_start < e GROUP BY 1, 2, 3) s ON s.entity_id = v.entity_id AND s.fold = v.fold AND s.slot = t.slot
+JOIN (SELECT entity_id, fold, avg(empty) AS p FROM bins JOIN edges USING (entity_id) WHERE bin_start < e GROUP BY 1, 2) m ON m.entity_id = v.entity_id AND m.fold = v.fold"""
+EDGES = "SELECT x.entity_id, fold, date_trunc('week', bin_start)::TIMESTAMP AS e FROM bins x JOIN sizes USING (entity_id) JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.6::DOUBLE), (3, 0.7::DOUBLE)) f(fold, share) ON x.pos = floor(n * share)::BIGINT"
+FG = "entity_id, fold"
+
+
+@query("rolling_origin_slot", sql("", "sizes").rstrip() + f", edges AS MATERIALIZED ({EDGES}), frows AS MATERIALIZED ({FOLD_ROWS})\nSELECT * FROM ({POINT.format(g=FG, t='frows')}) JOIN ({AP.format(g=FG, p=CLIP, t='frows')}) USING ({FG})", "precision recall f1 brier log_loss average_precision auroc")
+def _(spark, d):
+    """The slot average over the 96 target steps of each fold's validation anchors."""
+    return M.model_metrics(ML.slot_average_of_folds(base.bins(spark, d), KEY), [*KEY, "fold"])
 
 
 @query("rolling_origin_cv")
 def _(spark, d):
-    return ML.rolling_origin(base.bins(spark, d), KEY)
+    """Slot average, boosted trees and forest on each fold; the fitted ones train and score on one anchor a day."""
+    b = base.bins(spark, d)
+    out = M.model_metrics(ML.slot_average_of_folds(b, KEY), [*KEY, "fold"]).withColumn("model", F.lit("slot"))
+    folds = L.rolling_origin_folds(b, KEY).where(S.is_midnight("bin_start"))
+    for fold in (1, 2, 3):
+        rows = materialise(feature_rows(b, folds.where(F.col("fold") == fold).select(*KEY, "pos", F.col("role").alias("split"))), "fold")
+        for name, fit in (("gbt", ML.gbt), ("forest", lambda: ML.forest(trees=40))):
+            m = M.model_metrics(ML.fit_and_score(rows, TABULAR, fit), KEY)
+            out = out.unionByName(m.withColumns({"fold": F.lit(fold), "model": F.lit(name)}))
+    return out
+
+
+SEEDS = (42, 43, 44)
+
+
+@base.once
+def seed_scores(spark, d):
+    """Held-out scores of boosted trees and forests of three seeds, and of the mean over seeds (seed 0)."""
+    rows, out = tabular(spark, d), None
+    for name, fit in (("gbt", ML.gbt), ("forest", ML.forest)):
+        one = ML.fit_and_score_seeds(rows, TABULAR, fit, SEEDS).select(*KEY, "split", "anchor_pos", "step", "empty", "seed", "p").withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("seed_mean_scores")
+def _(spark, d):
+    """Pointwise mean over the seeds of each model."""
+    return seed_scores(spark, d).groupBy(*KEY, "model", "split", "anchor_pos", "step").agg(F.avg("p").alias("p"))
 
 
 @query("seed_spread")
 def _(spark, d):
-    rows, cols = tabular(spark, d)
-    out = None
-    for seed in (1, 2, 3):
-        m = M.model_metrics(ML.fit_and_score(rows, cols, lambda s=seed: ML.forest(s, 10)), ["split"]).withColumn("seed", F.lit(seed))
-        out = m if out is None else out.unionByName(m)
-    return out.groupBy("split").agg(F.avg("average_precision").alias("mean_ap"), F.stddev_samp("average_precision").alias("std_ap"))
+    m = M.model_metrics(seed_scores(spark, d), ["model", "split", "seed"])
+    return m.groupBy("model", "split").agg(*(f(c).alias(f"{n}_{c}") for c in ("average_precision", "brier", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
 @query("permutation_importance")
 def _(spark, d):
-    rows, cols = tabular(spark, d)
-    return ML.permutation_importance(rows, cols, ML.linear, cols[:2])
+    return ML.permutation_importance(tabular(spark, d), TABULAR, ML.gbt, TABULAR)
+
+
+PAST = [c for c in TABULAR if c.startswith(("empty_lag", "c1_mean"))] + ["yesterday"]
+TIME = [*CALENDAR, "step_share"]
+#: Nested groups of features.
+GROUPS = {"time": TIME, "past": PAST, "past_time": [*PAST, *TIME], "with_sensors": TABULAR, "load_removed": [c for c in TABULAR if c not in ("hvac", "light")]}
 
 
 @query("feature_ablation")
 def _(spark, d):
-    rows, cols = tabular(spark, d)
-    groups = {"time": [c for c in cols if c.startswith(("hour", "dow", "month", "is_"))], "all": cols}
-    out = None
-    for name, use in groups.items():
-        m = M.average_precision(ML.fit_and_score(rows, use, ML.linear).where("split = 'test'"), ["split"]).withColumn("features", F.lit(name))
+    rows, out = tabular(spark, d), None
+    for name, use in GROUPS.items():
+        m = M.average_precision(ML.fit_and_score(rows, use, ML.gbt).where("split = 'test'"), ["split"]).withColumn("features", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.scalar import interval_kwh, is_midnight, row_mean_skipna, row_sum_min1, slot_index
 from tidemill.operators import bins as B
 from tidemill.operators import features as L
+from tidemill.sources.scratch import once
 
 ENTITIES = 2
 KEY = ["entity_id"]
@@ -37,6 +38,7 @@ def raw_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.resample(readings(spark, sf_dir), KEY, aggs)
 
 
+@once
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, bin_start, pos, c1, c2, hvac, light, sensor, cut, occupied, empty, slot, kwh)."""
     raw = raw_bins(spark, sf_dir)
@@ -73,17 +75,39 @@ def components(b: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
     return target, recent
 
 
+@once
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each bin, as target and as anchor: the bin's scores, its label and load, and the split that it anchors."""
+    b = bins(spark, sf_dir)
+    target, recent = components(b, L.chrono_split(b, KEY))
+    role = anchors(spark, sf_dir).select(*KEY, F.col("pos").alias("target_pos"), "split")
+    mine = target.join(recent.withColumnRenamed("anchor_pos", "target_pos"), [*KEY, "target_pos"])
+    return mine.join(role, [*KEY, "target_pos"], "left")
+
+
 def wide(spark: SparkSession, sf_dir: str, midnight: bool = False, splits: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """A row for each anchor and step with the three scores and their blend as columns."""
-    b = bins(spark, sf_dir)
-    a = L.chrono_split(b, KEY)
-    target, recent = components(b, a)
-    used = a.where(F.col("split").isin(*splits))
     if midnight:
-        used = used.where(is_midnight("bin_start"))
-    steps = B.future_explode(used.select(*KEY, "split", "pos", F.col("bin_start").alias("anchor_time"))).withColumnRenamed("pos", "anchor_pos")
-    out = steps.join(target, [*KEY, "target_pos"]).join(recent, HORIZON_KEY).withColumn("recent", F.coalesce("recent", "slot"))
-    return out.withColumn("blend", F.round(sum(F.col(c) * w for c, w in BLEND.items()), 9))
+        return midnight_rows(spark, sf_dir).where(F.col("split").isin(*splits))
+    return expanded(forecasts(spark, sf_dir), splits)
+
+
+def expanded(rows: DataFrame, splits: tuple[str, ...], only=None) -> DataFrame:
+    """Steps of the anchors in ``rows`` (all, or those that meet ``only``) with what ``rows`` says of their targets."""
+    used = rows.where(F.col("split").isin(*splits))
+    used = used if only is None else used.where(only)
+    used = used.select(*KEY, "split", F.col("target_pos").alias("pos"), F.col("target_time").alias("anchor_time"), "recent")
+    steps = B.future_explode(used).withColumnRenamed("pos", "anchor_pos")
+    target = rows.select(*KEY, "target_pos", "target_time", "empty", "kwh", "slot", "persist")
+    out = steps.join(target, [*KEY, "target_pos"]).withColumn("recent", F.coalesce("recent", "slot"))
+    blend = F.round(sum(F.col(c) * w for c, w in BLEND.items()), 9)
+    return out.select(*KEY, "anchor_pos", "split", "anchor_time", "step", "target_pos", "target_time", "empty", "kwh", "slot", "persist", "recent", blend.alias("blend"))
+
+
+@once
+def midnight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``wide`` whose anchor is at midnight: one horizon a day, a 96th of all rows."""
+    return expanded(forecasts(spark, sf_dir), ("val", "test"), is_midnight("target_time"))
 
 
 def long(frame: DataFrame, models: tuple[str, ...] = (*MODELS, "blend")) -> DataFrame:
@@ -135,12 +159,12 @@ CTE = {
       count(*) FILTER (rec) / count(*) AS coverage, coalesce(count(*) FILTER (rec AND empty = 0) / nullif(count(*) FILTER (rec), 0), 0) AS conflict_rate,
       coalesce(count(*) FILTER (rec AND empty = 1) / nullif(count(*) FILTER (empty = 1), 0), 0) AS empty_recall,
       coalesce(sum(kwh) FILTER (rec), 0) AS gross_kwh, coalesce(sum(kwh) FILTER (rec AND empty = 1), 0) AS safe_kwh
-      FROM (SELECT *, coalesce(opening >= threshold - 1e-10, FALSE) AS rec FROM opened JOIN grid ON TRUE) GROUP BY ALL""",
+      FROM (SELECT *, coalesce(opening >= threshold - 1e-11, FALSE) AS rec FROM opened JOIN grid ON TRUE) GROUP BY ALL""",
     "chosen": """SELECT * FROM (SELECT s.*, delta, (round(conflict_rate, 9) <= delta)::INTEGER AS met, row_number() OVER (PARTITION BY entity_id, model, delta ORDER BY
         (round(conflict_rate, 9) <= delta)::INTEGER DESC, CASE WHEN round(conflict_rate, 9) <= delta THEN -round(safe_kwh, 6) ELSE round(conflict_rate, 9) END,
         CASE WHEN round(conflict_rate, 9) <= delta THEN -round(empty_recall, 9) ELSE -round(safe_kwh, 6) END, thr_idx) AS rk
       FROM swept s JOIN (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) d(delta) ON TRUE WHERE split = 'val') WHERE rk = 1""",
-    "masked": """SELECT o.*, c.delta, c.met, c.thr_idx, c.threshold, coalesce(opening >= c.threshold - 1e-10, FALSE) AS rec FROM opened o JOIN chosen c USING (entity_id, model) WHERE o.split = 'test'""",
+    "masked": """SELECT o.*, c.delta, c.met, c.thr_idx, c.threshold, coalesce(opening >= c.threshold - 1e-11, FALSE) AS rec FROM opened o JOIN chosen c USING (entity_id, model) WHERE o.split = 'test'""",
     "islands": """SELECT *, step - row_number() OVER (PARTITION BY entity_id, model, delta, anchor_pos ORDER BY step) AS island FROM masked WHERE rec""",
     "runs": "SELECT entity_id, model, delta, anchor_pos, island, min(step) AS start_step, max(step) + 1 AS end_step_excl, count(*) AS length, min(empty) AS safe FROM islands GROUP BY ALL",
 }

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalar as S
+from tidemill.operators import bins as B
 from tidemill.operators import metrics as M
+from tidemill.operators import models as ML
 from tidemill.operators import policy as P
-from tidemill.operators import windows as W
 from tidemill.plans import base
 from tidemill.plans.base import BLEND, KEY, sql
 from tidemill.plans.registry import query
+from tidemill.sources.scratch import materialise
 
 GROUP = ["entity_id", "split", "model"]
 
@@ -24,13 +26,22 @@ def _(spark, d):
 
 @query("convex_blend", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, greatest(1e-6, least(1 - 1e-6, 0.25 * slot + 0.6 * persist + 0.15 * recent)) AS p FROM wide_mid", "wide_mid"), "p")
 def _(spark, d):
-    return base.wide(spark, d, midnight=True).select(*KEY, "anchor_pos", "step", S.convex_blend({"slot": 0.25, "persist": 0.6, "recent": 0.15}).alias("p"))
+    """From long scores and a table of weights; a step that lacks a score would stop the query."""
+    weights = {"slot": 0.25, "persist": 0.6, "recent": 0.15}
+    S.convex_blend(weights)  # refuses negative weights and other sums than one
+    rows = base.long(base.wide(spark, d, midnight=True), base.MODELS)
+    blend = P.blend_long(rows, spark.createDataFrame(list(weights.items()), "model string, weight double"), [*KEY, "anchor_pos", "step"], len(weights))
+    return blend.withColumn("p", S.clip_score("p"))
 
 
-@query("weights_long", "SELECT * FROM (VALUES ('slot', 0.5::DOUBLE, 'blend'), ('persist', 0.3::DOUBLE, 'blend'), ('recent', 0.2::DOUBLE, 'blend')) t(component, weight, score) WHERE EXISTS (SELECT 1 FROM events)")
+@query("weights_long", sql("SELECT entity_id, component, weight, 'blend' AS score, sum(weight * p) AS contribution, sum(weight * p) / sum(sum(weight * p)) OVER (PARTITION BY entity_id) AS share FROM (VALUES ('slot', 0.5::DOUBLE), ('persist', 0.3::DOUBLE), ('recent', 0.2::DOUBLE)) t(component, weight) JOIN long_mid ON model = component GROUP BY 1, 2, 3", "long_mid"), "weight contribution share")
 def _(spark, d):
-    some = spark.read.parquet(f"{d}/events.parquet").limit(1).select(*(F.lit(w).alias(c) for c, w in BLEND.items()))
-    return some.unpivot([], list(BLEND), "component", "weight").withColumn("score", F.lit("blend"))
+    """The blend's weights as rows, with what each component adds to the scores of an entity."""
+    weights = spark.createDataFrame(list(BLEND.items()), "model string, weight double")
+    rows = base.long(base.wide(spark, d, midnight=True), base.MODELS).join(F.broadcast(weights), "model")
+    sums = rows.groupBy(*KEY, F.col("model").alias("component"), "weight").agg(F.sum(F.col("weight") * F.col("p")).alias("contribution"))
+    share = F.col("contribution") / F.sum("contribution").over(Window.partitionBy(*KEY))
+    return sums.select(*KEY, "component", "weight", F.lit("blend").alias("score"), "contribution", share.alias("share"))
 
 
 PROFILE = "SELECT entity_id, dow, " + ", ".join(f"avg(occupied) FILTER (h = {h}) AS h{h}" for h in range(24)) + " FROM (SELECT entity_id, (isodow(bin_start) - 1)::INTEGER AS dow, hour(bin_start) AS h, occupied FROM bins) GROUP BY 1, 2"
@@ -42,9 +53,9 @@ def _(spark, d):
     return b.groupBy(*KEY, "dow").pivot("h", [f"h{h}" for h in range(24)]).agg(F.avg("occupied"))
 
 
-@query("tz_peak_audit", sql("SELECT clock, hour, mean FROM (SELECT 'raw' AS clock, hour(bin_start)::INTEGER AS hour, avg(kwh) AS mean FROM bins GROUP BY 2 UNION ALL SELECT 'local', hour(bin_start - INTERVAL '8 hours')::INTEGER, avg(kwh) FROM bins GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY clock ORDER BY round(mean, 9) DESC, hour) = 1", "bins"), "mean")
+@query("tz_peak_audit", sql("SELECT clock, hour, mean FROM (SELECT 'raw' AS clock, hour(bin_start)::INTEGER AS hour, avg(kwh) AS mean FROM bins WHERE bin_start >= TIMESTAMP '2024-01-05' AND bin_start < TIMESTAMP '2024-01-25' GROUP BY 2 UNION ALL SELECT 'local', hour(bin_start - INTERVAL '8 hours')::INTEGER, avg(kwh) FROM bins WHERE bin_start >= TIMESTAMP '2024-01-05' AND bin_start < TIMESTAMP '2024-01-25' GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY clock ORDER BY round(mean, 9) DESC, hour) = 1", "bins"), "mean")
 def _(spark, d):
-    b = base.bins(spark, d)
+    b = base.bins(spark, d).where("bin_start >= timestamp_ntz'2024-01-05' and bin_start < timestamp_ntz'2024-01-25'")
     local = F.from_utc_timestamp(F.col("bin_start").cast("timestamp"), "America/Los_Angeles")
     both = b.select(F.explode(F.array(F.struct(F.lit("raw").alias("clock"), F.hour("bin_start").alias("hour")), F.struct(F.lit("local").alias("clock"), F.hour(local).alias("hour")))).alias("x"), "kwh")
     means = both.groupBy("x.clock", "x.hour").agg(F.avg("kwh").alias("mean"))
@@ -88,10 +99,14 @@ def _(spark, d):
     return M.threshold_metrics(base.long(base.wide(spark, d, midnight=True)), [*KEY, "model"])
 
 
-@query("horizon_buckets", sql(POINT.format(g="entity_id, split, model, bucket", t="(SELECT *, ((step - 1) // 24)::INTEGER AS bucket FROM long_mid)"), "long_mid"), METRICS)
+BUCKETED = "(SELECT *, ((step - 1) // 24)::INTEGER AS bucket FROM long_mid)"
+BG = "entity_id, split, model, bucket"
+
+
+@query("horizon_buckets", sql(f"SELECT * FROM ({POINT.format(g=BG, t=BUCKETED)}) JOIN ({AP.format(g=BG, p=CLIP, t=BUCKETED)}) USING ({BG})", "long_mid"), METRICS + " average_precision auroc")
 def _(spark, d):
     rows = base.long(base.wide(spark, d, midnight=True)).withColumn("bucket", F.floor((F.col("step") - 1) / 24).cast("int"))
-    return M.threshold_metrics(rows, [*GROUP, "bucket"])
+    return M.model_metrics(rows, [*GROUP, "bucket"])
 
 
 CURVE = """SELECT {g}, score, ct / (ct + cf) AS precision, coalesce(ct / nullif(sum(tp) OVER (PARTITION BY {g}), 0), 0) AS recall, coalesce(cf / nullif(sum(fp) OVER (PARTITION BY {g}), 0), 0) AS fpr
@@ -147,32 +162,66 @@ def _(spark, d):
     return m.groupBy(*KEY, "split").agg(*(f(c).alias(f"{n}_{c}") for c in ("brier", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
-@query("zone_labels", sql("SELECT entity_id, pos, zone, (c > cut)::INTEGER AS occupied FROM (SELECT entity_id, pos, 'zone1' AS zone, c1 AS c FROM bins UNION ALL SELECT entity_id, pos, 'zone2', c2 FROM bins) JOIN (SELECT entity_id, 'zone1' AS zone, floor(avg(c1) + stddev_samp(c1)) AS cut FROM bins GROUP BY 1 UNION ALL SELECT entity_id, 'zone2', floor(avg(c2) + stddev_samp(c2)) FROM bins GROUP BY 1) USING (entity_id, zone)", "bins"))
+#: Zones as sensors with gaps: the count of a bin, null where it is 0, filled with the last count of the zone.
+ZONES = """zone_raw AS MATERIALIZED (SELECT entity_id, pos, bin_start, slot, 'zone1' AS zone, nullif(c1, 0) AS c FROM bins UNION ALL SELECT entity_id, pos, bin_start, slot, 'zone2', nullif(c2, 0) FROM bins),
+zone_filled AS MATERIALIZED (SELECT * REPLACE (coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY entity_id, zone ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS c) FROM zone_raw),
+zoned AS MATERIALIZED (SELECT z.*, (c > cut)::INTEGER AS occupied, 1 - (c > cut)::INTEGER AS empty FROM zone_filled z JOIN (SELECT entity_id, zone, floor(avg(c)) AS cut FROM zone_filled GROUP BY 1, 2) USING (entity_id, zone))
+"""
+
+
+@query("zone_labels", sql("", "bins").rstrip() + ",\n" + ZONES + "SELECT entity_id, pos, zone, occupied FROM zoned")
 def _(spark, d):
     return zones(spark, d).select(*KEY, "pos", "zone", "occupied")
 
 
 def zones(spark, d):
-    b = base.bins(spark, d).select(*KEY, "pos", "bin_start", "slot", F.col("c1").alias("zone1"), F.col("c2").alias("zone2"))
+    b = base.bins(spark, d).select(*KEY, "pos", "bin_start", "slot", F.nullif("c1", F.lit(0)).alias("zone1"), F.nullif("c2", F.lit(0)).alias("zone2"))
     long = b.unpivot([*KEY, "pos", "bin_start", "slot"], ["zone1", "zone2"], "zone", "c")
-    cut = long.groupBy(*KEY, "zone").agg(F.floor(F.avg("c") + F.stddev_samp("c")).alias("cut"))
-    return long.join(cut, [*KEY, "zone"]).withColumn("occupied", (F.col("c") > F.col("cut")).cast("int"))
-
-
-ZONE_SQL = """, zoned AS MATERIALIZED (SELECT z.*, (c > cut)::INTEGER AS occupied FROM (SELECT entity_id, pos, bin_start, slot, 'zone1' AS zone, c1 AS c FROM bins UNION ALL SELECT entity_id, pos, bin_start, slot, 'zone2', c2 FROM bins) z
-  JOIN (SELECT entity_id, 'zone1' AS zone, floor(avg(c1) + stddev_samp(c1)) AS cut FROM bins GROUP BY 1 UNION ALL SELECT entity_id, 'zone2', floor(avg(c2) + stddev_samp(c2)) FROM bins GROUP BY 1) USING (entity_id, zone))
-SELECT t.entity_id, t.zone AS held_out, count(*) AS n, avg((t.occupied - s.p) ** 2) AS brier FROM zoned t JOIN bounds USING (entity_id)
-JOIN (SELECT entity_id, zone, slot, avg(z.occupied) AS p FROM zoned z JOIN bounds USING (entity_id) WHERE bin_start < b1 GROUP BY 1, 2, 3) s ON s.entity_id = t.entity_id AND s.zone <> t.zone AND s.slot = t.slot WHERE t.bin_start >= b2 GROUP BY 1, 2"""
-
-
-@query("leave_one_zone_out", sql("", "bounds") + ZONE_SQL, "brier")
-def _(spark, d):
-    z = zones(spark, d)
-    bounds = base.anchors(spark, d).select(*KEY, "b1", "b2").distinct()
-    z = z.join(bounds, KEY)
-    source = z.where("bin_start < b1").groupBy(*KEY, F.col("zone").alias("source"), "slot").agg(F.avg("occupied").alias("p"))
-    test = z.where("bin_start >= b2").join(source, [*KEY, "slot"]).where("source <> zone")
-    return test.groupBy(*KEY, F.col("zone").alias("held_out")).agg(F.count("*").alias("n"), F.avg((F.col("occupied") - F.col("p")) * (F.col("occupied") - F.col("p"))).alias("brier"))
+    filled = B.forward_fill(long, ["c"], [*KEY, "zone"], lead=0)
+    cut = filled.groupBy(*KEY, "zone").agg(F.floor(F.avg("c")).alias("cut"))
+    occupied = (F.col("c") > F.col("cut")).cast("int")
+    return filled.join(cut, [*KEY, "zone"]).withColumns({"occupied": occupied, "empty": 1 - occupied})
+
+
+def zone_split(spark, d):
+    """(training rows before b1, test rows a day behind b2) of all zones."""
+    z = zones(spark, d).join(base.anchors(spark, d).select(*KEY, "b1", "b2").distinct(), KEY)
+    return z.where("bin_start < b1"), z.where("bin_start >= b2 + interval 24 hours")
+
+
+HELD = """, zslots AS MATERIALIZED (SELECT entity_id, zone, slot, sum(z.empty) AS e, count(*) AS n FROM zoned z JOIN bounds USING (entity_id) WHERE bin_start < b1 GROUP BY 1, 2, 3),
+zscored AS MATERIALIZED (SELECT t.entity_id, t.zone AS held_out, t.empty, coalesce(s.p, m.p) AS p FROM zoned t JOIN bounds b ON b.entity_id = t.entity_id
+  LEFT JOIN (SELECT t.entity_id, t.zone, s.slot, sum(e) / sum(n) AS p FROM (SELECT DISTINCT entity_id, zone FROM zslots) t JOIN zslots s ON s.entity_id = t.entity_id AND s.zone <> t.zone GROUP BY 1, 2, 3) s ON s.entity_id = t.entity_id AND s.zone = t.zone AND s.slot = t.slot
+  JOIN (SELECT t.entity_id, t.zone, sum(e) / sum(n) AS p FROM (SELECT DISTINCT entity_id, zone FROM zslots) t JOIN zslots s ON s.entity_id = t.entity_id AND s.zone <> t.zone GROUP BY 1, 2) m ON m.entity_id = t.entity_id AND m.zone = t.zone WHERE t.bin_start >= b2 + INTERVAL '24 hours')
+"""
+HG = "entity_id, held_out"
+
+
+@query("leave_one_zone_out", sql("", "bounds").rstrip() + ",\n" + ZONES.rstrip() + HELD + f"SELECT * FROM ({POINT.format(g=HG, t='zscored')}) JOIN ({AP.format(g=HG, p=CLIP, t='zscored')}) USING ({HG})", METRICS + " average_precision auroc")
+def _(spark, d):
+    """The slot average of all other zones, or their mean where they lack the slot, on the held-out zone."""
+    train, test = zone_split(spark, d)
+    names = train.select(*KEY, F.col("zone").alias("held_out")).distinct()
+    sums = train.groupBy(*KEY, "zone", "slot").agg(F.sum("empty").alias("e"), F.count("*").alias("n"))
+    others = names.join(sums, KEY).where("zone <> held_out")
+    slots = others.groupBy(*KEY, "held_out", "slot").agg((F.sum("e") / F.sum("n")).alias("slot_mean"))
+    mean = others.groupBy(*KEY, "held_out").agg((F.sum("e") / F.sum("n")).alias("mean"))
+    rows = test.withColumnRenamed("zone", "held_out").join(slots, [*KEY, "held_out", "slot"], "left").join(mean, [*KEY, "held_out"])
+    return M.model_metrics(rows.withColumn("p", F.coalesce("slot_mean", "mean")), [*KEY, "held_out"])
+
+
+@query("leave_one_zone_out_gbt")
+def _(spark, d):
+    """Boosted trees on calendar features alone, fitted on the other zones."""
+    train, test = zone_split(spark, d)
+    features = S.time_features("bin_start")
+    rows = materialise(train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))).select(*KEY, "zone", "split", "empty", *(c.alias(n) for n, c in features.items())), "zones")
+    out = None
+    for zone in ("zone1", "zone2"):
+        use = rows.where((F.col("split") == "train") == (F.col("zone") != zone))
+        one = M.model_metrics(ML.fit_and_score(use, list(features), ML.gbt), KEY).withColumn("held_out", F.lit(zone))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("label_transitions", sql("SELECT entity_id, day, sum(abs(occupied - prev))::BIGINT AS transitions FROM (SELECT entity_id, bin_start::DATE AS day, occupied, coalesce(lag(occupied) OVER (PARTITION BY entity_id, bin_start::DATE ORDER BY pos), occupied) AS prev FROM bins) GROUP BY 1, 2", "bins"))

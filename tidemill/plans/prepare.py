@@ -128,9 +128,20 @@ def _(spark, d):
     return w.select("entity_id", "anchor_pos", "step", *(bounds[n].alias(n) for n in ("issue_time", "target_start", "target_end")))
 
 
-@query("midnight_filter", sql("SELECT entity_id, split, pos, bin_start FROM anchors WHERE hour(bin_start) = 0 AND minute(bin_start) = 0", "anchors"))
+@query("midnight_filter", sql("SELECT 'all' AS given, entity_id, split, pos, bin_start FROM anchors WHERE hour(bin_start) = 0 AND minute(bin_start) = 0 UNION ALL SELECT 'without_midnight', entity_id, split, pos, bin_start FROM (SELECT *, min(pos) OVER (PARTITION BY entity_id) AS first FROM anchors WHERE hour(bin_start) > 0 OR minute(bin_start) > 0) WHERE (pos - first) % 96 = 0", "anchors"))
 def _(spark, d):
-    return base.anchors(spark, d).where(S.is_midnight("bin_start")).select(*KEY, "split", "pos", "bin_start")
+    """Daily anchors of all anchors, and of those that are left where none is at midnight."""
+    a = base.anchors(spark, d).select(*KEY, "split", "pos", "bin_start")
+    rest = a.where(~S.is_midnight("bin_start"))
+    both = [L.daily_anchors(x, KEY).withColumn("given", F.lit(n)) for n, x in (("all", a), ("without_midnight", rest))]
+    return both[0].unionByName(both[1])
+
+
+@query("percent_label", sql("SELECT DISTINCT delta, round(100 * delta)::INTEGER::VARCHAR || '%' AS label FROM chosen", "chosen"), "delta")
+def _(spark, d):
+    from tidemill.plans.decide import chosen
+
+    return chosen(spark, d).select("delta", S.percent_label("delta").alias("label")).distinct()
 
 
 @query("slug_labels", "SELECT DISTINCT p_brand, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
@@ -144,11 +155,13 @@ def _(spark, d):
     return e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), "|").alias("kinds"))
 
 
-@query("near_equal", sql("SELECT event_id, thr_idx FROM (SELECT event_id, least(36, greatest(-1, floor((value * 10 - 50) / 25)))::INTEGER AS k FROM events) JOIN grid ON k = thr_idx", "grid"))
+@query("near_equal", sql("SELECT event_id, thr_idx, abs(value / 100 - threshold) AS distance FROM (SELECT event_id, value, round((value * 10 - 50) / 25)::INTEGER AS k FROM events) JOIN grid ON k = thr_idx WHERE abs(value / 100 - threshold) <= 1e-3 + 1e-3 * abs(threshold)", "grid"), "distance")
 def _(spark, d):
-    k = F.least(F.lit(36), F.greatest(F.lit(-1), F.floor((F.col("value") * 10 - 50) / 25))).cast("int")
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", k.alias("thr_idx"))
-    return e.join(F.broadcast(threshold_grid(spark)), "thr_idx").select("event_id", "thr_idx")
+    """Events whose value in hundredths equals a threshold up to a tolerance: joined by the nearest index, then compared."""
+    k = F.round((F.col("value") * 10 - 50) / 25).cast("int")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("value") / 100).alias("v"), k.alias("thr_idx"))
+    near = e.join(F.broadcast(threshold_grid(spark)), "thr_idx").where(S.near_equal("v", "threshold", 1e-3, 1e-3))
+    return near.select("event_id", "thr_idx", F.abs(F.col("v") - F.col("threshold")).alias("distance"))
 
 
 @query("resample_mean", "SELECT user_id % 2 AS entity_id, time_bucket(INTERVAL '15 minutes', ts) AS bin_start, avg(value) AS value FROM events GROUP BY 1, 2", "value")
@@ -189,9 +202,16 @@ def _(spark, d):
     return B.missing_shares(base.bins(spark, d), SENSORS)
 
 
-@query("co2_gate", sql("SELECT avg((sensor IS NOT NULL)::INTEGER) AS coverage, (avg((sensor IS NOT NULL)::INTEGER) >= 0.25)::INTEGER AS included FROM bins", "bins"), "coverage")
+GATED = "SELECT entity_id, pos, source, CASE WHEN share >= 0.25 THEN value END AS value, (share >= 0.25)::INTEGER AS included FROM (SELECT entity_id, pos, 'sensor' AS source, sensor AS value, (SELECT avg((sensor IS NOT NULL)::INTEGER) FROM bins) AS share FROM bins UNION ALL SELECT entity_id, pos, 'rare', rare, avg((rare IS NOT NULL)::INTEGER) OVER () FROM (SELECT entity_id, pos, CASE WHEN pos % 10 = 0 THEN sensor END AS rare FROM bins))"
+
+
+@query("co2_gate", sql(GATED, "bins"), "value")
 def _(spark, d):
-    return B.coverage_gate(base.bins(spark, d), ["sensor"])
+    """A sensor that enough bins have, and one that is there in a tenth of them at most, after the gate."""
+    b = base.bins(spark, d).select(*KEY, "pos", F.col("sensor").alias("value"))
+    rare = b.withColumn("value", F.when(F.col("pos") % 10 == 0, F.col("value")))
+    both = [B.gated(x, ["value"]).withColumn("source", F.lit(n)) for n, x in (("sensor", b), ("rare", rare))]
+    return both[0].unionByName(both[1])
 
 
 @query("assign_position", sql("SELECT entity_id, bin_start, pos, (pos = date_diff('minute', min(bin_start) OVER (PARTITION BY entity_id), bin_start) // 15)::INTEGER AS gap_free FROM bins", "bins"))
@@ -247,25 +267,47 @@ def _(spark, d):
     return base.wide(spark, d, midnight=True).join(b, [*KEY, "target_pos"]).select(*KEY, "anchor_pos", "step", "yesterday")
 
 
-def tabular(spark, d, midnight=True, splits=("train", "val", "test")):
-    """Feature rows of anchors and steps: lags, rolling means, sensors at the anchor, yesterday's label, calendar of the target."""
-    b = B.forward_fill(base.bins(spark, d), SENSORS, KEY)
+CALENDAR = S.TIME_FEATURES
+TABULAR = [*(f"empty_lag_{k}" for k in LAGS), *(f"c1_mean_{k}" for k in WIDTHS), *SENSORS, "step_share", "yesterday", *CALENDAR]
+
+
+def feature_rows(b, assigned):
+    """Feature rows of anchors and steps: lags, rolling means, sensors at the anchor, yesterday's label, calendar of the target.
+
+    ``assigned``: (entity_id, pos, split) of the anchors to use.
+    """
+    filled = B.forward_fill(b, SENSORS, KEY)
     lag_cols, roll_cols = [f"empty_lag_{k}" for k in LAGS], [f"c1_mean_{k}" for k in WIDTHS]
-    known = L.rolling_means(L.lags(b, "empty", LAGS, KEY), "c1", WIDTHS, KEY)
-    a = L.chrono_split(known, KEY).where(F.col("split").isin(*splits))
-    a = a.where(S.is_midnight("bin_start")) if midnight else a
-    a = L.fill_by_split(a, [*lag_cols, *roll_cols], KEY).select(*KEY, "split", "pos", *lag_cols, *roll_cols, *SENSORS)
+    known = L.rolling_means(L.lags(filled, "empty", LAGS, KEY), "c1", WIDTHS, KEY)
+    a = L.fill_by_split(known.join(assigned, [*KEY, "pos"]), [*lag_cols, *roll_cols], KEY).select(*KEY, "split", "pos", *lag_cols, *roll_cols, *SENSORS)
     steps = B.future_explode(a).withColumnRenamed("pos", "anchor_pos").withColumn("step_share", F.col("step") / 96)
-    calendar = S.time_features("bin_start")
-    target = b.select(*KEY, F.col("pos").alias("target_pos"), "empty", *(c.alias(n) for n, c in calendar.items()))
+    target = b.select(*KEY, F.col("pos").alias("target_pos"), "empty", *(c.alias(n) for n, c in S.time_features("bin_start").items()))
     yesterday = b.select(*KEY, (F.col("pos") + 96).alias("target_pos"), F.col("occupied").alias("yesterday"))
-    out = steps.join(target, [*KEY, "target_pos"]).join(yesterday, [*KEY, "target_pos"])
-    return out, [*lag_cols, *roll_cols, *SENSORS, "step_share", "yesterday", *calendar]
+    return steps.join(target, [*KEY, "target_pos"]).join(yesterday, [*KEY, "target_pos"])
+
+
+@base.once
+def tabular(spark, d):
+    """Feature rows of the midnight anchors of all splits."""
+    daily = base.anchors(spark, d).where(S.is_midnight("bin_start")).select(*KEY, "pos", "split")
+    return feature_rows(base.bins(spark, d), daily)
+
+
+def tabular_sql():
+    means = ", ".join([f"coalesce(l{k}, avg(l{k}) OVER s, 0) AS empty_lag_{k}" for k in LAGS] + [f"coalesce(m{k}, avg(m{k}) OVER s, 0) AS c1_mean_{k}" for k in WIDTHS])
+    known = ", ".join([f"lag(empty, {k}) OVER w AS l{k}" for k in LAGS] + [f"CASE WHEN pos >= {k} THEN avg(c1) OVER (PARTITION BY entity_id ORDER BY pos ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS m{k}" for k in WIDTHS] + [f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS {c}" for c in SENSORS])
+    own = ", ".join(c for c in TABULAR if c.startswith(("empty_lag", "c1_mean")) or c in SENSORS)
+    return f""", known AS MATERIALIZED (SELECT entity_id, pos, {known} FROM bins WINDOW w AS (PARTITION BY entity_id ORDER BY pos)),
+    daily AS MATERIALIZED (SELECT entity_id, split, pos, {means}, {", ".join(SENSORS)} FROM known JOIN (SELECT entity_id, pos, split FROM anchors WHERE hour(bin_start) = 0 AND minute(bin_start) = 0) USING (entity_id, pos) WINDOW s AS (PARTITION BY entity_id, split)),
+    calendar AS MATERIALIZED ({FEATURES}), past AS MATERIALIZED (SELECT entity_id, pos + 96 AS pos, occupied AS yesterday FROM bins),
+    targets AS MATERIALIZED (SELECT entity_id, pos AS target_pos, empty, yesterday, {", ".join(CALENDAR)} FROM (SELECT entity_id, pos, empty FROM bins) JOIN past USING (entity_id, pos) JOIN calendar USING (entity_id, pos)),
+    steps AS MATERIALIZED (SELECT entity_id, split, pos AS anchor_pos, step::INTEGER AS step, pos + step AS target_pos, {own}, step / 96 AS step_share FROM daily JOIN range(1, 97) r(step) ON TRUE)
+    SELECT entity_id, split, anchor_pos, step, empty, {", ".join(TABULAR)} FROM steps JOIN targets USING (entity_id, target_pos)"""
 
 
-@query("tabular_features")
+@query("tabular_features", sql("", "anchors").rstrip() + tabular_sql(), " ".join(c for c in TABULAR if c != "yesterday"))
 def _(spark, d):
-    return tabular(spark, d)[0].select(*KEY, "split", "anchor_pos", "step", "empty", "empty_lag_672", "hvac", "step_share", "yesterday", "hour_sin")
+    return tabular(spark, d).select(*KEY, "split", "anchor_pos", "step", "empty", *TABULAR)
 
 
 @query("chrono_split", sql("SELECT entity_id, pos, split FROM anchors", "anchors"))
@@ -304,7 +346,7 @@ def _(spark, d):
 
 FOLDS = """SELECT entity_id, fold, role, count(*) AS anchors, min(pos) AS first_pos, max(pos) AS last_pos FROM (
   SELECT b.entity_id, fold, pos, CASE WHEN bin_start + INTERVAL '1 day' < e THEN 'train' WHEN bin_start - INTERVAL '1425 minutes' >= e + INTERVAL '1 day' AND bin_start + INTERVAL '1 day' < e + INTERVAL '21 days' THEN 'val' END AS role
-  FROM bins b JOIN sizes USING (entity_id) JOIN (SELECT x.entity_id, fold, date_trunc('week', bin_start)::TIMESTAMP AS e FROM bins x JOIN sizes USING (entity_id) JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.6::DOUBLE), (3, 0.7::DOUBLE)) f(fold, cut) ON x.pos = floor(n * cut)::BIGINT) USING (entity_id) WHERE pos >= 95 AND pos < n - 96)
+  FROM bins b JOIN sizes USING (entity_id) JOIN (SELECT x.entity_id, fold, date_trunc('week', bin_start)::TIMESTAMP AS e FROM bins x JOIN sizes USING (entity_id) JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.6::DOUBLE), (3, 0.7::DOUBLE)) f(fold, share) ON x.pos = floor(n * share)::BIGINT) USING (entity_id) WHERE pos >= 95 AND pos < n - 96)
   WHERE role IS NOT NULL GROUP BY 1, 2, 3"""
 
 

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from tidemill.functions.scalar import bin_bounds
 from tidemill.plans import base
 from tidemill.plans.base import KEY, sql
 from tidemill.plans.decide import midnight
 from tidemill.plans.registry import query
 from tidemill.sources import sensors
+from tidemill.sources.scratch import fresh_path as folder
 from tidemill.streaming.bins import closed_bins
 
 
-def folder(spark, label):
-    """A fresh place in the shared folder of the session, or under /tmp where it has none (tests on one machine)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-tidemill"
-    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("read_sensor_csv", "SELECT event_id, ts AS date, value FROM events WHERE event_id % 7 <> 0", "value")
 def _(spark, d):
     path = folder(spark, "csv")
@@ -29,14 +23,18 @@ def _(spark, d):
     return sensors.read_sensor_csv(spark, path, ["event_id", "value"]).withColumn("event_id", F.col("event_id").cast("long"))
 
 
-EXPORT = "SELECT entity_id, split, anchor_pos, step::INTEGER AS step, empty, slot AS slot_empty, persist AS persist_empty, recent AS recent_empty, 1 - slot AS slot_occupied FROM wide_mid"
+BOUNDS = {"bin_start": "anchor_time", "bin_end": "anchor_time + INTERVAL '15 minutes'", "issue_time": "anchor_time + INTERVAL '15 minutes'", "target_start": "anchor_time + step * INTERVAL '15 minutes'", "target_end": "anchor_time + (step + 1) * INTERVAL '15 minutes'"}
+SCORES = [f"{m}_{side}" for m in base.MODELS for side in ("empty", "occupied")]
+EXPORT = f"SELECT entity_id, split, anchor_pos, step::INTEGER AS step, empty, 1 - empty AS occupied, {', '.join(f'{e} AS {n}' for n, e in BOUNDS.items())}, {', '.join(f'{m} AS {m}_empty, 1 - {m} AS {m}_occupied' for m in base.MODELS)} FROM wide_mid"
 
 
-@query("write_forecast_export", sql(EXPORT, "wide_mid"), "slot_empty persist_empty recent_empty slot_occupied")
+@query("write_forecast_export", sql(EXPORT, "wide_mid"), " ".join(SCORES))
 def _(spark, d):
     path = folder(spark, "export")
     w = base.wide(spark, d, midnight=True)
-    out = w.select(*KEY, "split", "anchor_pos", "step", "empty", *(F.col(m).alias(f"{m}_empty") for m in base.MODELS), (1 - F.col("slot")).alias("slot_occupied"))
+    bounds = {"bin_start": F.col("anchor_time")} | bin_bounds("anchor_time", "step")
+    scores = [c.alias(f"{m}_{side}") for m in base.MODELS for side, c in (("empty", F.col(m)), ("occupied", 1 - F.col(m)))]
+    out = w.select(*KEY, "split", "anchor_pos", "step", "empty", (1 - F.col("empty")).alias("occupied"), *(bounds[n].alias(n) for n in BOUNDS), *scores)
     out.write.partitionBy("split").parquet(path)
     return sensors.read_scores(spark, path, out.schema)
 
@@ -65,27 +63,44 @@ def _(spark, d):
     return sensors.read_scores(spark, path, out.schema)
 
 
-@query("horizon_payload", sql("SELECT entity_id, anchor_pos, string_agg(empty::VARCHAR, ',' ORDER BY step) AS empties, count(*) AS steps, sum(kwh) AS kwh FROM wide_mid GROUP BY 1, 2", "wide_mid"), "kwh")
-def _(spark, d):
-    payload = base.wide(spark, d, midnight=True).groupBy(*KEY, "anchor_pos").agg(F.array_sort(F.collect_list(F.struct("step", "empty", "kwh"))).alias("steps"))  # 96 in each
-    empties = F.array_join(F.transform("steps", lambda s: s["empty"].cast("string")), ",")
-    return payload.select(*KEY, "anchor_pos", empties.alias("empties"), F.size("steps").cast("long").alias("steps"), F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["kwh"]).alias("kwh"))
+MICRO = "string_agg((floor({m} * 1e6 + 0.5))::BIGINT::VARCHAR, ',' ORDER BY step) AS {m}_millionths"
+PAYLOAD = f"SELECT entity_id, anchor_pos, min(target_time) AS first_target, max(target_time) AS last_target, string_agg(empty::VARCHAR, ',' ORDER BY step) AS empties, count(*) AS steps, sum(kwh) AS kwh, {', '.join(MICRO.format(m=m) for m in base.MODELS)} FROM wide_mid GROUP BY 1, 2"
 
 
-@query("sample_output_csv", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, p, CASE WHEN opening >= 0.8 - 1e-10 THEN CASE empty WHEN 1 THEN 'safe' ELSE 'conflict' END ELSE 'none' END AS state FROM opened WHERE model = 'blend'", "opened"), "p")
+@query("horizon_payload", sql(PAYLOAD, "wide_mid"), "kwh")
+def _(spark, d):
+    """One nested record for each horizon, written as JSON and read back: times, labels and loads in order, and a map of scores."""
+    path, models = folder(spark, "payload"), base.MODELS
+    step = F.struct("step", "target_time", "empty", "kwh", *models)
+    rows = base.wide(spark, d, midnight=True).groupBy(*KEY, "anchor_pos").agg(F.array_sort(F.collect_list(step)).alias("s"))  # 96 in each
+    scores = F.map_from_arrays(F.array(*(F.lit(m) for m in models)), F.array(*(F.col(f"s.{m}") for m in models)))
+    nested = rows.select(*KEY, "anchor_pos", F.col("s.target_time").alias("target_times"), F.col("s.empty").alias("empty"), F.col("s.kwh").alias("load_kwh"), scores.alias("scores"))
+    nested.write.json(path)
+    back = spark.read.schema(nested.schema).json(path)
+    millionths = lambda m: F.array_join(F.transform(F.col("scores")[m], lambda p: F.floor(p * 1e6 + 0.5).cast("string")), ",")
+    return back.select(
+        *KEY, "anchor_pos", F.array_min("target_times").alias("first_target"), F.array_max("target_times").alias("last_target"),
+        F.array_join(F.transform("empty", lambda e: e.cast("string")), ",").alias("empties"), F.size("empty").cast("long").alias("steps"),
+        F.aggregate("load_kwh", F.lit(0.0), lambda a, x: a + x).alias("kwh"), *(millionths(m).alias(f"{m}_millionths") for m in models),
+    )
+
+
+@query("sample_output_csv", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, p, empty, kwh, CASE WHEN opening >= 0.8 - 1e-11 THEN CASE empty WHEN 1 THEN 'safe' ELSE 'conflict' END ELSE 'none' END AS state FROM opened WHERE model = 'blend'", "opened"), "p kwh")
 def _(spark, d):
     from tidemill.operators.windows import stable_mask
 
     path = folder(spark, "sample")
-    m = stable_mask(midnight(spark, d, models=("blend",)), ["entity_id", "model", "anchor_pos"], 0.8 - 1e-10)
-    out = m.select(*KEY, "anchor_pos", "step", "p", F.when(~F.col("rec"), "none").when(F.col("empty") == 1, "safe").otherwise("conflict").alias("state"))
+    m = stable_mask(midnight(spark, d, models=("blend",)), ["entity_id", "model", "anchor_pos"], 0.8 - 1e-11)
+    out = m.select(*KEY, "anchor_pos", "step", "p", "empty", "kwh", F.when(~F.col("rec"), "none").when(F.col("empty") == 1, "safe").otherwise("conflict").alias("state"))
     out.write.option("header", True).csv(path)
     return spark.read.option("header", True).schema(out.schema).csv(path)
 
 
+#: Bins over by the time of the last reading less the hour that late rows are waited for.
+CLOSED = "SELECT user_id % 2 AS entity_id, time_bucket(INTERVAL '15 minutes', ts) AS bin_start, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1, 2 HAVING bin_start + INTERVAL '15 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"
 
 
-@query("stream_closed_bins")
+@query("stream_closed_bins", CLOSED, "mean")
 def _(spark, d):
     """Bins of ``events`` as a stream emits them once the watermark has passed their end."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -94,4 +109,4 @@ def _(spark, d):
     path = folder(spark, "stream")
     q = closed_bins(rows, KEY).writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "progress")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("bin_start", F.col("bin_start").cast("timestamp_ntz"))
