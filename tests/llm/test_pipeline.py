@@ -7,7 +7,7 @@ import corpus_pipeline as cp
 from tidemill.llm import gam
 from tidemill.llm.bpe import VOCABULARY
 
-from .test_simhash import slow_classes, slow_fingerprint
+from .test_simhash import slow_classes, slow_wide
 
 
 def slow_texts(rows, window=100):
@@ -30,8 +30,8 @@ def test_each_stage_against_brute_force(spark, sf):
     got = cp.STAGES[0][1](spark, docs, sf)
     assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == rows
 
-    fps = {i: slow_fingerprint(t) for i, t in rows.items()}
-    stay = {i for i, c in slow_classes(fps).items() if i == c}
+    fps = {i: slow_wide(t) for i, t in rows.items()}
+    stay = {i for i, c in slow_classes(fps, None).items() if i == c}
     got = cp.STAGES[1][1](spark, got, sf)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == stay
 
@@ -47,15 +47,30 @@ def test_each_stage_against_brute_force(spark, sf):
     assert cp.run(spark, sf).count() == len(got)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc int"
+LONG = "".join(f"word{i} " for i in range(4000))
+ODD = [(1, None, None, None, None, 1), (None, "a b c", "en", "x", 5, 2), (1, "", "en", "x", 0, 3), (1, "", "en", "x", 0, 3), (5, LONG, "en", "x", len(LONG), 4), (6, LONG, "en", "x", len(LONG), 5)]
+
+
 def test_odd_documents(spark, sf):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, doc int"
-    rows = [(1, None, None, None, None, 1), (None, "a b c", "en", "x", 5, 2), (1, "", "en", "x", 0, 3), (1, "", "en", "x", 0, 3), (5, "word " * 4000, "en", "x", 20000, 4)]
-    for some in (rows, []):
-        frame = spark.createDataFrame(some, schema)
-        for _, stage in cp.STAGES[1:]:
-            frame = stage(spark, frame, sf)
-        frame.collect()
-    assert cp.STAGES[0][1](spark, spark.createDataFrame(rows, schema), sf).columns == spark.createDataFrame(rows, schema).columns
+    frame = spark.createDataFrame(ODD, SCHEMA)
+    near = cp.STAGES[1][1](spark, frame, sf)
+    # texts without words are one class, of which the first by (doc_id, text), null first, stays; so is each long text
+    assert sorted((str(r.doc_id), len(r.text or ""), r.doc) for r in near.collect()) == [("1", 0, 1), ("5", len(LONG), 4), ("None", 5, 2)]
+    whole = cp.STAGES[2][1](spark, frame, sf)
+    assert sorted((str(r.doc_id), len(r.text or ""), r.doc) for r in whole.collect()) == [("1", 0, 1), ("1", 0, 3), ("1", 0, 3), ("5", len(LONG), 4), ("6", 0, 5), ("None", 5, 2)]
+    packed = cp.STAGES[3][1](spark, near, sf).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in packed} >= {(1, 1)} and sum(r.length for r in packed) == sum({(r.doc_id): r.doc_tokens for r in packed}.values())
+    good = cp.STAGES[0][1](spark, frame, sf)
+    assert good.columns == frame.columns and {r.doc for r in good.collect()} <= {1, 2, 3, 4, 5}
+
+
+def test_empty_documents(spark, sf):
+    frame = spark.createDataFrame([], SCHEMA)
+    for name, stage in cp.STAGES:
+        frame = stage(spark, frame, sf)
+        assert frame.count() == 0
+        assert name == "packing" or frame.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])

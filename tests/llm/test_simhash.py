@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from tidemill.llm.components import connected_components
-from tidemill.llm.simhash import covering_triples, fingerprint_links, near_duplicates, one_of_each
+from tidemill.llm.simhash import WIDE_BITS, WIDE_SHARED, covering_triples, fingerprint_links, near_duplicates, one_of_each, position_pairs, wide_links, wide_roots
 
 
 def slow_fingerprint(text):
@@ -15,6 +15,30 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def spread(x):
+    """The splitmix64 finaliser on Python integers."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def slow_wide(text):
+    """Four 64-bit words from shingles of five words."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return (0, 0, 0, 0)
+    first = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))]
+    each = [first, *([spread((h + i * 0x9E3779B97F4A7C15) % 2**64) for h in first] for i in (1, 2, 3))]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) for hashes in each)
+
+
+def slow_wide_link(a, b):
+    """Wide fingerprints that share a posted pair of positions, enough bytes and nearly all bits."""
+    same = [i for i in range(32) if (a[i // 8] ^ b[i // 8]) >> 8 * (i % 8) & 255 == 0]
+    bits = sum((x ^ y).bit_count() for x, y in zip(a, b))
+    return bits <= WIDE_BITS and len(same) >= WIDE_SHARED and any(i % 6 == j % 6 for i, j in combinations(same, 2))
+
+
 def slow_classes(fps, bits=4):
     root = {i: i for i in fps}
 
@@ -24,7 +48,7 @@ def slow_classes(fps, bits=4):
         return x
 
     for a, b in combinations(sorted(fps), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= bits:
+        if slow_wide_link(fps[a], fps[b]) if bits is None else (fps[a] ^ fps[b]).bit_count() <= bits:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: find(i) for i in fps}
@@ -50,8 +74,7 @@ def test_matches_all_pairs(spark):
 def test_hot_lists_lose_nothing(spark):
     # fingerprints that share four bytes and walk through the others bit by bit
     fps = {i: (0xAABBCCDD << 32) ^ (i * 0x01010101 * 7 & 0xFFFFFFFF) for i in range(200)}
-    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps.values()], "fp long")
-    name = {f - (1 << 64) if f >> 63 else f: i for i, f in fps.items()}
+    frame = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "node long, fp long")
     want = slow_classes(fps)
     for limit in (4096, 3):
         root = {i: i for i in fps}
@@ -62,11 +85,42 @@ def test_hot_lists_lose_nothing(spark):
             return x
 
         for r in fingerprint_links(frame, limit).collect():
-            a, b = find(name[r.src]), find(name[r.dst])
+            a, b = find(r.src), find(r.dst)
             root[max(a, b)] = min(a, b)
         assert {i: find(i) for i in fps} == want
 
 
+def test_wide_pairs_cover_seven_positions():
+    pairs = position_pairs()
+    assert len(pairs) == 70
+    assert not any(i % 6 == j % 6 for i, j in combinations(range(6), 2))  # six positions may miss, seven can't
+
+
+def edited(words, every, tag):
+    return " ".join(w if i % every else f"{tag}{i}" for i, w in enumerate(words))
+
+
+def test_wide_net_matches_all_pairs(spark):
+    words = [f"word{i * i % 997}" for i in range(400)]
+    texts = [edited(words, 40 + 9 * i, f"x{i}_") for i in range(30)] + [" ".join(words), " ".join(words).upper(), None, "", "one two", "One  two", " ".join(words[::-1])]
+    docs = {i: t for i, t in enumerate(texts)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = {i for i, c in slow_classes({i: slow_wide(t) for i, t in docs.items()}, None).items() if i == c}
+    assert 3 <= len(want) < 20
+    assert {r.doc_id for r in wide_roots(frame).collect()} == want
+
+
+def test_hot_wide_lists_lose_nothing(spark):
+    words = [f"word{i * i % 997}" for i in range(600)]
+    fps = {i: slow_wide(edited(words, 60 + 7 * i, f"y{i}_")) for i in range(25)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(i, *map(signed, f)) for i, f in fps.items()], "node long, w0 long, w1 long, w2 long, w3 long")
+    want = slow_classes(fps, None)
+    for limit in (1 << 16, 2):
+        roots = {r.node: r.root for r in connected_components(wide_links(frame, limit)).collect()}
+        assert {i: roots.get(i, i) for i in fps} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 100)]
     got = {tuple(r) for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}

@@ -9,11 +9,16 @@ bytes tallied, those under four are dropped, the others are verified bit by bit.
 A posting list with more than ``limit`` fingerprints is not cut: its entries are posted again under one more
 position (four bytes), then under three of the other eight half-bytes, then a fourth.  Two fingerprints within four
 bits share these too, so nothing is lost, and a list of the last level has at most 2**16 different fingerprints.
+
+``wide_duplicates`` is the same index for a wider net (Jaccard similarity of about 0.8): fingerprints of 256 bits,
+32 positional bytes, of which near copies share many, though no number is certain.  Pairs of positions within six
+classes are posted, so that any seven shared bytes contain a posted pair; fewer are found with a chance that the
+README gives.  Shared bytes are tallied, pairs under the least number dropped, the others verified bit by bit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import materialise, partitions, table
 from tidemill.llm.components import connected_components
+from tidemill.llm.repeats import _mix as mix
 
 #: Most differing bits of a link; what follows relies on it.
 MAX_BITS = 4
@@ -40,23 +46,32 @@ def covering_triples(n: int = 8) -> list[tuple[int, ...]]:
     return out
 
 
-def fingerprint_bytes(text: bytes | None, k: int = 4, seed: int = 42) -> bytes:
-    """Eight bytes, most significant first.  Null or no words: zero bytes; fewer than ``k`` words: one shingle."""
+def fingerprint_bytes(text: bytes | None, k: int = 4, seed: int = 42, width: int = 1) -> bytes:
+    """Eight bytes for each of ``width`` words, most significant first.
+
+    Null or no words: zero bytes; fewer than ``k`` words: one shingle.  The first eight bytes use the shingle's XXH64;
+    further ones use it mixed with their number.  Very long texts are taken in slices of 32,768 shingles.
+    """
     words = (text or b"").lower().split()  # of bytes, both know ASCII only: A-Z, and \\x20 \\x09-\\x0D
     if not words:
-        return bytes(8)
+        return bytes(8 * width)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(k, len(words))
     h = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):  # bounded memory for very long texts
+    ones = np.zeros(64 * width, np.int64)
+    more = np.arange(1, width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 1 << 15):
         upto = min(n, at + (1 << 15))
         cut = zip(starts[at:upto].tolist(), ends[at + k - 1 : upto + k - 1].tolist())
-        hashes = np.array([h(joined[s:e], seed) for s, e in cut], np.uint64)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
+        hashes = np.array([h(joined[s:e], seed) for s, e in cut], np.uint64)[:, None]
+        if width > 1:
+            hashes = np.concatenate((hashes, mix(hashes + more)), axis=1)
+        for i in range(0, upto - at, 1 << 12):
+            raw = hashes[i : i + (1 << 12)].astype(">u8").view(np.uint8).reshape(-1, 8 * width)
+            ones += np.unpackbits(raw, axis=1).sum(0, dtype=np.uint32)
     return np.packbits(2 * ones > n).tobytes()
 
 
@@ -104,21 +119,21 @@ def refinements(level: int) -> list[tuple[int, int]]:
 
 def _linked_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of two arrays of fingerprints: where they share at least 4 positional bytes and differ in at most 4 bits."""
-    diff = x ^ y
+    diff = (x ^ y).reshape(-1)
     shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(1)
     out = shared >= 8 - MAX_BITS
     out[out] = np.bitwise_count(diff[out]) <= MAX_BITS
     return out
 
 
-def _forest(x: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links within one list, breadth first: at most len(x) - 1 links instead of all pairs."""
+def _forest(x: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links within one list: at most len(x) - 1 links instead of all pairs."""
     left, src, dst = np.arange(len(x)), [], []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            hit = _linked_rows(np.full(len(left), x[i]), x[left])
+            hit = linked(x[i : i + 1], x[left])
             if hit.any():
                 found = left[hit].tolist()
                 queue += found
@@ -128,45 +143,55 @@ def _forest(x: np.ndarray) -> tuple[list[int], list[int]]:
     return src, dst
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp), sorted by key: the links of each list as a spanning forest.  Holds one list and one batch."""
-    held_k, held_x = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int = 1):
+    """Rows (key, node, words of a fingerprint), sorted by key: the links of each list as a spanning forest of nodes.
+
+    Holds one list and one batch.  ``linked``: for two arrays of fingerprints, which pairs are links.
+    """
 
-    def solve(keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def solve(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.concatenate((edge, [len(keys)])))
         small = np.repeat(size <= 8, size)
-        src, dst = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for d in range(1, 8):  # short lists all at once
             i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
-            i = i[_linked_rows(x[i], x[i + d])]
-            src.append(x[i])
-            dst.append(x[i + d])
+            i = i[linked(x[i], x[i + d])]
+            src.append(node[i])
+            dst.append(node[i + d])
         for e, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
-            part = x[e : e + n]
-            a, b = _forest(part)
-            src.append(part[a])
-            dst.append(part[b])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (src, dst)], ["src", "dst"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held_k = np.concatenate((held_k, b.column(0).to_numpy(zero_copy_only=False)))
-        held_x = np.concatenate((held_x, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        done = int(np.searchsorted(held_k, held_k[-1]))
-        if done:
-            yield solve(held_k[:done], held_x[:done])
-            held_k, held_x = held_k[done:], held_x[done:]
-    if len(held_k):
-        yield solve(held_k, held_x)
-
-
-def fingerprint_links(fps: DataFrame, limit: int = 4096) -> DataFrame:
-    """(src, dst) of links that connect just what all links within four bits connect.  ``fps``: different, in column fp."""
-    spark, out = fps.sparkSession, None
+            a, b = _forest(x[e : e + n], linked)
+            src.append(node[e : e + n][a])
+            dst.append(node[e : e + n][b])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (src, dst)], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_n, held_x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word = lambda i: b.column(2 + i).to_numpy(zero_copy_only=False).view(np.uint64)  # noqa: B023, E731
+            held_k = np.concatenate((held_k, b.column(0).to_numpy(zero_copy_only=False)))
+            held_n = np.concatenate((held_n, b.column(1).to_numpy(zero_copy_only=False)))
+            held_x = np.concatenate((held_x, np.stack([word(i) for i in range(width)], axis=1)))
+            done = int(np.searchsorted(held_k, held_k[-1]))
+            if done:
+                yield solve(held_k[:done], held_n[:done], held_x[:done])
+                held_k, held_n, held_x = held_k[done:], held_n[done:], held_x[done:]
+        if len(held_k):
+            yield solve(held_k, held_n, held_x)
+
+    return run
+
+
+def fingerprint_links(nodes: DataFrame, limit: int = 4096) -> DataFrame:
+    """(src, dst) of links that connect just what all links within four bits connect.
+
+    ``nodes``: (node, fp), both different in each row.
+    """
+    spark, out = nodes.sparkSession, None
     n = partitions(spark)
-    post = fps.select(F.explode(F.array(*[F.lit(m) for _, m in refinements(0)])).alias("mask"), "fp")
+    post = nodes.select(F.explode(F.array(*[F.lit(m) for _, m in refinements(0)])).alias("mask"), "node", "fp")
     for level in range(4):
         post = post.withColumn("key", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
         hot = None
@@ -174,14 +199,63 @@ def fingerprint_links(fps: DataFrame, limit: int = 4096) -> DataFrame:
             hot = materialise(post.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-lists")
             hot = None if hot.isEmpty() else hot
         cold = post if hot is None else post.join(hot, "key", "left_anti")
-        found = cold.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "src long, dst long")
+        found = cold.select("key", "node", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(_linked_rows), "src long, dst long")
         found = materialise(found, "pairs")
         out = found if out is None else out.unionByName(found)
         if hot is None:
             break
         finer = spark.createDataFrame(refinements(level + 1), "mask long, finer long")  # at most 7000 rows, a fixed number
         again = post.join(hot, "key", "left_semi").join(F.broadcast(finer), "mask")
-        post = materialise(again.select(F.col("finer").alias("mask"), "fp").distinct(), "postings")
+        post = materialise(again.select(F.col("finer").alias("mask"), "node", "fp").distinct(), "postings")
+    return out
+
+
+#: The wider net: words of a shingle and 64-bit words of a fingerprint; least shared bytes and most differing bits of a link.
+WIDE_K, WIDE, WIDE_SHARED, WIDE_BITS = 5, 4, 4, 48
+_CLASSES = 6
+
+
+def position_pairs(n: int = 8 * WIDE, classes: int = _CLASSES) -> list[tuple[int, int]]:
+    """Pairs of positions of one class each: any ``classes`` + 1 positions contain such a pair."""
+    return [(i, j) for i, j in combinations(range(n), 2) if i % classes == j % classes]
+
+
+def _linked_wide(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of two arrays of wide fingerprints: where they share enough positional bytes and differ in few enough bits."""
+    diff = x ^ y
+    out = (diff.view(np.uint8).reshape(len(diff), 8 * WIDE) == 0).sum(1) >= WIDE_SHARED
+    out[out] = np.bitwise_count(diff[out]).sum(1) <= WIDE_BITS
+    return out
+
+
+def wide_links(nodes: DataFrame, limit: int = 1 << 16) -> DataFrame:
+    """(src, dst) of links between (node, w0..w3).
+
+    Entries of lists over ``limit`` are posted again under each third position, then a fourth: pairs that share at
+    least WIDE_SHARED bytes meet in one of these too, so nothing that the first level finds is lost.
+    """
+    spark, out = nodes.sparkSession, None
+    n, words = partitions(spark), [f"w{i}" for i in range(WIDE)]
+    masks = {p: [_mask(tuple(i % 8 for i in p if i // 8 == w)) for w in range(WIDE)] for p in position_pairs()}
+    grid = lambda ps: F.array(*(F.struct(*(F.lit(m).cast("long").alias(f"m{w}") for w, m in enumerate(masks[p]))) for p in ps))
+    post = nodes.select("node", *words, F.explode(grid(sorted(masks))).alias("m"))
+    for level in range(3):
+        post = post.withColumn("key", F.xxhash64("m", *(F.col(w).bitwiseAND(F.col(f"m.m{i}")) for i, w in enumerate(words))))
+        hot = None
+        if level < 2:
+            hot = materialise(post.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-lists")
+            hot = None if hot.isEmpty() else hot
+        cold = post if hot is None else post.join(hot, "key", "left_anti")
+        dealt = cold.select("key", "node", *words).repartition(n, "key").sortWithinPartitions("key")
+        found = materialise(dealt.mapInArrow(_links(_linked_wide, WIDE), "src long, dst long"), "pairs")
+        out = found if out is None else out.unionByName(found)
+        if hot is None:
+            break
+        single = F.array(*(F.struct(*(F.lit(_mask((p % 8,)) if p // 8 == w else 0).cast("long").alias(f"m{w}") for w in range(WIDE))) for p in range(8 * WIDE)))
+        again = post.join(hot, "key", "left_semi").withColumn("x", F.explode(single))
+        finer = F.struct(*(F.col(f"m.m{w}").bitwiseOR(F.col(f"x.m{w}")).alias(f"m{w}") for w in range(WIDE)))
+        again = again.select("node", *words, "m", finer.alias("finer")).where("m <> finer")
+        post = materialise(again.select("node", *words, F.col("finer").alias("m")).distinct(), "postings")
     return out
 
 
@@ -193,18 +267,47 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     the two named are ignored, whatever their names.  An empty table gives no rows.
     """
     fps = materialise(fingerprints(docs, text_col, id_col, k, seed), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = connected_components(fingerprint_links(nodes, limit))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    # a fingerprint's node is its smallest doc_id, so that a root is a component's smallest doc_id and no join on roots is
+    # needed; only where a fingerprint has no doc_id at all it is its own node, and classes meet by root
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    if low.where("low is null").isEmpty():
+        nodes = materialise(low.select(F.col("low").alias("node"), "fp"), "nodes")
+        roots = connected_components(fingerprint_links(nodes, limit))
+        named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    else:
+        nodes = materialise(low.select(F.col("fp").alias("node"), "fp", "low"), "nodes")
+        roots = connected_components(fingerprint_links(nodes.drop("low"), limit))
+        rooted = nodes.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that have the smallest doc_id of their class.
+def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 1 << 16) -> DataFrame:
+    """(doc_id): the smallest of each class of near copies by wide fingerprints.  ``rows``: ids must be different and not null.
+
+    Texts without words have one fingerprint, zero, and form one class.
+    """
+    words = [f"w{i}" for i in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b"".join(fingerprint_bytes(t, WIDE_K, 42, WIDE) for t in b.column(1).to_pylist())
+            x = np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE))], ["doc_id", *words])
+
+    picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words))
+    nodes = materialise(fps.groupBy(*words).agg(F.min("doc_id").alias("node")), "nodes")  # copies fold before the shuffle
+    roots = connected_components(wide_links(nodes, limit))
+    return nodes.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
+
+
+def one_of_each(docs: DataFrame, limit: int = 1 << 16) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that have the smallest doc_id of their class of near copies.
 
-    If a doc_id is null or repeated, rows are told apart by (doc_id, text), null first, and the first of a class stays.
+    Near copies are linked by ``wide_links`` over shingles of five words: about 0.8 of Jaccard similarity and more.  If a
+    doc_id is null or repeated, rows are told apart by (doc_id, text), null first, and the first of a class stays.
+    Null texts and texts without words are one class; very long texts are read whole; an empty table gives no rows.
     """
     unclear = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     mark = "_row" + "_" * max(map(len, docs.columns))  # clashes with no column
@@ -213,8 +316,7 @@ def one_of_each(docs: DataFrame, k: int = 4, seed: int = 42, limit: int = 4096)
     else:
         ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text")
         numbered = materialise(ordered.withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    classes = near_duplicates(numbered, "text", mark, k, seed, limit)
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias(mark))
+    stay = wide_roots(numbered, "text", mark, limit).select(F.col("doc_id").alias(mark))
     return numbered.join(stay, mark, "left_semi").drop(mark)
 
 
