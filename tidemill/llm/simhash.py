@@ -246,7 +246,7 @@ def wide_links(nodes: DataFrame, limit: int = 1 << 16) -> DataFrame:
             hot = materialise(post.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-lists")
             hot = None if hot.isEmpty() else hot
         cold = post if hot is None else post.join(hot, "key", "left_anti")
-        dealt = cold.select("key", "node", *words).repartition(n, "key").sortWithinPartitions("key")
+        dealt = cold.select("key", "node", *words).repartition(n, "key").sortWithinPartitions("key", "node")  # roots of forests are small nodes
         found = materialise(dealt.mapInArrow(_links(_linked_wide, WIDE), "src long, dst long"), "pairs")
         out = found if out is None else out.unionByName(found)
         if hot is None:
@@ -256,7 +256,18 @@ def wide_links(nodes: DataFrame, limit: int = 1 << 16) -> DataFrame:
         finer = F.struct(*(F.col(f"m.m{w}").bitwiseOR(F.col(f"x.m{w}")).alias(f"m{w}") for w in range(WIDE)))
         again = again.select("node", *words, "m", finer.alias("finer")).where("m <> finer")
         post = materialise(again.select("node", *words, F.col("finer").alias("m")).distinct(), "postings")
-    return out
+    return _through_least_parent(out)
+
+
+def _through_least_parent(links: DataFrame) -> DataFrame:
+    """Links that connect just what ``links`` connect, with the parents of a node linked to the least of them.
+
+    A forest gives a node one parent, so a node has at most as many as lists it is posted in; a class whose members
+    meet in every list has far fewer different links afterwards.
+    """
+    by = links.where("src <> dst").groupBy("dst").agg(F.collect_set("src").alias("up"))
+    least = F.least(F.array_min("up"), "dst")
+    return by.select(F.explode(F.array_union("up", F.array("dst"))).alias("src"), least.alias("dst")).where("src <> dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
