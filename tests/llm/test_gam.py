@@ -50,3 +50,56 @@ def test_odd_tables(spark):
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels.limit(0))).count() == 0
     assert keep_good(docs, Gam()).columns == docs.columns and keep_good(docs, Gam()).count() == 4
     assert keep_good(docs, Gam(base=-5.0)).count() == 0
+
+
+def slow_score(model, x):
+    """One row, entry by entry."""
+    at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges)]
+    total = model.base + sum(t[b] for t, b in zip(model.tables, at)) + sum(t[at[i]][at[j]] for (i, j), t in model.pairs.items())
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_equal_slow_scores(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit_quality(docs, labels)
+    got = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+    assert got == pytest.approx({r.doc_id: slow_score(model, text_features((r.text or "").encode())) for r in docs.collect()}, abs=1e-12)
+
+
+def slow_tree(g, h, leaves, damp):
+    """All cuts tried one by one."""
+    parts = [list(range(len(g)))]
+    worth = lambda p: sum(g[i] for i in p) ** 2 / (sum(h[i] for i in p) + damp)
+    for _ in range(leaves - 1):
+        tries = [(worth(p[:k]) + worth(p[k:]) - worth(p), n, k) for n, p in enumerate(parts) for k in range(1, len(p))]
+        best = max(tries, key=lambda t: t[0], default=(0, 0, 0))
+        if best[0] <= 1e-9:
+            break
+        p = parts.pop(best[1])
+        parts[best[1] : best[1]] = [p[: best[2]], p[best[2] :]]
+    return [sum(g[i] for i in p) / (sum(h[i] for i in p) + damp) for p in parts for _ in p]
+
+
+def test_boosting_equals_slow_boosting():
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(150, 3))
+    y = ((x[:, 0] > 0.3) | (x[:, 1] * x[:, 2] > 0.5)).astype(float)
+    got = fit_gam(x, y, rounds=4, max_bins=6, n_pairs=0)
+    p = (y.sum() + 1) / (len(y) + 2)
+    base, tables = np.log(p / (1 - p)), [[0.0] * (len(e) + 1) for e in got.edges]
+    at = [[sum(v >= e for e in edges) for v, edges in zip(row, got.edges)] for row in x]
+    total = [base] * len(y)
+    for _ in range(4):
+        for j, table in enumerate(tables):
+            q = [1 / (1 + np.exp(-t)) for t in total]
+            g, h = [0.0] * len(table), [0.0] * len(table)
+            for i, b in enumerate(at):
+                g[b[j]] += y[i] - q[i]
+                h[b[j]] += q[i] * (1 - q[i])
+            step = [0.1 * v for v in slow_tree(g, h, 3, 5.0)]
+            for k, v in enumerate(step):
+                table[k] += v
+            total = [t + step[b[j]] for t, b in zip(total, at)]
+    assert got.base == pytest.approx(base)
+    for mine, slow in zip(got.tables, tables):
+        assert mine == pytest.approx(slow)

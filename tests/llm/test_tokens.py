@@ -9,7 +9,7 @@ import tokenizers
 
 from tidemill.llm import packing, wordbpe
 from tidemill.llm.bpe import VOCABULARY, encode, encode_digests
-from tidemill.llm.token_counts import LongestMatch, token_counts
+from tidemill.llm.token_counts import LongestMatch, op3, token_counts
 
 PATH = public_tokenizers.path(VOCABULARY)
 ODD = [None, "", "  \n", "Don't I'LL 's", "a<|endoftext|>B<|ENDOFTEXT|>", "ΣΑΣ İ ẞ ﬁ １２ ½", "日本語 🎉 नमस्ते", "\x1c x\x85y ", "x" * 5000, "ab " * 9000, "֌՘"]
@@ -122,6 +122,19 @@ def test_token_counts(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_token_counts_of_documents(spark, sf):
+    bpe = wordbpe.load(PATH)
+    pieces, known, want = {t.removesuffix("</w>") for t in bpe.vocab}, {}, []
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for r in docs.collect():
+        words = [w for c in bpe.chunks(r.text or "") for w in bpe.shown_words(c)]
+        for w in {*words} - {*known}:
+            known[w] = match_long(w, pieces)
+        want.append((r.doc_id, len(words), sum(known[w] for w in words), 0))
+    assert sorted(map(tuple, op3(spark, sf).collect())) == sorted(want)
+    assert token_counts(docs.limit(0), PATH).count() == 0
+
+
 def match_long(word, pieces):
     n, at, longest = 0, 0, max(map(len, pieces))
     while at < len(word):

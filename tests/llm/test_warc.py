@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 from collections import defaultdict
 
@@ -43,6 +44,36 @@ def test_no_pages(spark, tmp_path):
     assert round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string"), tmp_path) == []
 
 
+def test_bodies_need_not_be_text(spark, tmp_path):
+    jpeg = bytes.fromhex("ffd8ffe000104a46494600010100") + bytes(range(256)) * 40
+    long = hashlib.sha256(b"x").digest() * (20 << 15)  # 20 MiB: its gzip member doesn't end with a zero byte
+    rows = [(1, "a", jpeg), (2, "b", jpeg), (3, "c", long), (4, "d", b"\xff\x00\r\n"), (5, "e", b"")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html binary").coalesce(1)
+    warc.archive_pages(frame, str(tmp_path / "w"))
+    got = warc.read_warc_files(spark, str(tmp_path / "w"))
+    assert {warc.uuid_page(r.record_id): r.payload and bytes(r.payload) for r in got.where("record_type = 'response'").collect()} == {2: jpeg, 3: long, 4: b"\xff\x00\r\n", 5: b""}
+    (back,) = warc.page_rows(got).where("record_type = 'revisit'").collect()
+    assert (back.page_id, back.payload_bytes, back.refers_to) == (1, len(jpeg), 2)
+
+
+def test_one_gzip_member_a_record_and_files_bounded_by_bytes(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "u", f"{i} " * 300) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    records = warc.arcs_to_warc(warc.pages_to_arcs(warc.with_revisits(frame), 4096))
+    warc.write_warc(records, str(tmp_path / "w"), 3)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 3
+    seen = 0
+    for f in files:
+        data = f.read_bytes()
+        assert len(gzip.decompress(data)) < 3 * (4096 + 40 * 900)  # any reader of gzip files can read them
+        for member in warc.gzip_members(data):
+            assert len(list(warc.read_warc(member))) == 1
+            seen += 1
+    assert seen == 60 + records.count()  # pages, and a warcinfo record an archive
+    with pytest.raises(ValueError, match="torn"):
+        list(warc.gzip_members(data[:-9]))
+
+
 def test_identifiers():
     for i in (0, 1, -1, 2**63 - 1, -(2**63), 12345, None):
         assert warc.uuid_page(warc.record_uuid(i, "ABC")) == i

@@ -199,7 +199,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_c
 def score_quality(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row.
 
-    Null and empty texts are scored like any text.  Repeated rows stay repeated; a null doc_id is not held out; other
+    Null and empty texts are scored like any text, very long ones whole.  Equal texts have equal scores, repeated rows stay repeated; a null doc_id is not held out; other
     columns are not read; an empty table gives no rows.
     """
 

@@ -7,9 +7,9 @@ wherever they stand.  Neighbouring windows of one name form a *block* (about 35
    repeats.  One row a block and task goes on, so that no group of copies, however large, meets in one task;
 2. blocks are sorted by name: equal ones are repeats of the first; names with different blocks are *contested*;
 3. contested blocks meet by name.  An enhanced suffix array of their texts is scanned with a stack; every interval of
-   the common-prefix tree whose occurrences differ to the left is a maximal repeat, given with all occurrences.  All
-   but the first repeat.  Any window that occurs twice lies in a maximal repeat with the same occurrences, so nothing
-   else is needed;
+   the common-prefix tree whose occurrences differ to the left is a maximal repeat; all of its occurrences but the
+   first are marked.  Any window that occurs twice lies in a maximal repeat with the same occurrences, so nothing else
+   is needed.  (``repeats.maximal_repeats`` lists the groups with all occurrences; the dedup has no use for the first);
 4. names with very many contested blocks (over ``limit`` bytes) are not cut: their windows, one by one, go through
    1 and 2 again as blocks of one window, which equality of blocks decides alone.
 

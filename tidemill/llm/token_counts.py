@@ -102,7 +102,8 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     """(doc_id, n_words, n_tokens, n_unknown) of each row; a word that can't be cut counts as one token.
 
     Words are those of the vocabulary file's own pattern, as bytes.  Null text counts as empty (zeros); repeated rows
-    stay repeated; other columns are not read; an empty table gives no rows.
+    stay repeated; very long texts and words are counted whole, in time linear in their length; other columns are not read;
+    an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,7 +158,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOTS,
     """(query_id, rank, vec_id, score): for rows whose id is divisible by ``every`` the k best among all other ids.
 
     Ties go to the smaller vec_id; with fewer than k other rows all are returned.  See ``integer_vectors`` for rows
-    that take no part and for repeated ids.  Other columns are not read; an empty table gives no rows.
+    that take no part and for repeated ids.  ValueError: vectors whose squared length reaches 2**53.  Other columns are not read; an empty table gives no rows.
     """
     spark = rows.sparkSession
     vectors = materialise(integer_vectors(rows, vec_col, id_col, scale), "vectors")
@@ -167,6 +167,8 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOTS,
     result = "query_id long, rank int, vec_id long, score long"
     if facts.dim is None:
         return spark.createDataFrame([], result)
+    if facts.most >= 2**53:  # bounds every inner product and its partial sums
+        raise ValueError("vectors are too long for exact scores in doubles")
     dim = max(1, facts.dim)
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample = np.zeros((len(picked), dim))

@@ -2,19 +2,24 @@
 
 An ARC archive begins with a version block that names the fields of all later header lines; each record is a header
 line, as many bytes as the line declares, and a line break.  A converted record gets an identifier, a timestamp, a
-type and digests.  Records go to files through Spark's text sink with the record separator CR LF CR LF, so any store
-that Spark can write will do; they are read back whole files at a time and cut by their declared lengths.
+type and digests.  Bodies are bytes and need not be text.  Each record is one gzip member, as readers of such archives
+expect.  Members go to files through Spark's text sink, so any store that Spark can write will do: the sink writes the
+bytes of a string as they are, and the line end that it adds is the zero byte that ends a member of under 16 MiB (behind
+a longer one it is padding, which gzip allows).  Archives and files are bounded by bytes, not by records; a larger page
+has one for itself.  Files are read back one at a time and their members one by one.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from uuid import UUID
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +32,8 @@ FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 CRLF = b"\r\n"
-RECORDS_PER_FILE = 2048
+#: Bytes of pages in one archive, after which the next begins, and archives in one file.
+ARCHIVE_BYTES, ARCHIVES_PER_FILE = 4 << 20, 16
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -146,39 +152,66 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + n + 4
 
 
-def pages_to_arcs(pages: DataFrame, per_archive: int = 500) -> DataFrame:
-    """(archive, page_ids, refers_to, revisit) for rows (page_id, url, html, refers_to, revisit); versions alternate."""
+def pages_to_arcs(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(archive, page_ids, refers_to, revisit) for rows (page_id, url, html, refers_to, revisit); versions alternate.
+
+    An archive ends when it holds ``archive_bytes`` of pages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = 1
         for b in batches:
-            for at in range(0, b.num_rows, per_archive):
-                part = b.slice(at, per_archive)
-                ids, urls, html, refers, revisit = (c.to_pylist() for c in part.columns)
-                data = write_arc(version, [(u or "", http_block((h or "").encode())) for u, h in zip(urls, html)])
-                version = 3 - version
+            size = np.cumsum([len(h) for h in b.column(2).to_pylist()])
+            at = 0
+            while at < b.num_rows:
+                before = size[at - 1] if at else 0
+                n = max(1, int(np.searchsorted(size, before + archive_bytes)) - at)
+                ids, urls, html, refers, revisit = (c.to_pylist() for c in b.slice(at, n).columns)
+                data = write_arc(version, [(u or "", http_block(h)) for u, h in zip(urls, html)])
+                version, at = 3 - version, at + n
                 cols = [pa.array([data], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([refers], pa.list_(pa.int64())), pa.array([revisit], pa.list_(pa.bool_()))]
                 yield pa.RecordBatch.from_arrays(cols, ["archive", "page_ids", "refers_to", "revisit"])
 
     return pages.mapInArrow(run, "archive binary, page_ids array<long>, refers_to array<long>, revisit array<boolean>")
 
 
+def gzip_member(record: bytes) -> bytes:
+    """A record with its separator as one gzip member, without a time, so that equal records give equal bytes."""
+    return gzip.compress(record + CRLF + CRLF, 6, mtime=0)
+
+
+def gzip_members(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file one by one; zero bytes between them are padding."""
+    at = 0
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+            continue
+        one = zlib.decompressobj(31)
+        out = one.decompress(memoryview(data)[at:])
+        if not one.eof:
+            raise ValueError(f"torn gzip member at byte {at}")
+        at = len(data) - len(one.unused_data)
+        yield out
+
+
 def arcs_to_warc(arcs: DataFrame) -> DataFrame:
-    """(value): WARC records as text, for rows of ``pages_to_arcs``.  The records of an archive keep their order."""
+    """(value): the WARC records of each archive as gzip members, for rows of ``pages_to_arcs``.  Records keep their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, *lists in zip(*(c.to_pylist() for c in b.columns)):
                 notes = [(None, None, False), *zip(*lists)]
-                out = [warc_record(head, body, *note).decode() for (head, body), note in zip(read_arc(data), notes)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                members = b"".join(gzip_member(warc_record(head, body, *note)) for (head, body), note in zip(read_arc(data), notes))
+                yield pa.RecordBatch.from_arrays([pa.array([members.removesuffix(b"\0")], pa.binary())], ["value"])
 
-    return arcs.mapInArrow(run, "value string")
+    return arcs.mapInArrow(run, "value binary")
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write records to gzip files of a bounded number of records each."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_warc(records: DataFrame, path: str, per_file: int = ARCHIVES_PER_FILE) -> None:
+    """Write archives of gzip members to files of at most ``per_file`` archives each."""
+    raw = records.select(F.col("value").cast("string").alias("value"))  # bytes stay as they are
+    raw.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
@@ -186,40 +219,48 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
 
     ``payload`` is null for revisits; their ``payload_bytes`` is what their HTTP headers declare.
     """
+    bare = lambda x: x.removeprefix("<urn:uuid:").removesuffix(">") if x else None
+    names = [x.split(" ")[0] for x in RECORD_SCHEMA.split(", ")]
+    kinds = [*[pa.string()] * 6, pa.int64(), pa.binary()]
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        if head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
+            raise ValueError(f"block digest of {head['warc-record-id']}")
+        http, payload = split_http(block)
+        digest = head["warc-payload-digest"].removeprefix("sha1:")
+        if head["warc-type"] == "revisit":
+            n, payload = int(re.search(rb"(?i)\ncontent-length: *(\d+)", http)[1]), None
+        elif digest != base32_sha1(payload):
+            raise ValueError(f"payload digest of {head['warc-record-id']}")
+        else:
+            n = len(payload)
+        return bare(head["warc-record-id"]), head["warc-type"], head["warc-target-uri"], head["warc-date"], bare(head.get("warc-refers-to")), digest, n, payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in RECORD_SCHEMA.split(", ")]
-        kinds = [*[pa.string()] * 6, pa.int64(), pa.binary()]
-        bare = lambda x: x.removeprefix("<urn:uuid:").removesuffix(">") if x else None
         for b in batches:
             for data in b.column(0):
-                rows: list[tuple] = []
-                for head, block in read_warc(zlib.decompress(data.as_py(), 31)):
-                    if head["warc-type"] == "warcinfo":
-                        continue
-                    if head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
-                        raise ValueError(f"block digest of {head['warc-record-id']}")
-                    http, payload = split_http(block)
-                    digest = head["warc-payload-digest"].removeprefix("sha1:")
-                    if head["warc-type"] == "revisit":
-                        n, payload = int(re.search(rb"(?i)\ncontent-length: *(\d+)", http)[1]), None
-                    elif digest != base32_sha1(payload):
-                        raise ValueError(f"payload digest of {head['warc-record-id']}")
-                    else:
-                        n = len(payload)
-                    rows.append((bare(head["warc-record-id"]), head["warc-type"], head["warc-target-uri"], head["warc-date"], bare(head.get("warc-refers-to")), digest, n, payload))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+                rows, size = [], 0
+                for member in gzip_members(data.as_py()):
+                    for head, block in read_warc(member):
+                        if head["warc-type"] != "warcinfo":
+                            rows.append(row(head, block))
+                            size += len(block)
+                    if size > ARCHIVE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to, revisit): of equal payloads of ``least`` bytes or more the largest page_id stays.
+    """(page_id, url, html as bytes, refers_to, revisit): of equal payloads of ``least`` bytes or more the largest page_id stays.
 
-    Null html counts as empty.  All rows of the largest page_id are responses, if it is repeated.  Rows without a
+    ``html`` may be text or bytes of any kind.  Null html counts as empty; very long ones are kept whole.  All rows of the largest page_id are responses, if it is repeated.  Rows without a
     page_id refer to it too, and are responses if no equal payload has one.
     """
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     digests = named.where(F.octet_length("html") >= least).select("page_id", F.sha1("html").alias("digest"))
     largest = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     again = digests.join(largest, "digest").where("page_id is null or page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
