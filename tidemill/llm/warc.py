@@ -33,7 +33,7 @@ FIELDS = {
 }
 CRLF = b"\r\n"
 #: Bytes of pages in one archive, after which the next begins, and archives in one file.
-ARCHIVE_BYTES, ARCHIVES_PER_FILE = 4 << 20, 16
+ARCHIVE_BYTES, ARCHIVES_PER_FILE = 1 << 19, 128
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -177,7 +177,7 @@ def pages_to_arcs(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataF
 
 def gzip_member(record: bytes) -> bytes:
     """A record with its separator as one gzip member, without a time, so that equal records give equal bytes."""
-    return gzip.compress(record + CRLF + CRLF, 6, mtime=0)
+    return gzip.compress(record + CRLF + CRLF, 3, mtime=0)
 
 
 def gzip_members(data: bytes) -> Iterator[bytes]:
