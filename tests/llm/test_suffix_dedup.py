@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
-from tidemill.llm import repeats
+from tidemill.llm import repeats, suffix_dedup
 from tidemill.llm.suffix_dedup import removed, without_repeats
 
 
@@ -64,7 +66,31 @@ def test_matches_brute_force(spark, sf):
     assert got == set(slow(sorted(rows), 100))
 
 
-@pytest.mark.parametrize("limit", [1 << 23, 300])
+def test_suffix_array_meets_every_repeat():
+    """Of equal blocks two are compared by the suffix array; only third and further ones are settled by the second."""
+    f = lambda *x: np.array(x)
+    body = f(5, 5, 5, 5, 6, 9)
+    b = suffix_dedup._block_rows(f(1, 1, 1, 1, 1, 2).astype(np.uint64), body.astype(np.uint64), f(1, 2, 3, 4, 4, 9), f(0, 0, 0, 0, 7, 0), f(3, 3, 3, 3, 3, 3), body < 0)
+    assert b.column("kind").to_pylist() == [0, 0, suffix_dedup.KNOWN, suffix_dedup.KNOWN, 0, 0]
+    plain = b.filter(pa.compute.equal(b.column("kind"), 0))
+    for cut in range(1, plain.num_rows):  # wherever a batch ends
+        found = [r for x in suffix_dedup._resolve(iter((plain.slice(0, cut), plain.slice(cut)))) for r in x.to_pylist()]
+        assert sorted((r["doc"], r["contested"]) for r in found) == [(1, True), (2, True), (4, True)]
+    many = np.arange(20)
+    b = suffix_dedup._block_rows(many.astype(np.uint64) * 0, many.astype(np.uint64), many, many, many * 0 + 1, many < 0)
+    assert b.column("kind").to_pylist() == [0, 0] + [suffix_dedup.SALTED] * 18
+    found = [r for x in suffix_dedup._resolve(iter((b.slice(2, 1), b.slice(3)))) for r in x.to_pylist()]
+    assert len(found) == 18 and all(r["contested"] for r in found)
+
+
+def test_long_strings_of_one_byte(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    rows = list(enumerate(["a" * 5000, "b" + "a" * 900, "a" * 130 + "b" * 500]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in removed(frame, limit=200).collect()} == set(slow(rows, 100))
+
+
+@pytest.mark.parametrize("limit", [1 << 23, 5000, 300])
 def test_odd_texts(spark, limit):
     rnd = random.Random(4)
     passage = "".join(rnd.choices("abcdefgh é", k=240))

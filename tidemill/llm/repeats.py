@@ -21,11 +21,12 @@ _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each ``size`` bytes, by doubling; ``size`` a power of two.  ``b``: uint8."""
+    """Hash of each ``size`` bytes, by doubling; the last two parts overlap unless ``size`` is a power of two.  ``b``: uint8."""
     h, have = _BYTE[b], 1
     while have < size:
-        h = h[:-have] * np.uint64(0x9E3779B97F4A7C15 + 2 * have) + h[have:]
-        have *= 2
+        step = min(have, size - have)
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * have) + h[step:]
+        have += step
     return _mix(h)
 
 
@@ -38,10 +39,10 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if have < width else h
 
 
-def blocks(buffer: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def blocks(buffer: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one name, in texts laid end to end.
 
-    A window's name is the smallest hash of its GRAM-byte strings, so equal windows have equal names.  Returns
+    A window's name is the smallest hash of its ``gram``-byte strings, so equal windows have equal names.  Returns
     (name, start in the buffer, number of windows, whether the named string may occur twice) of the maximal runs; no
     window crosses a text.  Only in a run of the last kind can a window repeat within the run.
     ``offsets``: where the texts start, and the end of the last.
@@ -53,7 +54,7 @@ def blocks(buffer: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     names, starts, before = [], [], None
     for at in range(0, n, SLICE):
         upto = min(n, at + SLICE)
-        low = sliding_min(gram_hashes(buffer[at : upto + window - 1], GRAM), window - GRAM + 1)
+        low = sliding_min(gram_hashes(buffer[at : upto + window - 1], gram), window - gram + 1)
         change = np.flatnonzero(low[1:] != low[:-1]) + 1
         if before is None or low[0] != before:
             change = np.concatenate(([0], change))
@@ -69,16 +70,16 @@ def blocks(buffer: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     text = np.searchsorted(offsets, start, side="right") - 1
     fits = start + window <= offsets[text + 1]
     name, start, count = name[fits], start[fits], count[fits]
-    return name, start, count, _named_twice(buffer, name, start, count, window)
+    return name, start, count, _named_twice(buffer, name, start, count, window, gram)
 
 
-def _named_twice(buffer: np.ndarray, name: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+def _named_twice(buffer: np.ndarray, name: np.ndarray, start: np.ndarray, count: np.ndarray, window: int, gram: int) -> np.ndarray:
     """The first place of the named string in a run's first window differs from its last place in the last window."""
-    out, width, step = np.empty(len(name), bool), window - GRAM + 1, 1 << 13
+    out, width, step = np.empty(len(name), bool), window - gram + 1, 1 << 13
     for i in range(0, len(name), step):
         s, c, k = start[i : i + step], count[i : i + step], name[i : i + step, None]
         base = s[0]
-        h = gram_hashes(buffer[base : s[-1] + c[-1] + window - 1], GRAM)
+        h = gram_hashes(buffer[base : s[-1] + c[-1] + window - 1], gram)
         frames = np.lib.stride_tricks.sliding_window_view(h, width)
         first = s + (frames[s - base] == k).argmax(1)
         last = s + c - 1 + width - 1 - (frames[s + c - 1 - base, ::-1] == k).argmax(1)

@@ -1,17 +1,20 @@
 """Suffix-array dedup: repeats of a fixed least length, found by common-prefix interval trees, each kept once.
 
 A text of ``window`` bytes is named by the smallest hash of its 32-byte strings, so equal windows have equal names
-wherever they stand.  Neighbouring windows of one name form a *block* (about 35 windows of 100 bytes).  Then
-
-1. every task keeps one copy of the blocks that it has seen more than once (the smallest place); the others are known
-   repeats.  One row a block and task goes on, so that no group of copies, however large, meets in one task;
-2. blocks are sorted by name: equal ones are repeats of the first; names with different blocks are *contested*;
-3. contested blocks meet by name.  An enhanced suffix array of their texts is scanned with a stack; every interval of
-   the common-prefix tree whose occurrences differ to the left is a maximal repeat; all of its occurrences but the
-   first are marked.  Any window that occurs twice lies in a maximal repeat with the same occurrences, so nothing else
-   is needed.  (``repeats.maximal_repeats`` lists the groups with all occurrences; the dedup has no use for the first);
-4. names with very many contested blocks (over ``limit`` bytes) are not cut: their windows, one by one, go through
-   1 and 2 again as blocks of one window, which equality of blocks decides alone.
+wherever they stand.  Neighbouring windows of one name form a *block* (about 35 windows of 100 bytes).  Blocks of one
+name are compared by a suffix array, whatever their number; what precedes it only deals them out:
+
+1. of equal blocks the two with the smallest places stand for their class, in each task and then over all.  Further
+   copies, however many, never meet in one task: they repeat wherever the second one does, and that is everywhere;
+2. names with one block only can't repeat and go no further.  A name that a batch holds often is salted by the block's
+   hash, but for two of its blocks, by which its blocks elsewhere are seen to have company;
+3. all others meet by name.  An enhanced suffix array of their texts is scanned with a stack; every interval of the
+   common-prefix tree whose occurrences differ to the left is a maximal repeat; all of its occurrences but the first
+   are marked.  Any window that occurs twice lies in a maximal repeat with the same occurrences, so nothing else is
+   needed.  (``repeats.maximal_repeats`` lists the groups with all occurrences; the dedup has no use for the first);
+4. names whose blocks have more than ``limit`` bytes are not cut: their windows are named anew, by 64-byte strings and
+   then by all of their bytes, and the shorter blocks under these names go through 1 to 3 again.  A name of the last
+   level has one text, so at most two blocks and, if it was salted, two more.
 
 Blocks are told apart by 128 bits of hashes; all else compares bytes.
 """
@@ -31,16 +34,21 @@ from pyspark.sql import types as T
 from tidemill.llm import repeats
 from tidemill.llm.common import materialise, partitions, table
 
-#: Kinds of rows: a block, one in which a window may repeat, and a known repeat.
-PLAIN, TWICE, KNOWN = 0, 1, 2
+#: Kinds of rows: a block, one in which a window may repeat, a further copy of two blocks, and a block of a salted name.
+PLAIN, TWICE, KNOWN, SALTED = 0, 1, 2, 3
+#: Blocks of one name in a batch from which on all but two are salted.
+OFTEN = 8
 BLOCK_SCHEMA = "key long, body long, doc long, start int, n int, kind int"
 FOUND_SCHEMA = "doc long, start int, n int, key long, contested boolean"
 SPAN_SCHEMA = "doc long, start int, n int"
+SPAN_COLUMNS = ("doc", "start", "n")
 #: Suffixes share lengths up to this many windows' worth of bytes; longer repeats are found in overlapping parts.
 CAP = 224
 #: Bytes of text laid end to end at once: of documents, and of contested blocks.
 LAID, CONTESTED = 1 << 22, 1 << 19
-#: Bytes of contested blocks of one name from which on its windows are compared one by one.
+#: Windows of a block that is named anew at once.
+PIECE = 1 << 16
+#: Bytes of contested blocks of one name from which on its windows are named anew by longer strings.
 LIMIT = 1 << 20
 
 
@@ -49,13 +57,20 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def _block_rows(name: np.ndarray, body: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    """Rows of the blocks of one batch, in order of (doc, start): copies of an earlier one become known repeats."""
+    """Rows of the blocks of one batch, in order of (doc, start): copies of two earlier ones are known repeats."""
     both = name * np.uint64(0x9E3779B97F4A7C15) + body
     order = np.argsort(both, kind="stable")
-    same = np.zeros(len(both), bool)
     a, b = order[:-1], order[1:]
-    same[b] = (name[a] == name[b]) & (body[a] == body[b]) & (n[a] == n[b])
+    equal = (name[a] == name[b]) & (body[a] == body[b]) & (n[a] == n[b])
+    same = np.zeros(len(both), bool)
+    same[order[2:]] = equal[1:] & equal[:-1]
     kind = np.where(same, KNOWN, np.where(twice, TWICE, PLAIN))
+    rest = np.flatnonzero(~same)
+    rest = rest[np.argsort(name[rest], kind="stable")]
+    edge = np.flatnonzero(np.concatenate(([True], name[rest][1:] != name[rest][:-1])))
+    size = np.diff(np.concatenate((edge, [len(rest)])))
+    nth = np.arange(len(rest)) - np.repeat(edge, size)
+    kind[rest[(np.repeat(size, size) >= OFTEN) & (nth >= 2)]] = SALTED
     # neighbouring known repeats of one text become one row, dealt out by its place
     joins = np.concatenate(([False], same[1:] & same[:-1] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + n[:-1])))
     head = np.flatnonzero(~joins)
@@ -65,31 +80,36 @@ def _block_rows(name: np.ndarray, body: np.ndarray, doc: np.ndarray, start: np.n
     return pa.RecordBatch.from_arrays(cols, ["key", "body", "doc", "start", "n", "kind"])
 
 
-def _scan(window: int):
-    def laid(docs: list[int], texts: list[bytes]) -> list[np.ndarray] | None:
+def _scan(window: int, gram: int):
+    """Blocks of texts (doc, start, text), by names of ``gram`` bytes."""
+
+    def laid(pieces: list[tuple]) -> list[np.ndarray] | None:
+        docs, starts, texts = zip(*pieces)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         raw = b"".join(texts)
-        name, at, n, twice = repeats.blocks(np.frombuffer(raw, np.uint8), offsets, window)
+        name, at, n, twice = repeats.blocks(np.frombuffer(raw, np.uint8), offsets, window, gram)
         if not len(name):
             return None
+        if gram == window:  # a name of equal neighbours is one text too
+            name, at = np.repeat(name, n), np.repeat(at - n.cumsum() + n, n) + np.arange(n.sum())
+            n, twice = np.ones(len(at), np.int64), np.zeros(len(at), bool)
         x = xxhash.xxh3_64_intdigest
         body = np.array([x(raw[s:e]) for s, e in zip(at.tolist(), (at + n + window - 1).tolist())], np.uint64)
         text = np.searchsorted(offsets, at, side="right") - 1
-        return [name, body, np.array(docs, np.int64)[text], at - offsets[text], n, twice]
+        return [name, body, np.array(docs, np.int64)[text], at - offsets[text] + np.array(starts, np.int64)[text], n, twice]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), key=lambda r: r[0])
-            parts, docs, texts, size = [], [], [], 0
-            for doc, text in [*rows, (None, None)]:
-                if docs and (doc is None or size > LAID):
-                    if found := laid(docs, texts):
+            rows = sorted(zip(*(b.column(i).to_pylist() for i in range(3))), key=lambda r: r[:2])
+            parts, held, size = [], [], 0
+            for row in [*rows, None]:
+                if held and (row is None or size > LAID):
+                    if found := laid(held):
                         parts.append(found)
-                    docs, texts, size = [], [], 0
-                if text:
-                    docs.append(doc)
-                    texts.append(text)
-                    size += len(text)
+                    held, size = [], 0
+                if row and row[2]:
+                    held.append(row)
+                    size += len(row[2])
             if parts:
                 yield _block_rows(*(np.concatenate(c) for c in zip(*parts)))
 
@@ -97,9 +117,9 @@ def _scan(window: int):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of BLOCK_SCHEMA sorted by (key, body, doc, start): the repeats, and the first blocks of contested names."""
-    held = None  # the last first block, whose name may go on in the next batch
-    last = None  # (key, body, n) of the last row
+    """Rows of BLOCK_SCHEMA sorted by (key, body, doc, start): third and further copies, and the other blocks of contested names."""
+    held = None  # the last block that is no such copy; its name may go on in the next batch
+    last, seen = None, 0  # (key, body, n) of the last row, and how many rows had it
     contested_before = False
     for b in batches:
         key, body, doc, start, n, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
@@ -111,10 +131,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, body, doc, start, n, kind = (c[i] for c in (key, body, doc, start, n, kind))
         if not len(key):
             continue
-        copy = np.zeros(len(key), bool)
-        copy[1:] = (key[1:] == key[:-1]) & (body[1:] == body[:-1]) & (n[1:] == n[:-1])
-        copy[0] = last is not None and last == (key[0], body[0], n[0])
-        last = (key[-1], body[-1], n[-1])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (body[1:] != body[:-1]) | (n[1:] != n[:-1])
+        new[0] = last != (key[0], body[0], n[0])
+        nth = np.arange(len(key))
+        nth = nth - np.maximum.accumulate(np.where(new, nth, -seen))
+        last, seen = (key[-1], body[-1], n[-1]), int(nth[-1]) + 1
+        copy = nth >= 2
         i = np.flatnonzero(copy)
         yield _found(doc[i], start[i], n[i], key[i], np.zeros(len(i), bool))
         f = np.flatnonzero(~copy)
@@ -124,12 +147,12 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(key):
             continue
         pair = key[1:] == key[:-1]
-        disputed = (kind == TWICE) | np.concatenate(([contested_before], pair)) | np.concatenate((pair, [False]))
+        disputed = (kind != PLAIN) | np.concatenate(([contested_before], pair)) | np.concatenate((pair, [False]))
         i = np.flatnonzero(disputed[:-1])
         yield _found(doc[i], start[i], n[i], key[i], np.ones(len(i), bool))
         contested_before = bool(pair[-1]) if len(pair) else contested_before
         held = tuple(c[-1:] for c in (key, doc, start, n, kind))
-    if held is not None and (contested_before or held[4][0] == TWICE):
+    if held is not None and (contested_before or held[4][0] != PLAIN):
         yield _found(held[1], held[2], held[3], held[0], np.ones(1, bool))
 
 
@@ -174,27 +197,6 @@ def _interval_trees(window: int):
     return run
 
 
-def _single_windows(window: int):
-    """Contested blocks of very frequent names, as blocks of one window each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = sorted(zip(*(b.column(i).to_pylist() for i in range(1, 4))), key=lambda r: r[:2])
-            name, body, doc, start = [], [], [], []
-            for d, s, text in rows:
-                for i in range(len(text) - window + 1):
-                    h = xxhash.xxh3_128_intdigest(text[i : i + window])
-                    name.append(h >> 64)
-                    body.append(h & 0xFFFFFFFFFFFFFFFF)
-                    start.append(s + i)
-                    doc.append(d)
-            if name:
-                one = np.ones(len(name), np.int64)
-                yield _block_rows(np.array(name, np.uint64), np.array(body, np.uint64), np.array(doc), np.array(start), one, one < 0)
-
-    return run
-
-
 def _numbered(docs: DataFrame, text_col: str, id_col: str, more: tuple[str, ...] = ()) -> DataFrame:
     """(doc, text as bytes), the columns ``more`` and, if it differs from doc, doc_id: ``doc`` orders the documents.
 
@@ -217,28 +219,32 @@ def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = LIMIT)
     if window < repeats.GRAM:
         raise ValueError(f"window must be at least {repeats.GRAM} bytes")
     parts = partitions(numbered.sparkSession)
-
-    def resolved(rows: DataFrame) -> DataFrame:
-        dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "body", "doc", "start")
-        return dealt.mapInArrow(_resolve, FOUND_SCHEMA)
-
-    found = materialise(resolved(numbered.select("doc", "text").mapInArrow(_scan(window), BLOCK_SCHEMA)), "blocks")
-    spans = found.where("not contested").select("doc", "start", "n")
-    contested = found.where("contested")
-    size = F.sum(F.col("n").cast("long") + window - 1)
-    hot = materialise(contested.groupBy("key").agg(size.alias("size")).where(F.col("size") > limit).select("key", F.lit(True).alias("hot")), "hot-names")
-    some_hot = not hot.isEmpty()
-    marked = contested.join(hot, "key", "left") if some_hot else contested.withColumn("hot", F.lit(None).cast("boolean"))
-    asked = marked.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("asked"))  # at most one text's blocks
-    cut = (
-        asked.join(numbered.select("doc", "text"), "doc").select("doc", "text", F.explode("asked").alias("a"))
-        .select("a.key", "doc", "a.start", F.expr(f"substring(text, a.start + 1, a.n + {window - 1})").alias("text"), "a.hot")
-    )
-    cold = cut.where("hot is null").select("key", "doc", "start", "text").repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
-    spans = spans.unionByName(cold.mapInArrow(_interval_trees(window), SPAN_SCHEMA))
-    if some_hot:
-        single = cut.where("hot").select("key", "doc", "start", "text").mapInArrow(_single_windows(window), BLOCK_SCHEMA)
-        spans = spans.unionByName(resolved(single).select("doc", "start", "n"))
+    rows, spans = numbered.select("doc", F.lit(0).alias("start"), "text"), None
+    grams = sorted({repeats.GRAM, min(2 * repeats.GRAM, window), window})
+    for gram in grams:
+        # a salted name is dealt out by the block's hash; sorting by name first brings what meets together
+        dealt = rows.mapInArrow(_scan(window, gram), BLOCK_SCHEMA).repartition(parts, F.when(F.col("kind") == SALTED, F.xxhash64("key", "body")).otherwise(F.col("key")))
+        found = materialise(dealt.sortWithinPartitions("key", "body", "doc", "start").mapInArrow(_resolve, FOUND_SCHEMA), "blocks")
+        copies, contested = found.where("not contested").select(*SPAN_COLUMNS), found.where("contested")
+        some_hot = False
+        if gram < window:
+            size = F.sum(F.col("n").cast("long") + window - 1)
+            hot = materialise(contested.groupBy("key").agg(size.alias("size")).where(F.col("size") > limit).select("key", F.lit(True).alias("hot")), "hot-names")
+            some_hot = not hot.isEmpty()
+        marked = contested.join(hot, "key", "left") if some_hot else contested.withColumn("hot", F.lit(None).cast("boolean"))
+        asked = marked.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("asked"))  # at most one text's blocks
+        cut = (
+            asked.join(numbered.select("doc", "text"), "doc").select("doc", "text", F.explode("asked").alias("a"))
+            .select("a.key", "doc", "a.start", F.expr(f"substring(text, a.start + 1, a.n + {window - 1})").alias("text"), "a.hot")
+        )
+        cold = cut.where("hot is null").select("key", "doc", "start", "text").repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
+        level = copies.unionByName(cold.mapInArrow(_interval_trees(window), SPAN_SCHEMA))
+        spans = level if spans is None else spans.unionByName(level)
+        if not some_hot:
+            break
+        part = F.explode(F.expr(f"sequence(0, length(text) - {window}, {PIECE})")).alias("p")
+        pieces = cut.where("hot").select("doc", "start", "text", part)
+        rows = pieces.select("doc", (F.col("start") + F.col("p")).alias("start"), F.expr(f"substring(text, p + 1, {PIECE + window - 1})").alias("text"))
     return spans
 
 
