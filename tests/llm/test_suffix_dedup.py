@@ -39,11 +39,12 @@ def test_suffix_array_and_maximal_repeats():
     rnd = random.Random(2)
     for _ in range(200):
         texts = nested(rnd)
+        texts += rnd.choices(texts, k=rnd.randint(0, 3))
         size = [len(t) for t in texts]
         at = np.concatenate(([0], np.cumsum(size)))
         buf, begins, ends = np.frombuffer(b"".join(texts), np.uint8), np.repeat(at[:-1], size), np.repeat(at[1:], size)
         cap, least = rnd.choice([14, 28, 1000]), rnd.randint(2, 8)
-        order, shared = repeats.suffix_array(buf, ends, cap)
+        order, shared = rnd.choice([repeats.suffix_array(buf, ends, cap), repeats.suffixes(buf, begins, ends, cap)])
         suffix = [bytes(buf[i : ends[i]]) for i in order]
         for k in range(1, len(order)):
             a, b = suffix[k - 1], suffix[k]

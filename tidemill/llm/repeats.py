@@ -91,11 +91,11 @@ def _named_twice(buffer: np.ndarray, name: np.ndarray, start: np.ndarray, count:
 PACK = 7
 
 
-def suffix_array(buffer: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(buffer: np.ndarray, ends: np.ndarray, cap: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, lengths shared with the suffix before) of texts laid end to end, by prefix doubling.
 
     ``ends``: for each position, the end of its text; no suffix goes beyond it.  Shared lengths above ``cap`` are
-    given as ``cap``; suffixes that share so much are in no defined order.
+    given as ``cap``; suffixes that share so much are in no defined order.  Those under ``least`` may be given as 0.
     """
     n = len(buffer)
     where = np.arange(n)
@@ -120,8 +120,13 @@ def suffix_array(buffer: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.nda
         order, rank = ranked(rank * (n + 1) + second)
         have *= 2
         levels.append((have, rank))
-    a, b = order[:-1], order[1:]
-    shared = np.zeros(n - 1, np.int64)
+    pairs = np.flatnonzero(np.minimum(left[order[:-1]], left[order[1:]]) >= least)
+    for length, rank in reversed(levels):
+        if length <= least:  # who differs here can't reach the least
+            pairs = pairs[rank[order[pairs]] == rank[order[pairs + 1]]]
+            break
+    a, b = order[pairs], order[pairs + 1]
+    shared = np.zeros(len(pairs), np.int64)
     most = np.minimum(left[a], left[b])
     for length, rank in reversed(levels):
         if length > cap:
@@ -139,7 +144,29 @@ def suffix_array(buffer: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.nda
         x, y = a[ok] + shared[ok], b[ok] + shared[ok]
         ok = ok[buffer[x] == buffer[y]]
         shared[ok] += 1
-    return order, np.concatenate(([0], np.minimum(np.minimum(shared, most), cap)))
+    out = np.zeros(n, np.int64)
+    out[pairs + 1] = np.minimum(np.minimum(shared, most), cap)
+    return order, out
+
+
+def suffixes(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, cap: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_array`` of texts of which some may be equal: those are sorted once, and each suffix stands beside its twins."""
+    at, raw, first = np.flatnonzero(begins == np.arange(len(buffer))), buffer.tobytes(), {}
+    size = ends[at] - at
+    which = np.array([first.setdefault(raw[s:e], len(first)) for s, e in zip(at.tolist(), ends[at].tolist())])
+    if len(first) == len(at):
+        return suffix_array(buffer, ends, cap, least)
+    members = np.argsort(which, kind="stable")
+    copies = np.bincount(which)
+    begin = copies.cumsum() - copies  # in ``members``
+    length = size[members[begin]]
+    base = length.cumsum() - length
+    order, shared = suffix_array(np.frombuffer(b"".join(first), np.uint8), np.repeat(base + length, length), cap, least)
+    text = np.repeat(np.arange(len(length)), length)[order]
+    times = copies[text]
+    nth = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+    text, offset = np.repeat(text, times), np.repeat(order - base[text], times)
+    return at[members[begin[text] + nth]] + offset, np.where(nth == 0, np.repeat(shared, times), np.minimum(length[text] - offset, cap))
 
 
 def repeat_nodes(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +179,7 @@ def repeat_nodes(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray, least
     none = np.empty((3, 0), np.int64)
     if len(buffer) < 2:
         return np.arange(len(buffer)), none
-    order, shared = suffix_array(buffer, ends, cap)
+    order, shared = suffixes(buffer, begins, ends, cap, least)
     deep = shared >= least
     edge = np.diff(np.concatenate(([0], deep.view(np.int8), [0])))
     lo, hi = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1) - 1  # first and last suffix of each top node

@@ -8,7 +8,7 @@ name are compared by a suffix array, whatever their number; what precedes it onl
    copies, however many, never meet in one task: they repeat wherever the second one does, and that is everywhere;
 2. names with one block only can't repeat and go no further.  A name that a batch holds often is salted by the block's
    hash, but for two of its blocks, by which its blocks elsewhere are seen to have company;
-3. all others meet by name.  An enhanced suffix array of their texts is scanned with a stack; every interval of the
+3. all others meet by name.  An enhanced suffix array of their texts (equal ones are sorted once) is scanned with a stack; every interval of the
    common-prefix tree whose occurrences differ to the left is a maximal repeat; all of its occurrences but the first
    are marked.  Any window that occurs twice lies in a maximal repeat with the same occurrences, so nothing else is
    needed.  (``repeats.maximal_repeats`` lists the groups with all occurrences; the dedup has no use for the first);
@@ -49,7 +49,7 @@ LAID, CONTESTED = 1 << 22, 1 << 19
 #: Windows of a block that is named anew at once.
 PIECE = 1 << 16
 #: Bytes of contested blocks of one name from which on its windows are named anew by longer strings.
-LIMIT = 1 << 20
+LIMIT = 2 << 20
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -237,6 +237,8 @@ def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = LIMIT)
             asked.join(numbered.select("doc", "text"), "doc").select("doc", "text", F.explode("asked").alias("a"))
             .select("a.key", "doc", "a.start", F.expr(f"substring(text, a.start + 1, a.n + {window - 1})").alias("text"), "a.hot")
         )
+        if some_hot:  # read twice below
+            cut = materialise(cut, "contested")
         cold = cut.where("hot is null").select("key", "doc", "start", "text").repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
         level = copies.unionByName(cold.mapInArrow(_interval_trees(window), SPAN_SCHEMA))
         spans = level if spans is None else spans.unionByName(level)
