@@ -13,8 +13,8 @@ name are compared by a suffix array, whatever their number; what precedes it onl
    are marked.  Any window that occurs twice lies in a maximal repeat with the same occurrences, so nothing else is
    needed.  (``repeats.maximal_repeats`` lists the groups with all occurrences; the dedup has no use for the first);
 4. names whose blocks have more than ``limit`` bytes are not cut: their windows are named anew, by 64-byte strings and
-   then by all of their bytes, and the shorter blocks under these names go through 1 to 3 again.  A name of the last
-   level has one text, so at most two blocks and, if it was salted, two more.
+   then by all of their bytes, and the shorter blocks under these names, which carry their texts, go through 1 to 3
+   again.  A name of the last level has one text, so at most two blocks and, if it was salted, two more.
 
 Blocks are told apart by 128 bits of hashes; all else compares bytes.
 """
@@ -56,8 +56,8 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _block_rows(name: np.ndarray, body: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    """Rows of the blocks of one batch, in order of (doc, start): copies of two earlier ones are known repeats."""
+def _block_rows(name: np.ndarray, body: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, twice: np.ndarray, *texts: np.ndarray) -> pa.RecordBatch:
+    """Rows of the blocks of one batch, in order of (doc, start): copies of two earlier ones are known repeats, without a text."""
     both = name * np.uint64(0x9E3779B97F4A7C15) + body
     order = np.argsort(both, kind="stable")
     a, b = order[:-1], order[1:]
@@ -77,11 +77,12 @@ def _block_rows(name: np.ndarray, body: np.ndarray, doc: np.ndarray, start: np.n
     total = np.add.reduceat(n, head) if len(head) else n
     name = np.where(same, repeats._mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), name)[head]
     cols = [_i64(name), _i64(body[head]), _i64(doc[head]), pa.array(start[head].astype(np.int32)), pa.array(total.astype(np.int32)), pa.array(kind[head].astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, ["key", "body", "doc", "start", "n", "kind"])
+    cols += [pa.array(np.where(same, None, t)[head], pa.binary()) for t in texts]
+    return pa.RecordBatch.from_arrays(cols, ["key", "body", "doc", "start", "n", "kind", "text"][: len(cols)])
 
 
-def _scan(window: int, gram: int):
-    """Blocks of texts (doc, start, text), by names of ``gram`` bytes."""
+def _scan(window: int, gram: int, inline: bool = False):
+    """Blocks of texts (doc, start, text), by names of ``gram`` bytes; with their own texts if ``inline``."""
 
     def laid(pieces: list[tuple]) -> list[np.ndarray] | None:
         docs, starts, texts = zip(*pieces)
@@ -94,19 +95,23 @@ def _scan(window: int, gram: int):
             name, at = np.repeat(name, n), np.repeat(at - n.cumsum() + n, n) + np.arange(n.sum())
             n, twice = np.ones(len(at), np.int64), np.zeros(len(at), bool)
         x = xxhash.xxh3_64_intdigest
-        body = np.array([x(raw[s:e]) for s, e in zip(at.tolist(), (at + n + window - 1).tolist())], np.uint64)
+        cut = [slice(s, e) for s, e in zip(at.tolist(), (at + n + window - 1).tolist())]
+        body = np.array([x(raw[c]) for c in cut], np.uint64)
         text = np.searchsorted(offsets, at, side="right") - 1
-        return [name, body, np.array(docs, np.int64)[text], at - offsets[text] + np.array(starts, np.int64)[text], n, twice]
+        own = [np.array([raw[c] for c in cut], object)] if inline else []
+        return [name, body, np.array(docs, np.int64)[text], at - offsets[text] + np.array(starts, np.int64)[text], n, twice, *own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = sorted(zip(*(b.column(i).to_pylist() for i in range(3))), key=lambda r: r[:2])
             parts, held, size = [], [], 0
             for row in [*rows, None]:
-                if held and (row is None or size > LAID):
+                if held and (row is None or size > (CONTESTED if inline else LAID)):
                     if found := laid(held):
                         parts.append(found)
                     held, size = [], 0
+                    if inline and parts:  # texts of single windows are many times as long as the text they are from
+                        yield _block_rows(*parts.pop())
                 if row and row[2]:
                     held.append(row)
                     size += len(row[2])
@@ -117,18 +122,21 @@ def _scan(window: int, gram: int):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of BLOCK_SCHEMA sorted by (key, body, doc, start): third and further copies, and the other blocks of contested names."""
+    """Rows of BLOCK_SCHEMA sorted by (key, body, doc, start): third and further copies, and the other blocks of contested names.
+
+    If the rows have texts, the latter keep them.
+    """
     held = None  # the last block that is no such copy; its name may go on in the next batch
     last, seen = None, 0  # (key, body, n) of the last row, and how many rows had it
     contested_before = False
     for b in batches:
-        key, body, doc, start, n, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        key, body, doc, start, n, kind, *texts = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         known = kind == KNOWN
         if known.any():
             i = np.flatnonzero(known)
-            yield _found(doc[i], start[i], n[i], key[i], np.zeros(len(i), bool))
+            yield _found(False, doc[i], start[i], n[i], key[i], *(t[i] for t in texts))
             i = np.flatnonzero(~known)
-            key, body, doc, start, n, kind = (c[i] for c in (key, body, doc, start, n, kind))
+            key, body, doc, start, n, kind, *texts = (c[i] for c in (key, body, doc, start, n, kind, *texts))
         if not len(key):
             continue
         new = np.ones(len(key), bool)
@@ -139,26 +147,27 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = (key[-1], body[-1], n[-1]), int(nth[-1]) + 1
         copy = nth >= 2
         i = np.flatnonzero(copy)
-        yield _found(doc[i], start[i], n[i], key[i], np.zeros(len(i), bool))
-        f = np.flatnonzero(~copy)
-        key, doc, start, n, kind = (c[f] for c in (key, doc, start, n, kind))
+        yield _found(False, doc[i], start[i], n[i], key[i], *(np.full(len(i), None) for _ in texts))
+        i = np.flatnonzero(~copy)
+        rows = [c[i] for c in (doc, start, n, key, *texts, kind)]
         if held is not None:
-            key, doc, start, n, kind = (np.concatenate((h, c)) for h, c in zip(held, (key, doc, start, n, kind)))
+            rows = [np.concatenate((h, c)) for h, c in zip(held, rows)]
+        key, kind = rows[3], rows[-1]
         if not len(key):
             continue
         pair = key[1:] == key[:-1]
         disputed = (kind != PLAIN) | np.concatenate(([contested_before], pair)) | np.concatenate((pair, [False]))
         i = np.flatnonzero(disputed[:-1])
-        yield _found(doc[i], start[i], n[i], key[i], np.ones(len(i), bool))
+        yield _found(True, *(c[i] for c in rows[:-1]))
         contested_before = bool(pair[-1]) if len(pair) else contested_before
-        held = tuple(c[-1:] for c in (key, doc, start, n, kind))
-    if held is not None and (contested_before or held[4][0] != PLAIN):
-        yield _found(held[1], held[2], held[3], held[0], np.ones(1, bool))
+        held = [c[-1:] for c in rows]
+    if held is not None and (contested_before or held[-1][0] != PLAIN):
+        yield _found(True, *held[:-1])
 
 
-def _found(doc: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, contested: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(contested)]
-    return pa.RecordBatch.from_arrays(cols, ["doc", "start", "n", "key", "contested"])
+def _found(contested: bool, doc: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, *texts: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(np.full(len(doc), contested))]
+    return pa.RecordBatch.from_arrays(cols + [pa.array(t, pa.binary()) for t in texts], ["doc", "start", "n", "key", "contested", "text"][: 5 + len(texts)])
 
 
 def _interval_trees(window: int):
@@ -219,34 +228,45 @@ def repeated_windows(numbered: DataFrame, window: int = 100, limit: int = LIMIT)
     if window < repeats.GRAM:
         raise ValueError(f"window must be at least {repeats.GRAM} bytes")
     parts = partitions(numbered.sparkSession)
-    rows, spans = numbered.select("doc", F.lit(0).alias("start"), "text"), None
-    grams = sorted({repeats.GRAM, min(2 * repeats.GRAM, window), window})
-    for gram in grams:
-        # a salted name is dealt out by the block's hash; sorting by name first brings what meets together
-        dealt = rows.mapInArrow(_scan(window, gram), BLOCK_SCHEMA).repartition(parts, F.when(F.col("kind") == SALTED, F.xxhash64("key", "body")).otherwise(F.col("key")))
-        found = materialise(dealt.sortWithinPartitions("key", "body", "doc", "start").mapInArrow(_resolve, FOUND_SCHEMA), "blocks")
-        copies, contested = found.where("not contested").select(*SPAN_COLUMNS), found.where("contested")
-        some_hot = False
-        if gram < window:
-            size = F.sum(F.col("n").cast("long") + window - 1)
-            hot = materialise(contested.groupBy("key").agg(size.alias("size")).where(F.col("size") > limit).select("key", F.lit(True).alias("hot")), "hot-names")
-            some_hot = not hot.isEmpty()
-        marked = contested.join(hot, "key", "left") if some_hot else contested.withColumn("hot", F.lit(None).cast("boolean"))
-        asked = marked.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("asked"))  # at most one text's blocks
-        cut = (
-            asked.join(numbered.select("doc", "text"), "doc").select("doc", "text", F.explode("asked").alias("a"))
-            .select("a.key", "doc", "a.start", F.expr(f"substring(text, a.start + 1, a.n + {window - 1})").alias("text"), "a.hot")
-        )
-        if some_hot:  # read twice below
-            cut = materialise(cut, "contested")
-        cold = cut.where("hot is null").select("key", "doc", "start", "text").repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
-        level = copies.unionByName(cold.mapInArrow(_interval_trees(window), SPAN_SCHEMA))
-        spans = level if spans is None else spans.unionByName(level)
-        if not some_hot:
-            break
+
+    def dealt(rows: DataFrame, gram: int, more: str) -> DataFrame:
+        """Copies and contested blocks; a salted name is dealt out by the block's hash, and sorting by name first brings what meets together."""
+        by = F.when(F.col("kind") == SALTED, F.xxhash64("key", "body")).otherwise(F.col("key"))
+        blocks = rows.mapInArrow(_scan(window, gram, bool(more)), BLOCK_SCHEMA + more).repartition(parts, by)
+        return blocks.sortWithinPartitions("key", "body", "doc", "start").mapInArrow(_resolve, FOUND_SCHEMA + more)
+
+    def too_long(contested: DataFrame) -> DataFrame:
+        """Names of more than ``limit`` bytes of blocks."""
+        size = F.sum(F.col("n").cast("long") + window - 1)
+        return contested.groupBy("key").agg(size.alias("size")).where(F.col("size") > limit).select("key", F.lit(True).alias("hot"))
+
+    def solved(cut: DataFrame) -> DataFrame:
+        met = cut.select("key", "doc", "start", "text").repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
+        return met.mapInArrow(_interval_trees(window), SPAN_SCHEMA)
+
+    first, *longer = sorted({repeats.GRAM, min(2 * repeats.GRAM, window), window})
+    found = materialise(dealt(numbered.select("doc", F.lit(0).alias("start"), "text"), first, ""), "blocks")
+    contested = found.where("contested")
+    hot = materialise(too_long(contested), "hot-names") if longer else None
+    if hot is None or hot.isEmpty():
+        longer = []
+    marked = contested.join(hot, "key", "left") if longer else contested.withColumn("hot", F.lit(None).cast("boolean"))
+    asked = marked.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("asked"))  # at most one text's blocks
+    cut = (
+        asked.join(numbered.select("doc", "text"), "doc").select("doc", "text", F.explode("asked").alias("a"))
+        .select("a.key", "doc", "a.start", F.expr(f"substring(text, a.start + 1, a.n + {window - 1})").alias("text"), "a.hot")
+    )
+    spans = found.where("not contested").select(*SPAN_COLUMNS).unionByName(solved(cut.where("hot is null")))
+    # blocks of long names carry their texts from here on, so that documents aren't shuffled again for them
+    for gram in longer:
         part = F.explode(F.expr(f"sequence(0, length(text) - {window}, {PIECE})")).alias("p")
         pieces = cut.where("hot").select("doc", "start", "text", part)
         rows = pieces.select("doc", (F.col("start") + F.col("p")).alias("start"), F.expr(f"substring(text, p + 1, {PIECE + window - 1})").alias("text"))
+        # in a fixed order, as the salt depends on what else is in a batch: a task that is run again must deal alike
+        found = dealt(rows.sortWithinPartitions("doc", "start"), gram, ", text binary")
+        contested = found.where("contested")
+        cut = contested.join(too_long(contested), "key", "left") if gram < window else contested.withColumn("hot", F.lit(None).cast("boolean"))
+        spans = spans.unionByName(found.where("not contested").select(*SPAN_COLUMNS)).unionByName(solved(cut.where("hot is null")))
     return spans
 
 
