@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemill.llm import bpe, gam, improbable, packing, simhash, suffix_dedup, token_counts, token_files, topk, url_filter, warc
+from tidemill.llm import bpe, centroids, divergence, gam, improbable, packing, simhash, suffix_dedup, token_counts, token_files, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_markov_url_ratio": url_filter.op1,
@@ -20,11 +20,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pairwise_gam_quality": gam.op8,
     "op9_pivot_distance_topk": topk.op9,
     "op10_arc_to_warc": warc.op10,
+    "op11_vantage_centroids": centroids.op11,
     "op12_seekable_token_files": token_files.op12,
+    "op13_count_cell_audit": divergence.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_interval_dedup": suffix_dedup.ORACLE,
     "op9_pivot_distance_topk": topk.ORACLE,
     "op10_arc_to_warc": warc.ORACLE,
+    "op11_vantage_centroids": centroids.ORACLE,
+    "op13_count_cell_audit": divergence.ORACLE,
 }
