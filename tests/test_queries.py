@@ -46,7 +46,7 @@ def plan(df):
 
 
 def test_plans_stay_in_the_jvm_and_read_events_once(spark, sf):
-    for name in ("flagship_policy", "joint_grid", "candidate_set", "stable_window_sensitivity", "window_level_metrics", "block_bootstrap", "average_precision", "calibration_rank10"):
+    for name in ("flagship_policy", "joint_grid", "candidate_set", "stable_window_sensitivity", "window_level_metrics", "average_precision", "calibration_rank10"):
         df = QUERIES[name](spark, sf)
         text = plan(df)
         assert "Python" not in text and "CartesianProduct" not in text, name

@@ -90,14 +90,50 @@ def test_windows_at_all_thresholds(spark, length):
         assert got[k] == (len(runs), sum(all(r) for r in runs))
 
 
-def test_leave_out_is_total_less_own(spark, scored):
+def slow_precision(rows):
+    """Average precision of (score, label, weight), one pass over distinct scores."""
+    tp = fp = gained = 0.0
+    for score in sorted({r[0] for r in rows}, reverse=True):
+        own = sum(w * y for s, y, w in rows if s == score)
+        tp, fp = tp + own, fp + sum(w * (1 - y) for s, y, w in rows if s == score)
+        gained += own * tp / (tp + fp) if tp + fp else 0
+    return gained / tp if tp else 0.0
+
+
+@pytest.mark.parametrize("batch, ranges, reps", [(10_000, 256, 7), (3, 2, 7), (10, 1, None), (10_000, 256, None)])
+def test_precision_of_replicates(spark, scored, monkeypatch, batch, ranges, reps):
+    monkeypatch.setattr(U, "RANGES", ranges)
     rows, df = scored
-    sums = U.score_sums(df, ["g", "anchor_pos"])
-    blocks = U.number_blocks(sums, ["g"])
-    got = {(r.g, r.omitted): r.average_precision for r in U.precision_by_replicate(U.without_each_block(sums, blocks, ["g"], ["g"]), ["g", "omitted"]).collect()}
-    for g, day in (("x", 0), ("y", 33), ("x", 57)):
-        left = df.where((F.col("g") == g) & (F.col("anchor_pos") != day))
-        assert got[g, day] == pytest.approx(M.average_precision(left, ["g"]).first().average_precision)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        sums = U.score_sums(df, ["g", "anchor_pos"])
+        got = {(r.g, r.rep): r.average_precision for r in U.precision_by_replicate(sums, U.number_blocks(sums, ["g"]), reps, ["g"], ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    days = sorted({a for *_, a, _ in rows})
+    want = {}
+    for g in "xy":
+        w = U.weights(g, len(days), reps, 42)
+        for rep in range(w.shape[1]):
+            want[g, rep] = slow_precision([(p, y, w[days.index(a), rep]) for h, p, y, a, _ in rows if h == g])
+    assert got == pytest.approx(want)
+
+
+def test_weights_are_the_draws(spark):
+    two = spark.createDataFrame([(e, b) for e in "ab" for b in range(11)], "e string, block_no long")
+    for r in U.draws(two, 30, keys=["e"]).collect():
+        assert U.draw_counts(r.e, 11, 30, 42)[r.block_no, r.rep] == r.mult
+    assert (U.draw_counts("a", 11, 30, 42).sum(0) == 11).all()
+
+
+def test_sums_of_replicates(spark):
+    rows = [(e, d, float(d * d), d % 3) for e in "ab" for d in (3, 5, 8, 9)]
+    sums = spark.createDataFrame(rows, "e string, anchor_pos long, kwh double, n int")
+    got = {(r.e, r.rep): (r.kwh, r.n) for r in U.resampled(sums, U.number_blocks(sums, ["e"]), 5, ["e"], ["e"], ["kwh", "n"]).collect()}
+    for (e, rep), pair in got.items():
+        m = U.draw_counts(e, 4, 5, 42)[:, rep]
+        assert pair == (sum(k * d * d for k, d in zip(m, (3, 5, 8, 9))), sum(k * (d % 3) for k, d in zip(m, (3, 5, 8, 9))))
+    assert len(got) == 10
 
 
 def test_one_to_one_refuses_repeated_keys(spark):

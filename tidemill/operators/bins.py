@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalar import occupied_label
+from tidemill.operators.chunks import CHUNK, with_halo
 
 
 def bin_of(ts: str | Column = "ts", width: str = "15 minutes") -> Column:
@@ -53,7 +54,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order:
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(lead)) for c in cols})
 
 
-def forward_fill_chunked(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: str = "pos", lead: float = 0.0, chunk: int = 96 * 32) -> DataFrame:
+def forward_fill_chunked(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: str = "pos", lead: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """The same for long series: within chunks in parallel, with each chunk's last value carried to the next ones."""
     cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
     last = cut.groupBy(*keys, "_chunk").agg(*(F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in cols))
@@ -88,7 +89,11 @@ def future_explode(anchors: DataFrame, horizon: int = 96) -> DataFrame:
     return anchors.select("*", steps.alias("step")).withColumn("target_pos", F.col("pos") + F.col("step"))
 
 
-def history_window(df: DataFrame, value: str, keys: Sequence[str], length: int = 96) -> DataFrame:
+def history_window(df: DataFrame, value: str, keys: Sequence[str], length: int = 96, chunk: int = CHUNK) -> DataFrame:
     """The last ``length`` values up to each bin as an array; shorter at the begin."""
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-(length - 1), 0)
-    return df.withColumn("history", F.collect_list(value).over(w))
+
+    def within(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("pos").rowsBetween(-(length - 1), 0)
+        return rows.withColumn("history", F.collect_list(value).over(w))
+
+    return with_halo(df, keys, length - 1, within, chunk)

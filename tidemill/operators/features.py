@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalar import is_midnight, week_floor
+from tidemill.operators.chunks import CHUNK, with_halo
 
 
 def split_bounds(bins: DataFrame, keys: Sequence[str], train: float = 0.5, val: float = 0.25) -> DataFrame:
@@ -53,18 +54,24 @@ def rolling_origin_folds(bins: DataFrame, keys: Sequence[str], cuts: Sequence[fl
     return rows.join(ok.select(*keys, "fold"), [*keys, "fold"], "left_semi")
 
 
-def lags(bins: DataFrame, value: str, ks: Sequence[int], keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("pos")
-    return bins.withColumns({f"{value}_lag_{k}": F.lag(value, k).over(w) for k in ks})
+def lags(bins: DataFrame, value: str, ks: Sequence[int], keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """The values ``ks`` bins back, over bins with gapless ``pos``; a long series is spread over chunks."""
 
+    def within(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("pos")
+        return rows.withColumns({f"{value}_lag_{k}": F.lag(value, k).over(w) for k in ks})
 
-def rolling_means(bins: DataFrame, value: str, ws: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    return with_halo(bins, keys, max(ks), within, chunk)
+
+
+def rolling_means(bins: DataFrame, value: str, ws: Sequence[int], keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """Mean of the ``w`` values before each bin, null where there are fewer; the bin itself is not in it."""
-    out = {}
-    for k in ws:
-        w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-k, -1)
-        out[f"{value}_mean_{k}"] = F.when(F.col("pos") >= k, F.avg(value).over(w))
-    return bins.withColumns(out)
+
+    def within(rows: DataFrame, by: list[str]) -> DataFrame:
+        over = lambda k: Window.partitionBy(*by).orderBy("pos").rowsBetween(-k, -1)
+        return rows.withColumns({f"{value}_mean_{k}": F.when(F.col("pos") >= k, F.avg(value).over(over(k))) for k in ws})
+
+    return with_halo(bins, keys, max(ws), within, chunk)
 
 
 def fill_by_split(anchors: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -58,8 +58,8 @@ def replicates(spark, d):
     stats = m.groupBy(*group, "anchor_pos").agg(F.count_if(r).alias("rec"), F.count_if(r & ~y).alias("bad"), F.coalesce(F.sum(F.when(r & y, F.col("kwh"))), F.lit(0.0)).alias("safe_kwh"))
     policy = U.resampled(stats, blocks, REPS, KEY, group, ["rec", "bad", "safe_kwh"])
     policy = policy.select(*group, "rep", M.ratio(F.col("bad"), F.col("rec")).alias("conflict_rate"), "safe_kwh")
-    scores = U.resampled(U.score_sums(m, [*group, "anchor_pos"]), blocks, REPS, KEY, [*group, "score"], ["tp", "fp"])
-    return policy.join(U.precision_by_replicate(scores, [*group, "rep"]), [*group, "rep"])
+    ap = U.precision_by_replicate(U.score_sums(m, [*group, "anchor_pos"]), blocks, REPS, KEY, group)
+    return policy.join(ap, [*group, "rep"])
 
 
 def ci(c):
@@ -107,7 +107,7 @@ def _(spark, d):
     per = P.sweep_sums(at, [*KEY, "model", "anchor_pos"]).select(*group, "anchor_pos", *sums)
     loo = U.leave_one_out(per, group, "anchor_pos", sums).withColumnRenamed("omitted", "rep").withColumn("method", F.lit("leave_one_out"))
     boot = U.resampled(per, U.number_blocks(at, KEY), CHOICE_REPS, KEY, group, sums).withColumn("method", F.lit("bootstrap"))
-    both = loo.select("method", *group, "rep", *sums).unionByName(boot.select("method", *group, "rep", *sums))
+    both = loo.select("method", *group, "rep", *(F.col(c).cast("double").alias(c) for c in sums)).unionByName(boot.select("method", *group, "rep", *sums))
     rated = both.withColumns({"conflict_rate": M.ratio(F.col("bad"), F.col("n")), "empty_recall": M.ratio(F.col("good"), F.col("em"))})
     return P.select_constrained(rated, ["method", *KEY, "model", "rep"], (0.10,)).groupBy("method", *group).agg(F.count("*").alias("times"))
 
@@ -141,15 +141,13 @@ def winners(ap, rep):
 @query("bootstrap_blend_stability", STABLE + f", drawn AS MATERIALIZED ({drawn(CHOICE_REPS)}), scored AS MATERIALIZED (SELECT entity_id, place, rep, score, sum(mult * tp)::DOUBLE AS tp, sum(mult * fp)::DOUBLE AS fp FROM blended JOIN numbered USING (entity_id, anchor_pos) JOIN drawn USING (entity_id, block_no) GROUP BY 1, 2, 3, 4)\n" + PICK.format(ap=ap_sql("scored", "entity_id, place, rep")))
 def _(spark, d):
     sums = contenders(spark, d)
-    drawn_sums = U.resampled(sums, U.number_blocks(sums, KEY), CHOICE_REPS, KEY, [*BLEND_KEY, "score"], ["tp", "fp"])
-    return winners(U.precision_by_replicate(drawn_sums, [*BLEND_KEY, "rep"]), "rep")
+    return winners(U.precision_by_replicate(sums, U.number_blocks(sums, KEY), CHOICE_REPS, KEY, BLEND_KEY), "rep")
 
 
 @query("loo_blend_stability", STABLE + ", scored AS MATERIALIZED (SELECT l.entity_id, place, o.block_no AS rep, score, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp FROM blended l JOIN numbered o ON o.entity_id = l.entity_id AND o.anchor_pos <> l.anchor_pos GROUP BY 1, 2, 3, 4)\n" + PICK.format(ap=ap_sql("scored", "entity_id, place, rep")))
 def _(spark, d):
     sums = contenders(spark, d)
-    left = U.without_each_block(sums, U.number_blocks(sums, KEY), KEY, BLEND_KEY)
-    return winners(U.precision_by_replicate(left, [*BLEND_KEY, "omitted"]), "omitted")
+    return winners(U.precision_by_replicate(sums, U.number_blocks(sums, KEY), None, KEY, BLEND_KEY), "rep")
 
 
 @query("blend_gap", sql(f"SELECT entity_id, split, model, max(average_precision) OVER w - average_precision AS gap, row_number() OVER (PARTITION BY entity_id, split ORDER BY round(average_precision, 9) DESC, model)::INTEGER AS place FROM ({AP.format(g=G, p='p', t='long_all')}) WINDOW w AS (PARTITION BY entity_id, split)", "long_all"), "gap")

@@ -7,7 +7,7 @@ of the entity's mean plus standard deviation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalar import interval_kwh, is_midnight, row_mean_skipna, row_sum_min1, slot_index
@@ -60,13 +60,13 @@ def components(b: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
     slot: mean of empty by quarter hour of the week before b1; persist: mean of the labels one to seven days before
     the target; recent: mean of the day before the anchor.
     """
-    over = Window.partitionBy(*KEY).orderBy("pos")
     bounds = a.select(*KEY, "b1").distinct()
     train = b.join(bounds, KEY).where("bin_start < b1")
     slots = train.groupBy(*KEY, "slot").agg(F.avg("empty").alias("slot_mean"))
     mean = train.groupBy(*KEY).agg(F.avg("empty").alias("train_mean"))
-    days = row_mean_skipna(*(F.lag("empty", 96 * k).over(over) for k in range(1, 8)))
-    target = b.withColumn("_persist", days).join(slots, [*KEY, "slot"], "left").join(mean, KEY)
+    back = [96 * k for k in range(1, 8)]
+    week = L.lags(b, "empty", back, KEY).withColumn("_persist", row_mean_skipna(*(f"empty_lag_{k}" for k in back)))
+    target = week.join(slots, [*KEY, "slot"], "left").join(mean, KEY)
     target = target.select(
         *KEY, F.col("pos").alias("target_pos"), F.col("bin_start").alias("target_time"), "empty", "kwh",
         F.round(F.coalesce("slot_mean", "train_mean"), 9).alias("slot"), F.round(F.coalesce("_persist", "train_mean"), 9).alias("persist"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import scalar as S
 from tidemill.operators import bins as B
 from tidemill.operators import features as L
+from tidemill.operators.chunks import asof_join
 from tidemill.operators.policy import threshold_grid
 from tidemill.plans import base
 from tidemill.plans.base import KEY, sql
@@ -197,6 +198,33 @@ def _(spark, d):
     return B.forward_fill_chunked(base.bins(spark, d), SENSORS, KEY, chunk=96).select(*KEY, "pos", *SENSORS, "empty")
 
 
+ASOF_SQL = """WITH rd AS (SELECT user_id % 2 AS entity_id, event_id, ts, event_type, value FROM events),
+heard AS (SELECT entity_id, ts, max_by(value, event_id) AS value FROM rd WHERE event_type = 'error' GROUP BY 1, 2)
+SELECT p.entity_id, p.event_id, p.ts, h.ts AS sensor_time, h.value AS sensor, CASE WHEN h.ts >= p.ts - INTERVAL '30 minutes' THEN h.value END AS fresh_sensor
+FROM (SELECT * FROM rd WHERE event_type = 'purchase') p ASOF LEFT JOIN heard h ON h.entity_id = p.entity_id AND h.ts {} p.ts"""
+
+
+def _asof(spark, d, **more):
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("entity_id", F.col("user_id") % base.ENTITIES)
+    bought = events.where("event_type = 'purchase'").select(*KEY, "event_id", "ts")
+    heard = events.where("event_type = 'error'").select(*KEY, "ts", "value", "event_id")
+    found = asof_join(bought, heard, KEY, {"value": "sensor"}, matched="sensor_time", tie=["event_id"], **more)
+    fresh = F.when(F.col("sensor_time") >= F.col("ts") - F.expr("interval 30 minutes"), F.col("sensor"))
+    return found.withColumn("fresh_sensor", fresh)
+
+
+@query("asof_sensor", ASOF_SQL.format("<="), "sensor fresh_sensor")
+def _(spark, d):
+    """Each purchase with the last reading of the sensor at or before it, and with that reading if it is no older than half an hour."""
+    return _asof(spark, d)
+
+
+@query("asof_sensor_before", ASOF_SQL.format("<"), "sensor fresh_sensor")
+def _(spark, d):
+    """The same with readings at the very time left out."""
+    return _asof(spark, d, exact=False)
+
+
 @query("missing_before_fill", sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(({c} IS NULL)::INTEGER) AS missing_rate FROM bins" for c in SENSORS), "bins"), "missing_rate")
 def _(spark, d):
     return B.missing_shares(base.bins(spark, d), SENSORS)
@@ -276,7 +304,7 @@ def feature_rows(b, assigned):
 
     ``assigned``: (entity_id, pos, split) of the anchors to use.
     """
-    filled = B.forward_fill(b, SENSORS, KEY)
+    filled = B.forward_fill_chunked(b, SENSORS, KEY)
     lag_cols, roll_cols = [f"empty_lag_{k}" for k in LAGS], [f"c1_mean_{k}" for k in WIDTHS]
     known = L.rolling_means(L.lags(filled, "empty", LAGS, KEY), "c1", WIDTHS, KEY)
     a = L.fill_by_split(known.join(assigned, [*KEY, "pos"]), [*lag_cols, *roll_cols], KEY).select(*KEY, "split", "pos", *lag_cols, *roll_cols, *SENSORS)
