@@ -7,7 +7,7 @@ import corpus_pipeline as cp
 from tidemill.llm import gam
 from tidemill.llm.bpe import VOCABULARY
 
-from .test_simhash import slow_classes, slow_wide
+from .test_simhash import slow_near_classes
 
 
 def slow_texts(rows, window=100):
@@ -30,8 +30,7 @@ def test_each_stage_against_brute_force(spark, sf):
     got = cp.STAGES[0][1](spark, docs, sf)
     assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == rows
 
-    fps = {i: slow_wide(t) for i, t in rows.items()}
-    stay = {i for i, c in slow_classes(fps, None).items() if i == c}
+    stay = {i for i, c in slow_near_classes(rows).items() if i == c}
     got = cp.STAGES[1][1](spark, got, sf)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == stay
 

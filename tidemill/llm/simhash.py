@@ -10,15 +10,16 @@ A posting list with more than ``limit`` fingerprints is not cut: its entries are
 position (four bytes), then under three of the other eight half-bytes, then a fourth.  Two fingerprints within four
 bits share these too, so nothing is lost, and a list of the last level has at most 2**16 different fingerprints.
 
-``wide_duplicates`` is the same index for a wider net (Jaccard similarity of about 0.8): fingerprints of 256 bits,
-32 positional bytes, of which near copies share many, though no number is certain.  Pairs of positions within six
-classes are posted, so that any seven shared bytes contain a posted pair; fewer are found with a chance that the
-README gives.  Shared bytes are tallied, pairs under the least number dropped, the others verified bit by bit.
+The near-copy stage (``one_of_each``) finds candidates by the same index with a wider net: fingerprints of 256 bits,
+32 positional bytes, pairs of positions within six classes posted, shared bytes tallied, bits counted.  Any seven shared
+bytes contain a posted pair; six, five and four do with a chance of 97, 87 and 66 %.  A candidate is no link yet:
+the two texts are fetched and the exact Jaccard similarity of their shingles of five words decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,35 +47,46 @@ def covering_triples(n: int = 8) -> list[tuple[int, ...]]:
     return out
 
 
-def fingerprint_bytes(text: bytes | None, k: int = 4, seed: int = 42, width: int = 1) -> bytes:
-    """Eight bytes for each of ``width`` words, most significant first.
-
-    Null or no words: zero bytes; fewer than ``k`` words: one shingle.  The first eight bytes use the shingle's XXH64;
-    further ones use it mixed with their number.  Very long texts are taken in slices of 32,768 shingles.
-    """
-    words = (text or b"").lower().split()  # of bytes, both know ASCII only: A-Z, and \\x20 \\x09-\\x0D
+def shingle_hashes(text: bytes | None, k: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles of ``k`` words in slices of 32,768; fewer words are one shingle, no words none."""
+    words = (text or b"").lower().split()  # of bytes, both know ASCII only: A-Z, and \x20 \x09-\x0D
     if not words:
-        return bytes(8 * width)
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(k, len(words))
     h = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    ones = np.zeros(64 * width, np.int64)
-    more = np.arange(1, width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, n, 1 << 15):
         upto = min(n, at + (1 << 15))
         cut = zip(starts[at:upto].tolist(), ends[at + k - 1 : upto + k - 1].tolist())
-        hashes = np.array([h(joined[s:e], seed) for s, e in cut], np.uint64)[:, None]
+        yield np.array([h(joined[s:e], seed) for s, e in cut], np.uint64)
+
+
+def majority(slices: Iterable[np.ndarray], width: int = 1) -> bytes:
+    """Eight bytes for each of ``width`` words, most significant first: bits that over half of the hashes have.
+
+    The first eight bytes use the hashes; further ones use them mixed with their number.
+    """
+    ones, n = np.zeros(64 * width, np.int64), 0
+    more = np.arange(1, width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for one in slices:
+        n += len(one)
+        hashes = one[:, None]
         if width > 1:
             hashes = np.concatenate((hashes, mix(hashes + more)), axis=1)
-        for i in range(0, upto - at, 1 << 12):
+        for i in range(0, len(one), 1 << 12):
             raw = hashes[i : i + (1 << 12)].astype(">u8").view(np.uint8).reshape(-1, 8 * width)
             ones += np.unpackbits(raw, axis=1).sum(0, dtype=np.uint32)
     return np.packbits(2 * ones > n).tobytes()
 
 
+def fingerprint_bytes(text: bytes | None, k: int = 4, seed: int = 42, width: int = 1) -> bytes:
+    """The fingerprint of a whole text; null or no words: zero bytes."""
+    return majority(shingle_hashes(text, k, seed), width)
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint as a signed long.  Repeated rows stay repeated; other columns are not read."""
 
@@ -143,27 +155,8 @@ def _forest(x: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray
     return src, dst
 
 
-def _links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int = 1):
-    """Rows (key, node, words of a fingerprint), sorted by key: the links of each list as a spanning forest of nodes.
-
-    Holds one list and one batch.  ``linked``: for two arrays of fingerprints, which pairs are links.
-    """
-
-    def solve(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        size = np.diff(np.concatenate((edge, [len(keys)])))
-        small = np.repeat(size <= 8, size)
-        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for d in range(1, 8):  # short lists all at once
-            i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
-            i = i[linked(x[i], x[i + d])]
-            src.append(node[i])
-            dst.append(node[i + d])
-        for e, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
-            a, b = _forest(x[e : e + n], linked)
-            src.append(node[e : e + n][a])
-            dst.append(node[e : e + n][b])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (src, dst)], ["src", "dst"])
+def _by_list(solve: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], width: int = 1):
+    """Rows (key, node, words of a fingerprint), sorted by key: ``solve`` gets whole lists.  Holds one list and one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_n, held_x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64)
@@ -184,6 +177,33 @@ def _links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int =
     return run
 
 
+def _list_sizes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lists begin, and their sizes."""
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return edge, np.diff(np.concatenate((edge, [len(keys)])))
+
+
+def _links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """The links of each list as a spanning forest of nodes.  ``linked``: for two arrays of fingerprints, which pairs are links."""
+
+    def solve(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        edge, size = _list_sizes(keys)
+        small = np.repeat(size <= 8, size)
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in range(1, 8):  # short lists all at once
+            i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
+            i = i[linked(x[i], x[i + d])]
+            src.append(node[i])
+            dst.append(node[i + d])
+        for e, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
+            a, b = _forest(x[e : e + n], linked)
+            src.append(node[e : e + n][a])
+            dst.append(node[e : e + n][b])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (src, dst)], ["src", "dst"])
+
+    return _by_list(solve)
+
+
 def fingerprint_links(nodes: DataFrame, limit: int = 4096) -> DataFrame:
     """(src, dst) of links that connect just what all links within four bits connect.
 
@@ -210,9 +230,13 @@ def fingerprint_links(nodes: DataFrame, limit: int = 4096) -> DataFrame:
     return out
 
 
-#: The wider net: words of a shingle and 64-bit words of a fingerprint; least shared bytes and most differing bits of a link.
-WIDE_K, WIDE, WIDE_SHARED, WIDE_BITS = 5, 4, 4, 48
+#: The wider net: words of a shingle, 64-bit words of a fingerprint, least shared bytes and most differing bits of a candidate.
+WIDE_K, WIDE, WIDE_SHARED, WIDE_BITS = 5, 4, 4, 56
+#: A link of the near-copy stage: this share of the shingles of either text is in both (numerator, denominator).
+SIMILAR = (4, 5)
 _CLASSES = 6
+#: Fingerprints that are compared at a time within a long list.
+_TILE = 1024
 
 
 def position_pairs(n: int = 8 * WIDE, classes: int = _CLASSES) -> list[tuple[int, int]]:
@@ -220,16 +244,41 @@ def position_pairs(n: int = 8 * WIDE, classes: int = _CLASSES) -> list[tuple[int
     return [(i, j) for i, j in combinations(range(n), 2) if i % classes == j % classes]
 
 
-def _linked_wide(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of two arrays of wide fingerprints: where they share enough positional bytes and differ in few enough bits."""
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of wide fingerprints, or 999 where too few positional bytes or too many bits make them no candidates."""
     diff = x ^ y
-    out = (diff.view(np.uint8).reshape(len(diff), 8 * WIDE) == 0).sum(1) >= WIDE_SHARED
-    out[out] = np.bitwise_count(diff[out]).sum(1) <= WIDE_BITS
-    return out
-
-
-def wide_links(nodes: DataFrame, limit: int = 1 << 16) -> DataFrame:
-    """(src, dst) of links between (node, w0..w3).
+    bits = np.bitwise_count(diff).sum(-1, dtype=np.int64)
+    shared = (diff.view(np.uint8).reshape(*diff.shape[:-1], 8 * WIDE) == 0).sum(-1)
+    return np.where((shared >= WIDE_SHARED) & (bits <= WIDE_BITS), bits, 999)
+
+
+def _candidates(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """(src, dst, bits), src < dst: all candidates of a list of at most 8; of a longer one each node's nearest of every ``_TILE`` nodes before it."""
+    edge, size = _list_sizes(keys)
+    small = np.repeat(size <= 8, size)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for d in range(1, 8):
+        i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
+        bits = _apart(x[i], x[i + d])
+        i, bits = i[bits < 999], bits[bits < 999]
+        out.append((node[i], node[i + d], bits))
+    for e, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
+        for at in range(0, n, _TILE):
+            mine = np.arange(e + at, e + min(n, at + _TILE))
+            for first in range(0, at + 1, _TILE):
+                theirs = np.arange(e + first, e + min(n, first + _TILE))
+                for some in np.array_split(mine, max(1, len(mine) * len(theirs) >> 16)):  # bounded memory
+                    bits = _apart(x[some][:, None], x[theirs][None])
+                    bits[theirs[None] >= some[:, None]] = 999
+                    best = bits.argmin(1)
+                    least = bits[np.arange(len(some)), best]
+                    hit = least < 999
+                    out.append((node[theirs[best[hit]]], node[some[hit]], least[hit]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["src", "dst", "bits"])
+
+
+def wide_candidates(nodes: DataFrame, limit: int = 1 << 14) -> DataFrame:
+    """(src, dst, bits), src < dst, of candidate pairs between (node, w0..w3).
 
     Entries of lists over ``limit`` are posted again under each third position, then a fourth: pairs that share at
     least WIDE_SHARED bytes meet in one of these too, so nothing that the first level finds is lost.
@@ -246,8 +295,9 @@ def wide_links(nodes: DataFrame, limit: int = 1 << 16) -> DataFrame:
             hot = materialise(post.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-lists")
             hot = None if hot.isEmpty() else hot
         cold = post if hot is None else post.join(hot, "key", "left_anti")
-        dealt = cold.select("key", "node", *words).repartition(n, "key").sortWithinPartitions("key", "node")  # roots of forests are small nodes
-        found = materialise(dealt.mapInArrow(_links(_linked_wide, WIDE), "src long, dst long"), "pairs")
+        dealt = cold.select("key", "node", *words).repartition(n, "key").sortWithinPartitions("key", "node")
+        found = dealt.mapInArrow(_by_list(_candidates, WIDE), "src long, dst long, bits long")
+        found = materialise(found.groupBy("src", "dst").agg(F.min("bits").alias("bits")), "candidates")
         out = found if out is None else out.unionByName(found)
         if hot is None:
             break
@@ -256,18 +306,36 @@ def wide_links(nodes: DataFrame, limit: int = 1 << 16) -> DataFrame:
         finer = F.struct(*(F.col(f"m.m{w}").bitwiseOR(F.col(f"x.m{w}")).alias(f"m{w}") for w in range(WIDE)))
         again = again.select("node", *words, "m", finer.alias("finer")).where("m <> finer")
         post = materialise(again.select("node", *words, F.col("finer").alias("m")).distinct(), "postings")
-    return _through_least_parent(out)
+    return out
 
 
-def _through_least_parent(links: DataFrame) -> DataFrame:
-    """Links that connect just what ``links`` connect, with the parents of a node linked to the least of them.
+def shingle_set(text: bytes | None, k: int = WIDE_K) -> np.ndarray:
+    """The different shingle hashes of a whole text, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, k)]))
 
-    A forest gives a node one parent, so a node has at most as many as lists it is posted in; a class whose members
-    meet in every list has far fewer different links afterwards.
-    """
-    by = links.where("src <> dst").groupBy("dst").agg(F.collect_set("src").alias("up"))
-    least = F.least(F.array_min("up"), "dst")
-    return by.select(F.explode(F.array_union("up", F.array("dst"))).alias("src"), least.alias("dst")).where("src <> dst").distinct()
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``SIMILAR`` or more; two empty ones have."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst) of the pairs whose ``texts`` (node, text) are similar.  A pair carries its two texts, nothing more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for b in batches:
+            keep = []
+            for src, one, other in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if src != last:
+                    last, own = src, shingle_set(one.as_py())
+                keep.append(similar(own, shingle_set(other.as_py())))
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["src", "dst"])
+
+    to = pairs.select("src", "dst").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("other")), "dst")
+    both = to.join(texts.select(F.col("node").alias("src"), F.col("text").alias("one")), "src")  # a hot src is split by the adaptive planner
+    return both.select("src", "dst", "one", "other").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
@@ -293,30 +361,56 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 1 << 16) -> DataFrame:
-    """(doc_id): the smallest of each class of near copies by wide fingerprints.  ``rows``: ids must be different and not null.
+def similar_links(nodes: DataFrame, texts: DataFrame, limit: int = 1 << 14) -> DataFrame:
+    """(node, root) of the classes that similar texts among the candidates make; roots have no row.
 
-    Texts without words have one fingerprint, zero, and form one class.
+    ``nodes``: (node, w0..w3); ``texts``: (node, text), more than needed does no harm.  Each node is first held against
+    its nearest candidate alone.  Of the other candidates only those between two of the classes so made can change
+    anything, and all of these are held against each other next.
+    """
+    pairs = wide_candidates(nodes, limit)
+    needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    own = materialise(texts.join(needed, "node", "left_semi"), "candidate-texts")
+    nearest = pairs.groupBy("dst").agg(F.min(F.struct("bits", "src")).alias("best")).select("dst", F.col("best.src").alias("src"))
+    first = materialise(confirmed(nearest, own), "links")
+    roots = connected_components(first)
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    rest = pairs.join(nearest, ["src", "dst"], "left_anti").join(root_of("src"), "src", "left").join(root_of("dst"), "dst", "left")
+    apart = rest.where("coalesce(src_root, src) <> coalesce(dst_root, dst)").select("src", "dst")
+    second = materialise(confirmed(apart, own), "links")
+    return roots if second.isEmpty() else connected_components(first.unionByName(second))
+
+
+def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 1 << 14) -> DataFrame:
+    """(doc_id): the smallest of each class of near copies.  ``rows``: ids must be different and not null.
+
+    Texts with the same set of shingles fold first, however often a shingle occurs; those without words are one class.
     """
     words = [f"w{i}" for i in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b"".join(fingerprint_bytes(t, WIDE_K, 42, WIDE) for t in b.column(1).to_pylist())
-            x = np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE))], ["doc_id", *words])
+            fps, same = [], []
+            for t in b.column(1).to_pylist():
+                slices = list(shingle_hashes(t, WIDE_K))
+                fps.append(majority(slices, WIDE))
+                same.append(hashlib.blake2b(np.unique(np.concatenate([np.empty(0, np.uint64), *slices])).tobytes(), digest_size=16).digest())
+            x = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE)), pa.array(same, pa.binary())], ["doc_id", *words, "same"])
 
     picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words))
-    nodes = materialise(fps.groupBy(*words).agg(F.min("doc_id").alias("node")), "nodes")  # copies fold before the shuffle
-    roots = connected_components(wide_links(nodes, limit))
+    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", same binary")
+    least = F.min(F.struct("doc_id", *words)).alias("least")
+    nodes = materialise(fps.groupBy("same").agg(least).select(F.col("least.doc_id").alias("node"), *(f"least.{w}" for w in words)), "nodes")  # copies fold before the shuffle
+    roots = similar_links(nodes, picked.select(F.col("doc_id").alias("node"), "text"), limit)
     return nodes.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
 
 
-def one_of_each(docs: DataFrame, limit: int = 1 << 16) -> DataFrame:
+def one_of_each(docs: DataFrame, limit: int = 1 << 14) -> DataFrame:
     """Rows of ``docs``, with all their columns, that have the smallest doc_id of their class of near copies.
 
-    Near copies are linked by ``wide_links`` over shingles of five words: about 0.8 of Jaccard similarity and more.  If a
+    Near copies are linked by a Jaccard similarity of 0.8 or more of their sets of shingles of five words, which is
+    exact; candidates come from ``wide_candidates``, which may miss some.  Classes are chains of such links.  If a
     doc_id is null or repeated, rows are told apart by (doc_id, text), null first, and the first of a class stays.
     Null texts and texts without words are one class; very long texts are read whole; an empty table gives no rows.
     """
