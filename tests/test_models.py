@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import linear_maps as LM
 from tidemill.operators import models as ML
 from tidemill.sources import scratch
 from tidemill.streaming.bins import closed_bins
@@ -88,3 +90,50 @@ def test_tables_are_written_once_within_a_query(spark):
         spark.range(2).write.parquet(path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path)
+
+
+def slow_map(x, y, ridge, rounds=100):
+    """Newton's rounds for one step's weighted logistic fit; the intercept comes last and bears no penalty."""
+    positive = min(max((y.size - y.sum()) / max(y.sum(), 1), 0.25), 8.0)
+    out = []
+    ones = np.hstack([x, np.ones((len(x), 1))])
+    for j in range(y.shape[1]):
+        w = np.zeros(ones.shape[1])
+        penalty = np.diag([ridge] * x.shape[1] + [0.0])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-ones @ w))
+            c = np.where(y[:, j] > 0, positive, 1.0)
+            w = w - np.linalg.solve(ones.T @ (ones * (c * p * (1 - p))[:, None]) + penalty, ones.T @ (c * (p - y[:, j])) + penalty @ w)
+        out.append(w)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("chunk", [7, 10**6])
+def test_linear_maps_are_those_of_plain_fits(spark, chunk):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for e in "ab":
+        x = rng.normal(size=(60, 5))
+        y = (x @ rng.normal(size=(5, 5)) + rng.normal(size=(60, 5)) > 0.3).astype(float)
+        rows += [(e, "train", i, x[i].tolist(), y[i].tolist()) for i in range(60)] + [(e, "val", 100, x[0].tolist(), y[0].tolist())]
+        want[e] = slow_map(x, y, 1.0)
+    df = spark.createDataFrame(rows, "e string, split string, pos long, x array<double>, y array<double>").repartition(3)
+    maps = LM.fit_maps(df, ["e"], 5, chunk=chunk)
+    for r in maps.collect():
+        assert np.allclose(r.coefficients, want[r.e][r.step - 1], atol=1e-7)
+    assert maps.count() == 10
+    for r in LM.score_maps(df.where("split = 'val'"), maps, ["e"]).collect():
+        x = next(x for e, s, _, x, _ in rows if e == r.e and s == "val")
+        assert r.p == pytest.approx(1 / (1 + np.exp(-np.append(x, 1.0) @ want[r.e][r.step - 1]))) and r.anchor_pos == 100 and r.empty in (0, 1)
+
+
+def test_windows_of_linear_maps(spark):
+    bins = spark.createDataFrame([("a", p, p % 3 == 0, 1 - (p % 3 == 0)) for p in range(40)], "e string, pos long, occupied boolean, empty int").withColumn("occupied", F.col("occupied").cast("int"))
+    bins = bins.withColumn("bin_start", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 15 * cast(pos as int))"))
+    anchors = bins.where("pos in (2, 10, 35, 38)").selectExpr("e", "pos", "'val' as split", "bin_start", "timestamp_ntz'2024-01-01 05:00' as b1")
+    got = {r.pos: r for r in LM.windows(bins, anchors, ["e"], 4).collect()}
+    assert sorted(got) == [10, 35]  # the others lack history or targets
+    occupied = [int(p % 3 == 0) for p in range(20)]
+    mean, dev = np.mean(occupied), np.std(occupied)
+    assert got[10].x == pytest.approx([(int(p % 3 == 0) - mean) / dev for p in (7, 8, 9, 10)])
+    assert got[10].y == [float(p % 3 != 0) for p in (11, 12, 13, 14)]

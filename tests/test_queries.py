@@ -7,7 +7,7 @@ from tidemill.plans import registry
 from tidemill.plans.queries import ORACLES, QUERIES
 
 #: Fits of models take long and have no SQL; tests/test_models.py has small ones.
-SLOW = {"gbt_forecast", "rf_forecast", "direct_linear_forecast", "rolling_origin_cv", "seed_spread", "seed_mean_scores", "permutation_importance", "feature_ablation", "leave_one_zone_out_gbt"}
+SLOW = {"gbt_forecast", "rf_forecast", "direct_linear_forecast", "direct_linear_maps", "rolling_origin_cv", "seed_spread", "seed_mean_scores", "permutation_importance", "feature_ablation", "leave_one_zone_out_gbt"}
 
 
 @pytest.fixture(scope="module")

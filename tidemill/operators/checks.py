@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidemill.sources.scratch import discard
+
 
 def report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Counts of rows that break each rule, in one pass.  A rule is a condition that must hold; null breaks it."""
@@ -73,6 +75,30 @@ def join_coverage(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], limit
     return share.join(F.broadcast(twice)).withColumn("ok", ((F.col("unmatched") <= limit) & (F.col("duplicate_keys") == 0)).cast("int"))
 
 
+def matched_export(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], write: Callable[[DataFrame, str], None], path: str, limit: float = 0.01) -> dict[str, int]:
+    """Write ``rows`` with what ``lookup`` says of them, or stop: {targets, unmatched, duplicate_keys}, counted by the writing job itself.
+
+    ValueError, and nothing is left at ``path``, if more than ``limit`` of the rows lack a match or any meets a key that
+    ``lookup`` has twice.  ``write(frame, path)`` must write the whole frame once, as a sink does; a null key matches nothing.
+    """
+    more = [c for c in lookup.columns if c not in keys]
+    by = lookup.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in more))
+    seen = Observation()
+    joined = rows.join(by, list(keys), "left").observe(
+        seen, F.count("*").alias("targets"), F.count_if(F.col("_n").isNull()).alias("unmatched"), F.count_if(F.col("_n") > 1).alias("twice"),
+    )
+    spark = rows.sparkSession
+    try:
+        write(joined.drop("_n"), path)
+        found = seen.get
+        if found["unmatched"] > limit * found["targets"] or found["twice"]:
+            raise ValueError(f"{found['unmatched']} of {found['targets']} rows have no match, {found['twice']} meet a repeated key")
+    except BaseException:
+        discard(spark, path)
+        raise
+    return {"targets": found["targets"], "unmatched": found["unmatched"], "duplicate_keys": found["twice"]}
+
+
 def selection_rows(df: DataFrame, keys: Sequence[str], allowed: str = "val") -> DataFrame:
     """(keys, rows, other_rows, test_columns): what a selection would see that it mustn't."""
     named = sum("test" in c.lower() for c in df.columns)

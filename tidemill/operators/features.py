@@ -89,19 +89,19 @@ def train_scaler(df: DataFrame, cols: Sequence[str], role: str = "split", fit: s
     return long.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
 
 
-def stratified_sample(df: DataFrame, label: str, rows: int, order: Sequence) -> DataFrame:
-    """At most ``rows``: up to half with label 1, then others, then whatever is left, in the given order within each.
+def stratified_sample(df: DataFrame, label: str, rows: int, order: Sequence, keys: Sequence[str] = ()) -> DataFrame:
+    """At most ``rows`` of each key: up to half with label 1, then others, then whatever is left, in the given order within each.
 
-    The ranks within labels and of what is left are limited before any row meets all others, so no task sorts all.
+    No job runs before the caller's.  Tasks keep the first ``rows`` of each key and label before anything is shuffled;
+    ``order`` must tell rows apart (say by a hash and an id), so that a sample is the same each time.
     """
-    n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two rows
-    if sum(n.values()) <= rows:
-        return df
-    pos = min(n.get(1, 0), rows // 2)
-    neg = min(n.get(0, 0), rows - pos)
-    pos = min(n.get(1, 0), rows - neg)  # the rest of the room goes to the positive rows
-    take = lambda v, k: df.where(F.col(label) == v).orderBy(*order).limit(k)
-    return take(1, pos).unionByName(take(0, neg))
+    of_label = Window.partitionBy(*keys, label).orderBy(*order)
+    first = df.where(F.col(label).isin(0, 1)).withColumn("_nth", F.row_number().over(of_label)).where(F.col("_nth") <= rows)
+    of_key = Window.partitionBy(*keys)
+    n = first.withColumns({"_pos": F.count_if(F.col(label) == 1).over(of_key), "_neg": F.count_if(F.col(label) == 0).over(of_key)})
+    neg = F.least(F.col("_neg"), rows - F.least(F.col("_pos"), F.lit(rows // 2)))
+    pos = F.least(F.col("_pos"), rows - neg)  # the rest of the room goes to the positive rows
+    return n.where(F.col("_nth") <= F.when(F.col(label) == 1, pos).otherwise(neg)).drop("_nth", "_pos", "_neg")
 
 
 def class_weight(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tidemill.operators.bins import future_explode
 from tidemill.operators.features import rolling_origin_folds
 from tidemill.operators.metrics import average_precision
-from tidemill.sources.scratch import materialise
 
 #: Boosting rounds of the registered fits; the published model has 320.  A parameter of ``gbt``.
 ROUNDS = 20
@@ -62,25 +61,6 @@ def fit_and_score_seeds(rows: DataFrame, cols: Sequence[str], make: Callable, se
     return out
 
 
-def direct_linear(bins: DataFrame, anchors: DataFrame, keys: Sequence[str], horizon: int = 96, buckets: int = 4) -> DataFrame:
-    """Scores from the last ``horizon`` labels alone: one logistic map for each bucket of steps, with the step as a feature.
-
-    ``anchors``: (keys, pos, split) with the column ``history``.  Returns validation and test rows (keys, split,
-    anchor_pos, step, empty, p).
-    """
-    target = bins.select(*keys, F.col("pos").alias("target_pos"), "empty")
-    rows = future_explode(anchors.select(*keys, "split", "pos", "history"), horizon).join(target, [*keys, "target_pos"])
-    x = array_to_vector(F.concat(F.transform("history", lambda v: v.cast("double")), F.array(F.col("step") / horizon)))
-    bucket = F.floor((F.col("step") - 1) * buckets / horizon).cast("int")
-    table = materialise(rows.select(*keys, "split", F.col("pos").alias("anchor_pos"), "step", "empty", bucket.alias("bucket"), x.alias("x")), "histories")
-    out = None
-    for b in range(buckets):
-        part = table.where(F.col("bucket") == b)
-        one = _scored(_fit(part.where("split = 'train'"), linear), part.where("split <> 'train'"))
-        out = one if out is None else out.unionByName(one)
-    return out.drop("bucket")
-
-
 def permutation_importance(rows: DataFrame, cols: Sequence[str], make: Callable, which: Sequence[str], parts: int = 64) -> DataFrame:
     """(feature, drop) of average precision on validation when a feature's values are dealt out anew.
 

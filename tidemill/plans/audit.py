@@ -9,6 +9,7 @@ from tidemill.functions import scalar as S
 from tidemill.operators import bins as B
 from tidemill.operators import checks as C
 from tidemill.operators import features as L
+from tidemill.operators import linear_maps as LM
 from tidemill.operators import metrics as M
 from tidemill.operators import models as ML
 from tidemill.operators import policy as P
@@ -256,13 +257,29 @@ for _name, _fit in (("gbt_forecast", ML.gbt), ("rf_forecast", ML.forest)):
     query(_name)(lambda spark, d, f=_fit: fitted(spark, d, f))
 
 
+@base.once
+def direct_windows(spark, d):
+    """History and targets of all anchors as arrays."""
+    return LM.windows(base.bins(spark, d), base.anchors(spark, d), KEY)
+
+
+@base.once
+def direct_maps(spark, d):
+    return LM.fit_maps(direct_windows(spark, d), KEY)
+
+
 @query("direct_linear_forecast")
 def _(spark, d):
-    """From the last 96 labels; trained and scored on anchors at full hours."""
-    b = base.bins(spark, d)
-    past = B.history_window(b, "empty", KEY).select(*KEY, "pos", "history")
-    hourly = base.anchors(spark, d).where(F.col("pos") % 4 == 0).select(*KEY, "pos", "split").join(past, [*KEY, "pos"])
-    return M.model_metrics(ML.direct_linear(b, hourly, KEY), [*KEY, "split"])
+    """96 logistic maps of each entity from its last 96 labels: held-out metrics over all anchors and steps."""
+    rows = LM.score_maps(direct_windows(spark, d).where("split <> 'train'"), direct_maps(spark, d), KEY)
+    return M.model_metrics(rows, [*KEY, "split"])
+
+
+@query("direct_linear_maps")
+def _(spark, d):
+    """The coefficients of these maps: (entity_id, step, position, coefficient), position 96 the intercept."""
+    each = direct_maps(spark, d).select(*KEY, "step", F.posexplode("coefficients").alias("position", "coefficient"))
+    return each
 
 
 FOLD_ROWS = f"""SELECT v.entity_id, v.fold, t.empty, coalesce(s.p, m.p) AS p FROM (

@@ -384,9 +384,15 @@ def _(spark, d):
     return f.groupBy(*KEY, "fold", "role").agg(F.count("*").alias("anchors"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query("stratified_sample", sql("SELECT entity_id, pos, occupied FROM (SELECT *, row_number() OVER (PARTITION BY occupied ORDER BY pos, entity_id) AS rk, count(*) FILTER (occupied = 1) OVER () AS np FROM bins) WHERE (occupied = 1 AND rk <= least(np, 200)) OR (occupied = 0 AND rk <= 400 - least(np, 200))", "bins"))
+QUOTA = """SELECT entity_id, pos, occupied FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, occupied ORDER BY md5(concat_ws('|', entity_id, pos)), pos) AS rk, count(*) FILTER (occupied = 1) OVER (PARTITION BY entity_id) AS np, count(*) FILTER (occupied = 0) OVER (PARTITION BY entity_id) AS nn FROM bins)
+  WHERE (occupied = 0 AND rk <= least(nn, 400 - least(np, 200))) OR (occupied = 1 AND rk <= least(np, 400 - least(nn, 400 - least(np, 200))))"""
+
+
+@query("stratified_sample", sql(QUOTA, "bins"))
 def _(spark, d):
-    return L.stratified_sample(base.bins(spark, d), "occupied", 400, ["pos", "entity_id"]).select(*KEY, "pos", "occupied")
+    """400 bins of each entity, half of them occupied where it has so many."""
+    mixed = F.md5(F.concat_ws("|", F.col("entity_id").cast("string"), F.col("pos").cast("string")).cast("binary"))
+    return L.stratified_sample(base.bins(spark, d), "occupied", 400, [mixed, "pos"], KEY).select(*KEY, "pos", "occupied")
 
 
 @query("train_scaler", sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END AS std FROM anchors WHERE split = 'train'" for c in ("c1", "c2", "kwh")), "anchors"), "mean std")

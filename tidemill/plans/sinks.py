@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalar import bin_bounds
+from tidemill.operators.checks import matched_export
 from tidemill.plans import base
 from tidemill.plans.base import KEY, sql
-from tidemill.plans.decide import midnight
+from tidemill.plans.decide import masked, midnight
 from tidemill.plans.registry import query
 from tidemill.sources import sensors
 from tidemill.sources.scratch import fresh_path as folder
 from tidemill.streaming.bins import closed_bins
+from tidemill.streaming.runs import STORE, late_rows, stream_windows
 
 
 @query("read_sensor_csv", "SELECT event_id, ts AS date, value FROM events WHERE event_id % 7 <> 0", "value")
@@ -110,3 +112,69 @@ def _(spark, d):
     q = closed_bins(rows, KEY).writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(spark, "progress")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path).withColumn("bin_start", F.col("bin_start").cast("timestamp_ntz"))
+
+
+#: What each lookup lacks: nothing; what the loads lack; nothing, but some bins are there twice.
+LOOKUPS = """all_bins AS (SELECT entity_id, pos, 1 AS n FROM bins), loads AS (SELECT entity_id, pos, 1 AS n FROM bins WHERE hvac IS NOT NULL OR light IS NOT NULL),
+twice AS (SELECT entity_id, pos, CASE WHEN pos % 50 = 0 THEN 2 ELSE 1 END AS n FROM bins)"""
+CHECKED = " UNION ALL ".join(
+    f"SELECT '{t}' AS lookup, (count(*) FILTER (l.n IS NULL) <= 0.01 * count(*) AND count(*) FILTER (l.n > 1) = 0)::INTEGER AS exported, CASE WHEN count(*) FILTER (l.n IS NULL) <= 0.01 * count(*) AND count(*) FILTER (l.n > 1) = 0 THEN count(*) ELSE 0 END AS written FROM wide_mid w LEFT JOIN {t} l ON l.entity_id = w.entity_id AND l.pos = w.target_pos"
+    for t in ("all_bins", "loads", "twice")
+)
+
+
+@query("checked_export", sql("", "wide_mid").rstrip() + f", {LOOKUPS}\n" + CHECKED)
+def _(spark, d):
+    """Exports of targets with their loads that stop, and leave nothing, when rows lack a match or meet a repeated bin."""
+    bins = base.bins(spark, d).select(*KEY, F.col("pos").alias("target_pos"), "hvac", "light")
+    lookups = {"all_bins": bins, "loads": bins.where("hvac is not null or light is not null"), "twice": bins.unionByName(bins.where("target_pos % 50 = 0"))}
+    out = []
+    for name, lookup in lookups.items():
+        path = folder(spark, "checked")
+        try:
+            matched_export(base.wide(spark, d, midnight=True), lookup, [*KEY, "target_pos"], lambda df, p: df.write.parquet(p), path)
+            out.append((name, 1, spark.read.parquet(path).count()))
+        except ValueError:
+            out.append((name, 0, 0))
+    return spark.createDataFrame(out, "lookup string, exported int, written long")
+
+
+HORIZON = [*KEY, "model", "anchor_pos"]
+
+
+def _streamed(spark, rows, late):
+    """Windows of rows that arrive one table after another, and how many rows the stream reports as dropped."""
+    source, path, progress = folder(spark, "steps"), folder(spark, "stream"), folder(spark, "progress")
+    before, dropped = spark.conf.get(STORE[0]), 0
+    spark.conf.set(*STORE)
+    try:
+        for part in rows:
+            picked = part.select(*HORIZON, F.col("target_time").cast("timestamp").alias("target_time"), "step", "rec", "empty")
+            picked.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(picked.schema).parquet(source)
+            q = stream_windows(stream, HORIZON, late=late).writeStream.format("parquet").option("path", path).option("checkpointLocation", progress).trigger(availableNow=True).start()
+            q.awaitTermination()
+            dropped += late_rows(q)
+    finally:
+        spark.conf.set(STORE[0], before)
+    return spark.read.parquet(path), dropped
+
+
+#: Windows whose end is certain an hour before the last step.
+SURE = """SELECT entity_id, model, anchor_pos, start_step::INTEGER AS start_step, end_step_excl::INTEGER AS end_step_excl, length::INTEGER AS length, safe::INTEGER AS safe FROM runs r
+  JOIN (SELECT DISTINCT entity_id, anchor_pos, anchor_time FROM masked) a USING (entity_id, anchor_pos)
+  WHERE delta = 0.1 AND anchor_time + least(end_step_excl, 96) * INTERVAL '15 minutes' <= (SELECT max(target_time) FROM masked) - INTERVAL '1 hour'"""
+
+
+@query("stream_run_windows", sql(SURE, "runs"))
+def _(spark, d):
+    """Windows of the policies selected at 10 %, found in a stream of steps."""
+    return _streamed(spark, [masked(spark, d).where("delta = 0.1")], "1 hour")[0]
+
+
+@query("stream_late_rows", sql("SELECT count(*) AS late FROM masked WHERE delta = 0.1 AND step % 7 = 0 AND target_time <= (SELECT max(target_time) FROM masked) - INTERVAL '1 hour'", "masked"))
+def _(spark, d):
+    """Steps that come once more when the stream is past them: how many it reports as dropped."""
+    rows = masked(spark, d).where("delta = 0.1")
+    _, dropped = _streamed(spark, [rows, rows.where("step % 7 = 0")], "1 hour")
+    return spark.createDataFrame([(dropped,)], "late long")
