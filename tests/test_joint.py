@@ -132,3 +132,14 @@ def test_each_entity_has_its_own_search(spark):
     assert {(r.entity_id, r.constraint_order, r.grid_order) for r in got if r.kind == "window_aware"} == want
     assert {(r.entity_id, r.role, r.grid_order) for r in got if r.kind == "reference" and r.role.startswith("floor")} == refs
     assert sum(r.kind == "window_aware" for r in got) == len(want) and {r.role for r in got if r.kind == "reference"} >= {"forecast_optimal", "decision_optimal"}
+
+
+def test_a_pair_without_a_feasible_row_stops_on_demand(spark):
+    cols = "grid_order int, conflict_rate double, safe_kwh double, average_precision double, recommended_windows int, safe_windows int, coverage double, nonzero int"
+    grid = spark.createDataFrame([(0, 0.02, 5.0, 0.6, 4, 4, 0.1, 1), (1, 0.02, 9.0, 0.9, 4, 2, 0.2, 2), (2, 0.4, 99.0, 0.9, 9, 9, 0.5, 3)], cols)
+    both = P.constraint_grid(grid, (0.0, 0.9), (None, 0.99), 0.1)
+    assert {r.constraint_order: r.grid_order for r in P.select_window_aware(both).collect()} == {0: 1, 1: 1, 2: 0}
+    with pytest.raises(Exception, match="no feasible row"):
+        P.select_window_aware(both, strict=True).collect()
+    some = both.where("constraint_order < 3")
+    assert {r.constraint_order: r.grid_order for r in P.select_window_aware(some, strict=True).collect()} == {0: 1, 1: 1, 2: 0}

@@ -137,3 +137,13 @@ def test_windows_of_linear_maps(spark):
     mean, dev = np.mean(occupied), np.std(occupied)
     assert got[10].x == pytest.approx([(int(p % 3 == 0) - mean) / dev for p in (7, 8, 9, 10)])
     assert got[10].y == [float(p % 3 != 0) for p in (11, 12, 13, 14)]
+
+
+def test_seeds_are_fitted_together_and_averaged(rows):
+    parts = [rows.where(F.col("split") != "test").where(F.col("i") % 2 == k) for k in (0, 1)]
+    models = ML.fit_seeds(parts, ["a", "b"], lambda s: ML.stopped_gbt(s, 40), (1, 2))
+    assert all(1 <= m.getNumTrees < 40 for m in models)  # validation rows ended both
+    test = rows.where("split = 'test'")
+    got = {r.i: r.p for r in ML.mean_of_models(models, test, ["a", "b"]).collect()}
+    each = [{r.i: r.p for r in ML.mean_of_models([m], test, ["a", "b"]).collect()} for m in models]
+    assert all(got[i] == pytest.approx((each[0][i] + each[1][i]) / 2) for i in got) and each[0] != each[1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -14,13 +15,18 @@ from tidemill.operators.bins import future_explode
 from tidemill.operators.features import rolling_origin_folds
 from tidemill.operators.metrics import average_precision
 
-#: Boosting rounds of the registered fits; the published model has 320.  A parameter of ``gbt``.
-ROUNDS = 20
+#: Boosting rounds at most, and those of fits that have no validation rows to stop them.
+MOST_ROUNDS, ROUNDS = 320, 20
 
 
-def gbt(seed: int = 42, rounds: int = ROUNDS):
+def gbt(seed: int = 42, rounds: int = ROUNDS, **more):
     """Boosted trees that see 85 % of the features at each node, so that seeds differ."""
-    return GBTClassifier(featuresCol="x", labelCol="empty", weightCol="w", maxDepth=5, maxIter=rounds, stepSize=0.1, featureSubsetStrategy="0.85", seed=seed)
+    return GBTClassifier(featuresCol="x", labelCol="empty", weightCol="w", maxDepth=5, maxIter=rounds, stepSize=0.1, featureSubsetStrategy="0.85", seed=seed, **more)
+
+
+def stopped_gbt(seed: int = 42, rounds: int = MOST_ROUNDS):
+    """The same, ended when the loss on rows with ``_held`` rises."""
+    return gbt(seed, rounds, validationIndicatorCol="_held", validationTol=0.0)
 
 
 def forest(seed: int = 42, trees: int = 70):
@@ -61,6 +67,29 @@ def fit_and_score_seeds(rows: DataFrame, cols: Sequence[str], make: Callable, se
     return out
 
 
+def fit_seeds(samples: Sequence[DataFrame], cols: Sequence[str], make: Callable, seeds: Sequence[int]) -> list:
+    """A model for each seed, ``make(seed)``, fitted at the same time, each on its own written rows of splits train and val.
+
+    Rows of val only end a fit.  Both classes weigh the same.
+    """
+
+    def one(rows: DataFrame, seed: int):
+        marked = _vectors(rows, cols).withColumn("_held", F.col("split") == "val")
+        return _fit(marked, lambda: make(seed))
+
+    with ThreadPoolExecutor(len(seeds)) as pool:
+        return list(pool.map(one, samples, seeds))
+
+
+def mean_of_models(models: Sequence, rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``rows`` with p, the mean over the models of the probability of empty; one pass."""
+    out, names = _vectors(rows, cols), []
+    for i, model in enumerate(models):
+        names.append(f"_p{i}")
+        out = model.transform(out).withColumn(names[-1], vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return out.withColumn("p", sum(F.col(n) for n in names) / len(names)).drop("x", *names)
+
+
 def permutation_importance(rows: DataFrame, cols: Sequence[str], make: Callable, which: Sequence[str], parts: int = 64) -> DataFrame:
     """(feature, drop) of average precision on validation when a feature's values are dealt out anew.
 

@@ -193,11 +193,20 @@ def constraint_grid(grid: DataFrame, window_floors: Sequence[float], ap_floors:
     return rows.withColumn("feasible", F.least(*flags))
 
 
-def select_window_aware(constrained: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """For each of ``keys`` and pair of floors the feasible row with the most safe load; pairs without one have no row."""
+def select_window_aware(constrained: DataFrame, keys: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """For each of ``keys`` and pair of floors the feasible row with the most safe load.
+
+    A pair without one has no row, or with ``strict`` stops the query.
+    """
     guard_selection(constrained)
     order = joint_order(("safe_kwh desc", "safe_window_rate desc", "conflict_rate", "average_precision desc", "safe_windows desc", "nonzero", "grid_order"))
-    return top_one(constrained.where("feasible = 1"), [*keys, "constraint_order"], order)
+    picks = top_one(constrained.where("feasible = 1"), [*keys, "constraint_order"], order)
+    if not strict:
+        return picks
+    named = F.to_json(F.struct(*keys, "constraint_order"))
+    stop = F.raise_error(F.concat(F.lit("no feasible row for "), named))
+    found = constrained.groupBy(*keys, "constraint_order").agg(F.max("feasible").alias("_any"))
+    return picks.join(found.where(F.when(F.col("_any") == 1, True).otherwise(stop)), [*keys, "constraint_order"]).drop("_any")
 
 
 def dedupe_strategies(selected: DataFrame, keys: Sequence[str] = (), primary: int = 15) -> DataFrame:

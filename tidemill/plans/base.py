@@ -1,8 +1,9 @@
 """The tables that the registered queries start from, derived from ``events``, and the same in SQL.
 
 ``events`` plays the sensor streams of two entities: views per bin are zone 1's count, clicks zone 2's; purchases and
-signups are two meters, the mean value of errors a sensor with gaps.  A bin is occupied if its count is above the floor
-of the entity's mean plus standard deviation.
+signups are two meters, the mean value of errors a sensor with gaps.  A bin is occupied if its count is above a cut: in
+opening hours (Monday to Friday, 8 to 18) the floor of the entity's mean, else that of its mean plus two and a half
+standard deviations.  So the label has a weekly rhythm, though the events have none.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, bin_start, pos, c1, c2, hvac, light, sensor, cut, occupied, empty, slot, kwh)."""
     raw = raw_bins(spark, sf_dir)
     full = B.align(B.bin_spine(raw, KEY), [raw], KEY).fillna(0, ["c1", "c2"])
-    cut = full.groupBy(*KEY).agg(F.floor(F.avg("c1") + F.stddev_samp("c1")).alias("cut"))
-    out = full.join(cut, KEY)
+    cuts = full.groupBy(*KEY).agg(F.floor(F.avg("c1")).alias("low_cut"), F.floor(F.avg("c1") + 2.5 * F.stddev_samp("c1")).alias("high_cut"))
+    opened = (F.weekday("bin_start") < 5) & F.hour("bin_start").between(8, 17)
+    out = full.join(cuts, KEY).withColumn("cut", F.when(opened, F.col("low_cut")).otherwise(F.col("high_cut"))).drop("low_cut", "high_cut")
     occupied = (F.col("c1") > F.col("cut")).cast("int")
     return out.withColumns({"occupied": occupied, "empty": 1 - occupied, "slot": slot_index("bin_start"), "kwh": interval_kwh(row_sum_min1("hvac", "light"))})
 
@@ -125,10 +127,11 @@ CTE = {
     "spine": "SELECT entity_id, unnest(generate_series(min(bin_start), max(bin_start), INTERVAL '15 minutes')) AS bin_start FROM raw GROUP BY 1",
     "full_bins": """SELECT entity_id, bin_start, row_number() OVER (PARTITION BY entity_id ORDER BY bin_start) - 1 AS pos,
       coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, hvac, light, sensor FROM spine LEFT JOIN raw USING (entity_id, bin_start)""",
-    "cuts": "SELECT entity_id, floor(avg(c1) + stddev_samp(c1))::BIGINT AS cut FROM full_bins GROUP BY 1",
-    "bins": """SELECT b.*, cut, (c1 > cut)::INTEGER AS occupied, 1 - (c1 > cut)::INTEGER AS empty,
+    "cuts": "SELECT entity_id, floor(avg(c1))::BIGINT AS low_cut, floor(avg(c1) + 2.5 * stddev_samp(c1))::BIGINT AS high_cut FROM full_bins GROUP BY 1",
+    "cut_bins": "SELECT b.*, CASE WHEN isodow(bin_start) <= 5 AND hour(bin_start) BETWEEN 8 AND 17 THEN low_cut ELSE high_cut END AS cut FROM full_bins b JOIN cuts USING (entity_id)",
+    "bins": """SELECT *, (c1 > cut)::INTEGER AS occupied, 1 - (c1 > cut)::INTEGER AS empty,
       ((isodow(bin_start) - 1) * 96 + hour(bin_start) * 4 + minute(bin_start) // 15)::INTEGER AS slot,
-      greatest(coalesce(hvac, 0) + coalesce(light, 0), 0) * 0.25 AS kwh FROM full_bins b JOIN cuts USING (entity_id)""",
+      greatest(coalesce(hvac, 0) + coalesce(light, 0), 0) * 0.25 AS kwh FROM cut_bins""",
     "sizes": "SELECT entity_id, count(*) AS n FROM bins GROUP BY 1",
     "bounds": """SELECT entity_id, n, date_trunc('week', min(bin_start))::TIMESTAMP AS b1, date_trunc('week', max(bin_start))::TIMESTAMP AS b2
       FROM bins JOIN sizes USING (entity_id) WHERE pos IN (floor(n * 0.5)::BIGINT, floor(n * 0.75)::BIGINT) GROUP BY 1, 2""",
@@ -169,7 +172,7 @@ CTE = {
     "runs": "SELECT entity_id, model, delta, anchor_pos, island, min(step) AS start_step, max(step) + 1 AS end_step_excl, count(*) AS length, min(empty) AS safe FROM islands GROUP BY ALL",
 }
 USES = {
-    "rd": (), "raw": ("rd",), "spine": ("raw",), "full_bins": ("spine", "raw"), "cuts": ("full_bins",), "bins": ("full_bins", "cuts"), "sizes": ("bins",), "bounds": ("sizes",),
+    "rd": (), "raw": ("rd",), "spine": ("raw",), "full_bins": ("spine", "raw"), "cuts": ("full_bins",), "cut_bins": ("full_bins", "cuts"), "bins": ("cut_bins",), "sizes": ("bins",), "bounds": ("sizes",),
     "anchors": ("bounds",), "train": ("bounds",), "slots": ("train",), "means": ("train",), "days": ("bins",), "target": ("slots", "means", "days"), "recents": ("bins",),
     "wide_all": ("anchors", "target", "recents"), "wide_mid": ("wide_all",), "long_all": ("wide_all",), "long_mid": ("wide_mid",), "low4": ("long_mid",), "opened": ("low4",),
     "grid": (), "swept": ("opened", "grid"), "chosen": ("swept",), "masked": ("opened", "chosen"), "islands": ("masked",), "runs": ("islands",),

@@ -262,8 +262,8 @@ def _(spark, d):
 
 
 PARTS = P.step_parts(0.05)
-#: The conflict limit of the searches, and a wider one, under which these data have picks.
-LIMIT, WIDE_LIMIT = 0.10, 0.20
+#: The conflict limit of the searches, and a stricter one.
+LIMIT, STRICT_LIMIT = 0.10, 0.05
 ENTITY = ["entity_id"]
 
 
@@ -359,8 +359,12 @@ def dedupe_sql(limit):
     return f"SELECT entity_id, grid_order, coalesce(max(constraint_order) FILTER (constraint_order = 15), min(constraint_order)) AS representative, string_agg(constraint_order::VARCHAR, '|' ORDER BY constraint_order) AS rules FROM ({aware_sql(limit)}) GROUP BY 1, 2"
 
 
+UNION_COLS = JOINT_COLS[2:]
+
+
 def union_sql(limit):
-    return f"SELECT 'window_aware' AS kind, entity_id, constraint_order, NULL::VARCHAR AS role, grid_order FROM ({aware_sql(limit)}) UNION ALL SELECT 'reference', entity_id, NULL, role, grid_order FROM ({candidates_sql(limit)})"
+    ids = f"SELECT 'window_aware' AS kind, entity_id, constraint_order, NULL::VARCHAR AS role, grid_order FROM ({aware_sql(limit)}) UNION ALL SELECT 'reference', entity_id, NULL, role, grid_order FROM ({candidates_sql(limit)})"
+    return f"SELECT kind, u.entity_id, constraint_order, role, u.grid_order, {', '.join(UNION_COLS)} FROM ({ids}) u JOIN joint j ON j.entity_id = u.entity_id AND j.grid_order = u.grid_order"
 
 
 def constrained(grid, limit):
@@ -373,9 +377,9 @@ def window_aware(grid, limit):
 
 
 def references(grid, limit):
-    """Window-aware picks and the candidate set of each entity of a joint grid; what one kind lacks is null."""
-    new = window_aware(grid, limit).select(F.lit("window_aware").alias("kind"), *ENTITY, "constraint_order", "grid_order")
-    old = P.candidate_set(grid, ENTITY, limit).select(F.lit("reference").alias("kind"), *ENTITY, "role", "grid_order")
+    """Window-aware picks and the candidate set of each entity of a joint grid, with their rows; what one kind lacks is null."""
+    new = window_aware(grid, limit).select(F.lit("window_aware").alias("kind"), *ENTITY, "constraint_order", "grid_order", *UNION_COLS)
+    old = P.candidate_set(grid, ENTITY, limit).select(F.lit("reference").alias("kind"), *ENTITY, "role", "grid_order", *UNION_COLS)
     return new.unionByName(old, allowMissingColumns=True)
 
 
@@ -389,15 +393,15 @@ SEARCHES = {
     "reference_union": (references, union_sql),
 }
 for _name, (_search, _sql) in SEARCHES.items():
-    for _suffix, _limit in (("", WIDE_LIMIT), ("_fine", LIMIT)):
-        query(_name + _suffix, JOINT + _sql(_limit))(lambda spark, d, f=_search, x=_limit: f(joint_table(spark, d), x))
+    for _suffix, _limit in (("", LIMIT), ("_fine", STRICT_LIMIT)):
+        query(_name + _suffix, JOINT + _sql(_limit), JOINT_DOUBLES if _name == "reference_union" else "")(lambda spark, d, f=_search, x=_limit: f(joint_table(spark, d), x))
 query("joint_grid_fine", JOINT + f"SELECT {', '.join(JOINT_COLS)} FROM joint", JOINT_DOUBLES)(joint_grid)
 
 
 @base.once
 def frozen_candidates(spark, d):
-    """The candidate set under the wide limit as frozen strategies; a few rows for each entity."""
-    return P.freeze(P.candidate_set(joint_table(spark, d), ENTITY, WIDE_LIMIT), F.col("role"), ENTITY)
+    """The candidate set as frozen strategies; a few rows for each entity."""
+    return P.freeze(P.candidate_set(joint_table(spark, d), ENTITY, LIMIT), F.col("role"), ENTITY)
 
 
 def held_out(spark, d):
@@ -427,7 +431,7 @@ FIXED_SQL = """SELECT entity_id, strategy, 'val' AS selection_split, threshold,
 FIXED_DOUBLES = "threshold average_precision coverage conflict_rate gross_kwh safe_kwh conflict_kwh"
 
 
-@query("evaluate_fixed", frozen_sql(WIDE_LIMIT) + FIXED_SQL, FIXED_DOUBLES)
+@query("evaluate_fixed", frozen_sql(LIMIT) + FIXED_SQL, FIXED_DOUBLES)
 def _(spark, d):
     return P.evaluate_fixed(frozen_candidates(spark, d), *held_out(spark, d), COLS, ENTITY).select(*FIXED)
 
@@ -438,7 +442,7 @@ JOIN (SELECT entity_id, strategy, coalesce(tp / nullif(pp, 0), 0) AS precision,
 LEFT JOIN (SELECT entity_id, strategy, max(15 * n) AS longest, sum(15 * n) AS minutes FROM (SELECT entity_id, strategy, anchor_pos, i, r, count(*) AS n FROM (SELECT *, step - row_number() OVER (PARTITION BY entity_id, strategy, anchor_pos, i ORDER BY step) AS r FROM fisl WHERE empty = 0) GROUP BY ALL) GROUP BY 1, 2) USING (entity_id, strategy)"""
 
 
-@query("strategy_diagnostic", frozen_sql(WIDE_LIMIT) + DIAGNOSED, FIXED_DOUBLES + " safe_window_rate precision recall f1")
+@query("strategy_diagnostic", frozen_sql(LIMIT) + DIAGNOSED, FIXED_DOUBLES + " safe_window_rate precision recall f1")
 def _(spark, d):
     out = P.strategy_diagnostic(frozen_candidates(spark, d), *held_out(spark, d), COLS, ENTITY)
     return out.select(*FIXED, "safe_window_rate", "precision", "recall", "f1", "longest_minutes", "occupied_minutes")

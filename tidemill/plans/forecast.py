@@ -94,18 +94,18 @@ def _(spark, d):
     return M.model_metrics(base.long(base.wide(spark, d)), GROUP)
 
 
-@query("threshold_metrics", sql(POINT.format(g="entity_id, model", t="long_mid"), "long_mid"), METRICS)
+@query("threshold_metrics", sql(POINT.format(g="entity_id, model", t="long_all"), "long_all"), METRICS)
 def _(spark, d):
-    return M.threshold_metrics(base.long(base.wide(spark, d, midnight=True)), [*KEY, "model"])
+    return M.threshold_metrics(base.long(base.wide(spark, d)), [*KEY, "model"])
 
 
-BUCKETED = "(SELECT *, ((step - 1) // 24)::INTEGER AS bucket FROM long_mid)"
+BUCKETED = "(SELECT *, ((step - 1) // 24)::INTEGER AS bucket FROM long_all)"
 BG = "entity_id, split, model, bucket"
 
 
-@query("horizon_buckets", sql(f"SELECT * FROM ({POINT.format(g=BG, t=BUCKETED)}) JOIN ({AP.format(g=BG, p=CLIP, t=BUCKETED)}) USING ({BG})", "long_mid"), METRICS + " average_precision auroc")
+@query("horizon_buckets", sql(f"SELECT * FROM ({POINT.format(g=BG, t=BUCKETED)}) JOIN ({AP.format(g=BG, p=CLIP, t=BUCKETED)}) USING ({BG})", "long_all"), METRICS + " average_precision auroc")
 def _(spark, d):
-    rows = base.long(base.wide(spark, d, midnight=True)).withColumn("bucket", F.floor((F.col("step") - 1) / 24).cast("int"))
+    rows = base.long(base.wide(spark, d)).withColumn("bucket", F.floor((F.col("step") - 1) / 24).cast("int"))
     return M.model_metrics(rows, [*GROUP, "bucket"])
 
 
@@ -145,20 +145,20 @@ def _(spark, d):
 QUANTILES = "[" + ", ".join(str(k / 10) for k in range(1, 10)) + "]"
 
 
-@query("calibration_quantile10", sql(f"SELECT {G}, bin, avg(p) AS mean_p, avg(empty) AS observed, count(*) AS n FROM (SELECT l.*, len(list_filter(q, lambda x: x < p))::INTEGER AS bin FROM long_mid l JOIN (SELECT {G}, quantile_cont(p, {QUANTILES}) AS q FROM long_mid GROUP BY {G}) USING ({G})) GROUP BY {G}, bin", "long_mid"), "mean_p observed")
+@query("calibration_quantile10", sql(f"SELECT {G}, bin, avg(p) AS mean_p, avg(empty) AS observed, count(*) AS n FROM (SELECT l.*, len(list_filter(q, lambda x: x < p))::INTEGER AS bin FROM long_all l JOIN (SELECT {G}, quantile_cont(p, {QUANTILES}) AS q FROM long_all GROUP BY {G}) USING ({G})) GROUP BY {G}, bin", "long_all"), "mean_p observed")
 def _(spark, d):
-    return M.quantile_bins(base.long(base.wide(spark, d, midnight=True)), GROUP)
+    return M.quantile_bins(base.long(base.wide(spark, d)), GROUP)
 
 
-@query("seed_ensemble", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, (slot + persist + recent) / 3 AS p FROM wide_mid", "wide_mid"), "p")
+@query("seed_ensemble", sql("SELECT entity_id, anchor_pos, step::INTEGER AS step, (slot + persist + recent) / 3 AS p FROM wide_all", "wide_all"), "p")
 def _(spark, d):
-    rows = base.long(base.wide(spark, d, midnight=True), base.MODELS)
+    rows = base.long(base.wide(spark, d), base.MODELS)
     return rows.groupBy(*KEY, "anchor_pos", "step").agg(F.avg("p").alias("p"))
 
 
-@query("metrics_by_seed", sql(f"SELECT entity_id, split, avg(brier) AS mean_brier, stddev_samp(brier) AS std_brier, avg(f1) AS mean_f1, stddev_samp(f1) AS std_f1 FROM ({POINT.format(g=G, t='long_mid')}) WHERE model <> 'blend' GROUP BY 1, 2", "long_mid"), "mean_brier std_brier mean_f1 std_f1")
+@query("metrics_by_seed", sql(f"SELECT entity_id, split, avg(brier) AS mean_brier, stddev_samp(brier) AS std_brier, avg(f1) AS mean_f1, stddev_samp(f1) AS std_f1 FROM ({POINT.format(g=G, t='long_all')}) WHERE model <> 'blend' GROUP BY 1, 2", "long_all"), "mean_brier std_brier mean_f1 std_f1")
 def _(spark, d):
-    m = M.threshold_metrics(base.long(base.wide(spark, d, midnight=True), base.MODELS), GROUP)
+    m = M.threshold_metrics(base.long(base.wide(spark, d), base.MODELS), GROUP)
     return m.groupBy(*KEY, "split").agg(*(f(c).alias(f"{n}_{c}") for c in ("brier", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 

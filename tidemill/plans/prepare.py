@@ -299,19 +299,55 @@ CALENDAR = S.TIME_FEATURES
 TABULAR = [*(f"empty_lag_{k}" for k in LAGS), *(f"c1_mean_{k}" for k in WIDTHS), *SENSORS, "step_share", "yesterday", *CALENDAR]
 
 
-def feature_rows(b, assigned):
-    """Feature rows of anchors and steps: lags, rolling means, sensors at the anchor, yesterday's label, calendar of the target.
-
-    ``assigned``: (entity_id, pos, split) of the anchors to use.
-    """
+def anchor_features(b, assigned):
+    """(entity_id, split, pos) of the anchors in ``assigned`` with lags, rolling means and sensors."""
     filled = B.forward_fill_chunked(b, SENSORS, KEY)
     lag_cols, roll_cols = [f"empty_lag_{k}" for k in LAGS], [f"c1_mean_{k}" for k in WIDTHS]
     known = L.rolling_means(L.lags(filled, "empty", LAGS, KEY), "c1", WIDTHS, KEY)
-    a = L.fill_by_split(known.join(assigned, [*KEY, "pos"]), [*lag_cols, *roll_cols], KEY).select(*KEY, "split", "pos", *lag_cols, *roll_cols, *SENSORS)
-    steps = B.future_explode(a).withColumnRenamed("pos", "anchor_pos").withColumn("step_share", F.col("step") / 96)
+    return L.fill_by_split(known.join(assigned, [*KEY, "pos"]), [*lag_cols, *roll_cols], KEY).select(*KEY, "split", "pos", *lag_cols, *roll_cols, *SENSORS)
+
+
+def with_targets(b, steps):
+    """Rows of anchors and steps (pos, step, target_pos) with the label and what is known of the target beforehand."""
+    at = steps.withColumnRenamed("pos", "anchor_pos").withColumn("step_share", F.col("step") / 96)
     target = b.select(*KEY, F.col("pos").alias("target_pos"), "empty", *(c.alias(n) for n, c in S.time_features("bin_start").items()))
     yesterday = b.select(*KEY, (F.col("pos") + 96).alias("target_pos"), F.col("occupied").alias("yesterday"))
-    return steps.join(target, [*KEY, "target_pos"]).join(yesterday, [*KEY, "target_pos"])
+    return at.join(target, [*KEY, "target_pos"]).join(yesterday, [*KEY, "target_pos"])
+
+
+def feature_rows(b, assigned):
+    """Feature rows of anchors and steps: lags, rolling means, sensors at the anchor, yesterday's label, calendar of the target.
+
+    ``assigned``: (entity_id, pos, split) of the anchors to use.
+    """
+    return with_targets(b, B.future_explode(anchor_features(b, assigned)))
+
+
+#: Rows of each entity and split that a fit on all anchors sees at most.
+FIT_ROWS = 100_000
+
+
+@base.once
+def all_anchor_features(spark, d):
+    return anchor_features(base.bins(spark, d), base.anchors(spark, d).select(*KEY, "pos", "split"))
+
+
+def sampled_rows(spark, d, seed, rows=FIT_ROWS):
+    """Feature rows of training and validation, a sample of all anchors and steps: half with each label where there are enough.
+
+    Anchors and steps are sampled with their labels alone; only what is taken gets features.
+    """
+    b = base.bins(spark, d)
+    pairs = B.future_explode(base.anchors(spark, d).where("split <> 'test'").select(*KEY, "split", "pos"))
+    labelled = pairs.join(b.select(*KEY, F.col("pos").alias("target_pos"), "empty"), [*KEY, "target_pos"])
+    mixed = F.xxhash64(F.lit(seed), *KEY, "pos", "step")
+    taken = L.stratified_sample(labelled, "empty", rows, [mixed, "pos", "step"], [*KEY, "split"]).drop("empty")
+    return with_targets(b, taken.join(all_anchor_features(spark, d), [*KEY, "split", "pos"]))
+
+
+def held_out_rows(spark, d):
+    """Feature rows of all validation and test anchors."""
+    return with_targets(base.bins(spark, d), B.future_explode(all_anchor_features(spark, d).where("split <> 'train'")))
 
 
 @base.once
