@@ -103,3 +103,18 @@ def test_boosting_equals_slow_boosting():
     assert got.base == pytest.approx(base)
     for mine, slow in zip(got.tables, tables):
         assert mine == pytest.approx(slow)
+
+
+def test_equal_texts_score_alike(spark):
+    """Repeated rows, null and empty texts: equal texts have equal scores, and the stage keeps or drops them together."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_quality(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = [None, "", " ", "one two three", "A LINE | ! | " * 50, "plain words in a row. " * 30_000]
+    frame = spark.createDataFrame([(i % 4, t, "clash") for t in texts for i in range(3)], "doc_id long, text string, score string")
+    by = {}
+    for r in score_quality(frame.repartition(4), model).collect():
+        by.setdefault(r.doc_id, []).append(r.score)
+    scores = [s for v in by.values() for s in v]
+    assert len(scores) == 18 and all(0 <= s <= 1 for s in scores)
+    want = sorted(slow_score(model, text_features((t or "").encode())) for t in texts for _ in range(3))
+    assert sorted(scores) == pytest.approx(want, abs=1e-12)

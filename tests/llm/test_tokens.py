@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pytest
 import tokenizers
 
 from tidemill.llm import packing, wordbpe
+from tidemill.llm.packing import binary_lengths, pack
 from tidemill.llm.bpe import VOCABULARY, encode, encode_digests
 from tidemill.llm.token_counts import LongestMatch, op3, token_counts
 
@@ -75,6 +77,19 @@ def test_packing(spark, sf, library):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def test_repeated_rows_are_packed_as_often_as_they_occur(spark, library):
+    rows = [(1, "a few words here"), (1, "a few words here"), (None, "a few words here"), (2, None), (2, None), (3, "word " * 9000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH).collect()
+    want = Counter()
+    for i, t in rows:
+        n, at = len(library.encode(t or "", add_special_tokens=False).ids) + 1, 0
+        for length in binary_lengths(n):
+            want[i, at, length, n] += 1
+            at += length
+    assert Counter((r.doc_id, r.start, r.length, r.doc_tokens) for r in got) == want
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
 def test_buckets_round_trip(spark, sf, tmp_path):
     packing.write_buckets(packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), PATH, with_ids=True), str(tmp_path / "b"))
     assert {len(r.ids) == 1 << r.bucket for r in spark.read.parquet(str(tmp_path / "b")).collect()} == {True}

@@ -29,6 +29,17 @@ def test_rules_and_parts(spark):
         assert got[i].verdict == verdict or verdict is None and got[i].verdict in ("allow", "block")
 
 
+def test_very_long_urls(spark):
+    """A long URL gets the verdict and the score of its kind, and the score of a short one doesn't change by its copies' rows."""
+    rows = [(i, f"https://www.example.net/en/story-{i}") for i in range(60)] + [(100 + i, f"http://win-{i}.net/bet?x={i * 13}") for i in range(60)]
+    long = [(500, "https://read.site/story-" + "story-" * 20_000), (501, "http://win-9.site/" + "bet?x=13" * 20_000), (502, None)]
+    frame = spark.createDataFrame(rows + long + long, "page_id long, url string")
+    got = sorted(map(tuple, judge_urls(frame).where("page_id >= 500").collect()), key=str)
+    assert len(got) == 6 and got[0] == got[1] and got[2] == got[3]
+    assert got[0][:3] == (500, "read.site", "/story-" + "story-" * 20_000) and all(r[5] is not None for r in got)
+    assert got[0][5] > got[2][5]
+
+
 def slow_model(urls, order, share):
     grams = Counter()
     for u in urls:

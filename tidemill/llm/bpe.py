@@ -76,7 +76,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 def encode_digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row.
 
-    Null text counts as empty (no ids; digests of the empty string); repeated rows stay repeated; other columns are
+    Null text counts as empty (no ids; digests of the empty string); very long texts are encoded whole; repeated rows
+    stay repeated; other columns are
     not read; an empty table gives no rows.
     """
 

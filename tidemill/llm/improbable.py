@@ -125,7 +125,8 @@ def fingerprint_pairs(docs: DataFrame, text_col: str = "text", id_col: str = "do
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     Next is the row that follows by (doc_id, text); after the last the first.  Null text counts as empty; one row alone
-    follows itself.  Rows with a null doc_id come first.  Other columns are not read; an empty table gives no rows.
+    follows itself.  Rows with a null doc_id come first.  Very long texts are read whole and chain as many filters as
+    they need.  Other columns are not read; an empty table gives no rows.
     """
     n = partitions(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

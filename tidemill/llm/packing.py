@@ -88,8 +88,8 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, closing: int = CLOS
     """Pieces of all documents.
 
     Returns (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket) and with ``with_ids`` the ids
-    as ``array<int>``.  ``longest`` is a power of two.  Null or empty text: one piece, the closing id.  Repeated rows
-    are packed as often as they occur.  ``sequence_id`` is unique and not gapless; ``bucket`` is the length's exponent.
+    as ``array<int>``.  ``longest`` is a power of two.  Null or empty text: one piece, the closing id.  Very long texts
+    give as many pieces as they need.  Repeated rows are packed as often as they occur.  ``sequence_id`` is unique and not gapless; ``bucket`` is the length's exponent.
     Other columns are not read; an empty table gives no rows.
     """
     if longest < 1 or longest & (longest - 1):

@@ -314,7 +314,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = O
     URLs that a rule decides are the examples: allowed ones accepted, blocked ones rejected; the method decides the
     others by their score (null where no model could be counted: if only one kind was counted, its verdict is given to
     all; if none, all are allowed).  Null URLs have empty host and path and are scored as empty text.  Repeated rows
-    stay repeated; other columns are not read; an empty table gives no rows.
+    stay repeated; very long URLs are counted and scored whole; other columns are not read; an empty table gives no rows.
     """
     ruled = with_rule(pages, rules).withColumn("page_id", F.col("page_id").cast("long"))
     ruled = materialise(ruled.withColumn("calibrates", F.col("ruled").isNotNull() & (_calibration() == 0)), "urls")
