@@ -378,8 +378,9 @@ def window_aware(grid, limit):
 
 def references(grid, limit):
     """Window-aware picks and the candidate set of each entity of a joint grid, with their rows; what one kind lacks is null."""
-    new = window_aware(grid, limit).select(F.lit("window_aware").alias("kind"), *ENTITY, "constraint_order", "grid_order", *UNION_COLS)
-    old = P.candidate_set(grid, ENTITY, limit).select(F.lit("reference").alias("kind"), *ENTITY, "role", "grid_order", *UNION_COLS)
+    own = [c for c in UNION_COLS if c in grid.columns]
+    new = window_aware(grid, limit).select(F.lit("window_aware").alias("kind"), *ENTITY, "constraint_order", "grid_order", *own)
+    old = P.candidate_set(grid, ENTITY, limit).select(F.lit("reference").alias("kind"), *ENTITY, "role", "grid_order", *own)
     return new.unionByName(old, allowMissingColumns=True)
 
 
