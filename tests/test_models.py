@@ -147,3 +147,14 @@ def test_seeds_are_fitted_together_and_averaged(rows):
     got = {r.i: r.p for r in ML.mean_of_models(models, test, ["a", "b"]).collect()}
     each = [{r.i: r.p for r in ML.mean_of_models([m], test, ["a", "b"]).collect()} for m in models]
     assert all(got[i] == pytest.approx((each[0][i] + each[1][i]) / 2) for i in got) and each[0] != each[1]
+
+
+def test_no_fit_learns_from_validation_rows(spark):
+    """Validation labels are all turned round; neither a forest nor stopped trees follow them."""
+    rng = random.Random(6)
+    made = [("train" if i % 2 else "val", a, int((a > 0.5) == bool(i % 2))) for i, a in enumerate(rng.random() for _ in range(600))]
+    rows = spark.createDataFrame(made, "split string, a double, empty int")
+    for make in (lambda s: ML.forest(s, 5), lambda s: ML.stopped_gbt(s, 5), lambda s: ML.gbt(s, 3)):
+        (model,) = ML.fit_seeds([rows], ["a"], make, (1,))
+        p = {r.a > 0.5: r.p for r in ML.mean_of_models([model], spark.createDataFrame([(0.1,), (0.9,)], "a double"), ["a"]).collect()}
+        assert p[True] > 0.5 > p[False]

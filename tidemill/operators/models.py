@@ -70,12 +70,14 @@ def fit_and_score_seeds(rows: DataFrame, cols: Sequence[str], make: Callable, se
 def fit_seeds(samples: Sequence[DataFrame], cols: Sequence[str], make: Callable, seeds: Sequence[int]) -> list:
     """A model for each seed, ``make(seed)``, fitted at the same time, each on its own written rows of splits train and val.
 
-    Rows of val only end a fit.  Both classes weigh the same.
+    Rows of val only end a fit, where the estimator asks for such rows; no fit learns from them.  Both classes weigh the same.
     """
 
     def one(rows: DataFrame, seed: int):
-        marked = _vectors(rows, cols).withColumn("_held", F.col("split") == "val")
-        return _fit(marked, lambda: make(seed))
+        estimator = make(seed)
+        stops = estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol")
+        used = rows.withColumn("_held", F.col("split") == "val") if stops else rows.where("split = 'train'")
+        return _fit(_vectors(used, cols), lambda: estimator)
 
     with ThreadPoolExecutor(len(seeds)) as pool:
         return list(pool.map(one, samples, seeds))
