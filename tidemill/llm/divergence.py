@@ -28,39 +28,36 @@ from tidemill.llm.common import materialise, table
 #: Documents of a language that a kept term stands in at least; terms that are ranked for a group; pseudo-count; units of probability.
 LEAST_DOCS, TOP, PRIOR, UNIT = 30, 50, 5, 1_000_000_000
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-#: Different terms that a task holds before it gives out its counts.
-HELD = 300_000
+#: Different terms, and occurrences, that a task holds before it gives out its counts.
+HELD, COUNTED = 500_000, 1 << 30
 GROUP = ["lang", "source"]
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term; the term '' stands for the group itself."""
     names = ["lang", "source", "term", "n", "docs"]
-    kinds = [pa.string()] * 3 + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[str, list[int]]] = {}
-        size = 0
+        held: dict[tuple[str, str], dict[str, int]] = {}  # occurrences in the upper half of an integer, documents in the lower
+        size = counted = 0
 
         def given() -> Iterator[pa.RecordBatch]:
             for (lang, source), terms in held.items():
-                n, docs = zip(*terms.values())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([lang] * len(terms), [source] * len(terms), list(terms), n, docs), kinds)], names)
+                both = np.fromiter(terms.values(), np.int64, len(terms))
+                cols = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(list(terms), pa.string()), pa.array(both >> 32), pa.array(both & 0xFFFFFFFF)]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
-                mine = held.setdefault((lang, source), {"": [0, 0]})
-                before = len(mine)
-                for term, n in Counter(TERM.findall(text.encode().lower().decode())).items():  # bytes: A-Z alone change
-                    if (known := mine.get(term)) is None:
-                        mine[term] = [n, 1]
-                    else:
-                        known[0] += n
-                        known[1] += 1
-                size += len(mine) - before
-                if size > HELD:
+                mine = held.setdefault((lang, source), {"": 0})
+                before, known = len(mine), mine.get
+                terms = TERM.findall(text.encode().lower().decode())  # bytes: A-Z alone change
+                for term, n in Counter(terms).items():
+                    mine[term] = known(term, 0) + (n << 32) + 1
+                size, counted = size + len(mine) - before, counted + len(terms)
+                if size > HELD or counted > COUNTED:
                     yield from given()
-                    held, size = {}, 0
+                    held, size, counted = {}, 0, 0
         yield from given()
 
     filled = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in (("lang", "lang"), ("source", "source"), (text_col, "text"))))
