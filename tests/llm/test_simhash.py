@@ -1,10 +1,12 @@
 from itertools import combinations
+import random
 import re
 
+import numpy as np
 import xxhash
 
 from tidemill.llm.components import connected_components
-from tidemill.llm.simhash import WIDE_BITS, WIDE_SHARED, covering_triples, fingerprint_links, near_duplicates, one_of_each, position_pairs, wide_candidates, wide_roots
+from tidemill.llm.simhash import WIDE_BITS, WIDE_SHARED, covering_triples, fingerprint_links, near_duplicates, one_of_each, position_pairs, rarest, rest_candidates, similar, wide_candidates, wide_roots
 
 
 def slow_fingerprint(text):
@@ -127,6 +129,37 @@ def test_near_copies_are_those_of_all_pairs(spark):
         assert {r.doc_id for r in wide_roots(frame, limit=limit).collect()} == want
 
 
+def test_no_similar_pair_is_missed(spark):
+    """Pairs at a similarity just above 0.8, whose fingerprints often share few bytes, and a long list of a common line."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, texts = new(14), []
+    for i in range(300):
+        a = new(14) if i % 2 else line + new(5)
+        texts += [a, a[:-1] + new(1)]
+    docs = {i: " ".join(w) for i, w in enumerate(rng.sample(texts, len(texts)))}
+    want = {i for i, c in slow_near_classes(docs).items() if i == c}
+    got = {r.doc_id for r in wide_roots(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert len(want) == 300 and got == want
+
+
+def test_rest_is_found_without_any_order_or_class(spark):
+    """Pairs of different classes that may be similar, in lists longer and shorter than eight, hold all that are similar."""
+    rng = random.Random(6)
+    base = list(range(60))
+    sets = {i: np.array(sorted(rng.sample(base, 60 - i % 14)), np.uint64) for i in range(60)}
+    sets |= {100 + i: np.array([1000 + i // 3 * 20 + j for j in range(10 + i % 3)], np.uint64) for i in range(30)}
+    for counts in ({}, {s: 5 + s % 3 for s in range(0, 60, 2)}):
+        known, n = np.array(sorted(counts), np.uint64), np.array([counts[k] for k in sorted(counts)], np.int64)
+        rows = [(i, len(s), rarest(s, known, n).view(np.int64).tolist()) for i, s in sets.items()]
+        nodes = spark.createDataFrame(rows, "node long, size long, prefix array<long>")
+        for classes in ({}, {i: 0 for i in range(1, 40)}):
+            roots = spark.createDataFrame(list(classes.items()), "node long, root long")
+            pairs = {tuple(r) for r in rest_candidates(nodes, roots).collect()}
+            want = {(a, b) for a, b in combinations(sorted(sets), 2) if similar(sets[a], sets[b]) and classes.get(a, a) != classes.get(b, b)}
+            assert want and want <= pairs and all(a < b and classes.get(a, a) != classes.get(b, b) for a, b in pairs)
+
+
 def test_no_document_goes_without_a_link(spark):
     """On the given documents: whoever goes is in a class of links of 0.8 or more, and nine in ten of those that should go do."""
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

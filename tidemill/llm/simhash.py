@@ -13,7 +13,9 @@ bits share these too, so nothing is lost, and a list of the last level has at mo
 The near-copy stage (``one_of_each``) finds candidates by the same index with a wider net: fingerprints of 256 bits,
 32 positional bytes, pairs of positions within six classes posted, shared bytes tallied, bits counted.  Any seven shared
 bytes contain a posted pair; six, five and four do with a chance of 97, 87 and 66 %.  A candidate is no link yet:
-the two texts are fetched and the exact Jaccard similarity of their shingles of five words decides.
+the two texts are fetched and the exact Jaccard similarity of their shingles of five words decides.  Links that the net
+misses, by chance or because a long list gives only nearest ones, are found by ``rest_candidates``, which is exact: of two
+similar texts each has one of the other's shingles among its own rarest, so all classes left meet in lists of these.
 """
 
 from __future__ import annotations
@@ -155,8 +157,8 @@ def _forest(x: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray
     return src, dst
 
 
-def _by_list(solve: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], width: int = 1):
-    """Rows (key, node, words of a fingerprint), sorted by key: ``solve`` gets whole lists.  Holds one list and one batch."""
+def _by_list(solve: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], width: int = 1):
+    """Rows (key, node, words of a fingerprint or other longs), sorted by key: ``solve`` gets whole lists.  Holds one list and one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_n, held_x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint64)
@@ -169,10 +171,10 @@ def _by_list(solve: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatc
             held_x = np.concatenate((held_x, np.stack([word(i) for i in range(width)], axis=1)))
             done = int(np.searchsorted(held_k, held_k[-1]))
             if done:
-                yield solve(held_k[:done], held_n[:done], held_x[:done])
+                yield from solve(held_k[:done], held_n[:done], held_x[:done])
                 held_k, held_n, held_x = held_k[done:], held_n[done:], held_x[done:]
         if len(held_k):
-            yield solve(held_k, held_n, held_x)
+            yield from solve(held_k, held_n, held_x)
 
     return run
 
@@ -186,7 +188,7 @@ def _list_sizes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     """The links of each list as a spanning forest of nodes.  ``linked``: for two arrays of fingerprints, which pairs are links."""
 
-    def solve(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def solve(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge, size = _list_sizes(keys)
         small = np.repeat(size <= 8, size)
         src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -199,7 +201,7 @@ def _links(linked: Callable[[np.ndarray, np.ndarray], np.ndarray]):
             a, b = _forest(x[e : e + n], linked)
             src.append(node[e : e + n][a])
             dst.append(node[e : e + n][b])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (src, dst)], ["src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (src, dst)], ["src", "dst"])
 
     return _by_list(solve)
 
@@ -237,6 +239,8 @@ SIMILAR = (4, 5)
 _CLASSES = 6
 #: Fingerprints that are compared at a time within a long list.
 _TILE = 1024
+#: Documents of the sample that tells frequent shingles, and the most of these that are told.
+ORDER_SAMPLE, ORDER_SIZE = 10_000, 1 << 17
 
 
 def position_pairs(n: int = 8 * WIDE, classes: int = _CLASSES) -> list[tuple[int, int]]:
@@ -252,7 +256,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((shared >= WIDE_SHARED) & (bits <= WIDE_BITS), bits, 999)
 
 
-def _candidates(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+def _candidates(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(src, dst, bits), src < dst: all candidates of a list of at most 8; of a longer one each node's nearest of every ``_TILE`` nodes before it."""
     edge, size = _list_sizes(keys)
     small = np.repeat(size <= 8, size)
@@ -274,14 +278,15 @@ def _candidates(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordB
                     least = bits[np.arange(len(some)), best]
                     hit = least < 999
                     out.append((node[theirs[best[hit]]], node[some[hit]], least[hit]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["src", "dst", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["src", "dst", "bits"])
 
 
 def wide_candidates(nodes: DataFrame, limit: int = 1 << 14) -> DataFrame:
     """(src, dst, bits), src < dst, of candidate pairs between (node, w0..w3).
 
     Entries of lists over ``limit`` are posted again under each third position, then a fourth: pairs that share at
-    least WIDE_SHARED bytes meet in one of these too, so nothing that the first level finds is lost.
+    least WIDE_SHARED bytes meet in one of these too, so nothing that the first level finds is lost.  A long list gives
+    only nearest candidates; what these leave unlinked is up to ``rest_candidates``.
     """
     spark, out = nodes.sparkSession, None
     n, words = partitions(spark), [f"w{i}" for i in range(WIDE)]
@@ -309,6 +314,93 @@ def wide_candidates(nodes: DataFrame, limit: int = 1 << 14) -> DataFrame:
     return out
 
 
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and documents) of shingles that are in more than one document of a sample.  ``docs``: (doc_id, text).
+
+    At most ORDER_SIZE, the most frequent, of about ORDER_SAMPLE documents, or all if there are fewer.  They set the order
+    of shingles in ``rest_candidates``: what they miss costs time, never a pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_h = np.concatenate([np.empty(0, np.uint64), *(shingle_set(t.as_py()) for t in b.column(0))])
+            yield pa.RecordBatch.from_arrays([pa.array(all_h.view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count()))) < ORDER_SAMPLE)
+    counts = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "h").limit(ORDER_SIZE).collect()
+    h, n = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    return np.sort(h), n[np.argsort(h)]
+
+
+def rarest(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a text's different shingles, ordered by frequency and hash: so many that fewer than SIMILAR of all follow."""
+    n = len(shingles)
+    first = n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1 if n else 0
+    at = np.searchsorted(known, shingles)
+    seen = known.take(at, mode="clip") == shingles if len(known) else np.zeros(n, bool)
+    if seen.any():
+        shingles = shingles[np.lexsort((shingles, np.where(seen, counts.take(at, mode="clip"), 0)))]
+    return shingles[:first]
+
+
+def _unlinked(keys: np.ndarray, node: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(src, dst), src < dst: all pairs of a list that may be similar and aren't in one class yet.
+
+    ``x``: class, size of the text's set, and how many of the set come at this shingle or after it.  At the first shingle
+    that two texts share, both sets have from there on all that they share; so a pair is dropped where that isn't enough.
+    """
+    edge, length = _list_sizes(keys)
+    mixed = np.repeat(np.maximum.reduceat(x[:, 0], edge) != np.minimum.reduceat(x[:, 0], edge), length)
+    keys, node, x = keys[mixed], node[mixed], x[mixed].view(np.int64)
+    if not len(keys):
+        return
+    order = np.lexsort((x[:, 1], keys))
+    keys, node, root, size, left = keys[order], node[order], *np.ascontiguousarray(x[order].T)
+    share, whole = SIMILAR[0], sum(SIMILAR)
+    may = lambda i, j: (whole * np.minimum(left[i], left[j]) >= share * (size[i] + size[j])) & (root[i] != root[j])
+
+    def batch(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        a, b = node[i], node[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+
+    edge, length = _list_sizes(keys)
+    small = np.repeat(length <= 8, length)
+    for d in range(1, 8):
+        i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
+        i = i[may(i, i + d)]
+        if len(i):
+            yield batch(i, i + d)
+    for e, n in zip(edge[length > 8].tolist(), length[length > 8].tolist()):
+        every = np.arange(e, e + n)
+        classes, of = np.unique(root[every], return_inverse=True)
+        most = of == np.bincount(of).argmax()  # within the largest class there is nothing to do
+        for mine, theirs in ((every[~most], every), (every[most], every[~most])):
+            mine = mine[whole * left[mine] >= 2 * share * size[mine]]  # the smaller of a pair needs as much
+            top = np.searchsorted(size[theirs], size[mine] * SIMILAR[1] // SIMILAR[0], "right")
+            low = np.searchsorted(theirs, mine, "right")
+            for at in range(0, len(mine), 64):
+                some = mine[at : at + 64]
+                for first in range(int(low[at]), int(top[at : at + 64].max()), 1 << 14):  # bounded memory
+                    other = theirs[first : min(first + (1 << 14), int(top[at : at + 64].max()))]
+                    hit = may(some[:, None], other[None]) & (other[None] > some[:, None])
+                    i, j = np.nonzero(hit)
+                    if len(i):
+                        yield batch(some[i], other[j])
+
+
+def rest_candidates(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst), src < dst: pairs of nodes of different classes, all similar ones among them.
+
+    ``nodes``: (node, size, prefix), the size of a text's set of shingles and the ``rarest`` of it; ``roots``: (node, root)
+    of the classes so far.  Without one of its ``rarest`` shared, too few of a text's shingles are left for a similar pair.
+    """
+    at = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("pos", "key"))
+    post = at.select("key", "node", "root", "size", (F.col("size") - F.col("pos")).alias("left"))
+    dealt = post.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_by_list(_unlinked, 3), "src long, dst long").distinct()
+
+
 def shingle_set(text: bytes | None, k: int = WIDE_K) -> np.ndarray:
     """The different shingle hashes of a whole text, sorted."""
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, k)]))
@@ -362,23 +454,35 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, limit: int = 1 << 14) -> DataFrame:
-    """(node, root) of the classes that similar texts among the candidates make; roots have no row.
+    """(node, root) of the classes that all similar texts make; roots have no row.
 
-    ``nodes``: (node, w0..w3); ``texts``: (node, text), more than needed does no harm.  Each node is first held against
-    its nearest candidate alone.  Of the other candidates only those between two of the classes so made can change
-    anything, and all of these are held against each other next.
+    ``nodes``: (node, w0..w3, size, prefix); ``texts``: (node, text), more than needed does no harm.  Each node is first
+    held against its nearest candidate alone.  Of the other candidates only those between two of the classes so made can
+    change anything, and all of these are held against each other next.  Last come the pairs of ``rest_candidates``
+    between the classes made till then, without those decided before; so no similar pair is left out.
     """
     pairs = wide_candidates(nodes, limit)
-    needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    own = materialise(texts.join(needed, "node", "left_semi"), "candidate-texts")
+
+    def fetched(some: DataFrame) -> DataFrame:
+        needed = some.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        return materialise(texts.join(needed, "node", "left_semi"), "candidate-texts")
+
+    own = fetched(pairs)
     nearest = pairs.groupBy("dst").agg(F.min(F.struct("bits", "src")).alias("best")).select("dst", F.col("best.src").alias("src"))
-    first = materialise(confirmed(nearest, own), "links")
-    roots = connected_components(first)
+    links = materialise(confirmed(nearest, own), "links")
+    roots = connected_components(links)
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     rest = pairs.join(nearest, ["src", "dst"], "left_anti").join(root_of("src"), "src", "left").join(root_of("dst"), "dst", "left")
     apart = rest.where("coalesce(src_root, src) <> coalesce(dst_root, dst)").select("src", "dst")
     second = materialise(confirmed(apart, own), "links")
-    return roots if second.isEmpty() else connected_components(first.unionByName(second))
+    if not second.isEmpty():
+        links = links.unionByName(second)
+        roots = connected_components(links)
+    missed = materialise(rest_candidates(nodes, roots).join(pairs, ["src", "dst"], "left_anti"), "rest")
+    if missed.isEmpty():
+        return roots
+    third = materialise(confirmed(missed, fetched(missed)), "links")
+    return roots if third.isEmpty() else connected_components(links.unionByName(third))
 
 
 def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 1 << 14) -> DataFrame:
@@ -387,21 +491,29 @@ def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Texts with the same set of shingles fold first, however often a shingle occurs; those without words are one class.
     """
     words = [f"w{i}" for i in range(WIDE)]
+    picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    sent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(picked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, same = [], []
+            fps, same, sizes, firsts = [], [], [], []
             for t in b.column(1).to_pylist():
                 slices = list(shingle_hashes(t, WIDE_K))
                 fps.append(majority(slices, WIDE))
-                same.append(hashlib.blake2b(np.unique(np.concatenate([np.empty(0, np.uint64), *slices])).tobytes(), digest_size=16).digest())
+                shingles = np.unique(np.concatenate([np.empty(0, np.uint64), *slices]))
+                same.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                sizes.append(len(shingles))
+                firsts.append(rarest(shingles, *sent.value))
             x = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE)), pa.array(same, pa.binary())], ["doc_id", *words, "same"])
-
-    picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", same binary")
-    least = F.min(F.struct("doc_id", *words)).alias("least")
-    nodes = materialise(fps.groupBy("same").agg(least).select(F.col("least.doc_id").alias("node"), *(f"least.{w}" for w in words)), "nodes")  # copies fold before the shuffle
+            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64)))
+            columns = [b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE)), pa.array(sizes, pa.int64()), prefix, pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *words, "size", "prefix", "same"])
+
+    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", size long, prefix array<long>, same binary")
+    least = F.min(F.struct("doc_id", *words, "size", "prefix")).alias("least")
+    kept = [F.col("least.doc_id").alias("node"), *(f"least.{c}" for c in (*words, "size", "prefix"))]
+    nodes = materialise(fps.groupBy("same").agg(least).select(*kept), "nodes")  # copies fold before the shuffle
     roots = similar_links(nodes, picked.select(F.col("doc_id").alias("node"), "text"), limit)
     return nodes.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
 
@@ -410,7 +522,7 @@ def one_of_each(docs: DataFrame, limit: int = 1 << 14) -> DataFrame:
     """Rows of ``docs``, with all their columns, that have the smallest doc_id of their class of near copies.
 
     Near copies are linked by a Jaccard similarity of 0.8 or more of their sets of shingles of five words, which is
-    exact; candidates come from ``wide_candidates``, which may miss some.  Classes are chains of such links.  If a
+    exact.  Most links come from ``wide_candidates``, all others from ``rest_candidates``.  Classes are chains of such links.  If a
     doc_id is null or repeated, rows are told apart by (doc_id, text), null first, and the first of a class stays.
     Null texts and texts without words are one class; very long texts are read whole; an empty table gives no rows.
     """
