@@ -14,8 +14,8 @@ The near-copy stage (``one_of_each``) finds candidates by the same index with a
 32 positional bytes, pairs of positions within six classes posted, shared bytes tallied, bits counted.  Any seven shared
 bytes contain a posted pair; six, five and four do with a chance of 97, 87 and 66 %.  A candidate is no link yet:
 the two texts are fetched and the exact Jaccard similarity of their shingles of five words decides.  Links that the net
-misses, by chance or because a long list gives only nearest ones, are found by ``rest_candidates``, which is exact: of two
-similar texts each has one of the other's shingles among its own rarest, so all classes left meet in lists of these.
+misses, by chance or because a long list gives only nearest ones, are found by ``rest_candidates``, which is exact: two
+similar texts share a shingle that is among the rarest of both, so they meet in the lists of these.
 """
 
 from __future__ import annotations
