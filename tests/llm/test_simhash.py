@@ -5,6 +5,7 @@ import re
 import numpy as np
 import xxhash
 
+from tidemill.llm import components, simhash
 from tidemill.llm.components import connected_components
 from tidemill.llm.simhash import WIDE_BITS, WIDE_SHARED, covering_triples, fingerprint_links, near_duplicates, one_of_each, position_pairs, rarest, rest_candidates, similar, wide_candidates, wide_roots
 
@@ -160,6 +161,58 @@ def test_rest_is_found_without_any_order_or_class(spark):
             assert want and want <= pairs and all(a < b and classes.get(a, a) != classes.get(b, b) for a, b in pairs)
 
 
+def test_sketches_bound_what_differs():
+    """Of sets of any two sizes: differing bits are never more than the elements of one only, so no similar pair is dropped."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 31, 32, 33, 200, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for gone, new in ((0, 0), (n // 9, 0), (n // 10, n // 10), (0, n // 4), (n, n), (n // 2, 7 * n)):
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 2**63, new).astype(np.uint64))))
+            apart, found = len(np.setxor1d(a, b)), simhash.differing(simhash.sketch(a), simhash.sketch(b))
+            assert found <= apart and (found - apart) % 2 == 0
+            if n >= 200 and apart >= len(a):  # far from similar, and told
+                assert 9 * found > len(a) + len(b)
+
+
+def test_few_texts_are_fetched_for_pairs(spark, monkeypatch):
+    """Different texts that share a rare shingle: none is fetched, as their sketches tell them apart, and similar ones are."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common = new(6)
+    docs = {i: " ".join(common + new(40)) for i in range(40)}
+    docs |= {100: docs[7] + " more", 101: " ".join(new(30)), 102: None}
+    asked = []
+    held = simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda pairs, texts: asked.append((pairs.count(), texts.count())) or held(pairs, texts))
+    stay = {r.doc_id for r in one_of_each(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert stay == set(docs) - {100}
+    assert sum(pairs for pairs, _ in asked) == 1 and max(texts for _, texts in asked) == 2
+
+
+def test_flags_miss_no_id(spark):
+    rows = spark.range(-3000, 3000).selectExpr("id as k", "cast(id as string) as text")
+    ids = spark.createDataFrame([(i,) for i in (*range(-3000, 3000, 7), 2**62, -(2**63))], "k long")
+    got = simhash.flagged(rows, ids, "k")
+    assert got.columns == ["k", "text", "k_may"] and got.count() == 6000
+    may = {r.k for r in got.where("k_may").collect()}
+    assert set(range(-3000, 3000, 7)) <= may and len(may) < 1.1 * 6000 / 7
+    assert simhash.flagged(rows, ids.limit(0), "k").where("k_may").isEmpty()
+
+
+def test_rounds_of_few_links_write_few_files(spark, monkeypatch):
+    """A round writes a file for each 1,024 links, not for each partition; the result is the same for any number."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 3000) if i % 10], "src long, dst long").repartition(7)
+    want = {(i, (i - 1) // 10 * 10 + 1) for i in range(1, 3001) if i % 10 != 1}
+    files, held = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: files.append((out := held(df, label)).inputFiles()) or out)
+    monkeypatch.setattr(components, "partitions", lambda _: 200)
+    for least, most in ((1024, 3), (1, 200)):
+        monkeypatch.setattr(components, "LEAST_LINKS", least)
+        files.clear()
+        assert {tuple(r) for r in connected_components(links).collect()} == want
+        assert all(len(f) <= most for f in files[1:])
+
+
 def test_no_document_goes_without_a_link(spark):
     """On the given documents: whoever goes is in a class of links of 0.8 or more, and nine in ten of those that should go do."""
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

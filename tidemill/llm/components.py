@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialise
+from tidemill.llm.common import materialise, partitions
+
+#: Links that a task writes at least, if there are so many: small tables in hundreds of files cost more than their rows.
+LEAST_LINKS = 1024
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,10 +41,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     turned = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     now = materialise(turned.distinct(), "links")
-    state = None
+    n, state = now.count(), None
     while True:
-        now = materialise(_small_star(_large_star(now).distinct()).distinct(), "links")
+        tasks = min(partitions(edges.sparkSession), n // LEAST_LINKS + 1)
+        now = materialise(_small_star(_large_star(now).distinct()).distinct().coalesce(tasks), "links")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        state = tuple(seen)
+        state, n = tuple(seen), seen[0]

@@ -241,6 +241,8 @@ _CLASSES = 6
 _TILE = 1024
 #: Documents of the sample that tells frequent shingles, and the most of these that are told.
 ORDER_SAMPLE, ORDER_SIZE = 10_000, 1 << 17
+#: Words of 64 bits of the filter of ids that goes to all tasks, whatever the number of ids.
+FILTER_WORDS = 1 << 17
 
 
 def position_pairs(n: int = 8 * WIDE, classes: int = _CLASSES) -> list[tuple[int, int]]:
@@ -412,6 +414,48 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Of each residue of the shingles whether an odd number has it: a power of two of bits, at least two for each shingle."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches, the longer one folded: never more than there are shingles of one text only."""
+    (a, n), (b, m) = ((int.from_bytes(t, "little"), len(t)) for t in sorted((x, y), key=len))
+    while m > n:
+        m //= 2
+        b = b >> 8 * m ^ b & (1 << 8 * m) - 1
+    return (a ^ b).bit_count()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst, more longs) without those whose sketches show that they aren't similar.  ``nodes``: (node, size, sketch)."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = zip(*(b.column(len(names) + i).to_pylist() for i in range(4)))
+            keep = [sum(SIMILAR) * differing(x, y) <= (SIMILAR[1] - SIMILAR[0]) * (n + m) for n, x, m, y in own]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep, pa.bool_())) for i in range(len(names))], names)
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+    both = pairs.join(side("dst"), "dst").join(side("src"), "src")
+    return both.select(*names, "src_size", "src_sketch", "dst_size", "dst_sketch").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def flagged(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` and whether their ``column`` may be in that of ``ids``, as ``<column>_may``: false where it is not, seldom true there.
+
+    The bits of the hashed ids go to all tasks, FILTER_WORDS at most; so large rows needn't be shuffled to be told from others.
+    """
+    at, word, bits = f"pmod(xxhash64(`{column}`), {64 * FILTER_WORDS})", f"{column}_word", f"{column}_bits"
+    words = ids.groupBy(F.expr(f"{at} div 64").alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 as int)))").alias(bits))
+    met = rows.withColumn(word, F.expr(f"{at} div 64")).join(F.broadcast(words), word, "left")
+    may = F.expr(f"coalesce(shiftright(`{bits}`, cast({at} % 64 as int)) & 1 = 1, false)")
+    return met.withColumn(f"{column}_may", may).drop(word, bits)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(src, dst) of the pairs whose ``texts`` (node, text) are similar.  A pair carries its two texts, nothing more."""
 
@@ -456,16 +500,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def similar_links(nodes: DataFrame, texts: DataFrame, limit: int = 1 << 14) -> DataFrame:
     """(node, root) of the classes that all similar texts make; roots have no row.
 
-    ``nodes``: (node, w0..w3, size, prefix); ``texts``: (node, text), more than needed does no harm.  Each node is first
-    held against its nearest candidate alone.  Of the other candidates only those between two of the classes so made can
-    change anything, and all of these are held against each other next.  Last come the pairs of ``rest_candidates``
-    between the classes made till then, without those decided before; so no similar pair is left out.
+    ``nodes``: (node, w0..w3, size, prefix, sketch); ``texts``: (node, text), more than needed does no harm.  Pairs whose
+    sketches rule out a link go first, so that no text is fetched for them.  Each node is then held against its nearest
+    candidate alone.  Of the other candidates only those between two of the classes so made can change anything, and all of
+    these are held against each other next.  Last come the pairs of ``rest_candidates`` between the classes made till
+    then, without those decided before; so no similar pair is left out.
     """
-    pairs = wide_candidates(nodes, limit)
+    pairs = materialise(plausible(wide_candidates(nodes, limit), nodes), "plausible")
 
     def fetched(some: DataFrame) -> DataFrame:
-        needed = some.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        return materialise(texts.join(needed, "node", "left_semi"), "candidate-texts")
+        needed = materialise(some.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "needed")
+        few = flagged(texts, needed, "node").where("node_may").drop("node_may")
+        return materialise(few.join(needed, "node", "left_semi"), "candidate-texts")
 
     own = fetched(pairs)
     nearest = pairs.groupBy("dst").agg(F.min(F.struct("bits", "src")).alias("best")).select("dst", F.col("best.src").alias("src"))
@@ -478,7 +524,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, limit: int = 1 << 14) -> D
     if not second.isEmpty():
         links = links.unionByName(second)
         roots = connected_components(links)
-    missed = materialise(rest_candidates(nodes, roots).join(pairs, ["src", "dst"], "left_anti"), "rest")
+    missed = materialise(plausible(rest_candidates(nodes, roots).join(pairs, ["src", "dst"], "left_anti"), nodes), "rest")
     if missed.isEmpty():
         return roots
     third = materialise(confirmed(missed, fetched(missed)), "links")
@@ -490,13 +536,13 @@ def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Texts with the same set of shingles fold first, however often a shingle occurs; those without words are one class.
     """
-    words = [f"w{i}" for i in range(WIDE)]
+    words, more = [f"w{i}" for i in range(WIDE)], ["size", "prefix", "sketch"]
     picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(picked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, same, sizes, firsts = [], [], [], []
+            fps, same, sizes, firsts, sketches = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 slices = list(shingle_hashes(t, WIDE_K))
                 fps.append(majority(slices, WIDE))
@@ -504,15 +550,16 @@ def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 same.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 sizes.append(len(shingles))
                 firsts.append(rarest(shingles, *sent.value))
+                sketches.append(sketch(shingles))
             x = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, WIDE).view(np.int64)
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64)))
-            columns = [b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE)), pa.array(sizes, pa.int64()), prefix, pa.array(same, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *words, "size", "prefix", "same"])
+            columns = [b.column(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDE)), pa.array(sizes, pa.int64()), prefix, pa.array(sketches, pa.binary()), pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *words, *more, "same"])
 
-    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", size long, prefix array<long>, same binary")
-    least = F.min(F.struct("doc_id", *words, "size", "prefix")).alias("least")
-    kept = [F.col("least.doc_id").alias("node"), *(f"least.{c}" for c in (*words, "size", "prefix"))]
+    fps = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", size long, prefix array<long>, sketch binary, same binary")
+    least = F.min(F.struct("doc_id", *words, *more)).alias("least")
+    kept = [F.col("least.doc_id").alias("node"), *(f"least.{c}" for c in (*words, *more))]
     nodes = materialise(fps.groupBy("same").agg(least).select(*kept), "nodes")  # copies fold before the shuffle
     roots = similar_links(nodes, picked.select(F.col("doc_id").alias("node"), "text"), limit)
     return nodes.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
@@ -534,7 +581,10 @@ def one_of_each(docs: DataFrame, limit: int = 1 << 14) -> DataFrame:
         ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text")
         numbered = materialise(ordered.withColumn(mark, F.monotonically_increasing_id()), "numbered")
     stay = wide_roots(numbered, "text", mark, limit).select(F.col("doc_id").alias(mark))
-    return numbered.join(stay, mark, "left_semi").drop(mark)
+    gone = materialise(numbered.select(mark).join(stay, mark, "left_anti"), "gone")
+    told = flagged(numbered, gone, mark)  # only rows that may go are shuffled
+    left = told.where(f"not `{mark}_may`").unionByName(told.where(f"`{mark}_may`").join(gone, mark, "left_anti"))
+    return left.drop(mark, f"{mark}_may")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
