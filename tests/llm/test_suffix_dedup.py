@@ -119,3 +119,20 @@ def test_texts_without_repeats(spark):
     got = without_repeats(frame)
     assert got.columns == frame.columns and got.dtypes == frame.dtypes
     assert sorted(map(tuple, got.collect())) == [(0, 2, "", "c"), (2, 1, "xy", "b"), (301, 0, "é" + t[60:], "a")]
+
+
+def test_a_task_holds_blocks_of_few_bytes_at_once(monkeypatch):
+    """A batch with many bytes of texts gives its blocks in parts; together they are those of one part."""
+    rng = random.Random(9)
+    texts = [rng.randbytes(rng.randrange(50, 4000)) for _ in range(300)]
+    doc = list(range(300))
+    rng.shuffle(doc)
+    batch = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([0] * 300, pa.int32()), pa.array(texts)], ["doc", "start", "text"])
+    monkeypatch.setattr(suffix_dedup, "LAID", 1 << 14)
+    found = {}
+    for together in (1 << 30, 1 << 17):
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+        found[together] = [out.to_pylist() for out in suffix_dedup._scan(100, 32)(iter([batch]))]
+    whole, parts = found.values()
+    assert len(whole) == 1 and len(parts) >= 4 and max(map(len, parts)) < len(whole[0]) / 3
+    assert [r for part in parts for r in part] == whole[0]

@@ -543,8 +543,8 @@ def wide_roots(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, same, sizes, firsts, sketches = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                slices = list(shingle_hashes(t, WIDE_K))
+            for t in b.column(1):
+                slices = list(shingle_hashes(t.as_py(), WIDE_K))
                 fps.append(majority(slices, WIDE))
                 shingles = np.unique(np.concatenate([np.empty(0, np.uint64), *slices]))
                 same.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())

@@ -46,6 +46,8 @@ SPAN_COLUMNS = ("doc", "start", "n")
 CAP = 224
 #: Bytes of text laid end to end at once: of documents, and of contested blocks.
 LAID, CONTESTED = 1 << 22, 1 << 19
+#: Bytes of documents whose blocks a task holds at once, however many and long the rows of a batch are.
+TOGETHER = 1 << 24
 #: Windows of a block that is named anew at once.
 PIECE = 1 << 16
 #: Bytes of contested blocks of one name from which on its windows are named anew by longer strings.
@@ -103,18 +105,20 @@ def _scan(window: int, gram: int, inline: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = sorted(zip(*(b.column(i).to_pylist() for i in range(3))), key=lambda r: r[:2])
-            parts, held, size = [], [], 0
-            for row in [*rows, None]:
-                if held and (row is None or size > (CONTESTED if inline else LAID)):
+            doc, start = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = b.column(2)
+            parts, held, size, total = [], [], 0, 0
+            for i in [*np.lexsort((start, doc)).tolist(), None]:
+                if held and (i is None or size > (CONTESTED if inline else LAID)):
                     if found := laid(held):
                         parts.append(found)
-                    held, size = [], 0
-                    if inline and parts:  # texts of single windows are many times as long as the text they are from
-                        yield _block_rows(*parts.pop())
-                if row and row[2]:
-                    held.append(row)
-                    size += len(row[2])
+                    held, size, total = [], 0, total + size
+                    if parts and (inline or total >= TOGETHER):  # texts of single windows are many times as long as the text they are from
+                        yield _block_rows(*(np.concatenate(c) for c in zip(*parts)))
+                        parts, total = [], 0
+                if i is not None and (text := texts[i].as_py()):
+                    held.append((doc[i], start[i], text))
+                    size += len(text)
             if parts:
                 yield _block_rows(*(np.concatenate(c) for c in zip(*parts)))
 
